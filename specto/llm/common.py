@@ -64,9 +64,22 @@ def join_by_key(df: DataFrame, side: DataFrame, on: list[str], rows: int = BROAD
     return df.join(F.broadcast(side) if few else side, on)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: the session's checkpoint folder, or one of this machine if none is named, as in tests."""
+    folder = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if folder.isEmpty():
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="specto-checkpoint-"))
+        folder = spark.sparkContext._jsc.sc().getCheckpointDir()
+    return folder.get()
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Writes df to the shared checkpoint folder and reads it from there, so that a lost executor costs no recomputing."""
-    spark = df.sparkSession
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="specto-checkpoint-"))
+    shared_folder(df.sparkSession)
     return df.checkpoint()
+
+
+def anti_by_key(df: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
+    """Rows of df whose key isn't in keys (distinct), with the same check of the size of `keys`."""
+    few = keys.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    return df.join(F.broadcast(keys) if few else keys, on, "left_anti")

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, ascii_lower, cut, semi_by_key
+from .common import BROADCAST_ROWS, anti_by_key, ascii_lower, cut, semi_by_key
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: Sequence[Column] = (), prefix_chars: int = 128) -> DataFrame:
@@ -36,14 +36,22 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     else:
         rows = rows.withColumn("__hash", whole).drop("__text").join(groups, ["__len", "__prefix"], "left")
         rows = rows.withColumn("__hash", F.when(F.col("__again"), F.col("__hash"))).drop("__again")
-    same = ["__len", "__hash"]
-    equal = rows.where("__hash is not null").groupBy(*same).agg(F.max("doc_id").alias("__keep"), F.count("*").alias("__size")).where("__size > 1")
-    out = rows.join(equal, same, "left")
+    equal = rows.where("__hash is not null").groupBy("__len", "__hash").agg(F.first("__prefix").alias("__prefix"), F.max("doc_id").alias("__keep"), F.count("*").alias("__size")).where("__size > 1")
+    # the prefix is one key more than the groups have: the join deals its sides anew, and adaptive execution can split a hot group
+    out = rows.join(equal, ["__len", "__prefix", "__hash"], "left")
     keep = F.when(F.col("__size").isNull(), F.col("doc_id")).otherwise(F.col("__keep"))
     extra = [c for c in rows.columns if not c.startswith("__") and c != "doc_id"]
     return out.select("doc_id", *extra, keep.alias("keep_id"), F.coalesce("__size", F.lit(1)).cast("long").alias("group_size"), keep.eqNullSafe(F.col("doc_id")).alias("kept"))
 
 
+def drop_copies(docs: DataFrame) -> DataFrame:
+    """The documents that stay, with all their columns. Only ids and hashes of those that go are moved."""
+    mark = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
+    gone = cut(exact_dedup(docs, carry=[mark.alias("mark")]).where("not kept").select(F.col("doc_id").alias("__id"), F.col("mark").alias("__mark")).distinct())
+    marked = docs.withColumn("__id", F.col("doc_id")).withColumn("__mark", mark)
+    return anti_by_key(marked, gone, ["__id", "__mark"]).select(*docs.columns)
+
+
 def op2_exact_dedup(docs: DataFrame) -> DataFrame:
     digest = F.sha2(ascii_lower(F.coalesce(F.col("text"), F.lit(""))).cast("binary"), 256).alias("text_sha256")
     return exact_dedup(docs, carry=[digest]).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")

@@ -84,6 +84,12 @@ def mix(docs: DataFrame, cycles: int = CYCLES, seed: str = "mix", id_col: str =
     return out.drop(*names).withColumn("sampled", draw < F.col("probability"))
 
 
+def sample_mixture(docs: DataFrame) -> DataFrame:
+    """The documents of the sample, with all their columns."""
+    packed = docs.select(F.col("doc_id"), F.col("text"), F.col("source"), F.col("lang"), F.struct(*docs.columns).alias("__row"))
+    return mix(packed, carry=("__row",)).where("sampled").select("__row.*")
+
+
 def op10_source_mixing(docs: DataFrame) -> DataFrame:
     return mix(docs).select("doc_id", "source", "lang", "topic", "tokens", F.round("weight", 6).alias("weight"), F.round("probability", 6).alias("probability"), "sampled")
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import audio, bpe, dedup, edits, html, langid, license, mixing
+from . import audio, bpe, dedup, edits, html, jaccard, langid, license, mixing
 from .common import table
 
 
@@ -22,6 +22,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": documents(lambda docs: langid.identify(docs, langid.train(docs))),
     "op2_exact_dedup": documents(dedup.op2_exact_dedup),
     "op3_audio_features": documents(audio.op3_audio_features),
+    "op4_ngram_jaccard": documents(jaccard.op4_ngram_jaccard),
     "op5_token_counts": documents(edits.edited_counts),
     "op6_license_scan": documents(license.op6_license_scan),
     "op8_bpe": documents(bpe.bpe_roundtrip),
