@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 from collections.abc import Callable, Iterator
@@ -79,6 +80,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of plans that nothing refers to any more; it does so when the driver collects its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def anti_by_key(df: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
     """Rows of df whose key isn't in keys (distinct), with the same check of the size of `keys`."""
     few = keys.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS

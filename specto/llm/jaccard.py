@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import anti_by_key, cut, importable, join_by_key, map_batches, narrow
+from .common import anti_by_key, cut, importable, join_by_key, map_batches, narrow, release
 from .components import components
 
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -220,6 +220,37 @@ def enough(rule: Jaccard) -> Column:
     return F.col("shared") + F.ceil(rest * rule.percent / 100) - 1 >= rule.needed(F.col("na"), F.col("nb"))
 
 
+def shared_lists(classes: DataFrame) -> DataFrame:
+    """key, id, n, last: which sets have a key in their prefix, for keys that two sets have."""
+    postings = classes.select("id", "n", "last", F.explode("prefix").alias("key"))
+    size = F.count("*").over(Window.partitionBy("key"))
+    return cut(postings.withColumn("size", size).where("size > 1").select("key", "id", "n", "last"))
+
+
+def proposed(pairs: DataFrame, rule: Jaccard) -> DataFrame:
+    """The pairs a, b (with sizes na, nb and last keys la, lb; one row a shared key) that can still reach the overlap needed."""
+    pairs = pairs.where(rule.sizes_fit(F.col("na"), F.col("nb")))
+    return pairs.groupBy("a", "b", "na", "nb", "la", "lb").agg(F.count("*").alias("shared")).where(enough(rule))
+
+
+def against_first(lists: DataFrame, rule: Jaccard) -> DataFrame:
+    """Each set of a list with the first one."""
+    head = F.min(F.struct("id", "n", "last")).over(Window.partitionBy("key"))
+    stars = lists.withColumn("head", head).where("id <> head.id")
+    return proposed(stars.select(F.col("head.id").alias("a"), F.col("id").alias("b"), F.col("head.n").alias("na"), F.col("n").alias("nb"), F.col("head.last").alias("la"), F.col("last").alias("lb")), rule)
+
+
+def across_parts(lists: DataFrame, joined: DataFrame, rule: Jaccard) -> DataFrame:
+    """The sets of a list that are in different components so far."""
+    part = F.coalesce("component", "id").alias("part")
+    parts = lists.join(joined, lists.id == joined.node, "left").select("key", "id", "n", "last", part)
+    mixed = parts.groupBy("key").agg(F.min("part").alias("x"), F.max("part").alias("y")).where("x <> y").select("key")
+    parts = cut(parts.join(mixed, "key", "left_semi"))
+    left = parts.select("key", F.col("id").alias("a"), F.col("n").alias("na"), F.col("last").alias("la"), F.col("part").alias("pa"))
+    right = parts.select("key", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("last").alias("lb"), F.col("part").alias("pb"))
+    return proposed(left.join(right, "key").where((F.col("a") < F.col("b")) & (F.col("pa") != F.col("pb")) & rule.sizes_fit(F.col("na"), F.col("nb"))), rule)
+
+
 def near_duplicates(docs: DataFrame, rule: Jaccard = Jaccard(), id_col: str = "doc_id", text_col: str = "text", max_cells: int = 1 << 24) -> DataFrame:
     """doc_id, n_shingles, component_id of every row.
 
@@ -240,26 +271,14 @@ def near_duplicates(docs: DataFrame, rule: Jaccard = Jaccard(), id_col: str = "d
     some = sets.where("n > 0 and doc_id is not null")
     classes = some.groupBy("d1", "d2").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("last").alias("last"))
 
-    postings = classes.select("id", "n", "last", F.explode("prefix").alias("key"))
-    by_key = Window.partitionBy("key")
-    lists = postings.withColumn("size", F.count("*").over(by_key)).where("size > 1")
-    lists = lists.withColumn("head", F.min(F.struct("id", "n", "last")).over(by_key))
-    lists = cut(lists.select("key", "id", "n", "last", "head"))
-
-    fit = rule.sizes_fit(F.col("na"), F.col("nb"))
-    stars = lists.where("id <> head.id").select(F.col("head.id").alias("a"), F.col("id").alias("b"), F.col("head.n").alias("na"), F.col("n").alias("nb"), F.col("head.last").alias("la"), F.col("last").alias("lb"))
-    stars = stars.where(fit).groupBy("a", "b", "na", "nb", "la", "lb").agg(F.count("*").alias("shared")).where(enough(rule))
-    links = cut(verified(stars, own, rule))
-    joined = components(links)
-
-    parts = lists.join(joined, lists.id == joined.node, "left").select("key", "id", "n", "last", F.coalesce("component", "id").alias("part"))
-    mixed = lists.join(joined, lists.id == joined.node, "left").groupBy("key").agg(F.min(F.coalesce("component", "id")).alias("x"), F.max(F.coalesce("component", "id")).alias("y")).where("x <> y").select("key")
-    parts = cut(parts.join(mixed, "key", "left_semi"))
-    left = parts.select("key", F.col("id").alias("a"), F.col("n").alias("na"), F.col("last").alias("la"), F.col("part").alias("pa"))
-    right = parts.select("key", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("last").alias("lb"), F.col("part").alias("pb"))
-    across = left.join(right, "key").where((F.col("a") < F.col("b")) & (F.col("pa") != F.col("pb")) & fit)
-    across = across.groupBy("a", "b", "na", "nb", "la", "lb").agg(F.count("*").alias("shared")).where(enough(rule))
-    more = cut(verified(across, own, rule))
+    lists = shared_lists(classes)
+    del classes
+    release(docs.sparkSession)
+    links = cut(verified(against_first(lists, rule), own, rule))
+    release(docs.sparkSession)
+    more = cut(verified(across_parts(lists, components(links), rule), own, rule))
+    del lists
+    release(docs.sparkSession)
 
     # documents of one set are linked to its first; a document of an id that stands at several sets links those
     # (n is one key more than the groups have, so that the joins deal them anew and can split a hot one)
