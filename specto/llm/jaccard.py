@@ -181,7 +181,9 @@ def verified(pairs: DataFrame, docs: DataFrame, rule: Jaccard, block: int = 512)
         return work
 
     sets = map_batches(join_by_key(docs, ids, ["doc_id"]).select("doc_id", "text"), make, "id long, own long, grams array<long>")
-    sets = cut(sets.dropDuplicates(["id", "own"]))
+    sets = cut(sets)
+    if sets.groupBy("id", "own").count().where("count > 1").limit(1).count():  # rows that repeat an id and text
+        sets = cut(sets.dropDuplicates(["id", "own"]))
     sizes = pairs.groupBy("a").agg(F.count("*").alias("size"))
     pairs = pairs.join(sizes, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.ceil(F.col("size") / block)).alias("block"))
     pairs = pairs.join(sets.select(F.col("id").alias("a"), "own"), "a")
@@ -220,11 +222,12 @@ def enough(rule: Jaccard) -> Column:
     return F.col("shared") + F.ceil(rest * rule.percent / 100) - 1 >= rule.needed(F.col("na"), F.col("nb"))
 
 
-def shared_lists(classes: DataFrame) -> DataFrame:
+def shared_lists(classes: DataFrame, sizes: DataFrame) -> DataFrame:
     """key, id, n, last: which sets have a key in their prefix, for keys that two sets have."""
-    postings = classes.select("id", "n", "last", F.explode("prefix").alias("key"))
+    postings = classes.select("id", F.explode("prefix").alias("key"))
     size = F.count("*").over(Window.partitionBy("key"))
-    return cut(postings.withColumn("size", size).where("size > 1").select("key", "id", "n", "last"))
+    lists = postings.withColumn("size", size).where("size > 1").select("key", "id")
+    return cut(lists.join(sizes, "id").select("key", "id", "n", "last"))
 
 
 def proposed(pairs: DataFrame, rule: Jaccard) -> DataFrame:
@@ -269,10 +272,10 @@ def near_duplicates(docs: DataFrame, rule: Jaccard = Jaccard(), id_col: str = "d
     cells = min(max_cells, max(1 << 14, 1 << (4 * max(1, rows)).bit_length() - 1))
     sets = cut(ordered_sets(own, rule, sketch(own, rule.words, cells)))
     some = sets.where("n > 0 and doc_id is not null")
-    classes = some.groupBy("d1", "d2").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("last").alias("last"))
-
-    lists = shared_lists(classes)
-    del classes
+    classes = some.groupBy("d1", "d2").agg(F.min("doc_id").alias("id"), F.first("prefix").alias("prefix"))
+    sizes = some.groupBy("d1", "d2").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("last").alias("last")).select("id", "n", "last")
+    lists = shared_lists(classes, sizes)
+    del classes, sizes
     release(docs.sparkSession)
     links = cut(verified(against_first(lists, rule), own, rule))
     release(docs.sparkSession)
