@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import audio, bpe, dedup, edits, html, jaccard, langid, license, mixing
+from . import audio, bpe, dedup, edits, html, jaccard, langid, license, mixing, substring
 from .common import table
 
 
@@ -25,6 +25,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_ngram_jaccard": documents(jaccard.op4_ngram_jaccard),
     "op5_token_counts": documents(edits.edited_counts),
     "op6_license_scan": documents(license.op6_license_scan),
+    "op7_substring_dedup": documents(substring.op7_substring_dedup),
     "op8_bpe": documents(bpe.bpe_roundtrip),
     "op9_html_text": pages(html.op9_html_text),
     "op10_source_mixing": documents(mixing.op10_source_mixing),
