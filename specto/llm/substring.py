@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, importable, map_batches, narrow, release, shared_folder
+from .common import importable, map_batches, narrow, release, shared_folder
 from .fmindex import FmIndex, matched_windows
 
 CHUNK = 4096  # bytes of the filter in a row
@@ -245,8 +245,7 @@ def drop_repeated_passages(docs: DataFrame, width: int = 50, id_col: str = "doc_
     repeated_spans(own.select("doc_id", "mark", "text"), width).write.parquet(path)
     spans = spark.read.parquet(path)
     release(spark)
-    few = spans.count() <= BROADCAST_ROWS and (spans.agg(F.sum(F.size("spans"))).first()[0] or 0) <= 10 * BROADCAST_ROWS
-    marked = own.join(F.broadcast(spans) if few else spans, ["doc_id", "mark"], "left").select("doc_id", "text", "spans")
+    marked = own.join(spans, ["doc_id", "mark"], "left").select("doc_id", "text", "spans")
 
     def make():
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
