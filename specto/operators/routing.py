@@ -19,3 +19,25 @@ def top_k(queries: DataFrame, tools: DataFrame, k: int) -> DataFrame:
     scored = pairs.select("query_id", "tool_id", F.round(dot(F.col("__q"), F.col("__t")), 6).alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "tool_id"))
     return scored.withColumn("rank", rank).where(F.col("rank") <= k)
+
+
+def route(queries: DataFrame, tools: DataFrame, min_score: float) -> DataFrame:
+    """The nearest tool of each query, or null below the threshold (which itself is enough)."""
+    best = top_k(queries, tools, 1)
+    return best.select("query_id", F.when(F.col("score") >= min_score, F.col("tool_id")).alias("tool_id"), "score")
+
+
+def keyword_route(queries: DataFrame, tools: DataFrame) -> DataFrame:
+    """For each query (id, words) the tool (id, name, description) whose name or description holds most of its words; the smaller id on ties."""
+    q = queries.select(F.col("id").alias("query_id"), "words")
+    hit = F.size(F.filter("words", lambda w: F.contains(F.col("name"), w) | F.contains(F.col("description"), w)))
+    scored = tools.select(F.col("id").alias("tool_id"), "name", "description").join(F.broadcast(q)).select("query_id", "tool_id", hit.alias("score"))
+    best = scored.groupBy("query_id").agg(F.max(F.struct("score", (-F.col("tool_id")).alias("m"))).alias("b"))
+    return best.select("query_id", (-F.col("b.m")).alias("tool_id"), F.col("b.score").alias("score"))
+
+
+def route_with_fallback(queries: DataFrame, tools: DataFrame, min_score: float) -> DataFrame:
+    """By vectors (queries: id, vector, words; tools: id, vector, name, description), and by keywords where those stay below the threshold."""
+    near = route(queries, tools, min_score)
+    word = keyword_route(queries, tools).select("query_id", F.col("tool_id").alias("by_words"))
+    return near.join(word, "query_id", "left").select("query_id", F.coalesce("tool_id", "by_words").alias("tool_id"), F.col("tool_id").isNull().alias("fallback"))
