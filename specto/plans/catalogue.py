@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from specto.operators import routing
+from specto.functions import costs, text
+from specto.operators import code, graphs, routing, schemas, stats
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -40,5 +42,311 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """,
 )
 def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vectors = table(spark, sf_dir, "embeddings").select(routing.F.col("vec_id").alias("id"), routing.F.col("embedding").alias("vector"))
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
     return routing.top_k(vectors.where("id < 5"), vectors, 3)
+
+
+@query(
+    "session_stats",
+    """
+    SELECT event_type, n AS requests, saved, raw, CASE WHEN raw <> 0 THEN round(saved * 100.0 / raw, 1) ELSE 0 END AS pct, (saved * 300)::DOUBLE / 1e8 AS usd FROM (
+      SELECT event_type, count(*) AS n, sum(greatest(0, v - 100))::BIGINT AS saved, sum(v)::BIGINT AS raw FROM (SELECT event_type, floor(value)::BIGINT AS v FROM events) GROUP BY 1)
+    """,
+)
+def session_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log = table(spark, sf_dir, "events").select("event_type", F.floor("value").alias("v"))
+    return stats.session_stats(log, "event_type", F.col("v"), F.lit(100))
+
+
+@query(
+    "session_totals",
+    """
+    SELECT event_type, n AS requests, saved, raw, CASE WHEN raw <> 0 THEN round(saved * 100.0 / raw, 1) ELSE 0 END AS pct, (saved * 300)::DOUBLE / 1e8 AS usd FROM (
+      SELECT event_type, count(*) AS n, sum(greatest(0, v - 100))::BIGINT AS saved, sum(v)::BIGINT AS raw FROM (SELECT event_type, floor(value)::BIGINT AS v FROM events) GROUP BY ROLLUP (event_type))
+    """,
+)
+def session_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log = table(spark, sf_dir, "events").select("event_type", F.floor("value").alias("v"))
+    return stats.session_totals(log, "event_type", F.col("v"), F.lit(100))
+
+
+SENTENCE = """rtrim(substring(coalesce(nullif(regexp_extract(body, '^((?s:.*?)[.!?])[ \\t\\r\\n]', 1), ''), body), 1, {n}), ' ' || chr(9) || chr(10) || chr(13))"""
+BODY = """(SELECT *, regexp_replace(regexp_replace(coalesce(text, ''), '^[ \\t\\r\\n]+|[ \\t\\r\\n]+$', '', 'g'), '(?i)^([ \\t\\r\\n]*(optional|required|output only|deprecated|read-only)\\b[.:]?[ \\t\\r\\n]*)+', '') AS body FROM documents)"""
+
+
+@query("first_sentence", f"SELECT doc_id, {SENTENCE.format(n=70)} AS s70, {SENTENCE.format(n=80)} AS s80, {SENTENCE.format(n=140)} AS s140 FROM {BODY}")
+def first_sentence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", *[text.first_sentence(F.col("text"), n).alias(f"s{n}") for n in (70, 80, 140)])
+
+
+@query("reduction_pct", f"SELECT doc_id, n_chars AS before, after, CASE WHEN n_chars <> 0 THEN (n_chars - after)::DOUBLE / n_chars ELSE 0 END AS share FROM (SELECT doc_id, n_chars, length({SENTENCE.format(n=140)})::BIGINT AS after FROM {BODY})")
+def reduction_pct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    after = F.length(text.first_sentence(F.col("text"), 140)).cast("long")
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("n_chars").alias("before"), after.alias("after"))
+    return docs.withColumn("share", F.when(F.col("before") != 0, (F.col("before") - F.col("after")).cast("double") / F.col("before")).otherwise(F.lit(0.0)))
+
+
+@query("request_cost", f"SELECT doc_id, (n_chars * 100 + 250000)::DOUBLE / 1e8 AS cost_before, (after * 100 + 250000)::DOUBLE / 1e8 AS cost_after, ((n_chars - after) * 100)::DOUBLE / 1e8 AS savings FROM (SELECT doc_id, n_chars, length({SENTENCE.format(n=140)})::BIGINT AS after FROM {BODY})")
+def request_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "n_chars", F.length(text.first_sentence(F.col("text"), 140)).cast("long").alias("after"))
+    found = costs.request_cost(F.col("n_chars"), F.col("after"))
+    return docs.select("doc_id", *[found[k].alias(k) for k in ("cost_before", "cost_after", "savings")])
+
+
+@query(
+    "cache_estimate",
+    """
+    SELECT o_orderkey, (t * 300 * n)::DOUBLE / 1e8 AS cost_plain, (t * 375 + t * 30 * greatest(0, n - 1))::DOUBLE / 1e8 AS cost_cached,
+      greatest(0, t * 300 * n - (t * 375 + t * 30 * greatest(0, n - 1)))::DOUBLE / 1e8 AS saving FROM (SELECT o_orderkey, o_custkey AS t, o_orderkey % 50 AS n FROM orders)
+    """,
+)
+def cache_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = costs.cache_estimate(F.col("o_custkey"), F.col("o_orderkey") % 50)
+    return table(spark, sf_dir, "orders").select("o_orderkey", *[found[k].alias(k) for k in ("cost_plain", "cost_cached", "saving")])
+
+
+@query("url_segments", "SELECT page_id, split_part(url, '/', -1) AS last, split_part(split_part(url, '/', 3), '.', 1) AS root FROM pages")
+def url_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    host = F.element_at(F.split("url", "/"), 3)
+    return table(spark, sf_dir, "pages").select("page_id", text.last_segment(F.col("url")).alias("last"), text.root_segment(host).alias("root"))
+
+
+@query("catalog_union", "SELECT 'benchmark' AS server, 'b' || item_id AS name, coalesce(text, '') AS description FROM benchmark UNION ALL SELECT source, 'd' || doc_id, coalesce(text, '') FROM documents")
+def catalog_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = table(spark, sf_dir, "benchmark").select(F.lit("benchmark").alias("server"), F.concat(F.lit("b"), F.col("item_id")).alias("name"), F.coalesce("text", F.lit("")).alias("description"))
+    b = table(spark, sf_dir, "documents").select(F.col("source").alias("server"), F.concat(F.lit("d"), F.col("doc_id")).alias("name"), F.coalesce("text", F.lit("")).alias("description"))
+    return a.unionByName(b)
+
+
+@query("first_def_wins", "SELECT source, min(doc_id) AS doc_id, min_by(n_chars, doc_id) AS n_chars FROM documents GROUP BY 1")
+def first_def_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.first_wins(table(spark, sf_dir, "documents"), "source", "doc_id", "n_chars")
+
+
+@query("first_occurrence", "SELECT conv_id, role, min(turn) AS turn FROM conversations GROUP BY 1, 2")
+def first_occurrence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.first_row(table(spark, sf_dir, "conversations").select("conv_id", "role", "turn"), ["conv_id", "role"], "turn")
+
+
+@query("mark_last", "SELECT conv_id, turn, CASE WHEN row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) = 1 THEN 'ephemeral' END AS cache_control FROM conversations")
+def mark_last(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.mark_last(table(spark, sf_dir, "conversations").select("conv_id", "turn"), ["conv_id"], "turn")
+
+
+@query(
+    "topk_prefix_cost",
+    """
+    SELECT source, k, total, round(total / sum_all, 6) AS share FROM (
+      SELECT source, row_number() OVER w::INTEGER AS k, (sum(n_chars) OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id ROWS UNBOUNDED PRECEDING))::BIGINT AS total, sum(n_chars) OVER (PARTITION BY source) AS sum_all
+      FROM documents WINDOW w AS (PARTITION BY source ORDER BY n_chars DESC, doc_id)) WHERE k IN (1, 3, 5)
+    """,
+)
+def topk_prefix_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.prefix_costs(table(spark, sf_dir, "documents"), "source", "n_chars", "doc_id")
+
+
+@query("index_lookup", "SELECT d.doc_id, coalesce(l.quality, -1) AS quality FROM documents d LEFT JOIN labels l USING (doc_id)")
+def index_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id").join(table(spark, sf_dir, "labels"), "doc_id", "left").select("doc_id", F.coalesce("quality", F.lit(-1)).alias("quality"))
+
+
+@query("internal_calls", "SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0)")
+def internal_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    known = table(spark, sf_dir, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("o_custkey"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey").join(known, "o_custkey", "left_semi").select("o_orderkey", "o_custkey")
+
+
+@query("lost_atoms", "SELECT doc_id, source FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)")
+def lost_atoms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", "source").join(table(spark, sf_dir, "labels"), "doc_id", "left_anti")
+
+
+@query("unresolved_refs", "SELECT DISTINCT l_partkey AS ref FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_size > 10)")
+def unresolved_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    known = table(spark, sf_dir, "part").where("p_size > 10").select(F.col("p_partkey").alias("ref"))
+    return table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("ref")).distinct().join(known, "ref", "left_anti")
+
+
+PRIORITY = ("purchase", "signup", "click", "view", "error")
+
+
+@query("dep_classify", "SELECT user_id, min_by(event_type, CASE event_type " + " ".join(f"WHEN '{k}' THEN {i}" for i, k in enumerate(PRIORITY)) + " ELSE 9 END) AS kind FROM events WHERE event_type IN ('purchase', 'signup', 'click', 'view', 'error') GROUP BY 1")
+def dep_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rank = F.array_position(F.array(*map(F.lit, PRIORITY)), F.col("event_type"))
+    return table(spark, sf_dir, "events").where(F.col("event_type").isin(*PRIORITY)).groupBy("user_id").agg(F.min_by("event_type", rank).alias("kind"))
+
+
+@query("contract_verdict", "SELECT lang, bool_and(coalesce(quality, 1) = 1) AS ok, count(*) AS n FROM documents LEFT JOIN labels USING (doc_id) GROUP BY 1")
+def contract_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "documents").select("doc_id", "lang").join(table(spark, sf_dir, "labels"), "doc_id", "left")
+    return rows.groupBy("lang").agg(F.bool_and(F.coalesce("quality", F.lit(1)) == 1).alias("ok"), F.count("*").alias("n"))
+
+
+@query(
+    "route_threshold",
+    """
+    WITH s AS (SELECT q.vec_id AS query_id, t.vec_id AS tool_id, round(list_inner_product(q.embedding::DOUBLE[], t.embedding::DOUBLE[]), 6) AS score
+      FROM embeddings q, embeddings t WHERE q.vec_id % 20 = 0 AND q.vec_id < 400 AND t.vec_id % 20 <> 0)
+    SELECT query_id, CASE WHEN score >= 0.3 THEN tool_id END AS tool_id, score FROM (
+      SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, tool_id) AS r FROM s) WHERE r = 1
+    """,
+)
+def route_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    return routing.route(vectors.where("id % 20 = 0 and id < 400"), vectors.where("id % 20 <> 0"), 0.3)
+
+
+@query(
+    "keyword_route",
+    """
+    WITH q AS (SELECT conv_id AS query_id, list_distinct(list_filter(regexp_split_to_array(lower(text), '[ \\t\\r\\n]+'), lambda w: w <> '')) AS words FROM conversations WHERE turn = 0 AND role = 'user' AND conv_id < 20),
+    s AS (SELECT query_id, item_id AS tool_id, len(list_filter(words, lambda w: contains('item ' || item_id, w) OR contains(lower(b.text), w)))::INTEGER AS score FROM q, benchmark b)
+    SELECT query_id, tool_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, tool_id) AS r FROM s) WHERE r = 1
+    """,
+)
+def keyword_route(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q = table(spark, sf_dir, "conversations").where("turn = 0 and role = 'user' and conv_id < 20").select(F.col("conv_id").alias("id"), text.distinct_words(F.col("text")).alias("words"))
+    name = text.plain_name(F.concat(F.lit("Item_"), F.col("item_id")))
+    return routing.keyword_route(q, table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), name.alias("name"), F.lower("text").alias("description")))
+
+
+@query("risk_surface", "SELECT user_id, CASE WHEN bool_or(event_type = 'error') THEN 'high' WHEN bool_or(event_type = 'purchase') THEN 'medium' ELSE 'clean' END AS level, count_if(event_type IN ('error', 'purchase'))::BIGINT AS calls FROM events GROUP BY 1")
+def risk_surface(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind = F.col("event_type")
+    level = F.when(F.bool_or(kind == "error"), "high").when(F.bool_or(kind == "purchase"), "medium").otherwise("clean")
+    return table(spark, sf_dir, "events").groupBy("user_id").agg(level.alias("level"), F.count_if(kind.isin("error", "purchase")).alias("calls"))
+
+
+@query("risk_histogram", "SELECT split_part(event_type, '.', 1) AS module, count(*) AS n FROM events GROUP BY 1")
+def risk_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").groupBy(text.root_segment(F.col("event_type")).alias("module")).agg(F.count("*").alias("n"))
+
+
+@query("repo_totals", "SELECT lang, count(*) AS files, count(DISTINCT source) AS sources, sum(n_chars)::BIGINT AS raw FROM documents GROUP BY ROLLUP (lang)")
+def repo_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").rollup("lang").agg(F.count("*").alias("files"), F.count_distinct("source").alias("sources"), F.sum("n_chars").alias("raw"))
+
+
+@query(
+    "blast_radius",
+    """
+    WITH RECURSIVE e AS (SELECT p_partkey AS src, floor(p_partkey / (p_size % 3 + 2))::BIGINT AS dst FROM part WHERE p_partkey <> floor(p_partkey / (p_size % 3 + 2))),
+    r AS (SELECT 1::BIGINT AS node UNION SELECT e.src FROM e JOIN r ON e.dst = r.node),
+    h AS (SELECT node FROM r WHERE node <> 1)
+    SELECT node, node IN (SELECT src FROM e WHERE dst = 1) AS direct, (SELECT count(*) FROM h) AS impacted,
+      CASE WHEN (SELECT count(*) FROM h) > 5 THEN 'HIGH' WHEN (SELECT count(*) FROM h) > 2 THEN 'MEDIUM' ELSE 'LOW' END AS level FROM h
+    """,
+)
+def blast_radius(spark: SparkSession, sf_dir: str) -> DataFrame:
+    callee = F.floor(F.col("p_partkey") / (F.col("p_size") % 3 + 2)).cast("long")
+    edges = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("src"), callee.alias("dst"))
+    return graphs.blast_radius(edges, 1)
+
+
+@query(
+    "ref_cycles",
+    """
+    WITH RECURSIVE e AS (SELECT DISTINCT n_nationkey AS src, n_regionkey AS dst FROM nation),
+    r AS (SELECT src, dst FROM e UNION SELECT r.src, e.dst FROM r JOIN e ON r.dst = e.src) SELECT DISTINCT src AS node FROM r WHERE src = dst
+    """,
+)
+def ref_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graphs.on_cycles(table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("src"), F.col("n_regionkey").alias("dst")))
+
+
+@query(
+    "semantic_diff",
+    """
+    WITH a AS (SELECT p_partkey, p_name AS s, p_retailprice AS b FROM part WHERE p_size <= 40),
+    n AS (SELECT p_partkey, CASE WHEN p_partkey % 7 = 0 THEN p_name || '!' ELSE p_name END AS s, CASE WHEN p_partkey % 5 = 0 THEN p_retailprice + 1 ELSE p_retailprice END AS b FROM part WHERE p_size >= 5)
+    SELECT coalesce(a.p_partkey, n.p_partkey) AS p_partkey, CASE WHEN a.s IS NULL THEN 'added' WHEN n.s IS NULL THEN 'removed' WHEN a.s <> n.s THEN 'breaking' WHEN a.b <> n.b THEN 'body_only' ELSE 'unchanged' END AS change
+    FROM a FULL OUTER JOIN n USING (p_partkey)
+    """,
+)
+def semantic_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = table(spark, sf_dir, "part").select("p_partkey", "p_size", F.col("p_name").alias("s"), F.col("p_retailprice").alias("b"))
+    new = part.where("p_size >= 5").withColumn("s", F.when(F.col("p_partkey") % 7 == 0, F.concat("s", F.lit("!"))).otherwise(F.col("s"))).withColumn("b", F.when(F.col("p_partkey") % 5 == 0, F.col("b") + 1).otherwise(F.col("b")))
+    return stats.interface_diff(part.where("p_size <= 40"), new, "p_partkey", "s", "b")
+
+
+@query("json_atoms", "SELECT event_id, k.key AS key, (props::JSON ->> k.key) AS value FROM events, unnest(json_keys(props::JSON)) AS k(key)")
+def json_atoms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").select("event_id", F.explode(F.from_json("props", "map<string,string>")).alias("key", "value"))
+
+
+def part_tools(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tool for each part, with a schema made of its columns."""
+    prop = lambda **kv: F.struct(*[v.alias(k) if isinstance(v, Column) else F.lit(v).alias(k) for k, v in kv.items()])
+    props = F.struct(
+        prop(type="integer", minimum=F.col("p_size") % 5, maximum=F.col("p_size"), description=F.concat(F.lit("Required. Size of the part. At most "), F.col("p_size"))).alias("size"),
+        prop(type="string", enum=F.array("p_brand", "p_type")).alias("kind"),
+        prop(type="string", minLength=F.when(F.col("p_partkey") % 10 == 0, 1), pattern=F.lit("^[A-Z]")).alias("code"),
+        prop(type="array", items=F.struct(F.lit("#/$defs/Price").alias("$ref"))).alias("prices"),
+    )
+    defs = F.struct(prop(type="object", properties=F.struct(prop(type="number", maximum=F.col("p_retailprice")).alias("amount"))).alias("Price"))
+    schema = F.to_json(F.struct(F.lit("object").alias("type"), props.alias("properties"), F.array(F.lit("size")).alias("required"), defs.alias("$defs")))
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("ord"), F.concat(F.lit("part_"), F.col("p_partkey")).alias("name"), F.concat(F.lit("Orders "), F.col("p_name"), F.lit(". By part.")).alias("description"), schema.alias("input_schema"))
+
+
+@query(
+    "schema_verdicts",
+    "SELECT 'part_' || p_partkey AS name, CASE WHEN p_partkey % 10 = 0 THEN 'unhandled:minLength' ELSE '' END AS lost, p_partkey % 10 <> 0 AS ok FROM part",
+)
+def schema_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return schemas.verdicts(part_tools(spark, sf_dir)).select("name", F.array_join("lost", ",").alias("lost"), "ok")
+
+
+@query("schema_index", "SELECT 'part_' || p_partkey AS name, rtrim(substring(CASE WHEN regexp_matches(p_name, '[.!?] ') THEN 'Orders ' || regexp_extract(p_name, '^(.*?[.!?]) ', 1) ELSE 'Orders ' || p_name || '.' END, 1, 70)) AS short FROM part")
+def schema_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return schemas.index(part_tools(spark, sf_dir))
+
+
+@query("schema_nodes", "SELECT role, type, count(*) AS n FROM (SELECT unnest(['root', 'properties', 'properties', 'properties', 'properties', 'items', '$defs', 'properties']) AS role, unnest(['object', 'integer', 'string', 'string', 'array', NULL, 'object', 'number']) AS type FROM part) GROUP BY 1, 2")
+def schema_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return schemas.schema_nodes(part_tools(spark, sf_dir)).groupBy("role", "type").agg(F.count("*").alias("n"))
+
+
+@query("schema_compress")
+def schema_compress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return schemas.compressed_tools(part_tools(spark, sf_dir))
+
+
+def conversation_code(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A Python module for each conversation: a function for each turn, which calls that of the turn before."""
+    turns = table(spark, sf_dir, "conversations")
+    body = F.when(F.col("turn") % 7 == 3, "    os.system(x)").when(F.col("turn") % 7 == 5, "    open(x, 'w')").otherwise(F.concat(F.lit("    return x + "), F.col("turn")))
+    call = F.when(F.col("turn") > 0, F.concat(F.lit("    f"), F.col("turn") - 1, F.lit("(x)\n"))).otherwise(F.lit(""))
+    line = F.concat(F.lit("def f"), F.col("turn"), F.lit("(x):\n"), call, body)
+    lines = F.array_sort(F.collect_list(F.struct("turn", line.alias("line"))))
+    code = F.concat(F.lit("import os\n"), F.array_join(F.transform(lines, lambda s: s["line"]), "\n"))
+    return turns.groupBy("conv_id").agg(code.alias("text")).select(F.concat(F.lit("c"), F.col("conv_id"), F.lit(".py")).alias("file"), "text")
+
+
+@query("code_calls", "SELECT 'c' || conv_id || '.py' AS file, 'f' || turn AS caller, 'f' || (turn - 1) AS callee FROM conversations a WHERE turn > 0 AND EXISTS (SELECT 1 FROM conversations b WHERE b.conv_id = a.conv_id AND b.turn = a.turn - 1)")
+def code_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return code.call_edges(code.modules(conversation_code(spark, sf_dir)))
+
+
+@query("code_risks", "SELECT 'c' || conv_id || '.py' AS file, 'f' || turn AS name, CASE turn % 7 WHEN 3 THEN 'high' WHEN 5 THEN 'medium' ELSE 'clean' END AS level, CASE turn % 7 WHEN 3 THEN 'os.system' WHEN 5 THEN 'open' ELSE '' END AS calls FROM conversations")
+def code_risks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return code.security_surface(code.modules(conversation_code(spark, sf_dir))).select("file", "name", "level", F.array_join("calls", ",").alias("calls"))
+
+
+@query("code_roles", "SELECT 'c' || conv_id || '.py' AS file, 'f' || turn AS name, CASE WHEN turn % 7 = 3 THEN 'TOOL' ELSE 'PURE' END AS role FROM conversations")
+def code_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return code.dependencies(code.modules(conversation_code(spark, sf_dir))).select("file", "name", "role")
+
+
+@query("code_totals", "SELECT count(DISTINCT conv_id) AS files, count(*) AS functions, 0::BIGINT AS classes, 0::BIGINT AS errors, 1::BIGINT AS imports FROM conversations")
+def code_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return code.repo_totals(code.modules(conversation_code(spark, sf_dir)))
+
+
+@query("code_contract")
+def code_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return code.flat_contract(code.modules(conversation_code(spark, sf_dir)))
+
+
+@query("code_compress")
+def code_compress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return code.compressed(conversation_code(spark, sf_dir))
