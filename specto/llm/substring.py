@@ -132,7 +132,10 @@ def shared_anchors(docs: DataFrame, width: int, k: int, max_bits: int) -> Bloom:
 
 
 def stretches(docs: DataFrame, bloom: Bloom, width: int, k: int) -> DataFrame:
-    """key, content, doc_id, mark, start, windows, words: for each anchor that passes the filter, the words of the windows it is the smallest of."""
+    """key, content, doc_id, mark, start, windows, words: for each anchor that passes the filter, the words of the windows it is the smallest of.
+
+    Where a batch holds equal stretches, the words are given with the first only.
+    """
     shared = docs.sparkSession.sparkContext.broadcast((bloom.bits, bloom.data))
 
     def make():
@@ -140,6 +143,7 @@ def stretches(docs: DataFrame, bloom: Bloom, width: int, k: int) -> DataFrame:
 
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
             ids, marks, keys, starts, counts, texts, contents = [], [], [], [], [], [], []
+            given: set[tuple[int, int]] = set()
             for doc, mark, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 words = words_of(text)
                 if len(words) < width:
@@ -148,11 +152,14 @@ def stretches(docs: DataFrame, bloom: Bloom, width: int, k: int) -> DataFrame:
                 at = np.flatnonzero(own.has(key))
                 for i, s, n in zip(at.tolist(), start[at].tolist(), count[at].tolist(), strict=True):
                     body = b" ".join(words[s : s + n + width - 1])
-                    keys.append(key[i])
+                    content = xxhash.xxh3_64_intdigest(body) - (1 << 63)
+                    known = (int(key[i]), content)
+                    keys.append(known[0])
                     starts.append(s)
                     counts.append(n)
-                    texts.append(body)
-                    contents.append(xxhash.xxh3_64_intdigest(body) - (1 << 63))
+                    texts.append(None if known in given else body)
+                    contents.append(content)
+                    given.add(known)
                 ids += [doc] * len(at)
                 marks += [mark] * len(at)
             return pa.RecordBatch.from_pydict({"key": pa.array(keys, pa.int64()), "content": pa.array(contents, pa.int64()), "doc_id": pa.array(ids, pa.int64()), "mark": pa.array(marks, pa.int64()), "start": pa.array(starts, pa.int32()), "windows": pa.array(counts, pa.int32()), "words": pa.array(texts, pa.binary())})
@@ -218,8 +225,10 @@ def repeated_spans(docs: DataFrame, width: int = 50, k: int = 25, block: int = 2
 
     different = found.groupBy("key", "content").agg(F.min("doc_id").alias("doc"), F.first("windows").alias("windows"))
     many = different.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
-    bodies = found.join(many, "key").groupBy("key", "content").agg(F.min("doc_id").alias("doc"), F.first("words").alias("words"), F.first("size").alias("size"))
-    shards = max(1, different.join(many, "key").agg(F.sum(F.col("windows") + width - 1)).first()[0] or 0) // SHARD_WORDS + 1
+    several = different.join(many, "key").select("key", "content", "doc", "windows", "size")
+    shards = (several.agg(F.sum(F.col("windows") + width - 1)).first()[0] or 0) // SHARD_WORDS + 1
+    bodies = found.where("words is not null").select("key", "content", "words").join(several, ["key", "content"])
+    bodies = bodies.groupBy("key", "content").agg(F.first("words").alias("words"), F.first("doc").alias("doc"), F.first("size").alias("size"))
     blocks = F.ceil(F.col("size") / block).cast("int")
     dealt = bodies.withColumn("own", F.pmod(F.xxhash64("content"), blocks)).withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1)))
     dealt = dealt.select(F.pmod(F.xxhash64("key", "block"), F.lit(shards)).cast("int").alias("shard"), (F.col("block") != F.col("own")).cast("int").alias("role"), "key", "content", "doc", "words")
