@@ -169,6 +169,7 @@ def verified(pairs: DataFrame, docs: DataFrame, rule: Jaccard, block: int = 512)
     Where an id stands at several texts, each of them counts.
     """
     pairs = cut(pairs.select("a", "b"))
+    release(docs.sparkSession)
     ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
 
     def make():
@@ -249,6 +250,8 @@ def across_parts(lists: DataFrame, joined: DataFrame, rule: Jaccard) -> DataFram
     parts = lists.join(joined, lists.id == joined.node, "left").select("key", "id", "n", "last", part)
     mixed = parts.groupBy("key").agg(F.min("part").alias("x"), F.max("part").alias("y")).where("x <> y").select("key")
     parts = cut(parts.join(mixed, "key", "left_semi"))
+    del mixed
+    release(lists.sparkSession)
     left = parts.select("key", F.col("id").alias("a"), F.col("n").alias("na"), F.col("last").alias("la"), F.col("part").alias("pa"))
     right = parts.select("key", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("last").alias("lb"), F.col("part").alias("pb"))
     return proposed(left.join(right, "key").where((F.col("a") < F.col("b")) & (F.col("pa") != F.col("pb")) & rule.sizes_fit(F.col("na"), F.col("nb"))), rule)
