@@ -224,11 +224,11 @@ def enough(rule: Jaccard) -> Column:
 
 
 def shared_lists(classes: DataFrame, sizes: DataFrame) -> DataFrame:
-    """key, id, n, last: which sets have a key in their prefix, for keys that two sets have."""
+    """key, id, n, last, size: which sets have a key in their prefix, and how many, for keys that two sets have."""
     postings = classes.select("id", F.explode("prefix").alias("key"))
     size = F.count("*").over(Window.partitionBy("key"))
-    lists = postings.withColumn("size", size).where("size > 1").select("key", "id")
-    return cut(lists.join(sizes, "id").select("key", "id", "n", "last"))
+    lists = postings.withColumn("size", size).where("size > 1")
+    return cut(lists.join(sizes, "id").select("key", "id", "n", "last", "size"))
 
 
 def proposed(pairs: DataFrame, rule: Jaccard) -> DataFrame:
@@ -237,11 +237,12 @@ def proposed(pairs: DataFrame, rule: Jaccard) -> DataFrame:
     return pairs.groupBy("a", "b", "na", "nb", "la", "lb").agg(F.count("*").alias("shared")).where(enough(rule))
 
 
-def against_first(lists: DataFrame, rule: Jaccard) -> DataFrame:
-    """Each set of a list with the first one."""
-    head = F.min(F.struct("id", "n", "last")).over(Window.partitionBy("key"))
-    stars = lists.withColumn("head", head).where("id <> head.id")
-    return proposed(stars.select(F.col("head.id").alias("a"), F.col("id").alias("b"), F.col("head.n").alias("na"), F.col("n").alias("nb"), F.col("head.last").alias("la"), F.col("last").alias("lb")), rule)
+def against_hub(lists: DataFrame, rule: Jaccard) -> DataFrame:
+    """Each set of a list with the one of the list that meets most others over all lists, as the origin of near copies does."""
+    met = lists.groupBy("id").agg(F.sum("size").alias("met"))
+    hub = F.max(F.struct("met", (-F.col("id")).alias("first"), "id", "n", "last")).over(Window.partitionBy("key"))
+    stars = lists.join(met, "id").withColumn("hub", hub).where("id <> hub.id")
+    return proposed(stars.select(F.col("hub.id").alias("a"), F.col("id").alias("b"), F.col("hub.n").alias("na"), F.col("n").alias("nb"), F.col("hub.last").alias("la"), F.col("last").alias("lb")), rule)
 
 
 def across_parts(lists: DataFrame, joined: DataFrame, rule: Jaccard) -> DataFrame:
@@ -261,7 +262,7 @@ def near_duplicates(docs: DataFrame, rule: Jaccard = Jaccard(), id_col: str = "d
     """doc_id, n_shingles, component_id of every row.
 
     Copies of a set become one set. Links are proposed in two turns, so that a group of near copies makes no pairs
-    among all its members: first each set of a list of sets that share an n-gram is held against the first of the list,
+    among all its members: first each set of a list of sets that share an n-gram is held against the best-connected one,
     and what is verified is joined to components; then pairs are proposed from lists only between components. In both,
     the shared n-grams of a pair are counted and must leave the needed overlap in reach. No list, set or link is cut
     short, and no link that would join two components is left out.
@@ -280,7 +281,7 @@ def near_duplicates(docs: DataFrame, rule: Jaccard = Jaccard(), id_col: str = "d
     lists = shared_lists(classes, sizes)
     del classes, sizes
     release(docs.sparkSession)
-    links = cut(verified(against_first(lists, rule), own, rule))
+    links = cut(verified(against_hub(lists, rule), own, rule))
     release(docs.sparkSession)
     more = cut(verified(across_parts(lists, components(links), rule), own, rule))
     del lists
