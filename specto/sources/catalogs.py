@@ -36,6 +36,7 @@ def read_sources(spark: SparkSession, root: str, max_depth: int = 3, strict: boo
     rel = F.regexp_extract("path", rf"/\Q{base}\E/(.*)$", 1)
     parts = F.split(rel, "/")
     kept = found.withColumn("file", rel).where((F.size(parts) <= max_depth) & ~F.arrays_overlap(parts, F.array(*map(F.lit, SKIPPED))))
-    text = F.decode("content", F.lit("UTF-8"))
-    broken = F.lit(strict) & (F.encode(text, "UTF-8") != F.col("content"))
+    raw = F.col("content").cast("string")
+    text = F.make_valid_utf8(raw)
+    broken = F.lit(strict) & ~F.is_valid_utf8(raw)
     return kept.select("file", F.when(~broken, text).alias("text"), F.when(broken, "not UTF-8").alias("error"))
