@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import map_batches, narrow
+from .common import cut, map_batches, narrow
 
 SYMBOLS = 64
 CODES = SYMBOLS + SYMBOLS**2 + SYMBOLS**3
@@ -64,10 +64,14 @@ def sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, rows: int
     """At most `rows` different labelled texts, as many of each language, those with the smallest hash; as n-gram codes."""
     own = docs.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), F.xxhash64(text_col).alias("h"))
     train = own.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & (F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 != 2))
-    keys = train.select("lang", "h").distinct()
+    # counts by ranges of hashes tell which ranges hold the smallest ones of a language, and only those are ranked
+    keys = cut(train.select("lang", "h").distinct()).withColumn("range", F.shiftright("h", 52))
+    counts = cut(keys.groupBy("lang", "range").count())
+    each = max(8, rows // max(1, counts.select("lang").distinct().count()))
+    before = F.sum("count").over(Window.partitionBy("lang").orderBy("range")) - F.col("count")
+    low = keys.join(F.broadcast(counts.withColumn("before", before).where(F.col("before") < each).select("lang", "range")), ["lang", "range"])
     order = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
-    langs = keys.groupBy("lang").count().count()
-    chosen = keys.withColumn("n", order).where(F.col("n") <= max(8, rows // max(1, langs))).select("lang", "h")
+    chosen = low.withColumn("n", order).where(F.col("n") <= each).select("lang", "h")
     texts = train.join(F.broadcast(chosen), ["lang", "h"]).groupBy("lang", "h").agg(F.min("text").alias("text"))
 
     def make():
