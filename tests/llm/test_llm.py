@@ -190,6 +190,13 @@ def test_langid(spark, empty):
     assert langid.identify(empty, langid.train(empty)).count() == 0
     assert {r.lang_pred for r in langid.identify(df, None).collect()} == {"und"}
     assert langid.keep_identified(df, langid.train(df)).count() == 198
+    few = langid.sample(df.unionByName(df), "doc_id", "text", "lang", 16)  # repeated rows are drawn once
+    ranked = sorted((r.h, r.lang, r.text) for r in df.selectExpr("lang", "text", "xxhash64(text) AS h", "crc32(CAST(CAST(doc_id AS STRING) AS BINARY)) % 4 AS fold").where("text IS NOT NULL AND fold <> 2").collect())
+    grams, want = langid.Grams(), []
+    for lang in ("aa", "bb"):
+        lowest = [text for _, own, text in ranked if own == lang][:8]
+        want += [(lang, np.flatnonzero(seen).tolist()) for text in lowest if (seen := grams.presence(text)) is not None]
+    assert [(lang, codes.tolist()) for lang, codes in few] == want
 
 
 def test_string_kernel():
