@@ -12,10 +12,31 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(terms, F.lit(0.0), lambda total, x: total + x)
 
 
-def top_k(queries: DataFrame, tools: DataFrame, k: int) -> DataFrame:
-    """The k tools nearest to each query (id, vector); ties go to the smaller id. Queries are a stated few, so they are broadcast."""
+def facing(tools: DataFrame, queries: DataFrame, few: int = 2_000, slices: int = 64) -> DataFrame:
+    """Every tool beside every query of a stated set.
+
+    Up to `few` queries are broadcast, by their count. More are cut into blocks of about `few`, and each block meets each
+    of the slices of the tools in a cell of its own, so that no task holds more than one block and one slice's stream.
+    """
+    n = queries.count()
+    if n <= few:
+        return tools.join(F.broadcast(queries))
+    blocks = -(-n // few)
+    across = lambda width: F.explode(F.sequence(F.lit(0), F.lit(width - 1)))
+    dealt = lambda width, key: F.pmod(F.xxhash64(key), F.lit(width)).cast("int")
+    q = queries.withColumn("__block", dealt(blocks, "query_id")).withColumn("__slice", across(slices))
+    t = tools.withColumn("__slice", dealt(slices, "tool_id")).withColumn("__block", across(blocks))
+    return t.join(q, ["__block", "__slice"]).drop("__block", "__slice")
+
+
+def top_k(queries: DataFrame, tools: DataFrame, k: int, itself: bool = True) -> DataFrame:
+    """The k tools nearest to each query (id, vector), without the one of its own id if not `itself`; ties go to the smaller id.
+
+    Each task ranks its own before they are shuffled.
+    """
     q = queries.select(F.col("id").alias("query_id"), F.col("vector").alias("__q"))
-    pairs = tools.select(F.col("id").alias("tool_id"), F.col("vector").alias("__t")).join(F.broadcast(q))
+    pairs = facing(tools.select(F.col("id").alias("tool_id"), F.col("vector").alias("__t")), q)
+    pairs = pairs if itself else pairs.where("query_id <> tool_id")
     scored = pairs.select("query_id", "tool_id", F.round(dot(F.col("__q"), F.col("__t")), 6).alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "tool_id"))
     return scored.withColumn("rank", rank).where(F.col("rank") <= k)
@@ -23,7 +44,10 @@ def top_k(queries: DataFrame, tools: DataFrame, k: int) -> DataFrame:
 
 def route(queries: DataFrame, tools: DataFrame, min_score: float) -> DataFrame:
     """The nearest tool of each query, or null below the threshold (which itself is enough)."""
-    best = top_k(queries, tools, 1)
+    return above(top_k(queries, tools, 1), min_score)
+
+
+def above(best: DataFrame, min_score: float) -> DataFrame:
     return best.select("query_id", F.when(F.col("score") >= min_score, F.col("tool_id")).alias("tool_id"), "score")
 
 
@@ -31,7 +55,7 @@ def keyword_route(queries: DataFrame, tools: DataFrame) -> DataFrame:
     """For each query (id, words) the tool (id, name, description) whose name or description holds most of its words; the smaller id on ties."""
     q = queries.select(F.col("id").alias("query_id"), "words")
     hit = F.size(F.filter("words", lambda w: F.contains(F.col("name"), w) | F.contains(F.col("description"), w)))
-    scored = tools.select(F.col("id").alias("tool_id"), "name", "description").join(F.broadcast(q)).select("query_id", "tool_id", hit.alias("score"))
+    scored = facing(tools.select(F.col("id").alias("tool_id"), "name", "description"), q).select("query_id", "tool_id", hit.alias("score"))
     best = scored.groupBy("query_id").agg(F.max(F.struct("score", (-F.col("tool_id")).alias("m"))).alias("b"))
     return best.select("query_id", (-F.col("b.m")).alias("tool_id"), F.col("b.score").alias("score"))
 

@@ -36,14 +36,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """
     WITH s AS (
       SELECT q.vec_id AS query_id, t.vec_id AS tool_id, round(list_inner_product(q.embedding::DOUBLE[], t.embedding::DOUBLE[]), 6) AS score
-      FROM embeddings q, embeddings t WHERE q.vec_id < 5)
+      FROM embeddings q, embeddings t WHERE q.vec_id % 20 = 0)
     SELECT query_id, tool_id, score, rank FROM (
       SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, tool_id)::INTEGER AS rank FROM s) WHERE rank <= 3
     """,
 )
 def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
-    return routing.top_k(vectors.where("id < 5"), vectors, 3)
+    return routing.top_k(vectors.where("id % 20 = 0"), vectors, 3)
 
 
 @query(
@@ -186,26 +186,27 @@ def contract_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
     "route_threshold",
     """
     WITH s AS (SELECT q.vec_id AS query_id, t.vec_id AS tool_id, round(list_inner_product(q.embedding::DOUBLE[], t.embedding::DOUBLE[]), 6) AS score
-      FROM embeddings q, embeddings t WHERE q.vec_id % 20 = 0 AND q.vec_id < 400 AND t.vec_id % 20 <> 0)
+      FROM embeddings q, embeddings t WHERE q.vec_id % 20 = 0 AND t.vec_id <> q.vec_id)
     SELECT query_id, CASE WHEN score >= 0.3 THEN tool_id END AS tool_id, score FROM (
       SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, tool_id) AS r FROM s) WHERE r = 1
     """,
 )
 def route_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
-    return routing.route(vectors.where("id % 20 = 0 and id < 400"), vectors.where("id % 20 <> 0"), 0.3)
+    best = routing.top_k(vectors.where("id % 20 = 0"), vectors, 1, itself=False)
+    return routing.above(best, 0.3)
 
 
 @query(
     "keyword_route",
     """
-    WITH q AS (SELECT conv_id AS query_id, list_distinct(list_filter(regexp_split_to_array(lower(text), '[ \\t\\r\\n]+'), lambda w: w <> '')) AS words FROM conversations WHERE turn = 0 AND role = 'user' AND conv_id < 20),
+    WITH q AS (SELECT conv_id || '-' || turn AS query_id, list_distinct(list_filter(regexp_split_to_array(lower(text), '[ \\t\\r\\n]+'), lambda w: w <> '')) AS words FROM conversations WHERE conv_id % 20 = 0),
     s AS (SELECT query_id, item_id AS tool_id, len(list_filter(words, lambda w: contains('item ' || item_id, w) OR contains(lower(b.text), w)))::INTEGER AS score FROM q, benchmark b)
     SELECT query_id, tool_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, tool_id) AS r FROM s) WHERE r = 1
     """,
 )
 def keyword_route(spark: SparkSession, sf_dir: str) -> DataFrame:
-    q = table(spark, sf_dir, "conversations").where("turn = 0 and role = 'user' and conv_id < 20").select(F.col("conv_id").alias("id"), text.distinct_words(F.col("text")).alias("words"))
+    q = table(spark, sf_dir, "conversations").where("conv_id % 20 = 0").select(F.concat_ws("-", "conv_id", "turn").alias("id"), text.distinct_words(F.col("text")).alias("words"))
     name = text.plain_name(F.concat(F.lit("Item_"), F.col("item_id")))
     return routing.keyword_route(q, table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), name.alias("name"), F.lower("text").alias("description")))
 

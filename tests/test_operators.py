@@ -130,6 +130,14 @@ def test_routing(spark):
     assert got == {0: (0, False), 1: (1, True)}
 
 
+def test_routing_in_blocks_meets_every_pair_once(spark):
+    tools = spark.range(50).select(F.col("id").alias("tool_id"))
+    for n in (0, 3, 4, 23):
+        queries = spark.range(n).select(F.col("id").alias("query_id"))
+        got = routing.facing(tools, queries, few=3, slices=4)
+        assert sorted((r.query_id, r.tool_id) for r in got.collect()) == [(q, t) for q in range(n) for t in range(50)]
+
+
 def test_costs(spark):
     row = spark.range(1).select(*[c.alias(k) for k, c in costs.cache_estimate(F.lit(1_000_000), F.lit(2)).items()], costs.reduction_pct(F.lit(1000), F.lit(400)).alias("pct"), costs.saved(F.lit(100), F.lit(200)).alias("s")).first()
     assert (row.cost_plain, row.cost_cached, row.pct, row.s) == (6.0, 4.05, 60.0, 0)
