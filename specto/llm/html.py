@@ -13,10 +13,11 @@ from pyspark.sql import functions as F
 
 from .common import map_batches
 
-#: Fixed values of HTML: elements that make blocks, that hold no content, and whose content is never page text.
+#: Fixed values of HTML: elements that make blocks, that hold no content, and whose content is never page text: as it holds no tags, or with all elements in it.
 BLOCKS = set("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-RAW = set("script style textarea title noscript template svg iframe object canvas select button head math audio video".split())
+RAW = set("script style textarea title".split())
+PRUNED = set("noscript template svg iframe object canvas select button math audio video".split())
 TEXT_BLOCKS = set("p h1 h2 h3 h4 h5 h6 blockquote pre li dt dd table thead tbody tr td th figure figcaption ol ul dl".split())
 
 #: Elements and words in class, id or role that mark what is no main text.
@@ -26,6 +27,7 @@ MARKS = set("ad ads adv advert adverts advertisement advertisements advertising
 TAG = regex.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>""", regex.S)
 NAMED = regex.compile(r"""(?:^|\s)(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", regex.I)
 WORDS = regex.compile(r"[a-z0-9]+")
+RAW_END = {tag: regex.compile(rf"</{tag}(?=[\s/>])[^>]*>", regex.I) for tag in RAW}
 
 
 class Node:
@@ -43,10 +45,13 @@ def parse(html: str) -> Node:
     """A tree of block elements; a run of inline content is one string with references decoded and white space collapsed.
 
     A paragraph ends where the next block begins, an end tag closes the nearest open element of its name, and what is
-    left open ends with the page; raw elements (script, style and the like) and comments leave nothing.
+    left open ends with the page. Comments leave nothing, nor do raw elements (script, style and the like), in which only
+    their own end tag counts. A head holds no other text, so its tags don't matter. Other elements without page text
+    (buttons, frames and the like) are pruned; one that is left open ends at the first block in it or with its parent.
     """
     root = Node("")
-    stack, run, at, skip = [root], [], 0, ""
+    stack, run, at = [root], [], 0
+    outer: list[list[str]] = []  # the run around each open pruned element
 
     def flush() -> None:
         if run:
@@ -55,29 +60,48 @@ def parse(html: str) -> Node:
                 stack[-1].children.append(text)
             run.clear()
 
-    for m in TAG.finditer(html):
-        if not skip and m.start() > at:
+    def close(i: int) -> None:
+        """Ends the elements from the i-th of the stack on; a pruned one among them lacks its end tag."""
+        nonlocal run
+        flush()
+        while len(stack) > i:
+            x = stack.pop()
+            if x.tag in PRUNED:
+                run = outer.pop()
+                flush()
+                first = next((j for j, c in enumerate(x.children) if isinstance(c, Node)), len(x.children))
+                stack[-1].children += x.children[first:]
+
+    while m := TAG.search(html, at):
+        if m.start() > at:
             run.append(html[at : m.start()])
         at = m.end()
         tag = m[2].lower() if m[2] else ""
-        if skip:
-            if tag == skip and m[1]:
-                skip = ""
-            elif skip == "head" and tag == "body" and not m[1]:
-                skip = ""  # a head left open
-            else:
-                continue
         if tag in RAW:
             if not m[1] and not m[3].endswith("/"):
-                skip = tag
+                end = RAW_END[tag].search(html, at)
+                at = end.end() if end else len(html)
+        elif tag in PRUNED:
+            if not m[1]:
+                if not m[3].endswith("/"):
+                    outer.append(run)
+                    run = []
+                    stack.append(Node(tag))
+            elif i := next((i for i in range(len(stack) - 1, 0, -1) if stack[i].tag == tag), 0):
+                close(i + 1)
+                stack.pop()
+                run = outer.pop()
         elif tag in ("br", "hr"):
             run.append(" ")
-        elif tag in BLOCKS:
+        elif tag == "head" or tag == "body" and not m[1]:
+            if i := next((i for i, x in enumerate(stack) if x.tag in PRUNED), 0):
+                close(i)
+        if tag in BLOCKS:
             flush()
             if m[1]:
                 for i in range(len(stack) - 1, 0, -1):
                     if stack[i].tag == tag:
-                        del stack[i:]
+                        close(i)
                         break
             else:
                 if stack[-1].tag == "p":
@@ -88,9 +112,8 @@ def parse(html: str) -> Node:
                 node = Node(tag, marks)
                 stack[-1].children.append(node)
                 stack.append(node)
-    if not skip:
-        run.append(html[at:])
-    flush()
+    run.append(html[at:])
+    close(1)
     return root
 
 

@@ -216,6 +216,22 @@ def test_html(spark):
     assert html.op9_html_text(spark.createDataFrame(rows, "page_id long, url string, html string").limit(0)).count() == 0
 
 
+def test_html_open_elements():
+    cases = {
+        "<body><script>for(i=0;i<n;i++)f(i)</script><p>kept</p></body>": "kept",
+        "<title>a <b</title><textarea><p></textarea><p>kept": "kept",
+        "<head><title>t</title><p>one<p>two": "one\n\ntwo",
+        "<head><noscript><link></head>text": "text",
+        "<div>a<button>b</div><p>c</p>": "a\n\nc",
+        "<button>b<p>c</p>d": "c\n\nd",
+        "<ul><li>a<svg><path><li>b</ul>": "a\n\nb",
+        "<p>x <select><option>1</select> y<object><p>z</p></object></p>": "x y",
+        "<div><noscript><div><button>x</div></noscript>z</div>": "z",
+    }
+    for page, text in cases.items():
+        assert html.main_text(html.parse(page), ()) == text, page
+
+
 def test_mixing(docs, empty):
     rows = mixing.mix(docs).toPandas()
     assert len(rows) == len(TEXTS) and rows.probability.between(0, 1).all()
