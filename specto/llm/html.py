@@ -20,13 +20,13 @@ RAW = set("script style textarea title".split())
 PRUNED = set("noscript template svg iframe object canvas select button math audio video".split())
 TEXT_BLOCKS = set("p h1 h2 h3 h4 h5 h6 blockquote pre li dt dd table thead tbody tr td th figure figcaption ol ul dl".split())
 
-#: Elements and words in class, id or role that mark what is no main text.
+#: Elements and whole words of class, id or role that mark what is no main text, and elements that no word marks.
 OUTSIDE = set("nav footer aside form menu dialog".split())
+CONTENT = set("html body main article".split())
 MARKS = set("ad ads adv advert adverts advertisement advertisements advertising banner banners sponsor sponsored promo promotion sidebar sidebars aside nav navbar navigation menu menus breadcrumb breadcrumbs footer masthead comment comments commentlist disqus reply replies respond cookie cookies consent gdpr notice notices notification alert newsletter subscribe subscription signup share sharing social related popup modal overlay toolbar widget search login form complementary contentinfo".split())
 
 TAG = regex.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>""", regex.S)
 NAMED = regex.compile(r"""(?:^|\s)(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", regex.I)
-WORDS = regex.compile(r"[a-z0-9]+")
 RAW_END = {tag: regex.compile(rf"</{tag}(?=[\s/>])[^>]*>", regex.I) for tag in RAW}
 
 
@@ -38,7 +38,7 @@ class Node:
 
     @property
     def outside(self) -> bool:
-        return self.tag in OUTSIDE or not self.marks.isdisjoint(MARKS)
+        return self.tag in OUTSIDE or self.tag not in CONTENT and not self.marks.isdisjoint(MARKS)
 
 
 def parse(html: str) -> Node:
@@ -108,7 +108,7 @@ def parse(html: str) -> Node:
                     stack.pop()
                 if tag in ("li", "dt", "dd", "tr", "td", "th") and stack[-1].tag == tag:
                     stack.pop()
-                marks = frozenset(w for n in NAMED.finditer(m[3]) for w in WORDS.findall((n[2] or n[3] or n[4] or "").lower())) if m[3] else frozenset()
+                marks = frozenset(w for n in NAMED.finditer(m[3]) for w in (n[2] or n[3] or n[4] or "").lower().split()) if m[3] else frozenset()
                 node = Node(tag, marks)
                 stack[-1].children.append(node)
                 stack.append(node)
@@ -133,28 +133,27 @@ def hash_subtrees(node: Node) -> list[int]:
 
 
 def main_text(root: Node, template: Iterable[int]) -> str:
-    """Blocks of the article (or main) elements if there are any, else of the page, without marked and recurring subtrees.
+    """Blocks of the page without marked and recurring subtrees; only those of the article (or main) elements if these hold most of that text.
 
     Inside an article, a recurring subtree goes only if it is a container; its paragraphs, headings, lists and tables
     stay however often other pages repeat them.
     """
     gone = set(template)
-    blocks: dict[bool, list[str]] = {True: [], False: []}
-    found = False
+    blocks: list[tuple[str, bool]] = []
     todo: list[tuple[Node | str, bool]] = [(root, False)]
     while todo:
         x, inside = todo.pop()
         if isinstance(x, str):
-            blocks[inside].append(x)
+            blocks.append((x, inside))
             continue
         if x.outside or (x.tag == "header" and not inside):
             continue
         enters = x.tag in ("article", "main") or "main" in x.marks and x.tag in ("div", "section")
         if x.hash - (1 << 63) in gone and not enters and not (inside and x.tag in TEXT_BLOCKS):
             continue
-        found |= enters
         todo += [(c, inside or enters) for c in reversed(x.children)]
-    return "\n\n".join(blocks[found])
+    most = 2 * sum(len(text) for text, inside in blocks if inside) > sum(len(text) for text, _ in blocks)
+    return "\n\n".join(text for text, inside in blocks if inside or not most)
 
 
 def host_of(url: Column) -> Column:

@@ -232,6 +232,18 @@ def test_html_open_elements():
         assert html.main_text(html.parse(page), ()) == text, page
 
 
+def test_html_marks():
+    long = "the main text of this page"
+    cases = {f"<{tag} class='no-sidebar {word}'><p>{long}</p></{tag}>": long for tag in ("html", "body", "main", "article") for word in ("comments-open", "form-page", "social")}
+    cases |= {
+        f"<div class='has-social'>{long}</div><div class='x Social'>go</div><div id=comments>go</div>": long,
+        f"<div>{long}</div><article>teaser</article>": f"{long}\n\nteaser",
+        f"<div>short</div><article>{long}</article>": long,
+    }
+    for page, text in cases.items():
+        assert html.main_text(html.parse(page), ()) == text, page
+
+
 def test_mixing(docs, empty):
     rows = mixing.mix(docs).toPandas()
     assert len(rows) == len(TEXTS) and rows.probability.between(0, 1).all()
