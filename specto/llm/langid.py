@@ -8,7 +8,9 @@ batch is two matrix products: presence by landmark n-grams, then kernels by coef
 
 from __future__ import annotations
 
+import sys
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -21,10 +23,11 @@ SYMBOLS = 64
 CODES = SYMBOLS + SYMBOLS**2 + SYMBOLS**3
 
 
+@cache
 def symbol_table() -> np.ndarray:
-    """Symbol of each code point below U+10000: 0 if no letter, a-z 1 to 26, other letters 27 to 63 by their number."""
-    out = np.zeros(1 << 16, np.uint8)
-    for c in range(1 << 16):
+    """Symbol of each code point: 0 if no letter, a-z 1 to 26, other letters 27 to 63 by their number."""
+    out = np.zeros(sys.maxunicode + 1, np.uint8)
+    for c in range(len(out)):
         ch = chr(c)
         if ch.isalpha():
             out[c] = ord(ch) - 96 if "a" <= ch <= "z" else 27 + c % 37
@@ -39,7 +42,7 @@ class Grams:
     def presence(self, text: str) -> np.ndarray | None:
         """Marks of the n-grams that occur (the array is used again by the next call); None if no letter occurs."""
         points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), "<u4")
-        s = self.table[np.minimum(points, 0xFFFF)]
+        s = self.table[points]
         s = np.concatenate((np.zeros(1, np.uint8), s, np.zeros(1, np.uint8)))
         s = s[np.append(True, (s[1:] | s[:-1]) != 0)].astype(np.int32)  # one mark for a run of other characters
         if len(s) < 2:
@@ -61,9 +64,9 @@ class Model:
 
 
 def sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, rows: int) -> list[tuple[str, np.ndarray]]:
-    """At most `rows` different labelled texts, as many of each language, those with the smallest hash; as n-gram codes."""
+    """At most `rows` different labelled texts, as many of each language, those with the smallest hash; as n-gram codes. `und` is no label."""
     own = docs.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), F.xxhash64(text_col).alias("h"))
-    train = own.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & (F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 != 2))
+    train = own.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & (F.col("lang") != "und") & (F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 != 2))
     # counts by ranges of hashes tell which ranges hold the smallest ones of a language, and only those are ranked
     keys = cut(train.select("lang", "h").distinct()).withColumn("range", F.shiftright("h", 52))
     counts = cut(keys.groupBy("lang", "range").count())
@@ -168,11 +171,17 @@ def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_
 
 
 def keep_identified(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
-    """The rows, with all their columns, whose text is in some language: all but `und`."""
+    """The rows, with all their columns, whose text is in some language: all but `und`, and all with a letter if nothing is labelled."""
     shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_col)
 
     def make():
         score = Scorer(shared.value)
-        return lambda batch: batch.filter(pa.array([x != "und" for x in score(batch.column(at).to_pylist())[0]], pa.bool_()))
+
+        def identified(texts: list[str | None]) -> list[bool]:
+            if score.model is None:
+                return [bool(t) and score.grams.presence(t) is not None for t in texts]
+            return [x != "und" for x in score(texts)[0]]
+
+        return lambda batch: batch.filter(pa.array(identified(batch.column(at).to_pylist()), pa.bool_()))
 
     return map_batches(docs, make, docs.schema)

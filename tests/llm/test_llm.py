@@ -6,6 +6,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from specto.llm import audio, bpe, components, dedup, edits, fmindex, html, jaccard, langid, license, mixing, substring
 from specto.llm import queries as registered
@@ -199,6 +200,18 @@ def test_langid(spark, empty):
     assert [(lang, codes.tolist()) for lang, codes in few] == want
 
 
+def test_letters_beyond_the_first_plane(spark):
+    made = ["the and of that with", "\U0001e900\U0001e901 \U0001e902\U0001e903", "\U00010330\U00010331 \U00010332", "\U00020000\U00020001", "\U0001d400"]
+    rows = [(i, made[i % 2], ["en", "ff"][i % 2]) for i in range(60)] + [(100 + i, t, None) for i, t in enumerate([*made, "123 \U0001f600", None])]
+    df = spark.createDataFrame(rows + [(200 + i, "the", "und") for i in range(20)], "doc_id long, text string, lang string")
+    model = langid.train(df)
+    got = {r.doc_id: r.lang_pred for r in langid.identify(df, model).collect()}
+    assert model.langs == ["en", "ff"] and got[1] == got[101] == "ff" and {d for d in got if got[d] == "und"} == {105, 106}
+    unlabelled = df.withColumn("lang", F.lit(None).cast("string"))
+    for own in (model, langid.train(unlabelled)):
+        assert {r.doc_id for r in langid.keep_identified(df, own).collect()} == {*got} - {105, 106}
+
+
 def test_string_kernel():
     grams = langid.Grams()
     for a, b in (("The cat", "a cat sat"), ("été", "ete")):
