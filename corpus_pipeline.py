@@ -9,6 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from specto.llm import bpe, dedup, jaccard, langid, mixing
 from specto.llm.common import shared_folder, table
 
+#: The token budget of the mixture, as a share of the tokens that reach it.
+TOKEN_SHARE = 0.75
+
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without any letter, which are in no language, go. The classifier learns from a bounded sample of the labelled ones."""
@@ -26,8 +29,8 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A sample whose shares of sources, languages and topics are those of the target."""
-    return mixing.sample_mixture(docs)
+    """A sample of TOKEN_SHARE of all tokens, with shares of sources, languages and topics as near the target as what there is allows."""
+    return mixing.sample_mixture(docs, TOKEN_SHARE)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

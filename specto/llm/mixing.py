@@ -58,13 +58,63 @@ def rake(cells: DataFrame, cycles: int = CYCLES) -> DataFrame:
     return cells
 
 
-def mix(docs: DataFrame, cycles: int = CYCLES, seed: str = "mix", id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+def capped(df: DataFrame, by: list[str], x: str, cap: str, total: Column) -> DataFrame:
+    """Replaces `x` of each row by `x` times one factor a group, at most `cap`, so that a group sums to `total` (or all its caps, if those are less).
+
+    If the rows from some cap / x on stay free, their factor is what the caps of the others leave of the total, over their
+    x. It is greatest for the right number of free rows.
+    """
+    group = Window.partitionBy(*by)
+    free = group.orderBy(F.when(F.col(x) > 0, F.col(cap) / F.col(x)).desc_nulls_last()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    own = F.sum(x).over(free)
+    factor = F.when(own > 0, (total - F.sum(cap).over(group) + F.sum(cap).over(free)) / own)
+    df = df.withColumn("__factor", factor)
+    most = F.max("__factor").over(group)
+    return df.withColumn(x, F.coalesce(F.least(F.col(cap).cast("double"), F.col(x) * most), F.lit(0.0))).drop("__factor")
+
+
+def fit_budget(cells: DataFrame, share: float, cycles: int = CYCLES) -> DataFrame:
+    """Adds `x`, the tokens to take of each raked cell, which sum to `share` of all tokens; a cell gives no more than it has.
+
+    A value of source, lang or topic that has fewer tokens than its target is asked for all of them, and the others for
+    the rest in proportion to their targets. Cells are raked to that from their weights; within a value, what a whole
+    cell lacks is asked of the others.
+    """
+    everything = Window.partitionBy()
+    for d in DIMENSIONS:
+        own = cells.groupBy(f"__{d}").agg(F.sum("tokens").alias("t"), F.first(f"target_{d}").alias(f"asked_{d}"))
+        own = capped(own, [], f"asked_{d}", "t", F.sum("t").over(everything) * share).drop("t")
+        cells = cells.join(own, f"__{d}")
+    cells = cut(cells.withColumn("x", F.col("w")))
+    for _ in range(cycles):
+        for d in DIMENSIONS:
+            cells = capped(cells, [f"__{d}"], "x", "tokens", F.col(f"asked_{d}"))
+        cells = cut(cells)
+    return cells
+
+
+def shares_reached(docs: DataFrame, share: float) -> DataFrame:
+    """dimension, value (null for null), target, reached: the shares of tokens asked for and those that the probabilities give."""
+    text = F.col("text")
+    cells = docs.select(*map(cell, ("source", "lang")), topic_of(text).alias("__topic"), tokens_of(text).cast("long").alias("tokens")).groupBy(*[f"__{d}" for d in DIMENSIONS]).agg(F.sum("tokens").alias("tokens"))
+    cells = fit_budget(rake(cells), share)
+    parts = [cells.groupBy(F.lit(d).alias("dimension"), F.col(f"__{d}").alias("value")).agg(F.first(f"target_{d}").alias("target"), F.sum("x").alias("x")) for d in DIMENSIONS]
+    out = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    value = F.when(F.col("value") != "\u0000null", F.col("value"))
+    return out.select("dimension", value.alias("value"), "target", (F.col("x") / F.sum("x").over(Window.partitionBy("dimension"))).alias("reached"))
+
+
+def mix(docs: DataFrame, cycles: int = CYCLES, seed: str = "mix", id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (), share: float | None = None) -> DataFrame:
     """Every row with its cell's calibrated probability and whether it is in the sample.
 
     doc_id, the columns of `carry`, tokens, source, lang, topic, weight (the share of all tokens that the cell should
-    have), probability and sampled. Weights are raked to token-weighted marginals over source, lang and topic. The
-    probability is proportional to weight over tokens, and 1 in the cell that is furthest below its weight, so a sample
-    takes as many rows as the mixture allows; a row is in it if the hash of its id lies below. Equal ids share a fate.
+    have), probability and sampled. Weights are raked to token-weighted marginals over source, lang and topic. A row is
+    in the sample if the hash of its id lies below the probability. Equal ids share a fate.
+
+    With a `share`, the sample is calibrated to that share of all tokens: cells that have too few are kept whole, and the
+    others make up for them, so that a tiny cell doesn't set the size (shares_reached tells the shares that result).
+    Without one, the probability is proportional to weight over tokens, and 1 in the cell that is furthest below its
+    weight: the weights hold exactly, but one row in a rare cell can halve the sample.
 
     Null sources and langs are values of their own, a null text has no tokens. Cells without tokens have weight 0 and
     probability 1: keeping their rows changes no share. A null id counts as an empty one. An empty table gives no rows.
@@ -74,9 +124,13 @@ def mix(docs: DataFrame, cycles: int = CYCLES, seed: str = "mix", id_col: str =
     rows = docs.select(F.col(id_col).alias("doc_id"), *carry, tokens_of(text).cast("long").alias("tokens"), F.col("source"), F.col("lang"), topic_of(text).alias("topic"))
     keys = [cell(d) for d in DIMENSIONS]
     cells = rake(rows.groupBy(*keys).agg(F.sum("tokens").alias("tokens")), cycles)
-    ratio = F.when(F.col("tokens") > 0, F.col("w") / F.col("tokens"))
-    most = Window.partitionBy()
-    cells = cut(cells.select(*[f"__{d}" for d in DIMENSIONS], F.col("w").alias("weight"), F.coalesce(ratio / F.max(ratio).over(most), F.lit(1.0)).alias("probability")))
+    if share is None:
+        ratio = F.when(F.col("tokens") > 0, F.col("w") / F.col("tokens"))
+        ratio = ratio / F.max(ratio).over(Window.partitionBy())
+    else:
+        cells = fit_budget(cells, share, cycles)
+        ratio = F.when(F.col("tokens") > 0, F.col("x") / F.col("tokens"))
+    cells = cut(cells.select(*[f"__{d}" for d in DIMENSIONS], F.col("w").alias("weight"), F.coalesce(ratio, F.lit(1.0)).alias("probability")))
     names = [f"__{d}" for d in DIMENSIONS]
     few = cells.count() <= 100_000
     draw = F.conv(F.substring(F.sha2(F.concat(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"), 256), 1, 12), 16, 10).cast("double") / float(1 << 48)
@@ -84,10 +138,10 @@ def mix(docs: DataFrame, cycles: int = CYCLES, seed: str = "mix", id_col: str =
     return out.drop(*names).withColumn("sampled", draw < F.col("probability"))
 
 
-def sample_mixture(docs: DataFrame) -> DataFrame:
-    """The documents of the sample, with all their columns."""
+def sample_mixture(docs: DataFrame, share: float | None = None) -> DataFrame:
+    """The documents of the sample, with all their columns; with a `share` of all tokens, as in mix()."""
     packed = docs.select(F.col("doc_id"), F.col("text"), F.col("source"), F.col("lang"), F.struct(*docs.columns).alias("__row"))
-    return mix(packed, carry=("__row",)).where("sampled").select("__row.*")
+    return mix(packed, carry=("__row",), share=share).where("sampled").select("__row.*")
 
 
 def op10_source_mixing(docs: DataFrame) -> DataFrame:

@@ -270,6 +270,25 @@ def test_mixing(docs, empty):
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == set(rows.doc_id[rows.sampled])
 
 
+def test_mixing_budget(spark):
+    import corpus_pipeline
+
+    rows = [(i, "a b c d e f g h i j" + " | k" * (i % 10 == 0), ["en", "fr", None][i % 7 % 3], f"s{i % 5 % 2}") for i in range(2000)]
+    rows += [(2000, "x y z", "rare", "rare"), (2001, None, "fr", "s0"), (2002, "", "empty", "empty")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    kept = {r.doc_id for r in corpus_pipeline.mixture(spark, df, "").collect()}  # one rare cell doesn't set the size
+    share = corpus_pipeline.TOKEN_SHARE
+    assert {2000, 2001, 2002} <= kept and abs(len(kept) / len(rows) - share) < 0.05
+    for share in (0.3, share, 1.0):
+        mixed = mixing.mix(df, share=share).toPandas()
+        assert mixed.probability.between(0, 1).all() and np.isclose((mixed.tokens * mixed.probability).sum(), share * mixed.tokens.sum())
+        own = mixed.fillna("null").assign(x=mixed.tokens * mixed.probability)
+        for r in mixing.shares_reached(df, share).collect():
+            assert np.isclose(own.x[own[r.dimension] == (r.value or "null")].sum() / own.x.sum(), r.reached)
+            assert share == 1 or r.value in ("rare", "empty") or abs(r.reached - r.target) < 0.01
+    assert mixing.mix(df.limit(0), share=0.5).count() == 0
+
+
 def test_null_ids(spark):
     df = spark.createDataFrame([(None, BASE, "en", "a"), (1, BASE, "en", "a"), (None, "", "en", "a")], "doc_id long, text string, lang string, source string")
     for name in ("op1_language_id", "op2_exact_dedup", "op3_audio_features", "op4_ngram_jaccard", "op5_token_counts", "op6_license_scan", "op7_substring_dedup", "op8_bpe", "op10_source_mixing"):
