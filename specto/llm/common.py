@@ -66,12 +66,17 @@ def join_by_key(df: DataFrame, side: DataFrame, on: list[str], rows: int = BROAD
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: the session's checkpoint folder, or one of this machine if none is named, as in tests."""
-    folder = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if folder.isEmpty():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="specto-checkpoint-"))
-        folder = spark.sparkContext._jsc.sc().getCheckpointDir()
-    return folder.get()
+    """The folder that driver and executors share: the session's checkpoint folder, else the one that spark.checkpoint.dir names.
+
+    Only where the master is local, as in tests, a folder of this machine will do; on a cluster without one this raises.
+    """
+    sc = spark.sparkContext
+    if not sc.getCheckpointDir():
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="specto-checkpoint-"))
+    return sc.getCheckpointDir()
 
 
 def cut(df: DataFrame) -> DataFrame:

@@ -7,54 +7,77 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, anti_by_key, ascii_lower, cut, semi_by_key
+from .common import anti_by_key, ascii_lower, cut, semi_by_key
 
+BITS = 32768  # of one part of a bitmap: what bitmap_construct_agg makes
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: Sequence[Column] = (), prefix_chars: int = 128) -> DataFrame:
-    """One row per input row: doc_id, the columns of `carry`, keep_id, group_size, kept.
+
+def key_filter(keys: DataFrame, key: Column, max_bits: int) -> tuple[DataFrame, int]:
+    """A bitmap of hashed keys as rows (part, bits), and how many parts it has: 16 bits a key, and at most `max_bits` in all."""
+    parts = min(max_bits, max(1, 16 * keys.count())) // BITS + 1
+    place = F.pmod(key, F.lit(parts * BITS))
+    return keys.select(F.bitmap_bucket_number(place).alias("part"), F.bitmap_bit_position(place).alias("bit")).groupBy("part").agg(F.bitmap_construct_agg("bit").alias("bits")), parts
+
+
+def passes(rows: DataFrame, key: Column, bitmap: DataFrame, parts: int) -> DataFrame:
+    """The rows with `__pass`: whether the bitmap has the bit of their key, as it has for every key that it was made of."""
+    place = F.pmod(key, F.lit(parts * BITS))
+    bit = F.bitmap_bit_position(place)
+    byte = F.conv(F.hex(F.substring("bits", (bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    marked = rows.withColumn("part", F.bitmap_bucket_number(place)).join(F.broadcast(bitmap), "part", "left")
+    return marked.withColumn("__pass", F.coalesce(F.getbit(byte, (bit % 8).cast("int")) == 1, F.lit(False))).drop("part", "bits")
+
+
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: Sequence[Column] = (), prefix_chars: int = 128, digest: bool = False, max_bits: int = 1 << 28) -> DataFrame:
+    """One row per input row: doc_id, the columns of `carry`, keep_id, group_size, kept, and with `digest` text_sha256 of every row.
 
     Texts are equal when identical after lower-casing A-Z; of equal texts the row with the largest id stays. Only rows
     whose length occurs twice get a prefix hash, and only rows whose length and prefix hash occur twice are hashed whole
-    (SHA-256, taken as identity). Texts never enter a shuffle: the surviving groups are broadcast to the scan if they are
-    few when counted; otherwise the whole hash is taken at the scan and only hashes move. A hot group is one row after
-    map-side aggregation, and its rows meet that row in a join that adaptive execution can split.
+    (SHA-256, taken as identity), at any size. Which rows those are is told at the scan by a bitmap of the groups that
+    survive, of at most `max_bits` (32 MB, broadcast); a row that it lets through by chance has its text hashed in vain and
+    finds no partner. So texts never enter a shuffle; ids, lengths and hashes do. With `digest`, every text is hashed whole
+    once, as its digest is asked for, and that hash is used. A hot group is one row after map-side aggregation, and its
+    rows meet that row in a join that adaptive execution can split.
 
-    A null text counts as empty. Rows that repeat an id and text count in group_size and are all kept if their id stays.
-    Null ids lose to any id; a group of null ids alone keeps its rows. An empty table gives no rows.
+    A null text counts as empty, and a text of any length is hashed whole. Rows that repeat an id and text count in
+    group_size and are all kept if their id stays. Null ids lose to any id; a group of null ids alone keeps its rows.
+    Columns of docs don't clash with those made here; carried ones must not have the names of the result. An empty table
+    gives no rows.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("doc_id"), *carry, text.alias("__text"), F.octet_length(text).alias("__len"))
-    whole = F.sha2(ascii_lower(F.col("__text")).cast("binary"), 256)
-    prefix = F.xxhash64(ascii_lower(F.substring("__text", 1, prefix_chars)))
-
-    lengths = rows.groupBy("__len").count().where("count > 1").select("__len")
-    groups = semi_by_key(rows, lengths, ["__len"]).select("__len", prefix.alias("__prefix")).groupBy("__len", "__prefix").count().where("count > 1")
-    groups = cut(groups.select("__len", "__prefix", F.lit(True).alias("__again")))
-    rows = rows.withColumn("__prefix", prefix)
-    if groups.count() <= BROADCAST_ROWS:
-        rows = rows.join(F.broadcast(groups), ["__len", "__prefix"], "left").withColumn("__hash", F.when(F.col("__again"), whole)).drop("__text", "__again")
-    else:
-        rows = rows.withColumn("__hash", whole).drop("__text").join(groups, ["__len", "__prefix"], "left")
-        rows = rows.withColumn("__hash", F.when(F.col("__again"), F.col("__hash"))).drop("__again")
-    equal = rows.where("__hash is not null").groupBy("__len", "__hash").agg(F.first("__prefix").alias("__prefix"), F.max("doc_id").alias("__keep"), F.count("*").alias("__size")).where("__size > 1")
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.struct(*carry).alias("carried") if carry else F.lit(None).alias("carried"), text.alias("text"), F.octet_length(text).alias("len"))
+    whole = F.sha2(ascii_lower(F.col("text")).cast("binary"), 256)
+    prefix = F.xxhash64(ascii_lower(F.substring("text", 1, prefix_chars)))
+
+    lengths = rows.groupBy("len").count().where("count > 1").select("len")
+    groups = cut(semi_by_key(rows.select("len", prefix.alias("prefix")), lengths, ["len"]).groupBy("len", "prefix").count().where("count > 1"))
+    key = F.xxhash64("len", "prefix")
+    rows = passes(rows.withColumn("prefix", prefix), key, *key_filter(groups, key, max_bits))
+    if digest:
+        rows = rows.withColumn("text_sha256", whole)
+        whole = F.col("text_sha256")
+    rows = rows.withColumn("hash", F.when(F.col("__pass"), whole)).drop("text", "__pass")
+    equal = rows.where("hash is not null").groupBy("len", "hash").agg(F.first("prefix").alias("prefix"), F.max("doc_id").alias("keep"), F.count("*").alias("size")).where("size > 1")
     # the prefix is one key more than the groups have: the join deals its sides anew, and adaptive execution can split a hot group
-    out = rows.join(equal, ["__len", "__prefix", "__hash"], "left")
-    keep = F.when(F.col("__size").isNull(), F.col("doc_id")).otherwise(F.col("__keep"))
-    extra = [c for c in rows.columns if not c.startswith("__") and c != "doc_id"]
-    return out.select("doc_id", *extra, keep.alias("keep_id"), F.coalesce("__size", F.lit(1)).cast("long").alias("group_size"), keep.eqNullSafe(F.col("doc_id")).alias("kept"))
+    out = rows.join(equal, ["len", "prefix", "hash"], "left")
+    keep = F.when(F.col("size").isNull(), F.col("doc_id")).otherwise(F.col("keep"))
+    return out.select("doc_id", *(["carried.*"] if carry else []), keep.alias("keep_id"), F.coalesce("size", F.lit(1)).cast("long").alias("group_size"), keep.eqNullSafe(F.col("doc_id")).alias("kept"), *(["text_sha256"] if digest else []))
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
-    """The documents that stay, with all their columns. Only ids and hashes of those that go are moved."""
+    """The documents that stay, with all their columns, whatever their names. Only ids and hashes of those that go are moved.
+
+    Nulls, repeated rows and empty tables are as in exact_dedup(); a row goes by its id and text, so an id that stands at
+    several texts loses only those that have a copy.
+    """
     mark = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
-    gone = cut(exact_dedup(docs, carry=[mark.alias("mark")]).where("not kept").select(F.col("doc_id").alias("__id"), F.col("mark").alias("__mark")).distinct())
-    marked = docs.withColumn("__id", F.col("doc_id")).withColumn("__mark", mark)
-    return anti_by_key(marked, gone, ["__id", "__mark"]).select(*docs.columns)
+    gone = cut(exact_dedup(docs, carry=[mark.alias("mark")]).where("not kept").select(F.col("doc_id").alias("id"), "mark").distinct())
+    packed = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("id"), mark.alias("mark"))
+    return anti_by_key(packed, gone, ["id", "mark"]).select("row.*")
 
 
 def op2_exact_dedup(docs: DataFrame) -> DataFrame:
-    digest = F.sha2(ascii_lower(F.coalesce(F.col("text"), F.lit(""))).cast("binary"), 256).alias("text_sha256")
-    return exact_dedup(docs, carry=[digest]).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+    return exact_dedup(docs, digest=True)
 
 
 OP2_SQL = """
