@@ -130,10 +130,31 @@ class Extractor:
         return mel.reshape(-1, t, mel.shape[1]), level, self.segments(level)
 
 
-def describe(tensors: np.ndarray, level: np.ndarray, spans: list[tuple[int, int]]) -> str:
-    """A short string of the features: frames, tensors, segments, frames in them, and the mean of each band in whole dB."""
+def stored(tensors: np.ndarray, settings: Settings) -> bytes:
+    """Tensors with their time spans as an Arrow stream: a fixed-shape tensor column, start_s and end_s."""
+    step = settings.hop / settings.new_rate * settings.tensor_frames
+    start = np.arange(len(tensors)) * step
+    batch = pa.RecordBatch.from_arrays([pa.FixedShapeTensorArray.from_numpy_ndarray(np.ascontiguousarray(tensors, np.float32)), pa.array(start), pa.array(start + step)], ["logmel", "start_s", "end_s"])
+    out = pa.BufferOutputStream()
+    with pa.ipc.new_stream(out, batch.schema) as writer:
+        writer.write_batch(batch)
+    return out.getvalue().to_pybytes()
+
+
+def described(stream: bytes, frames: int, spans: list[tuple[int, int]]) -> str:
+    """A short string of the features as read back from their stored form.
+
+    Frames, tensors with the end of the last one, segments and frames in them, a digest of all tensors and their spans in
+    whole dB and milliseconds, and the mean of each band in whole dB.
+    """
+    with pa.ipc.open_stream(stream) as reader:
+        rows = reader.read_all().combine_chunks()
+    tensors, start, end = rows["logmel"].chunk(0).to_numpy_ndarray(), rows["start_s"].to_numpy(), rows["end_s"].to_numpy()
+    whole = zlib.crc32(np.rint(tensors).astype("<i2").tobytes())
+    whole = zlib.crc32(np.rint(np.stack((start, end)) * 1000).astype("<i8").tobytes(), whole)
+    whole = zlib.crc32(np.array(spans, "<i8").tobytes(), whole)
     bands = np.rint(tensors.mean((0, 1), dtype=np.float64)).astype(int).tolist()
-    return f"frames={len(level)};tensors={len(tensors)};segments={len(spans)};active={sum(b - a for a, b in spans)};mel=" + ",".join(map(str, bands))
+    return f"frames={frames};tensors={len(tensors)};end_s={end[-1]:.3f};segments={len(spans)};active={sum(b - a for a, b in spans)};digest={whole:08x};mel=" + ",".join(map(str, bands))
 
 
 TENSORS = "doc_id long, part int, start_s double, end_s double, logmel array<float>"
@@ -177,8 +198,10 @@ def as_tensors(logmel: pa.Array, settings: Settings = Settings()) -> pa.FixedSha
 def audio_summary(docs: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row per document with digests of what was stored and read back, its features as a string, and its active spans.
 
-    No shuffle; equal texts give equal values. A null text counts as empty: its payload is `pad` zero bytes. Repeated
-    rows and null ids pass through; an empty table gives no rows.
+    The features are built as fixed-shape Arrow tensors with time spans (as audio_tensors() gives them), stored as an
+    Arrow stream and read back; the string is made of what was read. No shuffle; equal texts give equal values. A null
+    text counts as empty: its payload is `pad` zero bytes. A text of any length is one sound, framed in blocks. Repeated
+    rows and null ids pass through, other columns are passed over; an empty table gives no rows.
     """
 
     def make():
@@ -190,7 +213,7 @@ def audio_summary(docs: DataFrame, settings: Settings = Settings(), id_col: str
             media = store(payload, settings.rate)
             back = load(media)
             tensors, level, spans = own.features(np.frombuffer(back, np.uint8))
-            return (n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-settings.pad :]), len(media), hashlib.sha256(media).hexdigest(), describe(tensors, level, spans), [{"start_s": a * step, "end_s": b * step} for a, b in spans])
+            return (n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-settings.pad :]), len(media), hashlib.sha256(media).hexdigest(), described(stored(tensors, settings), len(level), spans), [{"start_s": a * step, "end_s": b * step} for a, b in spans])
 
         kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.struct([("start_s", pa.float64()), ("end_s", pa.float64())]))]
         names = ["n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "segments"]
