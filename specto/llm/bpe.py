@@ -10,7 +10,9 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
+import sys
 import unicodedata
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +24,16 @@ from .common import map_batches, narrow
 NEVER = 1 << 30
 LONG_WORD = 96
 CACHE_WORDS = 300_000
+HIGH = regex.compile("[\u0530-\U0010ffff]").search
+#: The letters and numbers that Unicode 16.0 added to 15.1 (code points in base 16).
+UNICODE_16 = "1c89-1c8a a7cb-a7cd a7da-a7dc 105c0-105f3 10d40-10d65 10d6f-10d85 10ec2-10ec4 11380-11389 1138b 1138e 11390-113b5 113b7 113d1 113d3 116d0-116e3 11bc0-11be0 11bf0-11bf9 13460-143fa 16100-1611d 16130-16139 16d40-16d6c 16d70-16d79 18cff 1ccf0-1ccf9 1e5d0-1e5ed 1e5f0-1e5fa"
+#: The lower-case letters of Unicode 16.0 and 17.0 (first, last, first lower-case one; code points in base 16).
+LOWER_16_17 = "1c89 1c89 1c8a, a7cb a7cb 264, a7cc a7cc a7cd, a7ce a7ce a7cf, a7d2 a7d2 a7d3, a7d4 a7d4 a7d5, a7da a7da a7db, a7dc a7dc 19b, 10d50 10d65 10d70, 16ea0 16eb8 16ebb"
+LOWER = {c: c - a + low for a, b, low in ([int(x, 16) for x in r.split()] for r in LOWER_16_17.split(", ")) for c in range(a, b + 1)}
+#: Combining marks after Unicode 9.0, which the library's NFC neither moves nor composes, and a later pair.
+MARKS_AFTER_9 = "7fd 898-89f 8ca-8d3 9fe c3c d3b-d3c eba 1715 1abf-1ace 1df6-1dfa a82c 10d24-10d27 10eab-10eac 10efd-10eff 10f46-10f50 10f82-10f85 11070 1133b 1145e 11839-1183a 11930 11938 1193d-1193e 11943 119e0 11a34 11a47 11a99 11d42 11d44-11d45 11d97 11f41-11f42 16ff0-16ff1 1e08f 1e130-1e136 1e2ae 1e2ec-1e2ef 1e4ec-1e4ef"
+INERT = regex.compile("([" + "".join(f"\\U{int(a, 16):08x}-\\U{int(b or a, 16):08x}" for a, _, b in (x.partition("-") for x in MARKS_AFTER_9.split())) + "])")
+LETTER_OR_NUMBER = regex.compile(r"[\p{L}\p{N}]")
 
 
 def byte_alphabet() -> list[str]:
@@ -32,6 +44,17 @@ def byte_alphabet() -> list[str]:
     return [chr(b) if b in own else chr(next(rest)) for b in range(256)]
 
 
+@cache
+def newer_letters() -> str:
+    """Ranges, for a character class, of letters and numbers of the regex module that are newer than Unicode 16.0, the version of the tokenizers library."""
+    known = {c for a, _, b in (x.partition("-") for x in UNICODE_16.split()) for c in range(int(a, 16), int(b or a, 16) + 1)}
+    out = []
+    for c in range(sys.maxunicode + 1):
+        if unicodedata.category(chr(c)) == "Cn" and c not in known and LETTER_OR_NUMBER.match(chr(c)):
+            out.append(f"\\U{c:08x}")
+    return "".join(out)
+
+
 class WordBpe(dict):
     """The encoder of one tokenizer file; as a mapping it gives the ids of a word as little-endian bytes, kept for later."""
 
@@ -55,7 +78,12 @@ class WordBpe(dict):
         for token, i in self.added.items():
             self.tokens[i] = token
         self.split_added = regex.compile("(" + "|".join(regex.escape(t) for t in sorted(self.added, key=len, reverse=True)) + ")") if self.added else None
-        self.find = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]).findall
+        pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
+        self.find = regex.compile(pattern).findall
+        self.newer = regex.compile(f"[{newer_letters()}]").search
+        # with newer letters in a text: they are taken out of the first two classes and put into the last
+        old = pattern.replace(r"[\p{L}]+", f"[[\\p{{L}}]--[{newer_letters()}]]+").replace(r"[\p{N}]", f"[[\\p{{N}}]--[{newer_letters()}]]")
+        self.find_old = regex.compile(old.replace(r"[^\s\p{L}\p{N}]+", f"(?:[^\\s\\p{{L}}\\p{{N}}]|[{newer_letters()}])+"), regex.V1).findall
         alphabet = byte_alphabet()
         self.inner = [self.vocab[c] for c in alphabet]
         self.last = [self.vocab[c + self.suffix] for c in alphabet]
@@ -113,8 +141,10 @@ class WordBpe(dict):
 
     def normalise(self, text: str) -> str:
         if not text.isascii() and not unicodedata.is_normalized("NFC", text):
-            text = unicodedata.normalize("NFC", text)
+            text = "".join(unicodedata.normalize("NFC", part) for part in INERT.split(text))
         # runs of white space need no replacing, as the pre-tokeniser drops them
+        if HIGH(text):
+            text = text.translate(LOWER)
         return text.lower() if "Σ" not in text else "".join(map(str.lower, text))
 
     def encode(self, text: str) -> bytes:
@@ -125,7 +155,9 @@ class WordBpe(dict):
         return self.words(text)
 
     def words(self, text: str) -> bytes:
-        return b"".join(map(self.__getitem__, self.find(self.normalise(text))))
+        text = self.normalise(text)
+        find = self.find if text.isascii() or not HIGH(text) or not self.newer(text) else self.find_old
+        return b"".join(map(self.__getitem__, find(text)))
 
     def decode(self, ids: bytes) -> str:
         """Tokens joined by one space, as a file without a decoder asks for."""
