@@ -1,4 +1,4 @@
-"""String expressions over descriptions, names and paths. White space is that of ASCII."""
+"""String expressions over descriptions, names and paths."""
 
 from __future__ import annotations
 
@@ -6,6 +6,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 SPACE = r"[ \t\r\n]"
+#: What counts as white space in Unicode, the separators of ASCII too.
+ANY_SPACE = r"[\t-\r\x1C-\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]"
 #: Words that open a description and say nothing about the tool.
 OPENERS = r"(?i)^([ \t\r\n]*(optional|required|output only|deprecated|read-only)\b[.:]?[ \t\r\n]*)+"
 
@@ -25,8 +27,8 @@ def root_segment(call: Column) -> Column:
 
 
 def distinct_words(query: Column) -> Column:
-    """The different lower-case words of a query."""
-    return F.array_distinct(F.filter(F.split(F.lower(query), rf"{SPACE}+"), lambda w: w != ""))
+    """The different lower-case words of a query, between white space of any script."""
+    return F.array_distinct(F.filter(F.split(F.lower(query), rf"{ANY_SPACE}+"), lambda w: w != ""))
 
 
 def plain_name(name: Column) -> Column:
@@ -44,3 +46,8 @@ def extension(path: Column) -> Column:
 
 def thousands(n: Column) -> Column:
     return F.format_number(n, 0)
+
+
+def unquoted(x: Column) -> Column:
+    """Without the quotation marks around it."""
+    return F.btrim(x, F.lit("'\"`"))

@@ -4,46 +4,44 @@ from __future__ import annotations
 
 import ast
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from specto.functions.costs import role
-from specto.functions.text import root_segment
+from specto.functions import costs
+from specto.functions.text import extension, root_segment
 from specto.operators.stats import first_row
 from specto.sources.python_path import importable
 
-#: Calls by risk, and type variables that say nothing about a function.
-HIGH = ["eval", "exec", "compile", "__import__", "os.system", "os.popen", "os.execv", "os.execve", "os.spawnl", "subprocess", "pickle", "marshal", "ctypes"]
-MEDIUM = ["open", "requests.get", "requests.post", "requests.put", "requests.delete", "urllib", "socket", "http", "ftplib", "smtplib", "shutil", "os.remove", "os.unlink", "os.rmdir", "os.environ", "tempfile"]
+#: Calls by risk (a name without a dot stands for all calls on it), and type variables that say nothing about a function.
+HIGH = ["subprocess", "os.system", "os.popen", "os.execv", "os.execve", "eval", "exec", "compile", "pickle.loads", "pickle.load", "pickle.dumps", "__import__", "importlib.import_module", "ctypes"]
+MEDIUM = ["socket", "requests.get", "requests.post", "requests.put", "requests.delete", "requests.request", "httpx.get", "httpx.post", "httpx.Client", "urllib.request.urlopen", "urllib.urlopen", "paramiko", "ftplib", "smtplib"]
 NOISE = ["T", "R", "V", "K", "S", "U", "_", "P"]
 
-FUNCTION = pa.struct([("name", pa.string()), ("line", pa.int32()), ("params", pa.list_(pa.string())), ("calls", pa.list_(pa.string())), ("names", pa.list_(pa.string())), ("locals", pa.list_(pa.string())), ("raises", pa.list_(pa.string())), ("warns", pa.list_(pa.string())), ("yields", pa.bool_()), ("doc", pa.string()), ("signature", pa.string()), ("open_write", pa.bool_()), ("source", pa.string())])
-FUNCTION_SQL = "struct<name:string,line:int,params:array<string>,calls:array<string>,names:array<string>,locals:array<string>,raises:array<string>,warns:array<string>,yields:boolean,doc:string,signature:string,open_write:boolean,source:string>"
-MODULE = f"file string, error string, imports array<string>, aliases array<string>, data array<string>, classes array<string>, functions array<{FUNCTION_SQL}>"
+WORDS = "array<string>"
+FUNCTION_SQL = f"struct<name:string,line:int,owner:string,params:{WORDS},calls:{WORDS},bare:{WORDS},names:{WORDS},roots:{WORDS},selfs:{WORDS},raises:{WORDS},warns:{WORDS},yields:boolean,doc:string,signature:string,open_write:boolean,source:string>"
+CLASS_SQL = f"struct<name:string,line:int,methods:{WORDS},attrs:{WORDS},doc:string,source:string>"
+MODULE = f"file string, error string, imports {WORDS}, aliases {WORDS}, data {WORDS}, top_classes {WORDS}, top_functions {WORDS}, classes array<{CLASS_SQL}>, functions array<{FUNCTION_SQL}>"
 
 Def = (ast.FunctionDef, ast.AsyncFunctionDef)
+#: What a file may do to the parser; anything of it makes an error row.
+TROUBLE = (SyntaxError, ValueError, RecursionError, MemoryError, AttributeError, TypeError)
 
 
-def dotted(node: ast.AST) -> str | None:
-    """a.b.c for a chain of attributes that starts with a name."""
-    parts = []
-    while isinstance(node, ast.Attribute):
-        parts.append(node.attr)
-        node = node.value
-    return ".".join([node.id, *reversed(parts)]) if isinstance(node, ast.Name) else None
+def unique(items) -> list:
+    return list(dict.fromkeys(items))
 
 
 def own_nodes(function: ast.AST) -> Iterator[ast.AST]:
-    """What belongs to a function itself, without the functions and lambdas inside it."""
-    todo = list(ast.iter_child_nodes(function))
+    """What belongs to a function itself, without the functions and lambdas inside it, from left to right."""
+    todo = list(ast.iter_child_nodes(function))[::-1]
     while todo:
-        node = todo.pop(0)
-        yield node
+        node = todo.pop()
         if not isinstance(node, (*Def, ast.Lambda)):
-            todo += ast.iter_child_nodes(node)
+            yield node
+            todo += list(ast.iter_child_nodes(node))[::-1]
 
 
 def writes(call: ast.Call) -> bool:
@@ -53,123 +51,229 @@ def writes(call: ast.Call) -> bool:
 
 
 def signature(function: ast.FunctionDef | ast.AsyncFunctionDef) -> str:
-    kind = "async def" if isinstance(function, ast.AsyncFunctionDef) else "def"
+    """The head in one line. Positional-only parameters, annotations of keyword-only ones and a bare star aren't shown."""
+    args = function.args
+    value = lambda default: f" = {ast.unparse(default)}" if default is not None else ""
+    optional = dict(zip([a.arg for a in reversed(args.args)], reversed(args.defaults), strict=False))
+    shown = [a.arg + (f": {ast.unparse(a.annotation)}" if a.annotation else "") + value(optional.get(a.arg)) for a in args.args]
+    shown += [f"*{args.vararg.arg}"] if args.vararg else []
+    shown += [a.arg + value(d) for a, d in zip(args.kwonlyargs, args.kw_defaults, strict=True)]
+    shown += [f"**{args.kwarg.arg}"] if args.kwarg else []
     back = f" -> {ast.unparse(function.returns)}" if function.returns else ""
-    return f"{kind} {function.name}({ast.unparse(function.args)}){back}:"
+    return f"{'async ' if isinstance(function, ast.AsyncFunctionDef) else ''}def {function.name}({', '.join(shown)}){back}:"
+
 
+def first_line(node: ast.AST) -> str | None:
+    doc = (ast.get_docstring(node) or "").strip()
+    return doc.splitlines()[0] if doc else None
 
-def describe(function: ast.FunctionDef | ast.AsyncFunctionDef, text: str) -> dict:
-    every, own = list(ast.walk(function)), list(own_nodes(function))
+
+def describe(function: ast.FunctionDef | ast.AsyncFunctionDef, owner: str | None, text: str) -> dict:
+    every, own, args = list(ast.walk(function)), list(own_nodes(function)), function.args
     calls = [n for n in every if isinstance(n, ast.Call)]
-    named = [c for n in calls if (c := dotted(n.func))]
-    args = function.args
-    bound = {a.arg for a in (*args.posonlyargs, *args.args, *args.kwonlyargs, *filter(None, (args.vararg, args.kwarg)))}
+    bound = {a.arg for a in (*args.args, *args.kwonlyargs, *filter(None, (args.vararg, args.kwarg)))}
     bound |= {n.id for n in every if isinstance(n, ast.Name) and isinstance(n.ctx, ast.Store)}
-    doc = (ast.get_docstring(function) or "").strip()
-    raised = [dotted(n.exc.func if isinstance(n.exc, ast.Call) else n.exc) for n in own if isinstance(n, ast.Raise) and n.exc]
+    bound |= {n.name for n in every if isinstance(n, Def) and n is not function}
+    on_names = [n for n in every if isinstance(n, ast.Attribute) and isinstance(n.value, ast.Name)]
     return {
         "name": function.name,
         "line": function.lineno,
+        "owner": owner,
         "params": [a.arg for a in args.args],
-        "calls": list(dict.fromkeys(named)),
-        "names": list(dict.fromkeys(n.id for n in every if isinstance(n, ast.Name) and isinstance(n.ctx, ast.Load))),
-        "locals": sorted(bound),
-        "raises": list(dict.fromkeys(filter(None, raised))),
-        "warns": list(dict.fromkeys(c for n in own if isinstance(n, ast.Call) and (c := dotted(n.func)) and "warn" in c.lower())),
+        "calls": unique(ast.unparse(n.func) for n in calls),
+        "bare": unique(n.func.id for n in calls if isinstance(n.func, ast.Name)),
+        "names": unique(n.id for n in every if isinstance(n, ast.Name) and isinstance(n.ctx, ast.Load) and n.id not in bound and n.id not in NOISE),
+        "roots": unique(n.value.id for n in on_names if n.value.id not in bound),
+        "selfs": unique(n.attr for n in on_names if n.value.id == "self" and isinstance(n.ctx, ast.Load)),
+        "raises": unique(ast.unparse(n.exc.func if isinstance(n.exc, ast.Call) else n.exc) for n in own if isinstance(n, ast.Raise) and n.exc),
+        "warns": unique(c for n in own if isinstance(n, ast.Call) and "warn" in (c := ast.unparse(n.func)).lower()),
         "yields": any(isinstance(n, (ast.Yield, ast.YieldFrom)) for n in own),
-        "doc": doc.splitlines()[0] if doc else None,
+        "doc": first_line(function),
         "signature": signature(function),
         "open_write": any(isinstance(n.func, ast.Name) and n.func.id == "open" and writes(n) for n in calls),
-        "source": ast.get_source_segment(text, function),
+        "source": ast.get_source_segment(text, function) or ast.unparse(function),
     }
 
 
-def parse(text: str) -> dict:
-    """Imports, module-level names and functions (methods too, breadth first) of a Python file; an unreadable one has an error."""
-    empty = {"error": None, "imports": [], "aliases": [], "data": [], "classes": [], "functions": []}
-    try:
-        tree = ast.parse(text)
-    except (SyntaxError, ValueError, RecursionError) as e:
-        return empty | {"error": str(e)[:200]}
-    out = {k: list(v or []) for k, v in empty.items() if k != "error"}
-    for node in ast.walk(tree):
-        if isinstance(node, ast.Import):
-            out["imports"] += [a.name for a in node.names]
-        elif isinstance(node, ast.ImportFrom) and node.module:
-            out["imports"].append(node.module)
-        elif isinstance(node, ast.ClassDef):
-            out["classes"].append(node.name)
-        elif isinstance(node, Def):
-            out["functions"].append(describe(node, text))
-        if isinstance(node, (ast.Import, ast.ImportFrom)):
-            out["aliases"] += [(a.asname or a.name).split(".")[0] for a in node.names]
-    for node in tree.body:
-        for target in node.targets if isinstance(node, ast.Assign) else [node.target] if isinstance(node, (ast.AnnAssign, ast.AugAssign)) else []:
-            out["data"] += [n.id for n in ast.walk(target) if isinstance(n, ast.Name)]
-    return {k: v if k == "functions" else list(dict.fromkeys(v)) for k, v in out.items()} | {"error": None}
+def assigned(body: list[ast.stmt]) -> list[str]:
+    """Plain names that assignments of a body give values to; targets in tuples and augmented ones are none."""
+    targets = [t for n in body for t in (n.targets if isinstance(n, ast.Assign) else [n.target] if isinstance(n, ast.AnnAssign) else [])]
+    return unique(t.id for t in targets if isinstance(t, ast.Name))
+
 
+def describe_class(node: ast.ClassDef, text: str) -> dict:
+    """A class's methods, and its attributes: those of its body and those that methods store on self."""
+    methods = [m for m in node.body if isinstance(m, Def)]
+    stored = [n.attr for m in methods for n in ast.walk(m) if isinstance(n, ast.Attribute) and isinstance(n.ctx, ast.Store) and isinstance(n.value, ast.Name) and n.value.id == "self"]
+    return {"name": node.name, "line": node.lineno, "methods": [m.name for m in methods], "attrs": unique(assigned(node.body) + stored), "doc": first_line(node), "source": ast.get_source_segment(text, node) or ast.unparse(node)}
 
-def compress(text: str, tags: bool = False) -> str:
-    """A module in short: imports, assignments and pure functions stay; of other functions the signature, first doc line and needs."""
+
+def parse(text: str) -> dict:
+    """What a Python file defines and uses.
+
+    imports: modules by their first segment, from anywhere; aliases, data, top_classes, top_functions: the vocabulary of
+    the top-level statements, where a plain import binds its first segment; classes and functions: all of them, methods
+    and nested ones too, breadth first.
+    """
     tree = ast.parse(text)
-    known = parse(text)
-    by_line = {(f["name"], f["line"]): f for f in known["functions"]}
-    internal = {f["name"] for f in known["functions"]}
+    every = list(ast.walk(tree))
+    owners = {id(m): c.name for c in every if isinstance(c, ast.ClassDef) for m in c.body if isinstance(m, Def)}
+    top = tree.body
+    return {
+        "imports": unique(m.split(".")[0] for n in every for m in ([a.name for a in n.names] if isinstance(n, ast.Import) else [n.module] if isinstance(n, ast.ImportFrom) and n.module else [])),
+        "aliases": unique((a.asname or a.name).split(".")[0] if isinstance(n, ast.Import) else a.asname or a.name for n in top if isinstance(n, (ast.Import, ast.ImportFrom)) for a in n.names),
+        "data": assigned(top),
+        "top_classes": unique(n.name for n in top if isinstance(n, ast.ClassDef)),
+        "top_functions": unique(n.name for n in top if isinstance(n, Def)),
+        "classes": [describe_class(n, text) for n in every if isinstance(n, ast.ClassDef)],
+        "functions": [describe(n, owners.get(id(n)), text) for n in every if isinstance(n, Def)],
+    }
+
+
+def needs(f: dict, module: dict, known: dict | None = None) -> dict[str, list[str]]:
+    """What a function takes from its module, each name under the first kind that knows it; with a class, also what it takes from self."""
+    found: dict[str, set[str]] = {"data": set(), "type": set(), "interne": set(), "externe": set()}
+    kinds = [("data", module["data"]), ("interne", module["top_functions"]), ("type", module["top_classes"]), ("externe", module["aliases"])]
+    for name in f["names"]:
+        if kind := next((k for k, names in kinds if name in names), None):
+            found[kind].add(name)
+    found["externe"] |= set(f["roots"]) & set(module["aliases"])
+    for name in f["selfs"] if known else []:
+        if name in known["methods"]:
+            found["interne"].add(f"self.{name}")
+        elif name in known["attrs"]:
+            found["data"].add(f"self.{name}")
+    return {k: sorted(v) for k, v in found.items()}
+
+
+def compress(text: str, tags: bool = False, resolve_self: bool = False) -> str:
+    """A module in short: imports, assignments and pure functions stay; of other functions the signature, first doc line and needs.
+
+    With `tags`, the needs tell raised exceptions, generators and warnings. With `resolve_self`, methods are judged by what
+    they take from self, and the class keeps its assignments, its constructor and a list of attributes set elsewhere.
+    Other statements are left out.
+    """
+    tree, module = ast.parse(text), parse(text)
     out: list[str] = []
 
-    def put(node: ast.AST, indent: str) -> None:
-        f = by_line[node.name, node.lineno]
-        used = [n for n in f["names"] if n not in f["locals"] and n not in NOISE]
-        needs = {"data": sorted({*used} & {*known["data"]}), "type": sorted({*used} & {*known["classes"]}), "interne": sorted(({*used} & internal) - {*known["data"]}), "externe": sorted({*used} & {*known["aliases"]})}
-        pure = len(needs["interne"]) < 2 and not (needs["data"] or needs["type"] or needs["externe"])
-        body = ast.unparse(node).splitlines() if pure else [f["signature"], *([f'    """{f["doc"]}"""'] if f["doc"] else []), f"    # needs: {json.dumps({k: v for k, v in needs.items() if v})}"]
-        if tags and (found := {k: f[k] for k in ("raises", "yields", "warns") if f[k]}):
-            body.append(f"    # tags: {json.dumps(found)}")
-        out.extend(indent + line for line in body)
+    def whole(node: ast.AST, indent: str) -> None:
+        out.extend(indent + line for line in ast.unparse(node).splitlines())
+
+    def put(node: ast.AST, indent: str, known: dict | None = None) -> None:
+        f = describe(node, None, text)
+        found = needs(f, module, known)
+        if len(found["interne"]) < 2 and not (found["data"] or found["type"] or found["externe"]):
+            whole(node, indent)
+            return
+        shown = {k: v for k, v in found.items() if v} | ({k: f[k] for k in ("raises", "yields", "warns") if f[k]} if tags else {})
+        doc = [f'    """{f["doc"]}"""'] if f["doc"] else []
+        out.extend(indent + line for line in [f["signature"], *doc, f"    # needs: {json.dumps(shown)}"])
 
     for node in tree.body:
         if isinstance(node, Def):
             put(node, "")
         elif isinstance(node, ast.ClassDef):
-            out.append(f"class {node.name}({', '.join(map(ast.unparse, node.bases))}):" if node.bases else f"class {node.name}:")
+            own = describe_class(node, text)
+            out.append(f"class {node.name}({', '.join(map(ast.unparse, node.bases))}):")
+            if own["doc"]:
+                out.append(f'    """{own["doc"]}"""')
+            makers = [m for m in node.body if isinstance(m, Def) and m.name in ("__init__", "__new__")]
+            if resolve_self:
+                for inner in node.body:
+                    if isinstance(inner, (ast.Assign, ast.AnnAssign)):
+                        whole(inner, "    ")
+                made = {n.attr for m in makers for n in ast.walk(m) if isinstance(n, ast.Attribute) and isinstance(n.ctx, ast.Store) and isinstance(n.value, ast.Name) and n.value.id == "self"}
+                if rest := sorted(set(own["attrs"]) - made):
+                    out.append(f"    # attrs: {', '.join(rest)}")
             for inner in node.body:
                 if isinstance(inner, Def):
-                    put(inner, "    ")
+                    if resolve_self and inner in makers:
+                        whole(inner, "    ")
+                    else:
+                        put(inner, "    ", own if resolve_self else None)
         elif isinstance(node, (ast.Import, ast.ImportFrom, ast.Assign, ast.AnnAssign)):
             out.append(ast.unparse(node))
     return "\n".join(out)
 
 
-def modules(files: DataFrame) -> DataFrame:
-    """What parse() finds in each file (file, text), one row a file; files that can't be parsed give an error, not a failure."""
+def outline(text: str) -> dict:
+    """The tree of a module: full imports, classes with their functions, free functions, their calls and what they raise by name.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [parse(t or "") for t in batch.column(1).to_pylist()]
-            words = pa.list_(pa.string())
-            yield pa.RecordBatch.from_pydict({"file": batch.column(0).cast(pa.string()), "error": pa.array([m["error"] for m in found], pa.string())} | {k: pa.array([m[k] for m in found], words) for k in ("imports", "aliases", "data", "classes")} | {"functions": pa.array([m["functions"] for m in found], pa.list_(FUNCTION))})
+    Only plain functions count, not async ones. A call on something that is no name has `?` for it.
+    """
+    every = list(ast.walk(ast.parse(text)))
 
-    importable(files.sparkSession)
-    return files.select("file", "text").mapInArrow(run, MODULE)
+    def function(node: ast.FunctionDef) -> dict:
+        inside = list(ast.walk(node))
+        calls = [n.func for n in inside if isinstance(n, ast.Call)]
+        names = [c.id if isinstance(c, ast.Name) else f"{c.value.id if isinstance(c.value, ast.Name) else '?'}.{c.attr}" for c in calls if isinstance(c, (ast.Name, ast.Attribute))]
+        raised = [n.exc.func.id for n in inside if isinstance(n, ast.Raise) and isinstance(n.exc, ast.Call) and isinstance(n.exc.func, ast.Name)]
+        return {"name": node.name, "params": [a.arg for a in node.args.args], "calls": unique(names), "raises": raised}
+
+    classes = [(c, [n for n in ast.walk(c) if isinstance(n, ast.FunctionDef)]) for c in every if isinstance(c, ast.ClassDef)]
+    inside = {id(n) for _, methods in classes for n in methods}
+    return {
+        "imports": [x for n in every for x in ([a.name for a in n.names] if isinstance(n, ast.Import) else [f"{n.module or ''}.{a.name}" for a in n.names] if isinstance(n, ast.ImportFrom) else [])],
+        "classes": [{"name": c.name, "methods": [function(m) for m in methods]} for c, methods in classes],
+        "functions": [function(n) for n in every if isinstance(n, ast.FunctionDef) and id(n) not in inside],
+    }
 
 
-def compressed(files: DataFrame, tags: bool = False) -> DataFrame:
-    """file, compressed, error of each file."""
+def each_file(files: DataFrame, one: Callable[[str], dict], schema: str) -> DataFrame:
+    """file, error and what `one` makes of the text of each file; a file that it can't take has an error and nulls, the job goes on."""
+    kinds = files.sparkSession.createDataFrame([], schema).schema
+    arrow = pa.schema([pa.field(f.name, t) for f, t in zip(kinds.fields, map(_arrow, (f.dataType for f in kinds.fields)), strict=True)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, errors = [], []
-            for text in batch.column(1).to_pylist():
+            rows = []
+            for text, error in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 try:
-                    texts.append(compress(text or "", tags))
-                    errors.append(None)
-                except (SyntaxError, ValueError, RecursionError) as e:
-                    texts.append(None)
-                    errors.append(str(e)[:200])
-            yield pa.RecordBatch.from_pydict({"file": batch.column(0).cast(pa.string()), "compressed": pa.array(texts, pa.string()), "error": pa.array(errors, pa.string())})
+                    rows.append({"error": error} | (one(text or "") if error is None else {}))
+                except TROUBLE as e:
+                    rows.append({"error": f"{type(e).__name__}: {e}"[:200]})
+            columns = [pa.array([r.get(f.name) for r in rows], f.type) for f in arrow if f.name != "file"]
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.string()), *columns], schema=arrow)
 
     importable(files.sparkSession)
-    return files.select("file", "text").mapInArrow(run, "file string, compressed string, error string")
+    lang = language(F.col("file"))
+    error = F.when(lang != "python", F.concat(F.lit("no parser for "), lang))
+    error = F.coalesce("error", error) if "error" in files.columns else error
+    return files.select("file", "text", error.alias("error")).mapInArrow(run, schema)
+
+
+def _arrow(kind) -> pa.DataType:
+    from pyspark.sql import types as T
+
+    if isinstance(kind, T.ArrayType):
+        return pa.list_(_arrow(kind.elementType))
+    if isinstance(kind, T.StructType):
+        return pa.struct([(f.name, _arrow(f.dataType)) for f in kind.fields])
+    return {"string": pa.string(), "int": pa.int32(), "boolean": pa.bool_()}[kind.simpleString()]
+
+
+def modules(files: DataFrame) -> DataFrame:
+    """What parse() finds in each file (file, text and, if there is one, the error of reading it), one row a file."""
+    return each_file(files, parse, MODULE)
+
+
+def compressed(files: DataFrame, tags: bool = False, resolve_self: bool = False) -> DataFrame:
+    """file, error, compressed of each file."""
+    return each_file(files, lambda text: {"compressed": compress(text, tags, resolve_self)}, "file string, error string, compressed string")
+
+
+OUTLINE_FUNCTION = f"struct<name:string,params:{WORDS},calls:{WORDS},raises:{WORDS}>"
+
+
+def outlines(files: DataFrame) -> DataFrame:
+    """file, error, imports, classes (with their methods), functions: the tree of each module."""
+    return each_file(files, outline, f"file string, error string, imports {WORDS}, classes array<struct<name:string,methods:array<{OUTLINE_FUNCTION}>>>, functions array<{OUTLINE_FUNCTION}>")
+
+
+def with_sizes(files: DataFrame, short: DataFrame, count: Callable[[Column], Column]) -> DataFrame:
+    """file, compressed, tokens_before, tokens_after and the percentage saved, by any counter of tokens."""
+    both = files.select("file", count(F.col("text")).alias("tokens_before")).join(short.select("file", "compressed", "error", count(F.col("compressed")).alias("tokens_after")), "file")
+    return both.withColumn("reduction_pct", costs.reduction_pct(F.col("tokens_before"), F.col("tokens_after")))
 
 
 def functions(parsed: DataFrame) -> DataFrame:
@@ -178,87 +282,162 @@ def functions(parsed: DataFrame) -> DataFrame:
 
 
 def call_edges(parsed: DataFrame) -> DataFrame:
-    """file, caller, callee of calls to functions of the same file (a semi join); definitions of one name are taken together."""
+    """file, caller, callee of calls by bare name to functions of the same file (a semi join); definitions of one name are taken together."""
     own = functions(parsed)
-    calls = own.select("file", F.col("name").alias("caller"), F.explode("calls").alias("callee"))
+    calls = own.select("file", F.col("name").alias("caller"), F.explode("bare").alias("callee"))
     return calls.join(own.select("file", F.col("name").alias("callee")).distinct(), ["file", "callee"], "left_semi").select("file", "caller", "callee").distinct()
 
 
-def dependencies(parsed: DataFrame) -> DataFrame:
-    """file, name, data, type, interne, externe, role of each function: its names that are no locals, by the first kind that knows them."""
+def dependencies(parsed: DataFrame, resolve_self: bool = False) -> DataFrame:
+    """file, ord, name, data, type, interne, externe, role of each function: its names that are no locals, by the first kind that knows them.
+
+    Known are the names of top-level statements. With `resolve_self`, methods also depend on what they take from self.
+    """
     own = functions(parsed)
-    used = own.select("file", "ord", "name", F.explode(F.array_except(F.array_except("names", "locals"), F.array(*map(F.lit, NOISE)))).alias("used"))
-    kinds = [("data", parsed.select("file", F.explode("data").alias("used"))), ("interne", own.select("file", F.col("name").alias("used"))), ("type", parsed.select("file", F.explode("classes").alias("used"))), ("externe", parsed.select("file", F.explode("aliases").alias("used")))]
-    known = None
-    for i, (kind, names) in enumerate(kinds):
-        part = names.distinct().withColumn("kind", F.struct(F.lit(i).alias("i"), F.lit(kind).alias("k")))
-        known = part if known is None else known.unionByName(part)
-    known = known.groupBy("file", "used").agg(F.min("kind").alias("kind"))
-    sets = [F.sort_array(F.collect_set(F.when(F.col("kind.k") == k, F.col("used")))).alias(k) for k in ("data", "type", "interne", "externe")]
-    found = used.join(known, ["file", "used"]).groupBy("file", "ord", "name").agg(*sets)
-    empty = F.array().cast("array<string>")
-    out = own.select("file", "ord", "name").join(found, ["file", "ord", "name"], "left")
-    out = out.select("file", "ord", "name", *[F.coalesce(k, empty).alias(k) for k in ("data", "type", "interne", "externe")])
-    return out.withColumn("role", role(F.size("interne"), F.size("data") + F.size("type") + F.size("externe")))
+    vocabulary = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(kind).alias("kind"), F.col(c).alias("names")) for i, (kind, c) in enumerate((("data", "data"), ("interne", "top_functions"), ("type", "top_classes"), ("externe", "aliases")))])
+    known = parsed.select("file", F.inline(vocabulary)).select("file", "i", "kind", F.explode("names").alias("used"))
+    first = known.groupBy("file", "used").agg(F.min_by("kind", "i").alias("kind"))
+    by_name = own.select("file", "ord", F.explode("names").alias("used")).join(first, ["file", "used"]).select("file", "ord", "kind", "used")
+    roots = own.select("file", "ord", F.explode("roots").alias("used")).join(known.where("kind = 'externe'").drop("i"), ["file", "used"]).select("file", "ord", "kind", "used")
+    found = by_name.unionByName(roots)
+    if resolve_self:
+        classes = parsed.select("file", F.inline("classes")).groupBy("file", "name").agg(F.first("methods").alias("methods"), F.first("attrs").alias("attrs")).withColumnRenamed("name", "owner")
+        selfs = own.where("owner is not null").select("file", "ord", "owner", F.explode("selfs").alias("x")).join(classes, ["file", "owner"])
+        kind = F.when(F.array_contains("methods", F.col("x")), "interne").when(F.array_contains("attrs", F.col("x")), "data")
+        found = found.unionByName(selfs.select("file", "ord", kind.alias("kind"), F.concat(F.lit("self."), "x").alias("used")).where("kind is not null"))
+    kinds = ("data", "type", "interne", "externe")
+    sets = found.groupBy("file", "ord").agg(*[F.sort_array(F.collect_set(F.when(F.col("kind") == k, F.col("used")))).alias(k) for k in kinds])
+    empty = F.array().cast(WORDS)
+    out = own.select("file", "ord", "name").join(sets, ["file", "ord"], "left").select("file", "ord", "name", *[F.coalesce(k, empty).alias(k) for k in kinds])
+    return out.withColumn("role", costs.role(F.size("interne"), F.size("data") + F.size("type") + F.size("externe")))
 
 
 def matches(call: Column, names: list[str]) -> Column:
     return call.isin(names) | root_segment(call).isin(names)
 
 
+def scanned(parsed: DataFrame) -> DataFrame:
+    """file, ord, name, line, high, medium: risky calls of each function of the Python files.
+
+    A call of high risk is no medium one, and an open() counts where it may write. Line and mode are those of the first
+    function of the name in the file.
+    """
+    own = functions(parsed.where(F.col("error").isNull() & F.col("file").endswith(".py")))
+    firsts = first_row(own.select("file", "name", "ord", "line", "open_write"), ["file", "name"], "ord").drop("ord")
+    own = own.select("file", "ord", "name", "calls").join(firsts, ["file", "name"])
+    risky = F.filter("calls", lambda c: c != "open")
+    medium = F.filter(risky, lambda c: ~matches(c, HIGH) & matches(c, MEDIUM))
+    opens = F.array_contains("calls", "open") & F.col("open_write")
+    return own.select("file", "ord", "name", "line", F.filter(risky, lambda c: matches(c, HIGH)).alias("high"), F.when(opens, F.array_append(medium, F.lit("open"))).otherwise(medium).alias("medium"))
+
+
 def security_surface(parsed: DataFrame) -> DataFrame:
-    """file, name, line, level (high, medium, clean), calls: risky calls of each function; high ones hide medium ones, and reading open() is none."""
-    own = functions(parsed).where(F.col("file").endswith(".py"))
-    calls = F.filter("calls", lambda c: c != "open")
-    calls = F.when(F.col("open_write"), F.array_append(calls, F.lit("open"))).otherwise(calls)
-    own = own.withColumn("high", F.filter(calls, lambda c: matches(c, HIGH))).withColumn("medium", F.filter(calls, lambda c: matches(c, MEDIUM)))
+    """file, name, line, level (high, medium, clean), calls: the risky calls of each function; high ones hide medium ones."""
     level = F.when(F.size("high") > 0, "high").when(F.size("medium") > 0, "medium").otherwise("clean")
-    lines = first_row(own.select("file", "name", "ord", "line"), ["file", "name"], "ord").select("file", "name", "line")
     hit = F.when(F.size("high") > 0, F.col("high")).otherwise(F.col("medium"))
-    return own.select("file", "ord", "name", level.alias("level"), hit.alias("calls")).join(lines, ["file", "name"]).select("file", "name", "line", "level", "calls")
+    return scanned(parsed).select("file", "name", "line", level.alias("level"), hit.alias("calls"))
+
+
+def security_summary(parsed: DataFrame) -> DataFrame:
+    """One row: functions of high and of medium risk, functions and files scanned, and files without a risky function."""
+    per_file = security_surface(parsed).groupBy("file").agg(F.count("*").alias("n"), F.count_if(F.col("level") == "high").alias("high"), F.count_if(F.col("level") == "medium").alias("medium"))
+    files = parsed.where(F.col("error").isNull() & F.col("file").endswith(".py")).select("file").join(per_file, "file", "left")
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    clean = F.count_if(F.coalesce(F.col("high") + F.col("medium"), F.lit(0)) == 0)
+    return files.agg(total("high").alias("high_risk_count"), total("medium").alias("medium_risk_count"), total("n").alias("total_functions_scanned"), F.count("*").alias("total_files_scanned"), clean.alias("clean_files"))
+
 
+def clean_files(parsed: DataFrame) -> DataFrame:
+    """The Python files without a risky function."""
+    risky = security_surface(parsed).where("level <> 'clean'").select("file").distinct()
+    return parsed.where(F.col("error").isNull() & F.col("file").endswith(".py")).select("file").join(risky, "file", "left_anti")
 
-def risk_histogram(surface: DataFrame) -> DataFrame:
-    """Risky calls by their root module."""
-    return surface.where("level <> 'clean'").select(F.explode("calls").alias("call")).groupBy(root_segment(F.col("call")).alias("module")).agg(F.count("*").alias("n"))
+
+def risk_histogram(parsed: DataFrame) -> DataFrame:
+    """Risky calls, high and medium ones, by their root module."""
+    return scanned(parsed).select(F.explode(F.concat("high", "medium")).alias("call")).groupBy(root_segment(F.col("call")).alias("module")).agg(F.count("*").alias("n"))
 
 
 def repo_totals(parsed: DataFrame) -> DataFrame:
-    """Files, different functions and classes a file, different imports, and files with errors."""
-    sizes = parsed.select("file", "error", F.size(F.array_distinct(F.transform("functions", lambda f: f["name"]))).alias("f"), F.size(F.array_distinct("classes")).alias("c"))
-    totals = sizes.agg(F.count("*").alias("files"), F.sum("f").alias("functions"), F.sum("c").alias("classes"), F.count_if(F.col("error").isNotNull()).alias("errors"))
-    imports = parsed.select(F.explode("imports").alias("module")).agg(F.count_distinct("module").alias("imports"))
+    """Files that parse, their different top-level functions and classes, different names that they import, and files with errors."""
+    good = parsed.where("error is null")
+    totals = parsed.agg(F.count_if(F.col("error").isNull()).alias("files"), F.coalesce(F.sum(F.size("top_functions")), F.lit(0)).alias("functions"), F.coalesce(F.sum(F.size("top_classes")), F.lit(0)).alias("classes"), F.count_if(F.col("error").isNotNull()).alias("errors"))
+    imports = good.select(F.explode("aliases").alias("module")).agg(F.count_distinct("module").alias("imports"))
     return totals.crossJoin(F.broadcast(imports))  # one row each
 
 
 def expand(parsed: DataFrame, wanted: DataFrame) -> DataFrame:
-    """file, name, source, missing for the wanted (file, name): the first definition of each, or none."""
-    first = first_row(functions(parsed), ["file", "name"], "ord").select("file", "name", "source")
-    return wanted.join(first, ["file", "name"], "left").withColumn("missing", F.col("source").isNull())
+    """file, name, kind, source, data, type, interne, externe, missing for the wanted (file, name): the first definition of each, or none.
+
+    A class has no dependencies. Where a class and a function share a name, the one that stands first in the file is meant.
+    """
+    places = functions(parsed).select("file", "name", "line", F.lit("function").alias("kind"), "source", "ord")
+    places = places.unionByName(parsed.select("file", F.inline("classes")).select("file", "name", "line", F.lit("class").alias("kind"), "source", F.lit(None).cast("int").alias("ord")))
+    first = first_row(places, ["file", "name"], "line")
+    deps = dependencies(parsed).select("file", "ord", "data", "type", "interne", "externe")
+    out = wanted.join(first, ["file", "name"], "left").join(deps, ["file", "ord"], "left")
+    return out.select("file", "name", "kind", "source", "data", "type", "interne", "externe", F.col("source").isNull().alias("missing"))
 
 
 def flat_contract(parsed: DataFrame) -> DataFrame:
-    """file, name, ord, params, calls: the calls of each function to functions of its file, in order of first use."""
+    """file, ord, name, params, calls: the calls of each function to functions of its file, in order of first use."""
     names = parsed.select("file", F.transform("functions", lambda f: f["name"]).alias("all"))
     own = functions(parsed).join(names, "file")
-    return own.select("file", "ord", "name", "params", F.filter("calls", lambda c: F.array_contains(F.col("all"), c)).alias("calls"))
+    return own.select("file", "ord", "name", "params", F.filter("bare", lambda c: F.array_contains(F.col("all"), c)).alias("calls"))
+
+
+def contract_json(parsed: DataFrame) -> DataFrame:
+    """file, contract: the imports and the functions with their parameters and all their calls, as JSON text; or the error."""
+    entry = F.transform("functions", lambda f: F.struct(f["name"].alias("name"), f["params"].alias("params"), f["calls"].alias("calls"), f["doc"].alias("doc")))
+    return parsed.select("file", F.to_json(F.struct("error", "imports", entry.alias("functions"))).alias("contract"))
 
 
 def languages() -> dict[str, str]:
     """Language by extension."""
-    return {".py": "python", ".js": "javascript", ".jsx": "javascript", ".mjs": "javascript", ".ts": "typescript", ".tsx": "typescript"}
+    return {".py": "python", ".js": "javascript", ".jsx": "javascript", ".mjs": "javascript", ".cjs": "javascript", ".ts": "typescript", ".tsx": "tsx"}
 
 
-def health(files: DataFrame, parsed: DataFrame, raw: Column, short: Column) -> DataFrame:
-    """Per language: files, functions, classes, raw and compressed size; a file that couldn't be compressed counts as it is."""
+def language(file: Column) -> Column:
     table = F.create_map(*[F.lit(x) for kv in languages().items() for x in kv])
-    lang = F.coalesce(F.try_element_at(table, F.lower(F.regexp_extract("file", r"(\.[^./]*)$", 1))), F.lit("python"))
-    counts = parsed.select("file", F.size("functions").alias("f"), F.size("classes").alias("c"))
-    own = files.select("file", lang.alias("lang"), raw.alias("raw"), F.coalesce(short, raw).alias("short")).join(counts, "file", "left")
-    return own.groupBy("lang").agg(F.count("*").alias("files"), F.sum("f").alias("functions"), F.sum("c").alias("classes"), F.sum("raw").alias("raw"), F.sum("short").alias("compressed"))
+    return F.coalesce(F.try_element_at(table, extension(file)), F.lit("python"))
+
+
+def health(files: DataFrame, parsed: DataFrame, short: DataFrame, count: Callable[[Column], Column]) -> DataFrame:
+    """Per language: files, functions, classes, raw and compressed tokens; a file that couldn't be compressed counts as it is. Files with errors are left out."""
+    counts = parsed.where("error is null").select("file", F.size("top_functions").alias("f"), F.size("top_classes").alias("c"))
+    own = files.select("file", language(F.col("file")).alias("lang"), count(F.col("text")).alias("raw")).join(counts, "file").join(short.select("file", count(F.col("compressed")).alias("short")), "file", "left")
+    return own.groupBy("lang").agg(F.count("*").alias("files"), F.sum("f").alias("functions"), F.sum("c").alias("classes"), F.sum("raw").alias("raw"), F.sum(F.coalesce("short", "raw")).alias("compressed"))
+
+
+def health_totals(by_language: DataFrame) -> DataFrame:
+    """The rows of health() and one for all languages (whose lang is null), with the percentage gained."""
+    sums = by_language.rollup("lang").agg(*[F.sum(c).alias(c) for c in ("files", "functions", "classes", "raw", "compressed")])
+    return sums.withColumn("gain_pct", costs.reduction_pct(F.col("raw"), F.col("compressed")))
+
+
+def status_json(by_language: DataFrame, histogram: DataFrame, parsed: DataFrame) -> DataFrame:
+    """One row of JSON text: languages, tokens, risky calls and the errors of a repository (lists by language, module and error; files with one error are counted)."""
+    langs = by_language.agg(F.sort_array(F.collect_list(F.struct("lang", "files", "functions", "classes", "raw", "compressed"))).alias("by_language"), F.sum("raw").alias("raw"), F.sum("compressed").alias("short"))
+    risks = histogram.agg(F.sort_array(F.collect_list(F.struct("module", "n"))).alias("security"))
+    errors = parsed.where("error is not null").groupBy("error").agg(F.count("*").alias("files")).agg(F.sort_array(F.collect_list(F.struct("error", "files"))).alias("errors"))
+    one = langs.crossJoin(F.broadcast(risks)).crossJoin(F.broadcast(errors))  # one row each
+    tokens = F.struct("raw", F.col("short").alias("compressed"), costs.reduction_pct(F.col("raw"), F.col("short")).alias("gain_pct")).alias("tokens")
+    return one.select(F.to_json(F.struct("by_language", tokens, "security", "errors")).alias("status"))
+
+
+def status_lines(by_language: DataFrame, histogram: DataFrame, parsed: DataFrame, errors: int = 5) -> DataFrame:
+    """section, ord, label, value: the same as a report, languages by name, risks by count and the first few errors with how many more there are."""
+    from specto.functions.text import thousands
+
+    langs = health_totals(by_language).select(F.lit("language").alias("section"), F.row_number().over(_by(F.col("lang").asc_nulls_last())).alias("ord"), F.coalesce("lang", F.lit("Total")).alias("label"), F.concat_ws(" ", thousands(F.col("files")), thousands(F.col("functions")), thousands(F.col("classes")), thousands(F.col("raw")), thousands(F.col("compressed")), F.concat("gain_pct", F.lit("%"))).alias("value"))
+    risks = histogram.select(F.lit("security").alias("section"), F.row_number().over(_by(F.desc("n"), F.col("module"))).alias("ord"), F.col("module").alias("label"), thousands(F.col("n")).alias("value"))
+    bad = parsed.where("error is not null").select("file", "error")
+    few = bad.orderBy("file").limit(errors).select(F.lit("errors").alias("section"), F.row_number().over(_by(F.col("file"))).alias("ord"), F.col("file").alias("label"), F.col("error").alias("value"))
+    more = bad.agg((F.count("*") - errors).alias("n")).where("n > 0").select(F.lit("errors").alias("section"), F.lit(errors + 1).alias("ord"), F.lit("more").alias("label"), thousands(F.col("n")).alias("value"))
+    return langs.unionByName(risks).unionByName(few).unionByName(more)
+
 
+def _by(*order):
+    from pyspark.sql import Window
 
-def in_order(df: DataFrame, keys: list[str], order: str, value: str) -> DataFrame:
-    """Different values in the order in which they first occur."""
-    w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    return df.select(*keys, F.array_distinct(F.collect_list(value).over(w)).alias(value)).distinct()
+    return Window.partitionBy(F.lit(0)).orderBy(*order)  # over a few rows: languages, modules of risk, or the errors shown

@@ -1,4 +1,7 @@
-"""Closures over edge tables: what a change reaches, and nodes on cycles. A round is a join; only a row count comes to the driver."""
+"""Closures over edge tables: what a change reaches, and nodes on cycles. A step is a join; only counts come to the driver.
+
+Several steps make one job, whose result is written to the checkpoint folder; no depth is too deep.
+"""
 
 from __future__ import annotations
 
@@ -9,27 +12,34 @@ from pyspark.sql import functions as F
 
 from specto.functions.costs import risk_level
 
+STEPS = 4  # in one job
+
 
 def cut(df: DataFrame) -> DataFrame:
-    """Writes df to the session's checkpoint folder (its own one only where none is named) and goes on from there."""
-    spark = df.sparkSession
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="specto-checkpoint-"))
+    """Writes df to the session's checkpoint folder and goes on from there; a folder of this machine will do only where the master is local."""
+    sc = df.sparkSession.sparkContext
+    if not sc.getCheckpointDir():
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="specto-checkpoint-"))
     return df.checkpoint()
 
 
-def reach_back(edges: DataFrame, target, rounds: int = 1000) -> DataFrame:
+def reach_back(edges: DataFrame, target) -> DataFrame:
     """node, depth of all that lead to the target by edges (src, dst); the target itself is left out, even on a cycle."""
-    edges = edges.select("src", "dst").where("src <> dst").distinct()
+    edges = cut(edges.select("src", "dst").where("src <> dst").distinct())
     seen = edges.sparkSession.createDataFrame([(target, 0)], f"node {dict(edges.dtypes)['src']}, depth int")
-    front = seen
-    for depth in range(1, rounds + 1):
-        nodes = edges.join(front.select(F.col("node").alias("dst")), "dst").select(F.col("src").alias("node")).distinct()
-        front = cut(nodes.join(seen, "node", "left_anti").select("node", F.lit(depth).alias("depth")))
-        if front.isEmpty():
+    depth = 0
+    while True:
+        front = seen.where(F.col("depth") == depth)
+        for depth in range(depth + 1, depth + 1 + STEPS):
+            nodes = edges.join(front.select(F.col("node").alias("dst")), "dst").select(F.col("src").alias("node")).distinct()
+            front = nodes.join(seen, "node", "left_anti").select("node", F.lit(depth).alias("depth"))
+            seen = seen.unionByName(front)
+        seen = cut(seen)
+        if seen.where(F.col("depth") == depth).isEmpty():
             return seen.where(F.col("depth") > 0)
-        seen = cut(seen.unionByName(front)) if depth % 8 == 0 else seen.unionByName(front)
-    raise RuntimeError("the closure did not settle")
 
 
 def blast_radius(edges: DataFrame, target) -> DataFrame:
@@ -39,19 +49,60 @@ def blast_radius(edges: DataFrame, target) -> DataFrame:
     return hit.select("node", (F.col("depth") == 1).alias("direct")).join(F.broadcast(n)).withColumn("level", risk_level(F.col("impacted")))
 
 
-def on_cycles(edges: DataFrame, rounds: int = 64) -> DataFrame:
-    """Nodes that reach themselves. Paths are doubled each round: the pairs after n rounds cover paths of 2^n edges."""
-    trimmed = cut(edges.select("src", "dst").distinct())
-    for _ in range(1000):  # a node without a way in or out is on no cycle
-        kept = cut(trimmed.join(trimmed.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(trimmed.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"))
-        if kept.count() == trimmed.count():
+def trimmed(edges: DataFrame) -> DataFrame:
+    """Without the edges of nodes that have no way in or no way out, until all have both: those are on no cycle."""
+    n = edges.count()
+    while n:
+        for _ in range(STEPS):
+            ways_in, ways_out = edges.select(F.col("dst").alias("src")).distinct(), edges.select(F.col("src").alias("dst")).distinct()
+            edges = edges.join(ways_in, "src", "left_semi").join(ways_out, "dst", "left_semi").select("src", "dst")
+        edges = cut(edges)
+        left = edges.count()
+        if left == n:
             break
-        trimmed = kept
-    reach = trimmed
-    for _ in range(rounds):
-        further = reach.select("src", F.col("dst").alias("mid")).join(reach.select(F.col("src").alias("mid"), "dst"), "mid").select("src", "dst")
-        wider = cut(reach.unionByName(further).distinct())
-        if wider.count() == reach.count():
-            break
-        reach = wider
-    return reach.where("src = dst").select(F.col("src").alias("node"))
+        n = left
+    return edges
+
+
+def highest_ancestor(edges: DataFrame) -> DataFrame:
+    """node, label: the largest node that reaches each node, itself included."""
+    labels = edges.select(F.col("src").alias("node")).unionByName(edges.select(F.col("dst").alias("node"))).distinct().withColumn("label", F.col("node"))
+    while True:
+        start = labels
+        for _ in range(STEPS):
+            given = edges.join(labels.withColumnRenamed("node", "src"), "src").select(F.col("dst").alias("node"), "label")
+            labels = labels.unionByName(given).groupBy("node").agg(F.max("label").alias("label"))
+        labels = cut(labels)
+        if labels.join(start.withColumnRenamed("label", "before"), "node").where("label <> before").isEmpty():
+            return labels
+
+
+def on_cycles(edges: DataFrame) -> DataFrame:
+    """Nodes that reach themselves: those of strongly connected components of two and more nodes, and those with an edge to themselves.
+
+    What no cycle can hold is trimmed. Each node is labelled with its highest ancestor; a component lies within one label,
+    and what leads back to the node of the label's own name, within the label, is its component. It is taken out, and the
+    rest is trimmed and labelled anew. No table grows beyond the edges.
+    """
+    edges = cut(edges.select("src", "dst").distinct())
+    found = edges.where("src = dst").select(F.col("src").alias("node"))
+    rest = trimmed(edges.where("src <> dst"))
+    while not rest.isEmpty():
+        labels = highest_ancestor(rest)
+        ends = rest.join(labels.select(F.col("node").alias("src"), F.col("label").alias("a")), "src").join(labels.select(F.col("node").alias("dst"), F.col("label").alias("b")), "dst")
+        within = cut(ends.where("a = b").select("src", "dst"))
+        part = labels.where("node = label").select("node")
+        n = part.count()
+        while True:
+            for _ in range(STEPS):
+                part = part.unionByName(within.join(part.withColumnRenamed("node", "dst"), "dst").select(F.col("src").alias("node"))).distinct()
+            part = cut(part)
+            more = part.count()
+            if more == n:
+                break
+            n = more
+        sizes = part.join(labels, "node").groupBy("label").agg(F.count("*").alias("size")).where("size > 1")
+        found = found.unionByName(part.join(labels, "node").join(sizes, "label", "left_semi").select("node"))
+        outside = within.join(part.withColumnRenamed("node", "src"), "src", "left_anti").join(part.withColumnRenamed("node", "dst"), "dst", "left_anti").select("src", "dst")
+        rest = trimmed(cut(outside))
+    return found.distinct()

@@ -52,12 +52,16 @@ def above(best: DataFrame, min_score: float) -> DataFrame:
 
 
 def keyword_route(queries: DataFrame, tools: DataFrame) -> DataFrame:
-    """For each query (id, words) the tool (id, name, description) whose name or description holds most of its words; the smaller id on ties."""
+    """For each query (id, words) the tool (id, name, description) whose name or description holds most of its words; the smaller id on ties, null without tools.
+
+    Ids may be of any type that sorts.
+    """
     q = queries.select(F.col("id").alias("query_id"), "words")
-    hit = F.size(F.filter("words", lambda w: F.contains(F.col("name"), w) | F.contains(F.col("description"), w)))
+    hit = F.size(F.filter("words", lambda w: F.contains(F.col("name"), w) | F.contains(F.coalesce("description", F.lit("")), w)))
     scored = facing(tools.select(F.col("id").alias("tool_id"), "name", "description"), q).select("query_id", "tool_id", hit.alias("score"))
-    best = scored.groupBy("query_id").agg(F.max(F.struct("score", (-F.col("tool_id")).alias("m"))).alias("b"))
-    return best.select("query_id", (-F.col("b.m")).alias("tool_id"), F.col("b.score").alias("score"))
+    # the best score of each query first, then the smallest id among those that have it: both are combined before the shuffle
+    best = scored.groupBy("query_id", "score").agg(F.min("tool_id").alias("tool_id")).groupBy("query_id").agg(F.max_by("tool_id", "score").alias("tool_id"), F.max("score").alias("score"))
+    return q.select("query_id").join(best, "query_id", "left")
 
 
 def route_with_fallback(queries: DataFrame, tools: DataFrame, min_score: float) -> DataFrame:

@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from specto.functions import costs, text
-from specto.operators import code, graphs, routing, schemas, stats
+from specto.functions.tokens import pieces
+from specto.operators import code, graphs, reports, routing, schemas, stats
+from specto.plans.fixtures import BODY as TASK
+from specto.plans.fixtures import CODE, FILE, LIMIT, MADE, PARSES, SCHEMA, THING, by_case, lines, part_code, part_tools
+from specto.sources import catalogs
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -79,13 +83,6 @@ def first_sentence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", *[text.first_sentence(F.col("text"), n).alias(f"s{n}") for n in (70, 80, 140)])
 
 
-@query("reduction_pct", f"SELECT doc_id, n_chars AS before, after, CASE WHEN n_chars <> 0 THEN (n_chars - after)::DOUBLE / n_chars ELSE 0 END AS share FROM (SELECT doc_id, n_chars, length({SENTENCE.format(n=140)})::BIGINT AS after FROM {BODY})")
-def reduction_pct(spark: SparkSession, sf_dir: str) -> DataFrame:
-    after = F.length(text.first_sentence(F.col("text"), 140)).cast("long")
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("n_chars").alias("before"), after.alias("after"))
-    return docs.withColumn("share", F.when(F.col("before") != 0, (F.col("before") - F.col("after")).cast("double") / F.col("before")).otherwise(F.lit(0.0)))
-
-
 @query("request_cost", f"SELECT doc_id, (n_chars * 100 + 250000)::DOUBLE / 1e8 AS cost_before, (after * 100 + 250000)::DOUBLE / 1e8 AS cost_after, ((n_chars - after) * 100)::DOUBLE / 1e8 AS savings FROM (SELECT doc_id, n_chars, length({SENTENCE.format(n=140)})::BIGINT AS after FROM {BODY})")
 def request_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "n_chars", F.length(text.first_sentence(F.col("text"), 140)).cast("long").alias("after"))
@@ -111,13 +108,6 @@ def url_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", text.last_segment(F.col("url")).alias("last"), text.root_segment(host).alias("root"))
 
 
-@query("catalog_union", "SELECT 'benchmark' AS server, 'b' || item_id AS name, coalesce(text, '') AS description FROM benchmark UNION ALL SELECT source, 'd' || doc_id, coalesce(text, '') FROM documents")
-def catalog_union(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = table(spark, sf_dir, "benchmark").select(F.lit("benchmark").alias("server"), F.concat(F.lit("b"), F.col("item_id")).alias("name"), F.coalesce("text", F.lit("")).alias("description"))
-    b = table(spark, sf_dir, "documents").select(F.col("source").alias("server"), F.concat(F.lit("d"), F.col("doc_id")).alias("name"), F.coalesce("text", F.lit("")).alias("description"))
-    return a.unionByName(b)
-
-
 @query("first_def_wins", "SELECT source, min(doc_id) AS doc_id, min_by(n_chars, doc_id) AS n_chars FROM documents GROUP BY 1")
 def first_def_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.first_wins(table(spark, sf_dir, "documents"), "source", "doc_id", "n_chars")
@@ -145,43 +135,6 @@ def topk_prefix_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.prefix_costs(table(spark, sf_dir, "documents"), "source", "n_chars", "doc_id")
 
 
-@query("index_lookup", "SELECT d.doc_id, coalesce(l.quality, -1) AS quality FROM documents d LEFT JOIN labels l USING (doc_id)")
-def index_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id").join(table(spark, sf_dir, "labels"), "doc_id", "left").select("doc_id", F.coalesce("quality", F.lit(-1)).alias("quality"))
-
-
-@query("internal_calls", "SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0)")
-def internal_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    known = table(spark, sf_dir, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("o_custkey"))
-    return table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey").join(known, "o_custkey", "left_semi").select("o_orderkey", "o_custkey")
-
-
-@query("lost_atoms", "SELECT doc_id, source FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)")
-def lost_atoms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", "source").join(table(spark, sf_dir, "labels"), "doc_id", "left_anti")
-
-
-@query("unresolved_refs", "SELECT DISTINCT l_partkey AS ref FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_size > 10)")
-def unresolved_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    known = table(spark, sf_dir, "part").where("p_size > 10").select(F.col("p_partkey").alias("ref"))
-    return table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("ref")).distinct().join(known, "ref", "left_anti")
-
-
-PRIORITY = ("purchase", "signup", "click", "view", "error")
-
-
-@query("dep_classify", "SELECT user_id, min_by(event_type, CASE event_type " + " ".join(f"WHEN '{k}' THEN {i}" for i, k in enumerate(PRIORITY)) + " ELSE 9 END) AS kind FROM events WHERE event_type IN ('purchase', 'signup', 'click', 'view', 'error') GROUP BY 1")
-def dep_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rank = F.array_position(F.array(*map(F.lit, PRIORITY)), F.col("event_type"))
-    return table(spark, sf_dir, "events").where(F.col("event_type").isin(*PRIORITY)).groupBy("user_id").agg(F.min_by("event_type", rank).alias("kind"))
-
-
-@query("contract_verdict", "SELECT lang, bool_and(coalesce(quality, 1) = 1) AS ok, count(*) AS n FROM documents LEFT JOIN labels USING (doc_id) GROUP BY 1")
-def contract_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "documents").select("doc_id", "lang").join(table(spark, sf_dir, "labels"), "doc_id", "left")
-    return rows.groupBy("lang").agg(F.bool_and(F.coalesce("quality", F.lit(1)) == 1).alias("ok"), F.count("*").alias("n"))
-
-
 @query(
     "route_threshold",
     """
@@ -211,23 +164,6 @@ def keyword_route(spark: SparkSession, sf_dir: str) -> DataFrame:
     return routing.keyword_route(q, table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), name.alias("name"), F.lower("text").alias("description")))
 
 
-@query("risk_surface", "SELECT user_id, CASE WHEN bool_or(event_type = 'error') THEN 'high' WHEN bool_or(event_type = 'purchase') THEN 'medium' ELSE 'clean' END AS level, count_if(event_type IN ('error', 'purchase'))::BIGINT AS calls FROM events GROUP BY 1")
-def risk_surface(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kind = F.col("event_type")
-    level = F.when(F.bool_or(kind == "error"), "high").when(F.bool_or(kind == "purchase"), "medium").otherwise("clean")
-    return table(spark, sf_dir, "events").groupBy("user_id").agg(level.alias("level"), F.count_if(kind.isin("error", "purchase")).alias("calls"))
-
-
-@query("risk_histogram", "SELECT split_part(event_type, '.', 1) AS module, count(*) AS n FROM events GROUP BY 1")
-def risk_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").groupBy(text.root_segment(F.col("event_type")).alias("module")).agg(F.count("*").alias("n"))
-
-
-@query("repo_totals", "SELECT lang, count(*) AS files, count(DISTINCT source) AS sources, sum(n_chars)::BIGINT AS raw FROM documents GROUP BY ROLLUP (lang)")
-def repo_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").rollup("lang").agg(F.count("*").alias("files"), F.count_distinct("source").alias("sources"), F.sum("n_chars").alias("raw"))
-
-
 @query(
     "blast_radius",
     """
@@ -244,17 +180,6 @@ def blast_radius(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graphs.blast_radius(edges, 1)
 
 
-@query(
-    "ref_cycles",
-    """
-    WITH RECURSIVE e AS (SELECT DISTINCT n_nationkey AS src, n_regionkey AS dst FROM nation),
-    r AS (SELECT src, dst FROM e UNION SELECT r.src, e.dst FROM r JOIN e ON r.dst = e.src) SELECT DISTINCT src AS node FROM r WHERE src = dst
-    """,
-)
-def ref_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graphs.on_cycles(table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("src"), F.col("n_regionkey").alias("dst")))
-
-
 @query(
     "semantic_diff",
     """
@@ -270,31 +195,91 @@ def semantic_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.interface_diff(part.where("p_size <= 40"), new, "p_partkey", "s", "b")
 
 
-@query("json_atoms", "SELECT event_id, k.key AS key, (props::JSON ->> k.key) AS value FROM events, unnest(json_keys(props::JSON)) AS k(key)")
-def json_atoms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").select("event_id", F.explode(F.from_json("props", "map<string,string>")).alias("key", "value"))
+
+@query("reduction_pct", f"SELECT doc_id, n_chars AS before, after, CASE WHEN n_chars <> 0 THEN round((1 - after::DOUBLE / n_chars) * 100, 1) ELSE 0 END AS pct FROM (SELECT doc_id, n_chars, length({SENTENCE.format(n=140)})::BIGINT AS after FROM {BODY})")
+def reduction_pct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    after = F.length(text.first_sentence(F.col("text"), 140)).cast("long")
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("n_chars").alias("before"), after.alias("after"))
+    return docs.withColumn("pct", costs.reduction_pct(F.col("before"), F.col("after")))
 
 
-def part_tools(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A tool for each part, with a schema made of its columns."""
-    prop = lambda **kv: F.struct(*[v.alias(k) if isinstance(v, Column) else F.lit(v).alias(k) for k, v in kv.items()])
-    props = F.struct(
-        prop(type="integer", minimum=F.col("p_size") % 5, maximum=F.col("p_size"), description=F.concat(F.lit("Required. Size of the part. At most "), F.col("p_size"))).alias("size"),
-        prop(type="string", enum=F.array("p_brand", "p_type")).alias("kind"),
-        prop(type="string", minLength=F.when(F.col("p_partkey") % 10 == 0, 1), pattern=F.lit("^[A-Z]")).alias("code"),
-        prop(type="array", items=F.struct(F.lit("#/$defs/Price").alias("$ref"))).alias("prices"),
-    )
-    defs = F.struct(prop(type="object", properties=F.struct(prop(type="number", maximum=F.col("p_retailprice")).alias("amount"))).alias("Price"))
-    schema = F.to_json(F.struct(F.lit("object").alias("type"), props.alias("properties"), F.array(F.lit("size")).alias("required"), defs.alias("$defs")))
-    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("ord"), F.concat(F.lit("part_"), F.col("p_partkey")).alias("name"), F.concat(F.lit("Orders "), F.col("p_name"), F.lit(". By part.")).alias("description"), schema.alias("input_schema"))
+@query("catalog_union", "SELECT CASE WHEN conv_id % 3 = 2 THEN role ELSE '' END AS server, 't' || turn AS name, text AS description, conv_id FROM conversations")
+def catalog_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tool = F.to_json(F.struct(F.concat(F.lit("t"), F.col("turn")).alias("name"), F.col("text").alias("description")))
+    lists = table(spark, sf_dir, "conversations").groupBy("conv_id", "role").agg(F.array_join(F.collect_list(tool), ", ").alias("tools"))
+    by_role = F.array_join(F.collect_list(F.concat(F.lit('"'), F.col("role"), F.lit('": ['), F.col("tools"), F.lit("]"))), ", ")
+    flat = F.array_join(F.collect_list("tools"), ", ")
+    shape = F.when(F.col("conv_id") % 3 == 0, F.concat(F.lit("["), flat, F.lit("]"))).when(F.col("conv_id") % 3 == 1, F.concat(F.lit('{"tools": ['), flat, F.lit("]}"))).otherwise(F.concat(F.lit("{"), by_role, F.lit("}")))
+    texts = lists.groupBy("conv_id").agg(shape.alias("text")).select(F.lpad(F.col("conv_id").cast("string"), 12, "0").alias("path"), "text")
+    return catalogs.catalog(texts).select("server", "name", "description", F.split("ord", "#")[0].cast("long").alias("conv_id"))
 
 
 @query(
-    "schema_verdicts",
-    "SELECT 'part_' || p_partkey AS name, CASE WHEN p_partkey % 10 = 0 THEN 'unhandled:minLength' ELSE '' END AS lost, p_partkey % 10 <> 0 AS ok FROM part",
+    "ref_cycles",
+    """
+    WITH RECURSIVE e AS (SELECT DISTINCT (p_partkey // 8) * 8 + p_partkey % 8 AS src, (p_partkey // 8) * 8 + (p_partkey % 8 + p_size) % 8 AS dst FROM part WHERE p_size % 3 <> 0 UNION SELECT n_nationkey - 100, n_regionkey - 100 FROM nation),
+    r AS (SELECT src, dst FROM e UNION SELECT r.src, e.dst FROM r JOIN e ON r.dst = e.src) SELECT DISTINCT src AS node FROM r WHERE src = dst
+    """,
 )
+def ref_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = table(spark, sf_dir, "part").where("p_size % 3 <> 0")
+    edges = part.selectExpr("p_partkey AS src", "p_partkey DIV 8 * 8 + (p_partkey % 8 + p_size) % 8 AS dst")
+    return graphs.on_cycles(edges.unionByName(table(spark, sf_dir, "nation").selectExpr("n_nationkey - 100L AS src", "n_regionkey - 100L AS dst")))
+
+
+# Schemas. Of ten parts, one has a key that compression can't carry, one a reference without a definition, one a schema
+# that is no JSON, one a pattern and one a type that compression loses; what each query should find is worked out per part.
+
+BAD_JSON = "JSONDecodeError: Expecting property name enclosed in double quotes: line 1 column 2 (char 1)"
+LOST = {0: "'unhandled:minLength'", 2: f"'error:{BAD_JSON}'", 3: "'pattern:^x'", 6: "'typed:bare'"}
+READABLE = "p_partkey % 10 <> 2"
+SHORT = {1: """', "link": {"ref": "Gone"}'""", 3: """', "mixed": {"t": "string"}'""", 4: """', "pick": {"any": [{"t": "string"}, {"ref": "Price"}], "disc": {"prop": "how", "map": {"p": "Price"}}}'""", 5: """', "maybe": {"t": "string", "fmt": "date", "null": 1, "default": null}'""", 6: """', "bare": {}'"""}
+PARAMS = f"""concat('{{"size": {{"t": "integer", "min": ', p_size % 5, ', "max": ', p_size, ', "d": "Size of the part.", "req": 1}}, "kind": {{"t": "string", "enum": ["', p_brand, '", "', p_type, '"]}}, "code": {{"t": "string", "pat": "^[A-Z]"}}, "prices": {{"t": "array", "of": {{"ref": "Price"}}}}', {by_case("p_partkey % 10", SHORT)}, '}}')"""
+SENT_EXTRA = {1: """', "link": {"$ref": "#/$defs/Gone"}'""", 3: """', "mixed": {"type": "string"}'""", 4: """', "pick": {"anyOf": [{"type": "string"}, {"$ref": "#/$defs/Price"}]}'""", 5: """', "maybe": {"type": "string"}'""", 6: """', "bare": {}'"""}
+SENT = f"""CASE WHEN {READABLE} THEN concat('{{"type": "object", "properties": {{"size": {{"type": "integer", "minimum": ', p_size % 5, ', "maximum": ', p_size, ', "description": "Size of the part."}}, "kind": {{"type": "string", "enum": ["', p_brand, '", "', p_type, '"]}}, "code": {{"type": "string"}}, "prices": {{"type": "array", "items": {{"$ref": "#/$defs/Price"}}}}', {by_case("p_partkey % 10", SENT_EXTRA)}, '}}, "required": ["size"]}}') END"""
+PRICE = """(SELECT concat('{"t": "object", "props": {"amount": {"t": "number", "max": ', min_by(p_retailprice, p_partkey), '}}}') FROM part WHERE p_partkey % 10 <> 2)"""
+
+
+@query("schema_verdicts", f"SELECT name, lost, unresolved, lost = '' AND unresolved = '' AS ok FROM (SELECT 'part_' || p_partkey AS name, {by_case('p_partkey % 10', LOST)} AS lost, {by_case('p_partkey % 10', {1: chr(39) + 'Gone' + chr(39)})} AS unresolved FROM part)")
 def schema_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return schemas.verdicts(part_tools(spark, sf_dir)).select("name", F.array_join("lost", ",").alias("lost"), "ok")
+    return schemas.verdicts(part_tools(spark, sf_dir)).select("name", F.array_join("lost", ",").alias("lost"), F.array_join("unresolved", ",").alias("unresolved"), "ok")
+
+
+@query("contract_verdict", "SELECT count(*) AS tools, count_if(p_partkey % 10 NOT IN (0, 1, 2, 3, 6))::BIGINT AS callable, 0::BIGINT AS cyclic_defs, FALSE AS ok FROM part")
+def contract_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return schemas.overall(part_tools(spark, sf_dir))
+
+
+@query("lost_atoms", "SELECT 'part_' || p_partkey AS name, unnest(['unhandled']) AS kind, 'minLength' AS value FROM part WHERE p_partkey % 10 = 0 UNION ALL SELECT 'part_' || p_partkey, 'pattern', '^x' FROM part WHERE p_partkey % 10 = 3 UNION ALL SELECT 'part_' || p_partkey, 'typed', 'bare' FROM part WHERE p_partkey % 10 = 6")
+def lost_atoms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return schemas.lost_atoms(part_tools(spark, sf_dir))
+
+
+@query("unresolved_refs", "SELECT 'part_' || p_partkey AS name, 'Gone' AS ref FROM part WHERE p_partkey % 10 = 1")
+def unresolved_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return schemas.unresolved_refs(part_tools(spark, sf_dir))
+
+
+EXTRA_PARAM = {1: "'link'", 3: "'mixed'", 4: "'pick'", 5: "'maybe'", 6: "'bare'"}
+
+
+@query(
+    "json_atoms",
+    f"""
+    WITH p AS (SELECT *, {by_case("p_partkey % 10", EXTRA_PARAM, "NULL")} AS more FROM part WHERE {READABLE}),
+    a AS (
+      SELECT p_partkey, unnest(['param', 'param', 'param', 'param', 'typed', 'typed', 'typed', 'typed', 'required', 'enum', 'enum', 'pattern', 'min', 'max', 'ref']) AS kind,
+        unnest(['size', 'kind', 'code', 'prices', 'size', 'kind', 'code', 'prices', 'size', p_brand, p_type, '^[A-Z]', (p_size % 5)::VARCHAR, p_size::VARCHAR, 'Price']) AS value FROM p
+      UNION ALL SELECT p_partkey, unnest(['param', 'typed']), more FROM p WHERE more IS NOT NULL
+      UNION ALL SELECT p_partkey, 'ref', 'Gone' FROM p WHERE more = 'link' UNION ALL SELECT p_partkey, 'discriminator', 'how' FROM p WHERE more = 'pick'
+      UNION ALL SELECT p_partkey, 'pattern', '^x' FROM p WHERE more = 'mixed' UNION ALL SELECT p_partkey, 'unhandled', 'minLength' FROM p WHERE p_partkey % 10 = 0),
+    s AS (SELECT *, 'raw' AS side FROM a UNION ALL SELECT *, 'compressed' FROM a WHERE kind <> 'unhandled' AND value <> '^x' AND NOT (kind = 'typed' AND value = 'bare')
+      UNION ALL SELECT p_partkey, 'error', '{BAD_JSON}', 'error' FROM part WHERE p_partkey % 10 = 2)
+    SELECT 'part_' || p_partkey AS name, side, kind, value FROM s
+    """,
+)
+def json_atoms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return schemas.schema_atoms(part_tools(spark, sf_dir)).drop("tool")
 
 
 @query("schema_index", "SELECT 'part_' || p_partkey AS name, rtrim(substring(CASE WHEN regexp_matches(p_name, '[.!?] ') THEN 'Orders ' || regexp_extract(p_name, '^(.*?[.!?]) ', 1) ELSE 'Orders ' || p_name || '.' END, 1, 70)) AS short FROM part")
@@ -302,16 +287,266 @@ def schema_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return schemas.index(part_tools(spark, sf_dir))
 
 
-@query("schema_nodes", "SELECT role, type, count(*) AS n FROM (SELECT unnest(['root', 'properties', 'properties', 'properties', 'properties', 'items', '$defs', 'properties']) AS role, unnest(['object', 'integer', 'string', 'string', 'array', NULL, 'object', 'number']) AS type FROM part) GROUP BY 1, 2")
+@query("schema_whole_index", f"SELECT 'tool' AS section, 'part_' || p_partkey AS name, 'Orders ' || p_name || '.' AS text FROM part UNION ALL SELECT 'definition', 'Price', {PRICE}")
+def schema_whole_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return schemas.whole_index(part_tools(spark, sf_dir))
+
+
+@query(
+    "schema_nodes",
+    f"""
+    WITH n AS (
+      SELECT p_partkey, unnest(['root', 'properties', 'properties', 'properties', 'properties', 'items', '$defs', 'properties']) AS role, unnest(['object', 'integer', 'string', 'string', 'array', NULL, 'object', 'number']) AS type, FALSE AS error FROM part WHERE {READABLE}
+      UNION ALL SELECT p_partkey, 'properties', NULL, FALSE FROM part WHERE p_partkey % 10 IN (1, 3, 4, 5, 6)
+      UNION ALL SELECT p_partkey, 'allOf', 'string', FALSE FROM part WHERE p_partkey % 10 = 3 UNION ALL SELECT p_partkey, 'allOf', NULL, FALSE FROM part WHERE p_partkey % 10 = 6
+      UNION ALL SELECT p_partkey, 'oneOf', unnest(['string', NULL]), FALSE FROM part WHERE p_partkey % 10 = 4 UNION ALL SELECT p_partkey, 'anyOf', unnest(['string', 'null']), FALSE FROM part WHERE p_partkey % 10 = 5
+      UNION ALL SELECT p_partkey, 'root', NULL, TRUE FROM part WHERE p_partkey % 10 = 2)
+    SELECT 'part_' || p_partkey AS name, role, type, error, count(*) AS n FROM n GROUP BY ALL
+    """,
+)
 def schema_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return schemas.schema_nodes(part_tools(spark, sf_dir)).groupBy("role", "type").agg(F.count("*").alias("n"))
+    return schemas.schema_nodes(part_tools(spark, sf_dir)).groupBy("name", "role", "type", F.col("error").isNotNull().alias("error")).agg(F.count("*").alias("n"))
 
 
-@query("schema_compress")
+@query("schema_compress", f"SELECT 'part_' || p_partkey AS name, 'Orders ' || p_name || '.' AS description, CASE WHEN {READABLE} THEN {PARAMS} END AS params, CASE WHEN NOT {READABLE} THEN '{BAD_JSON}' END AS error FROM part")
 def schema_compress(spark: SparkSession, sf_dir: str) -> DataFrame:
     return schemas.compressed_tools(part_tools(spark, sf_dir))
 
 
+@query("served_tools", f"SELECT 'part_' || p_partkey AS name, 'Orders ' || p_name || '.' AS description, {SENT} AS input_schema, CASE WHEN NOT {READABLE} THEN '{BAD_JSON}' END AS error FROM part")
+def served_tools(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return schemas.served(part_tools(spark, sf_dir))
+
+
+@query("api_tools", f"SELECT p_partkey AS ord, p_brand AS server, 'part_' || p_partkey AS name, 'Orders ' || p_name || '.' AS description, {SENT} AS input_schema, CASE WHEN p_partkey = max(p_partkey) OVER (PARTITION BY p_brand) THEN 'ephemeral' END AS cache_control FROM part")
+def api_tools(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return schemas.api_form(part_tools(spark, sf_dir), keys=("server",))
+
+
+@query(
+    "index_lookup",
+    f"""
+    SELECT wanted, CASE WHEN p_partkey IS NOT NULL THEN 'Orders ' || p_name || '. By part.' END AS description, {SCHEMA.replace("CASE WHEN p_partkey % 10 = 2", "CASE WHEN p_partkey IS NULL THEN NULL WHEN p_partkey % 10 = 2")} AS input_schema, CASE WHEN p_partkey IS NULL THEN 'no tool named ' || wanted END AS message
+    FROM (SELECT DISTINCT l_partkey * 2 AS k, 'part_' || (l_partkey * 2) AS wanted FROM lineitem) LEFT JOIN part ON p_partkey = k
+    """,
+)
+def index_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = table(spark, sf_dir, "lineitem").select(F.expr("concat('part_', l_partkey * 2)").alias("wanted"))
+    return schemas.find(part_tools(spark, sf_dir), names)
+
+
+PIECES = "len(regexp_extract_all({}, '[A-Za-z0-9_]+|[^A-Za-z0-9_ \\t\\r\\n]'))::BIGINT"
+COSTED = f"""
+  SELECT p_brand AS server, p_partkey AS ord, {PIECES.format(f"""concat('{{"name": "part_', p_partkey, '", "description": "Orders ', p_name, '. By part.", "inputSchema": ', CASE WHEN {READABLE} THEN {SCHEMA} ELSE '{{}}' END, '}}')""")} AS raw,
+    {PIECES.format(f"""concat('{{"name": "part_', p_partkey, '", "d": "Orders ', p_name, '.", "params": ', CASE WHEN {READABLE} THEN {PARAMS} ELSE '{{}}' END, '}}')""")} AS short,
+    {PIECES.format("""concat('{"part_', p_partkey, '": "Orders ', p_name, '."}')""")} AS index FROM part"""
+
+
+@query(
+    "catalog_report",
+    f"""
+    WITH c AS ({COSTED}), t AS (SELECT server, count(*) AS tools, sum(raw)::BIGINT AS raw, sum(index)::BIGINT AS index FROM c GROUP BY 1),
+    p AS (SELECT server, row_number() OVER w AS k, sum(short) OVER (PARTITION BY server ORDER BY short DESC, ord ROWS UNBOUNDED PRECEDING) AS prefix FROM c WINDOW w AS (PARTITION BY server ORDER BY short DESC, ord))
+    SELECT server, tools, raw, index, k::INTEGER AS k, (index + prefix)::BIGINT AS tokens, round((1 - (index + prefix)::DOUBLE / raw) * 100, 1) AS reduction_pct FROM p JOIN t USING (server) WHERE k IN (1, 3, 5)
+    """,
+)
+def catalog_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.catalog_report(reports.tool_costs(part_tools(spark, sf_dir)))
+
+
+@query("token_totals", f"SELECT server, tools, raw, short, index, round((1 - index::DOUBLE / raw) * 100, 1) AS reduction_pct FROM (SELECT server, count(*) AS tools, sum(raw)::BIGINT AS raw, sum(short)::BIGINT AS short, sum(index)::BIGINT AS index FROM ({COSTED}) GROUP BY ROLLUP (server))")
+def token_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.token_totals(reports.tool_costs(part_tools(spark, sf_dir)))
+
+
+QUOTED = "to_json({})::VARCHAR"
+
+
+@query(
+    "query_comparison",
+    f"""
+    WITH b AS (SELECT item_id AS ord, text, {SENTENCE.format(n=140)} AS s140, {SENTENCE.format(n=70)} AS s70 FROM {BODY.replace("documents", "benchmark")}),
+    c AS (SELECT ord, 'item_' || ord AS name, {PIECES.format(f"""concat('{{"name": "item_', ord, '", "description": ', {QUOTED.format("text")}, ', "inputSchema": {{}}}}')""")} AS raw,
+      {PIECES.format(f"""concat('{{"name": "item_', ord, '", "d": ', {QUOTED.format("s140")}, ', "params": {{}}}}')""")} AS short, {PIECES.format(f"""concat('{{"item_', ord, '": ', {QUOTED.format("s70")}, '}}')""")} AS index FROM b),
+    t AS (SELECT sum(raw)::BIGINT AS raw, sum(index)::BIGINT AS index FROM c),
+    q AS (SELECT conv_id || '-' || turn AS query_id, {PIECES.format("text")} AS n, list_distinct(list_filter(regexp_split_to_array(lower(text), '[ \\t\\r\\n]+'), lambda w: w <> '')) AS words FROM conversations WHERE conv_id % 20 = 0),
+    s AS (SELECT query_id, item_id AS ord, len(list_filter(words, lambda w: contains('item ' || item_id, w) OR contains(lower(b.text), w))) AS score FROM q, benchmark b),
+    r AS (SELECT query_id, ord FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ord) AS r FROM s) WHERE r = 1)
+    SELECT query_id, name, n + t.raw AS tokens_without, n + t.index + short AS tokens_with, ((n + t.raw) * 300)::DOUBLE / 1e8 AS usd_without, ((n + t.index + short) * 300)::DOUBLE / 1e8 AS usd_with,
+      round_even((1 - (t.index + short)::DOUBLE / t.raw) * 100, 0)::BIGINT AS reduction_pct, ((t.raw - t.index - short) * 300)::DOUBLE / 1e8 AS usd_saved
+    FROM q JOIN r USING (query_id) JOIN c USING (ord), t
+    """,
+)
+def query_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q = table(spark, sf_dir, "conversations").where("conv_id % 20 = 0").select(F.concat_ws("-", "conv_id", "turn").alias("id"), "text", F.lit("all").alias("server"), text.distinct_words(F.col("text")).alias("words"))
+    items = table(spark, sf_dir, "benchmark").select(F.lit("all").alias("server"), F.col("item_id").alias("ord"), F.concat(F.lit("item_"), F.col("item_id")).alias("name"), F.col("text").alias("description"), F.lit(None).cast("string").alias("input_schema"))
+    routed = routing.keyword_route(q, items.select(F.col("ord").alias("id"), text.plain_name(F.col("name")).alias("name"), F.lower("description").alias("description")))
+    return reports.query_comparison(routed, q, reports.tool_costs(items))
+
+
+# Source files: see fixtures.CODE for what a part's module holds.
+
+FUNCTIONS = f"unnest(['helper', {MADE}, 'orch', 'fetch', '__init__', 'run', '_check'])"
+RISK = by_case("p_size % 7", {0: "'high'", 1: "'medium'", 3: "'high'", 4: "'medium'", 6: "'high'"}, "'clean'")
+RISKY = by_case("p_size % 7", {0: "'importlib.import_module'", 1: "'httpx.get'", 3: "'os.system'", 4: "'open'", 6: "'subprocess.run'"})
+OS = "CASE WHEN p_size % 7 = 3 THEN 'os' ELSE '' END"
+DATA = "CASE WHEN p_partkey % 3 = 0 THEN 'LIMIT' ELSE '' END"
+HARMLESS = by_case("p_size % 7", {3: "'    # needs: {\"externe\": [\"os\"]}'", 4: "concat('    open(x, mode=', chr(39), 'w', chr(39), ')')"}, TASK)
+NEEDS_RUN = "concat('        # needs: {', CASE WHEN p_partkey % 3 = 0 THEN '\"data\": [\"LIMIT\"], ' ELSE '' END, '\"interne\": [\"helper\"], \"externe\": [\"os\"]}')"
+COMPRESSED_CODE = f"""CASE WHEN {PARSES} THEN """ + lines(
+    "'import os, json as js'", THING, LIMIT, "'A, B = (1, 2)'", "'class Base_():'", "'class Worker(Base_):'", "concat('    \"\"\"Works on ', p_brand, '.\"\"\"')",
+    "'    def __init__(self, n):'", "'        self.n = n'", "'        self.more = n'", "'    def run(self, x):'", "'        \"\"\"Runs it.\"\"\"'", NEEDS_RUN,
+    "'    def _check(self, x):'", "'        if not x:'", "concat('            raise ValueError(', chr(39), 'no', chr(39), ')')", "'        return self.rate'",
+    "'def helper(x, y=1, *rest, flag=False, **more):'", "'    return x + y'", f"concat('def ', {MADE}, '(x):')", HARMLESS,
+    "'def orch(x):'", f"concat('    # needs: {{\"type\": [\"Worker\"], \"interne\": [\"helper\", \"', {MADE}, '\"]}}')", "'async def fetch(url):'", "'    yield helper(url)'",
+) + " END"
+
+
+def parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return code.modules(part_code(spark, sf_dir))
+
+
+@query("internal_calls", f"SELECT {FILE} AS file, unnest(['run', 'orch', 'orch', 'fetch']) AS caller, unnest(['helper', 'helper', {MADE}, 'helper']) AS callee FROM part WHERE {PARSES}")
+def internal_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return code.call_edges(parsed(spark, sf_dir))
+
+
+@query(
+    "dep_classify",
+    f"""
+    SELECT {FILE} AS file, {FUNCTIONS} AS name, unnest(['', '', '', '', '', {DATA}, '']) AS data, unnest(['', '', 'Worker', '', '', '', '']) AS type,
+      unnest(['', '', 'helper,' || {MADE}, 'helper', '', 'helper', '']) AS interne, unnest(['', {OS}, '', '', '', 'os', '']) AS externe, unnest(['PURE', CASE WHEN {OS} = '' THEN 'PURE' ELSE 'TOOL' END, 'ORCH', 'PURE', 'PURE', 'TOOL', 'PURE']) AS role
+    FROM part WHERE {PARSES}
+    """,
+)
+def dep_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = code.dependencies(parsed(spark, sf_dir))
+    return found.select("file", "name", *[F.array_join(k, ",").alias(k) for k in ("data", "type", "interne", "externe")], "role")
+
+
+@query("code_self_roles", f"SELECT {FILE} AS file, {FUNCTIONS} AS name, unnest(['PURE', CASE WHEN {OS} = '' THEN 'PURE' ELSE 'TOOL' END, 'ORCH', 'PURE', 'PURE', 'ORCH', 'TOOL']) AS role, unnest(['', '', '', '', '', 'self._check', 'self.rate']) AS selfs FROM part WHERE {PARSES}")
+def code_self_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = code.dependencies(parsed(spark, sf_dir), resolve_self=True)
+    return found.select("file", "name", "role", F.array_join(F.filter(F.concat("interne", "data"), lambda x: x.startswith("self.")), ",").alias("selfs"))
+
+
+@query("risk_surface", f"SELECT {FILE} AS file, {FUNCTIONS} AS name, unnest(['clean', {RISK}, 'clean', 'clean', 'clean', 'clean', 'clean']) AS level, unnest(['', {RISKY}, '', '', '', '', '']) AS calls FROM part WHERE {PARSES}")
+def risk_surface(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return code.security_surface(parsed(spark, sf_dir)).select("file", "name", "level", F.array_join("calls", ",").alias("calls"))
+
+
+@query("risk_summary", f"SELECT count_if({RISK} = 'high')::BIGINT AS high_risk_count, count_if({RISK} = 'medium')::BIGINT AS medium_risk_count, count(*) * 7 AS total_functions_scanned, count(*) AS total_files_scanned, count_if({RISK} = 'clean')::BIGINT AS clean_files FROM part WHERE {PARSES}")
+def risk_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return code.security_summary(parsed(spark, sf_dir))
+
+
+@query("clean_files", f"SELECT {FILE} AS file FROM part WHERE {PARSES} AND {RISK} = 'clean'")
+def clean_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return code.clean_files(parsed(spark, sf_dir))
+
+
+HISTOGRAM = f"SELECT module, count(*) AS n FROM (SELECT split_part({RISKY}, '.', 1) AS module FROM part WHERE {PARSES} AND {RISK} <> 'clean' UNION ALL SELECT 'requests' FROM part WHERE {PARSES} AND p_size % 7 = 6) GROUP BY 1"
+
+
+@query("risk_histogram", HISTOGRAM)
+def risk_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return code.risk_histogram(parsed(spark, sf_dir))
+
+
+@query("repo_totals", f"SELECT count_if({PARSES})::BIGINT AS files, count_if({PARSES})::BIGINT * 4 AS functions, count_if({PARSES})::BIGINT * 2 AS classes, count_if(NOT {PARSES})::BIGINT AS errors, 2 + max(CASE WHEN {PARSES} AND p_partkey % 2 = 0 THEN 1 ELSE 0 END)::BIGINT AS imports FROM part")
+def repo_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return code.repo_totals(parsed(spark, sf_dir))
+
+
+CALLS = f"unnest(['', '', 'helper,' || {MADE}, 'helper', '', 'helper', ''])"
+TAKES = "unnest(['x,y', 'x', 'x', 'url', 'self,n', 'self,x', 'self,x'])"
+
+
+@query("code_contract", f"SELECT {FILE} AS file, unnest(range(7))::INTEGER AS ord, {FUNCTIONS} AS name, {TAKES} AS params, {CALLS} AS calls FROM part WHERE {PARSES}")
+def code_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return code.flat_contract(parsed(spark, sf_dir)).select("file", "ord", "name", F.array_join("params", ",").alias("params"), F.array_join("calls", ",").alias("calls"))
+
+
+@query("code_compress", f"SELECT {FILE} AS file, {PARSES} AS ok, {COMPRESSED_CODE} AS compressed FROM part")
+def code_compress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return code.compressed(part_code(spark, sf_dir)).select("file", F.col("error").isNull().alias("ok"), "compressed")
+
+
+@query(
+    "code_sizes",
+    f"SELECT file, tokens_before, tokens_after, round((1 - tokens_after::DOUBLE / tokens_before) * 100, 1) AS reduction_pct FROM (SELECT {FILE} AS file, {PIECES.format(CODE)} AS tokens_before, {PIECES.format(COMPRESSED_CODE)} AS tokens_after FROM part WHERE {PARSES})",
+)
+def code_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = part_code(spark, sf_dir)
+    return code.with_sizes(files, code.compressed(files), pieces).where("error is null").select("file", "tokens_before", "tokens_after", "reduction_pct")
+
+
+@query(
+    "code_expand",
+    f"""
+    SELECT {FILE} AS file, unnest(['orch', 'Base_', 'absent']) AS name, unnest([CASE WHEN {PARSES} THEN 'function' END, CASE WHEN {PARSES} THEN 'class' END, NULL]) AS kind,
+      unnest([CASE WHEN {PARSES} THEN concat('def orch(x):', chr(10), '    helper(x); ', {MADE}, '(x)', chr(10), '    return Worker') END, CASE WHEN {PARSES} THEN concat('class Base_:', chr(10), '    pass') END, NULL]) AS source,
+      unnest([CASE WHEN {PARSES} THEN concat('helper,', {MADE}) END, NULL, NULL]) AS interne, unnest([NOT {PARSES}, NOT {PARSES}, TRUE]) AS missing FROM part
+    """,
+)
+def code_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = part_code(spark, sf_dir)
+    wanted = files.select("file", F.explode(F.array(*map(F.lit, ("orch", "Base_", "absent")))).alias("name"))
+    return code.expand(code.modules(files), wanted).select("file", "name", "kind", "source", F.array_join("interne", ",").alias("interne"), "missing")
+
+
+@query(
+    "code_outline",
+    f"""
+    SELECT {FILE} AS file, CASE WHEN {PARSES} THEN concat('os,json', CASE WHEN p_partkey % 2 = 0 THEN ',pkg.mod.thing' ELSE '' END) END AS imports, CASE WHEN {PARSES} THEN 'Base_:;Worker:__init__,run,_check' END AS classes,
+      CASE WHEN {PARSES} THEN concat('helper,', {MADE}, ',orch') END AS functions, CASE WHEN {PARSES} THEN 'helper,self._check,os.path.join,str' END AS run_calls, CASE WHEN {PARSES} THEN 'ValueError' END AS check_raises FROM part
+    """.replace("os.path.join", "?.join"),
+)
+def code_outline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = code.outlines(part_code(spark, sf_dir))
+    names = lambda c: F.array_join(F.transform(c, lambda f: f["name"]), ",")
+    methods = F.col("classes")[1]["methods"]
+    classes = F.array_join(F.transform("classes", lambda c: F.concat(c["name"], F.lit(":"), names(c["methods"]))), ";")
+    return found.select("file", F.array_join("imports", ",").alias("imports"), classes.alias("classes"), names(F.col("functions")).alias("functions"), F.array_join(methods[1]["calls"], ",").alias("run_calls"), F.array_join(methods[2]["raises"], ",").alias("check_raises"))
+
+
+HEALTH = f"SELECT 'python' AS lang, count(*) AS files, count(*) * 4 AS functions, count(*) * 2 AS classes, sum({PIECES.format(CODE)})::BIGINT AS raw, sum({PIECES.format(COMPRESSED_CODE)})::BIGINT AS compressed FROM part WHERE {PARSES}"
+
+
+@query("code_health", f"SELECT unnest([lang, NULL]) AS lang, files, functions, classes, raw, compressed, round((1 - compressed::DOUBLE / raw) * 100, 1) AS gain_pct FROM ({HEALTH})")
+def code_health(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = part_code(spark, sf_dir)
+    return code.health_totals(code.health(files, code.modules(files), code.compressed(files), pieces))
+
+
+@query(
+    "status_lines",
+    f"""
+    WITH h AS ({HEALTH}), n AS ({HISTOGRAM}), e AS (SELECT {FILE} AS file, CASE WHEN p_partkey % 10 = 8 THEN 'no parser for javascript' ELSE 'SyntaxError: invalid syntax (<unknown>, line 1)' END AS error FROM part WHERE NOT {PARSES})
+    SELECT 'language' AS section, unnest([1, 2]) AS ord, unnest([lang, 'Total']) AS label, concat_ws(' ', format('{{:,}}', files), format('{{:,}}', functions), format('{{:,}}', classes), format('{{:,}}', raw), format('{{:,}}', compressed), round((1 - compressed::DOUBLE / raw) * 100, 1)::VARCHAR || '%') AS value FROM h
+    UNION ALL SELECT 'security', row_number() OVER (ORDER BY n DESC, module)::INTEGER, module, format('{{:,}}', n) FROM n
+    UNION ALL (SELECT 'errors', row_number() OVER (ORDER BY file)::INTEGER, file, error FROM e ORDER BY file LIMIT 5)
+    UNION ALL SELECT 'errors', 6, 'more', format('{{:,}}', count(*) - 5) FROM e
+    """,
+)
+def status_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = part_code(spark, sf_dir)
+    found = code.modules(files)
+    return code.status_lines(code.health(files, found, code.compressed(files), pieces), code.risk_histogram(found), found)
+
+
+@query("status_json")
+def status_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = part_code(spark, sf_dir)
+    found = code.modules(files)
+    return code.status_json(code.health(files, found, code.compressed(files), pieces), code.risk_histogram(found), found)
+
+
+@query("contract_json")
+def contract_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return code.contract_json(parsed(spark, sf_dir))
+
+
 def conversation_code(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A Python module for each conversation: a function for each turn, which calls that of the turn before."""
     turns = table(spark, sf_dir, "conversations")
@@ -341,13 +576,3 @@ def code_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("code_totals", "SELECT count(DISTINCT conv_id) AS files, count(*) AS functions, 0::BIGINT AS classes, 0::BIGINT AS errors, 1::BIGINT AS imports FROM conversations")
 def code_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return code.repo_totals(code.modules(conversation_code(spark, sf_dir)))
-
-
-@query("code_contract")
-def code_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return code.flat_contract(code.modules(conversation_code(spark, sf_dir)))
-
-
-@query("code_compress")
-def code_compress(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return code.compressed(conversation_code(spark, sf_dir))

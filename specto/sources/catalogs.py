@@ -19,19 +19,23 @@ def tools_of(text: Column) -> Column:
 
 
 def catalog(texts: DataFrame) -> DataFrame:
-    """server, ord, name, description, input_schema, defs of every tool of the catalogs (text); lists that are none are passed over."""
-    rows = texts.select(F.monotonically_increasing_id().alias("c"), F.get_json_object("text", "$.$defs").alias("defs"), F.posexplode(tools_of(F.col("text"))).alias("pos", "t"))
+    """server, ord, name, description, input_schema, defs of every tool of the catalogs (text, and path if they are files); lists that are none are passed over.
+
+    `ord` is text that sorts by path (for texts without one, by a hash of them) and then by position, whatever the partitions are.
+    """
+    path = F.col("path") if "path" in texts.columns else F.hex(F.xxhash64("text"))
+    rows = texts.select(path.alias("path"), F.get_json_object("text", "$.$defs").alias("defs"), F.posexplode(tools_of(F.col("text"))).alias("pos", "t"))
     get = lambda key: F.get_json_object("t.tool", f"$.{key}")
-    return rows.select(F.col("t.server").alias("server"), (F.col("c") * 1_000_000 + F.col("pos")).alias("ord"), get("name").alias("name"), F.coalesce(get("description"), F.lit("")).alias("description"), F.coalesce(get("inputSchema"), F.lit("{}")).alias("input_schema"), "defs")
+    return rows.select(F.col("t.server").alias("server"), F.concat_ws("#", "path", F.lpad(F.col("pos").cast("string"), 10, "0")).alias("ord"), F.coalesce(get("name"), F.lit("")).alias("name"), F.coalesce(get("description"), F.lit("")).alias("description"), F.coalesce(get("inputSchema"), F.lit("{}")).alias("input_schema"), "defs")
 
 
 def read_catalogs(spark: SparkSession, path: str) -> DataFrame:
-    return catalog(spark.read.text(path, wholetext=True).withColumnRenamed("value", "text"))
+    return catalog(spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text")))
 
 
 def read_sources(spark: SparkSession, root: str, max_depth: int = 3, strict: bool = True) -> DataFrame:
     """file (below root), text, error of source files less than `max_depth` folders deep, without folders that hold no own code."""
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.{py,js,jsx,mjs,ts,tsx}").load(root)
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.{py,js,jsx,mjs,cjs,ts,tsx}").load(root)
     base = root.rstrip("/").rpartition("/")[2]
     rel = F.regexp_extract("path", rf"/\Q{base}\E/(.*)$", 1)
     parts = F.split(rel, "/")

@@ -6,8 +6,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from specto.functions import costs, text
-from specto.operators import code, graphs, routing, schemas, stats
+from specto.functions import costs, text, tokens
+from specto.operators import code, graphs, reports, routing, schemas, stats
 from specto.sources import catalogs
 from specto.streaming import stats as streaming
 
@@ -96,14 +96,16 @@ def test_code(spark):
     risk = {r.name: (r.level, r.calls) for r in code.security_surface(parsed).collect()}
     assert risk["risky"] == ("high", ["os.system"]) and risk["writer"] == ("medium", ["open"]) and risk["helper"][0] == "clean"
     total = code.repo_totals(parsed).first()
-    assert (total.files, total.functions, total.classes, total.errors, total.imports) == (2, 4, 1, 1, 2)
+    # only top-level names count, and only of files that parse
+    assert (total.files, total.functions, total.classes, total.errors, total.imports) == (1, 3, 1, 1, 2)
     own = {r.name: r for r in code.functions(parsed).collect()}
     assert own["run"].doc == "Runs it." and own["writer"].raises == ["ValueError"] and own["writer"].warns == ["warnings.warn"]
     short = {r.file: r for r in code.compressed(files, tags=True).collect()}
     assert "return x + 1" in short["m.py"].compressed and "# needs:" in short["m.py"].compressed and short["broken.py"].error
     want = spark.createDataFrame([("m.py", "helper"), ("m.py", "none")], "file string, name string")
     assert {r.name: r.missing for r in code.expand(parsed, want).collect()} == {"helper": False, "none": True}
-    assert code.health(files, parsed, F.length("text"), F.lit(None)).first().lang == "python"
+    health = code.health(files, parsed, code.compressed(files), tokens.pieces).first()
+    assert (health.lang, health.files, health.functions) == ("python", 1, 3)
 
 
 def test_closures(spark):
@@ -158,3 +160,171 @@ def test_stream_equals_batch(spark, tmp_path):
     batch = stats.session_stats(log, "server", F.col("raw"), F.col("short"))
     assert sorted(map(tuple, spark.table("totals").collect())) == sorted(map(tuple, batch.collect()))
     assert {r.server: r.saved for r in batch.collect()} == {"a": 1350, "b": 1800, "c": 0}
+
+
+def parsed_one(spark, source, name="m.py"):
+    return code.modules(spark.createDataFrame([(name, source)], "file string, text string"))
+
+
+@pytest.mark.parametrize(
+    ("line", "level", "calls"),
+    [
+        ("importlib.import_module(x)", "high", ["importlib.import_module"]),
+        ("httpx.get(x)", "medium", ["httpx.get"]),
+        ("httpx.stream(x)", "clean", []),
+        ("urllib.parse.quote(x)", "clean", []),
+        ("urllib.request.urlopen(x)", "medium", ["urllib.request.urlopen"]),
+        ("pickle.loads(x)", "high", ["pickle.loads"]),
+        ("pickle.Pickler(x)", "clean", []),
+        ("ctypes.CDLL(x)", "high", ["ctypes.CDLL"]),
+        ("shutil.rmtree(x)", "clean", []),
+        ("open(x, mode)", "medium", ["open"]),
+        ("open(x, 'rb')", "clean", []),
+        ("paramiko.SSHClient().connect(x)", "medium", ["paramiko.SSHClient().connect", "paramiko.SSHClient"]),
+    ],
+)
+def test_risk_sets(spark, line, level, calls):
+    row = code.security_surface(parsed_one(spark, f"def f(x, mode):\n    {line}\n")).first()
+    assert (row.level, row.calls) == (level, calls)
+
+
+def test_risks_of_a_repository(spark):
+    texts = [("a.py", "def f(x):\n    eval(x)\n    socket.socket()\ndef g(x):\n    return x"), ("b.py", "def h():\n    return 1"), ("c.py", "x = 1"), ("d.py", "def ("), ("e.js", "eval(x)")]
+    parsed = code.modules(spark.createDataFrame(texts, "file string, text string"))
+    one = code.security_summary(parsed).first()
+    assert tuple(one) == (1, 0, 3, 3, 2) and {r.file for r in code.clean_files(parsed).collect()} == {"b.py", "c.py"}
+    assert {r.module: r.n for r in code.risk_histogram(parsed).collect()} == {"eval": 1, "socket": 1}
+    errors = {r.file: r.error for r in parsed.where("error is not null").collect()}
+    assert set(errors) == {"d.py", "e.js"} and errors["e.js"] == "no parser for javascript"
+
+
+def test_vocabulary_is_that_of_the_top_level(spark):
+    source = "import os.path\nimport a.b as c\nfrom x import y as z\nfrom . import rel\nA, B = 1, 2\nC = D = 3\nE += 1\nF: int = 2\ndef f():\n    import late\n    def inner(): pass\n    inner()\n    return method, C, os, z, rel, F\nclass K:\n    def method(self): pass\n    class Inner: pass\n"
+    row = parsed_one(spark, source).first()
+    assert (row.imports, row.aliases, row.data) == (["os", "a", "x", "late"], ["os", "c", "z", "rel"], ["C", "D", "F"])
+    assert (row.top_functions, row.top_classes, [f.name for f in row.functions]) == (["f"], ["K"], ["f", "inner", "method"])
+    deps = {r.name: r for r in code.dependencies(parsed_one(spark, source)).collect()}
+    assert (deps["f"].data, deps["f"].interne, deps["f"].externe, deps["f"].role) == (["C", "F"], [], ["os", "rel", "z"], "TOOL")
+
+
+KEPT = "class Store:\n    SIZE = 9\n    def __init__(self, k):\n        self.k = k\n        self._m = {}\n    def add(self, a, b):\n        self._m[a] = b\n        if self._m: self._drop()\n        self.late = 1\n    def _drop(self):\n        self._m.clear()\n"
+
+
+def test_self_is_resolved_on_demand():
+    plain = code.compress(KEPT, tags=True)
+    assert "# needs" not in plain and "self._m[a] = b" in plain
+    short = code.compress(KEPT, resolve_self=True)
+    assert "self.k = k" in short and "    SIZE = 9" in short and "    # attrs: SIZE, late" in short
+    assert '# needs: {"data": ["self._m"], "interne": ["self._drop"]}' in short and "self._m[a] = b" not in short
+
+
+def test_signature_and_tags():
+    text = 'import os\nasync def f(a, /, b: int = 1, *c, d: str = "x", **e) -> int:\n    """One.\n\n    Two."""\n    raise E(os)\n    yield 1\n    log.warning("x")\n'
+    assert code.compress(text, tags=True).splitlines()[1:] == ["async def f(b: int = 1, *c, d = 'x', **e) -> int:", '    """One."""', '    # needs: {"externe": ["os"], "raises": ["E"], "yields": true, "warns": ["log.warning"]}']
+
+
+def test_no_file_stops_the_others(spark):
+    deep = "x = " + "1 + " * 3000 + "1\ndef f(a=" + "1 + " * 3000 + "1):\n    os.x()\nimport os\n"
+    files = spark.createDataFrame([("a.py", deep), ("b.py", "def g(): pass"), ("c.py", "\0"), ("d.py", None)], "file string, text string")
+    for found in (code.modules(files), code.compressed(files), code.outlines(files)):
+        rows = {r.file: r.error for r in found.collect()}
+        assert len(rows) == 4 and rows["b.py"] is None and rows["d.py"] is None and rows["c.py"]
+
+
+def test_no_schema_stops_the_others(spark):
+    rows = [(0, "a", "", "{bad"), (1, "b", "", json.dumps({"properties": 3})), (2, "c", "", json.dumps({"properties": {"x": {"$ref": 5}}})), (3, "d", None, None), (4, "e", "", json.dumps({"required": ["x"], "properties": {"x": {"type": "string"}}}))]
+    df = spark.createDataFrame(rows, "ord int, name string, description string, input_schema string")
+    found = {r.name: r for r in schemas.verdicts(df).collect()}
+    assert set(found) == set("abcde") and found["e"].ok and found["d"].ok and not found["a"].ok and not found["b"].ok and found["a"].lost[0].startswith("error:")
+    nodes = schemas.schema_nodes(df).collect()
+    assert {r.name for r in nodes if r.error} >= {"a", "b"} and sum(r.name == "e" for r in nodes) == 2
+    assert {r.name for r in schemas.compressed_tools(df).where("error is not null").collect()} >= {"a", "b"}
+
+
+def test_tools_of_one_name_are_judged_apart(spark):
+    df = tools(spark, ("t", "", {"properties": {"a": {"type": "string"}}}), ("t", "", {"properties": {"a": {"type": "string", "maxItems": 1}}}))
+    assert sorted((r.ok, r.lost) for r in schemas.verdicts(df).collect()) == [(False, ["unhandled:maxItems"]), (True, [])]
+
+
+def test_checks_by_kind(spark):
+    cases = {
+        "type": ({"properties": {"a": {"allOf": [{"description": "d"}]}}}, ["typed:a"]),
+        "loose": ({"properties": {"a": {"type": "array", "uniqueItems": True, "items": {"const": 1}}}}, []),
+        "nested": ({"properties": {"a": {"properties": {"b": {"type": "string"}}, "required": ["b"]}}}, []),
+        "disc": ({"properties": {"a": {"oneOf": [{"type": "string"}, {"type": "object"}], "discriminator": {"propertyName": "k", "mapping": {"o": "#/d/O"}}}}}, []),
+        "null": ({"properties": {"a": {"anyOf": [{"type": "string", "enum": ["x"]}, {"type": "null"}]}}}, []),
+        "required": ({"properties": {}, "required": ["gone"]}, ["required:gone"]),
+    }
+    df = tools(spark, *[(k, "", v) for k, (v, _) in cases.items()])
+    assert {r.name: r.lost for r in schemas.verdicts(df).collect()} == {k: lost for k, (_, lost) in cases.items()}
+    strict = {r.name: r.lost for r in schemas.verdicts(df, strict=True).collect()}
+    assert strict["loose"] == ["unhandled:const", "unhandled:uniqueItems"] and strict["nested"] == ["nested required:$.properties.a.b"] and strict["disc"] == []
+    assert tuple(schemas.overall(df.where("name = 'disc'")).first()) == (1, 1, 0, True)
+    loop = tools(spark, ("t", "", {"$defs": {"A": {"x": {"$ref": "#/$defs/A"}}}}))
+    assert tuple(schemas.overall(loop).first()) == (1, 1, 1, False)
+
+
+def test_served_forms(spark):
+    schema = {"properties": {"a": {"type": "string", "pattern": "x", "default": 1}, "b": {"$ref": "#/$defs/D"}}, "required": ["b"], "$defs": {"D": {"type": "integer", "maximum": 3}}}
+    df = tools(spark, ("t", "Does it. More.", schema), ("u", "", {}))
+    served = {r.name: r for r in schemas.served(df).collect()}
+    assert served["t"].description == "Does it." and json.loads(served["t"].input_schema) == {"type": "object", "properties": {"a": {"type": "string"}, "b": {"$ref": "#/$defs/D"}}, "required": ["b"]}
+    assert served["u"].description == "" and json.loads(served["u"].input_schema) == {"type": "object", "properties": {}}
+    defs = {r.name: json.loads(r.definition) for r in schemas.compressed_defs(df).collect()}
+    assert defs == {"D": {"t": "integer", "max": 3}}
+    whole = {r.name: json.loads(r.input_schema) for r in schemas.input_schemas(df, lossless=True, definitions=json.dumps(defs)).collect()}
+    assert whole["t"]["$defs"] == {"D": {"type": "integer", "maximum": 3}} and whole["t"]["properties"]["a"] == {"type": "string", "pattern": "x", "default": 1}
+    assert [(r.name, r.cache_control) for r in schemas.api_form(df).orderBy("ord").collect()] == [("t", None), ("u", "ephemeral")]
+    assert {r.wanted: r.message for r in schemas.find(df, spark.createDataFrame([("t",), ("x",)], "wanted string")).collect()} == {"t": None, "x": "no tool named x"}
+    assert json.loads(reports.as_json(df.where("ord = 0").select("name", F.lit(None).cast("int").alias("n"))).first().result) == {"name": "t", "n": None}
+
+
+def test_catalog_report_is_a_sum_of_parts(spark):
+    df = tools(spark, *[(f"t{i}", f"Does {i}. " + "more " * i, {"properties": {f"p{j}": {"type": "string", "description": "D. " * 9} for j in range(i)}}) for i in range(4)]).withColumn("server", F.lit("s"))
+    costed = reports.tool_costs(df).toPandas()
+    report = {r.k: r for r in reports.catalog_report(reports.tool_costs(df)).collect()}
+    assert set(report) == {1, 3} and report[3].tokens == costed["index"].sum() + costed["short"].nlargest(3).sum()
+    assert report[1].raw == costed.raw.sum() and report[1].reduction_pct == round((1 - report[1].tokens / report[1].raw) * 100, 1)
+
+
+def test_vocabulary_counts(spark, tmp_path):
+    import base64
+
+    path = tmp_path / "ranks"
+    path.write_text("".join(f"{base64.b64encode(bytes([b])).decode()} {b}\n" for b in range(256)) + f"{base64.b64encode(b'ab').decode()} 256\n")
+    df = spark.createDataFrame([("abab c",), (None,), ("",)], "t string")
+    assert [r.n for r in df.select(tokens.vocabulary(str(path), r"[a-z]+| ")(F.col("t")).alias("n")).collect()] == [4, 0, 0]
+
+
+def test_words_route_text_ids(spark):
+    t = spark.createDataFrame([("b_tool", "b tool", "mail"), ("a_tool", "a tool", "mail")], "id string, name string, description string")
+    q = spark.createDataFrame([("q", ["mail"]), ("r", ["nothing"])], "id string, words array<string>")
+    assert {r.query_id: (r.tool_id, r.score) for r in routing.keyword_route(q, t).collect()} == {"q": ("a_tool", 1), "r": ("a_tool", 0)}
+    assert {(r.query_id, r.tool_id) for r in routing.keyword_route(q, t.limit(0)).collect()} == {("q", None), ("r", None)}
+    spaced = spark.createDataFrame([("Find\u00a0The\u2003the",)], "t string").select(text.distinct_words(F.col("t")).alias("w")).first().w
+    assert spaced == ["find", "the"]
+
+
+def test_catalog_order_is_that_of_files(spark, tmp_path):
+    for i, names in enumerate((["x", "y"], ["x", "z"])):
+        (tmp_path / f"{i}.json").write_text(json.dumps([{"name": n, "description": f"{i}"} for n in names]))
+    rows = catalogs.read_catalogs(spark, str(tmp_path)).repartition(3)
+    first = {r.name: r.description for r in stats.first_wins(rows, "name", "ord", "description").collect()}
+    assert first == {"x": "0", "y": "0", "z": "1"}
+
+
+def test_source_kinds_and_bytes(spark, tmp_path):
+    for name in ("a.cjs", "b.tsx", "c.rb"):
+        (tmp_path / name).write_text("x")
+    (tmp_path / "d.py").write_bytes(b"x = '\xff'")
+    rows = {r.file: r.text for r in catalogs.read_sources(spark, str(tmp_path), strict=False).collect()}
+    assert set(rows) == {"a.cjs", "b.tsx", "d.py"} and rows["d.py"] == "x = '\ufffd'"
+    assert [r.l for r in spark.createDataFrame([("a.CJS",), ("b.tsx",), ("x/y",)], "f string").select(code.language(F.col("f")).alias("l")).collect()] == ["javascript", "tsx", "python"]
+
+
+def test_deep_closures(spark):
+    chain = spark.range(60).selectExpr("id AS src", "id + 1 AS dst")
+    hit = {r.node: r.depth for r in graphs.reach_back(chain, 60).collect()}
+    assert hit == {i: 60 - i for i in range(60)}
+    rings = [(i, (i + 1) % 9) for i in range(9)] + [(8, 20), (20, 21), (21, 20), (21, 30), (40, 40), (30, 31)]
+    assert {r.node for r in graphs.on_cycles(spark.createDataFrame(rings, "src long, dst long")).collect()} == {*range(9), 20, 21, 40}
