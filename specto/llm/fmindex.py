@@ -57,6 +57,45 @@ class WaveletMatrix:
         return ends[:k] - start, ends[k : 2 * k] - start
 
 
+def minima(values: np.ndarray, levels: int) -> list[np.ndarray]:
+    """The smallest of each stretch of 1, 2, 4, ... values, for up to so many doublings."""
+    out = [values]
+    while len(out) <= levels and 1 << len(out) <= len(values):
+        half = 1 << (len(out) - 1)
+        out.append(np.minimum(out[-1][:-half], out[-1][half:]))
+    return out
+
+
+class LowestOwner:
+    """Smallest owner of a stretch of rows: by doublings up to a block of 2^BLOCK rows, and by doublings over whole blocks beyond it."""
+
+    BLOCK = 4
+
+    def __init__(self, owner: np.ndarray) -> None:
+        self.near = minima(owner, self.BLOCK)
+        size = 1 << self.BLOCK
+        whole = owner[: len(owner) // size * size].reshape(-1, size)
+        self.far = minima(whole.min(1), 32) if len(whole) else []
+
+    @staticmethod
+    def over(tables: list[np.ndarray], lo: np.ndarray, hi: np.ndarray, most: int) -> np.ndarray:
+        """Minimum of two stretches of a power of two that cover lo to hi."""
+        level = np.minimum(np.frexp((hi - lo).astype(np.float64))[1] - 1, most)
+        out = np.empty(len(lo), np.int32)
+        for k in np.unique(level).tolist():
+            at = level == k
+            out[at] = np.minimum(tables[k][lo[at]], tables[k][hi[at] - (1 << k)])
+        return out
+
+    def query(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        out = self.over(self.near, lo, hi, self.BLOCK)  # all of a short stretch, both ends of a long one
+        first, last = (lo + (1 << self.BLOCK) - 1) >> self.BLOCK, hi >> self.BLOCK
+        long = np.flatnonzero((hi - lo > 2 << self.BLOCK) & (first < last))
+        if len(long):
+            out[long] = np.minimum(out[long], self.over(self.far, first[long], last[long], 32))
+        return out
+
+
 class FmIndex:
     """Segments of word numbers (1 and up), each owned by a document; search tells whether a smaller document holds what was read."""
 
@@ -75,10 +114,7 @@ class FmIndex:
         self.tree = WaveletMatrix(symbols)
         self.first = np.searchsorted(text[order], np.arange(int(text.max()) + 2)).astype(np.int64)
         owner = np.repeat(owners, sizes + 1)[order].astype(np.int32)
-        self.lowest = [owner]  # lowest owner of each stretch of 1, 2, 4, ... rows
-        while 2 << (len(self.lowest) - 1) <= self.n:
-            last, half = self.lowest[-1], 1 << (len(self.lowest) - 1)
-            self.lowest.append(np.minimum(last[: len(last) - half], last[half:]))
+        self.low = LowestOwner(owner)
 
     def extend(self, symbols: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rows of each pattern with one more word before it; none for 0, a word that isn't in the index."""
@@ -87,12 +123,7 @@ class FmIndex:
 
     def smallest(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
         """The smallest owner of rows lo to hi, which aren't empty."""
-        level = np.frexp((hi - lo).astype(np.float64))[1] - 1
-        out = np.empty(len(lo), np.int32)
-        for k in np.unique(level):
-            at = level == k
-            out[at] = np.minimum(self.lowest[k][lo[at]], self.lowest[k][hi[at] - (1 << int(k))])
-        return out
+        return self.low.query(lo, hi)
 
 
 def matched_windows(index: FmIndex, segments: list[np.ndarray], owners: np.ndarray, width: int) -> list[np.ndarray]:

@@ -14,10 +14,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import importable, map_batches, narrow, release, shared_folder
+from .common import anti_by_key, cut, importable, map_batches, narrow, release, semi_by_key, shared_folder
+from .dedup import key_filter, passes
 from .fmindex import FmIndex, matched_windows
 
 CHUNK = 4096  # bytes of the filter in a row
@@ -172,7 +173,7 @@ def stretches(docs: DataFrame, bloom: Bloom, width: int, k: int) -> DataFrame:
 def search_shards(rows: DataFrame, width: int) -> DataFrame:
     """key, content, starts of rows (shard, role, key, content, doc, words): the windows of each content that a smaller document has.
 
-    Rows come sorted by shard and one shard is held at a time. Role 0 is indexed and searched, 1 only searched.
+    Rows come sorted by shard and one shard is held at a time. Role 0 is indexed and searched, 1 only indexed, 2 only searched.
     """
 
     def search(part: list[pa.RecordBatch]) -> pa.RecordBatch | None:
@@ -181,14 +182,17 @@ def search_shards(rows: DataFrame, width: int) -> DataFrame:
         table = table.sort_by("role")  # so that the indexed words are numbered first
         segments = [np.array([numbers.setdefault(w, len(numbers) + 1) for w in body.split(b" ")], np.int64) for body in table["words"].to_pylist()]
         owners = np.unique(table["doc"].to_numpy(), return_inverse=True)[1].astype(np.int64)
-        indexed = int((table["role"].to_numpy() == 0).sum())
-        if not indexed or len(segments) < 2:
+        role = table["role"].to_numpy()
+        indexed = int((role < 2).sum())
+        searched = np.flatnonzero(role != 1)
+        if not indexed or len(segments) < 2 or not len(searched):
             return None
         index = FmIndex(segments[:indexed], owners[:indexed])
         known = len(index.first) - 2  # a word that the index lacks becomes 0, which has no match
-        starts = matched_windows(index, [np.where(s <= known, s, 0) for s in segments], owners, width)
-        at = [i for i, s in enumerate(starts) if len(s)]
-        return pa.RecordBatch.from_pydict({"key": table["key"].take(pa.array(at, pa.int64())).combine_chunks(), "content": table["content"].take(pa.array(at, pa.int64())).combine_chunks(), "starts": pa.array([starts[i] for i in at], pa.list_(pa.int32()))})
+        starts = matched_windows(index, [np.where(s <= known, s, 0) for s in (segments[i] for i in searched.tolist())], owners[searched], width)
+        at = [int(searched[i]) for i, s in enumerate(starts) if len(s)]
+        starts = [s for s in starts if len(s)]
+        return pa.RecordBatch.from_pydict({"key": table["key"].take(pa.array(at, pa.int64())).combine_chunks(), "content": table["content"].take(pa.array(at, pa.int64())).combine_chunks(), "starts": pa.array(starts, pa.list_(pa.int32()))})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -208,12 +212,62 @@ def search_shards(rows: DataFrame, width: int) -> DataFrame:
     return rows.mapInArrow(run, "key long, content long, starts array<int>")
 
 
-def repeated_spans(docs: DataFrame, width: int = 50, k: int = 25, block: int = 2048, max_bits: int = 1 << 29) -> DataFrame:
+def without_edges(hot: DataFrame, width: int) -> DataFrame:
+    """key, content, offset, windows, piece, words: what is left of hot stretches (key, content, doc, words) without windows that only one document has.
+
+    Around a passage that many documents share, each has other words, so its stretches all differ though what they share
+    doesn't. Cut down to windows that two documents have, by a hash of each window, they become few.
+    """
+    spark = hot.sparkSession
+
+    def make_windows():
+        def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+            found = [rolling(body.split(b" "), width).view(np.int64) for body in batch.column(3).to_pylist()]
+            counts = np.array([len(f) for f in found])
+            at = np.concatenate([np.arange(n) for n in counts])
+            rows = pa.array(np.repeat(np.arange(len(counts)), counts))
+            return pa.RecordBatch.from_pydict({"key": batch.column(0).take(rows), "content": batch.column(1).take(rows), "doc": batch.column(2).take(rows), "at": pa.array(at, pa.int32()), "hash": pa.array(np.concatenate(found))})
+
+        return work
+
+    path = f"{shared_folder(spark)}/windows-{uuid.uuid4().hex}"
+    map_batches(hot.select("key", "content", "doc", "words"), make_windows, "key long, content long, doc long, at int, hash long").write.parquet(path)
+    windows = spark.read.parquet(path)
+    shared = windows.groupBy("key", "hash").agg(F.min("doc").alias("a"), F.max("doc").alias("b")).where("a <> b").select("key", "hash")
+    kept = windows.join(shared, ["key", "hash"], "left_semi").groupBy("key", "content").agg(F.sort_array(F.collect_list("at")).alias("at"))
+
+    def make_pieces():
+        def work(batch: pa.RecordBatch) -> pa.RecordBatch | None:
+            rows, offsets, counts, pieces, bodies = [], [], [], [], []
+            for i, (body, at) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
+                words, own = body.split(b" "), np.array(at)
+                breaks = np.flatnonzero(np.diff(own) != 1) + 1
+                for a, b in zip([0, *breaks.tolist()], [*breaks.tolist(), len(own)], strict=True):
+                    start, n = int(own[a]), b - a
+                    piece = b" ".join(words[start : start + n + width - 1])
+                    rows.append(i)
+                    offsets.append(start)
+                    counts.append(n)
+                    pieces.append(xxhash.xxh3_64_intdigest(piece) - (1 << 63))
+                    bodies.append(piece)
+            at = pa.array(rows, pa.int64())
+            return pa.RecordBatch.from_pydict({"key": batch.column(0).take(at), "content": batch.column(1).take(at), "offset": pa.array(offsets, pa.int32()), "windows": pa.array(counts, pa.int32()), "piece": pa.array(pieces, pa.int64()), "words": pa.array(bodies, pa.binary())})
+
+        return work
+
+    cut_down = map_batches(hot.join(kept, ["key", "content"]).select("key", "content", "words", "at"), make_pieces, "key long, content long, offset int, windows int, piece long, words binary")
+    path = f"{shared_folder(spark)}/pieces-{uuid.uuid4().hex}"
+    cut_down.write.parquet(path)
+    return spark.read.parquet(path)
+
+
+def repeated_spans(docs: DataFrame, width: int = 50, k: int = 25, block: int = 2048, max_bits: int = 1 << 29, hot_size: int = 256) -> DataFrame:
     """doc_id, mark, spans: for each document (doc_id, mark, text) with repeated passages, the starts and ends of its words in them.
 
     Equal stretches are searched once, for the document with the smallest id; in all others each of their windows is
-    repeated. An anchor with more than `block` different stretches is dealt over several shards: each stretch is indexed
-    in one of them and searched in all.
+    repeated. Stretches of an anchor that has more than `hot_size` different ones are first cut down to windows that two
+    documents have. An anchor that still has more than `block` is dealt in blocks, and each block is searched in the index
+    of each, a pair of blocks at a time, so that a shard stays small whatever the anchor has.
     """
     spark = docs.sparkSession
     own = docs.where("doc_id is not null")
@@ -223,19 +277,38 @@ def repeated_spans(docs: DataFrame, width: int = 50, k: int = 25, block: int = 2
     stretches(own.select("doc_id", "mark", "text"), bloom, width, k).write.parquet(path)
     found = spark.read.parquet(path)
 
-    different = found.groupBy("key", "content").agg(F.min("doc_id").alias("doc"), F.first("windows").alias("windows"))
+    def distinct(rows: DataFrame) -> DataFrame:
+        return rows.groupBy("key", "content").agg(F.min("doc_id").alias("doc"), F.first("windows").alias("windows"))
+
+    def bodies_of(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+        bodies = rows.where("words is not null").select("key", "content", "words").join(wanted, ["key", "content"])
+        return bodies.groupBy("key", "content").agg(*[F.first(c).alias(c) for c in bodies.columns if c not in ("key", "content")])
+
+    different, places, bodies = distinct(found), found.drop("words"), found
+    hot = cut(different.groupBy("key").agg(F.count("*").alias("size")).where(F.col("size") > hot_size).select("key"))
+    if not hot.isEmpty():
+        pieces = without_edges(bodies_of(semi_by_key(found, hot, ["key"]), different), width)
+        moved = semi_by_key(places, hot, ["key"]).drop("windows").join(pieces.drop("words"), ["key", "content"])
+        moved = moved.select("key", F.col("piece").alias("content"), "doc_id", "mark", (F.col("start") + F.col("offset")).alias("start"), "windows")
+        places = anti_by_key(places, hot, ["key"]).select(*moved.columns).unionByName(moved)
+        different = distinct(places)
+        bodies = anti_by_key(found, hot, ["key"]).select("key", "content", "words").unionByName(pieces.select("key", F.col("piece").alias("content"), "words"))
+
     many = different.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
-    several = different.join(many, "key").select("key", "content", "doc", "windows", "size")
+    several = cut(different.join(many, "key").select("key", "content", "doc", "windows", "size"))
     shards = (several.agg(F.sum(F.col("windows") + width - 1)).first()[0] or 0) // SHARD_WORDS + 1
-    bodies = found.where("words is not null").select("key", "content", "words").join(several, ["key", "content"])
-    bodies = bodies.groupBy("key", "content").agg(F.first("words").alias("words"), F.first("doc").alias("doc"), F.first("size").alias("size"))
+    texts = bodies_of(bodies, several)
     blocks = F.ceil(F.col("size") / block).cast("int")
-    dealt = bodies.withColumn("own", F.pmod(F.xxhash64("content"), blocks)).withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    dealt = dealt.select(F.pmod(F.xxhash64("key", "block"), F.lit(shards)).cast("int").alias("shard"), (F.col("block") != F.col("own")).cast("int").alias("role"), "key", "content", "doc", "words")
+    own_block = F.pmod(F.xxhash64("content"), blocks).cast("int")
+    every = F.sequence(F.lit(0), blocks - 1)
+    cells = F.array_distinct(F.concat(F.transform(every, lambda j: F.struct(own_block.alias("i"), j.alias("j"))), F.transform(every, lambda i: F.struct(i.alias("i"), own_block.alias("j")))))
+    dealt = texts.withColumn("own", own_block).select("key", "content", "doc", "words", "own", F.inline(cells))
+    role = F.when(F.col("i") == F.col("j"), 0).when(F.col("i") == F.col("own"), 1).otherwise(2)
+    dealt = dealt.select(F.pmod(F.xxhash64("key", "i", "j"), F.lit(shards)).cast("int").alias("shard"), role.alias("role"), "key", "content", "doc", "words")
     hits = search_shards(dealt.repartition(shards, "shard").sortWithinPartitions("shard"), width)
 
     # windows is one key more than the groups have: the join deals its sides anew, and adaptive execution can split a hot stretch
-    places = found.select("key", "content", "doc_id", "mark", "start", "windows").join(different, ["key", "content", "windows"])
+    places = places.join(different, ["key", "content", "windows"])
     later = places.where("doc_id > doc").select("doc_id", "mark", F.struct(F.col("start").alias("from"), (F.col("start") + F.col("windows") - 1 + width).alias("to")).alias("span"))
     first = places.where("doc_id = doc").join(hits, ["key", "content"]).select("doc_id", "mark", "start", F.explode("starts").alias("s"))
     first = first.select("doc_id", "mark", F.struct((F.col("start") + F.col("s")).alias("from"), (F.col("start") + F.col("s") + width).alias("to")).alias("span"))
@@ -247,14 +320,19 @@ def drop_repeated_passages(docs: DataFrame, width: int = 50, id_col: str = "doc_
 
     Removed is each word covered by a window of `width` words that also starts in a document with a smaller id; windows
     are judged on the texts as given. A null text has no words. A row with a null id is neither smaller nor larger than
-    another and stays whole; rows that repeat an id and text share one fate. An empty table gives no rows.
+    another and stays whole; rows that repeat an id and text share one fate. A text of any length is cut into stretches,
+    and other columns are passed over. An empty table gives no rows.
     """
     own = narrow(docs, id_col, text_col).withColumn("mark", F.xxhash64("text"))
     spark, path = docs.sparkSession, f"{shared_folder(docs.sparkSession)}/spans-{uuid.uuid4().hex}"
     repeated_spans(own.select("doc_id", "mark", "text"), width).write.parquet(path)
     spans = spark.read.parquet(path)
     release(spark)
-    marked = own.join(spans, ["doc_id", "mark"], "left").select("doc_id", "text", "spans")
+    # only texts that a bitmap of the documents with spans lets through are shuffled to them
+    key = F.xxhash64("doc_id", "mark")
+    told = passes(own, key, *key_filter(spans.select("doc_id", "mark"), key, 1 << 28))
+    touched = told.where("__pass").join(spans, ["doc_id", "mark"], "left").select("doc_id", "text", "spans")
+    marked = told.where("not __pass").select("doc_id", "text", F.lit(None).cast(spans.schema["spans"].dataType).alias("spans")).unionByName(touched)
 
     def make():
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:

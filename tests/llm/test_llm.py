@@ -103,10 +103,18 @@ def test_fm_index():
             assert sorted(got[i]) == [x for x in range(len(s) - width + 1) if any(owners[j] < owners[i] and tuple(s[x : x + width]) in held[j] for j in range(len(segments)))]
 
 
-@pytest.mark.parametrize(("width", "k", "block"), [(50, 25, 2048), (12, 6, 2)])
-def test_substring(spark, docs, empty, width, k, block, monkeypatch):
+def test_lowest_owner():
+    for n in (1, 15, 16, 17, 64, 301):
+        owner = np.random.randint(0, 50, n).astype(np.int32)
+        lo = np.random.randint(0, n, 400)
+        hi = np.array([random.randint(a + 1, n) for a in lo])
+        assert fmindex.LowestOwner(owner).query(lo, hi).tolist() == [owner[a:b].min() for a, b in zip(lo, hi)]
+
+
+@pytest.mark.parametrize(("width", "k", "block", "hot"), [(50, 25, 2048, 256), (12, 6, 2, 256), (12, 6, 2, 3)])
+def test_substring(spark, docs, empty, width, k, block, hot, monkeypatch):
     whole = substring.repeated_spans
-    monkeypatch.setattr(substring, "repeated_spans", lambda d, w: whole(d, w, k, block))
+    monkeypatch.setattr(substring, "repeated_spans", lambda d, w: whole(d, w, k, block, hot_size=hot))
     first, all_words = {}, [words(t) for t in TEXTS]
     for d, w in enumerate(all_words):
         for i in range(len(w) - width + 1):
