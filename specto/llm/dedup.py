@@ -7,26 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import anti_by_key, ascii_lower, cut, semi_by_key
-
-BITS = 32768  # of one part of a bitmap: what bitmap_construct_agg makes
-
-
-def key_filter(keys: DataFrame, key: Column, max_bits: int) -> tuple[DataFrame, int]:
-    """A bitmap of hashed keys as rows (part, bits), and how many parts it has: 16 bits a key, and at most `max_bits` in all."""
-    parts = min(max_bits, max(1, 16 * keys.count())) // BITS + 1
-    place = F.pmod(key, F.lit(parts * BITS))
-    return keys.select(F.bitmap_bucket_number(place).alias("part"), F.bitmap_bit_position(place).alias("bit")).groupBy("part").agg(F.bitmap_construct_agg("bit").alias("bits")), parts
-
-
-def passes(rows: DataFrame, key: Column, bitmap: DataFrame, parts: int) -> DataFrame:
-    """The rows with `__pass`: whether the bitmap has the bit of their key, as it has for every key that it was made of."""
-    place = F.pmod(key, F.lit(parts * BITS))
-    bit = F.bitmap_bit_position(place)
-    byte = F.conv(F.hex(F.substring("bits", (bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    marked = rows.withColumn("part", F.bitmap_bucket_number(place)).join(F.broadcast(bitmap), "part", "left")
-    return marked.withColumn("__pass", F.coalesce(F.getbit(byte, (bit % 8).cast("int")) == 1, F.lit(False))).drop("part", "bits")
-
+from .bloom import key_filter, passes, rows_without
+from .common import ascii_lower, cut, semi_by_key
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: Sequence[Column] = (), prefix_chars: int = 128, digest: bool = False, max_bits: int = 1 << 28) -> DataFrame:
     """One row per input row: doc_id, the columns of `carry`, keep_id, group_size, kept, and with `digest` text_sha256 of every row.
@@ -73,7 +55,7 @@ def drop_copies(docs: DataFrame) -> DataFrame:
     mark = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
     gone = cut(exact_dedup(docs, carry=[mark.alias("mark")]).where("not kept").select(F.col("doc_id").alias("id"), "mark").distinct())
     packed = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("id"), mark.alias("mark"))
-    return anti_by_key(packed, gone, ["id", "mark"]).select("row.*")
+    return rows_without(packed, gone, ["id", "mark"]).select("row.*")
 
 
 def op2_exact_dedup(docs: DataFrame) -> DataFrame:

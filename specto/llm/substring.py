@@ -17,11 +17,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import anti_by_key, cut, importable, map_batches, narrow, release, semi_by_key, shared_folder
-from .dedup import key_filter, passes
+from .bloom import Bloom, gather, key_filter, passes
+from .common import cut, importable, map_batches, narrow, release, shared_folder
 from .fmindex import FmIndex, matched_windows
 
-CHUNK = 4096  # bytes of the filter in a row
 SHARD_WORDS = 250_000
 
 
@@ -64,35 +63,8 @@ def anchors(words: list[bytes], width: int, k: int) -> tuple[np.ndarray, np.ndar
     return grams[at[first]].view(np.int64), first, np.diff(np.append(first, len(at)))
 
 
-class Bloom:
-    """A filter over hashed keys: `bits` is a power of two, four places a key."""
-
-    def __init__(self, bits: int, data: np.ndarray | None = None) -> None:
-        self.bits = bits
-        self.data = np.zeros(bits // 8, np.uint8) if data is None else data
-
-    def places(self, keys: np.ndarray) -> list[np.ndarray]:
-        x = keys.view(np.uint64)
-        with np.errstate(over="ignore"):
-            return [(((x ^ (x >> np.uint64(33))) * np.uint64(c)) >> np.uint64(20)) & np.uint64(self.bits - 1) for c in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53, 0x9FB21C651E98DF25, 0xD6E8FEB86659FD93)]
-
-    def add(self, keys: np.ndarray) -> None:
-        for p in self.places(keys):
-            np.bitwise_or.at(self.data, (p >> np.uint64(3)).view(np.int64), np.uint8(1) << (p & np.uint64(7)).astype(np.uint8))
-
-    def has(self, keys: np.ndarray) -> np.ndarray:
-        out = np.ones(len(keys), bool)
-        for p in self.places(keys):
-            out &= (self.data[(p >> np.uint64(3)).view(np.int64)] >> (p & np.uint64(7)).astype(np.uint8)) & 1 == 1
-        return out
-
-
 def shared_anchors(docs: DataFrame, width: int, k: int, max_bits: int) -> Bloom:
-    """A filter of the anchors that two documents have; it also lets some others through, which then meet no partner.
-
-    Tasks set the bits of their anchors and send them as rows of CHUNK bytes, which are joined by chunk; the driver gets
-    the filter, 16 bits an anchor and at most max_bits.
-    """
+    """A filter of the anchors that two documents have; it also lets some others through, which then meet no partner."""
 
     def make():
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -107,29 +79,7 @@ def shared_anchors(docs: DataFrame, width: int, k: int, max_bits: int) -> Bloom:
     path = f"{shared_folder(docs.sparkSession)}/anchors-{uuid.uuid4().hex}"
     shared.write.parquet(path)
     shared = docs.sparkSession.read.parquet(path)
-    bits = min(max_bits, max(1 << 16, 1 << (16 * max(1, shared.count())).bit_length()))
-
-    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bloom = Bloom(bits)
-        for batch in batches:
-            bloom.add(batch.column(0).to_numpy())
-        rows = bloom.data.reshape(-1, CHUNK)
-        used = np.flatnonzero(rows.any(1))
-        yield pa.RecordBatch.from_pydict({"chunk": pa.array(used, pa.int32()), "bits": pa.array([rows[i].tobytes() for i in used], pa.binary())})
-
-    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for chunk, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                parts[chunk] = parts.get(chunk, 0) | np.frombuffer(data, np.uint8)
-        if parts:
-            yield pa.RecordBatch.from_pydict({"chunk": pa.array(list(parts), pa.int32()), "bits": pa.array([x.tobytes() for x in parts.values()], pa.binary())})
-
-    importable(docs.sparkSession)
-    data = np.zeros((bits // 8 // CHUNK, CHUNK), np.uint8)
-    for chunk, part in shared.mapInArrow(fill, "chunk int, bits binary").repartition(F.col("chunk")).mapInArrow(join, "chunk int, bits binary").collect():
-        data[chunk] = np.frombuffer(bytes(part), np.uint8)
-    return Bloom(bits, data.ravel())
+    return gather(shared, max_bits)
 
 
 def stretches(docs: DataFrame, bloom: Bloom, width: int, k: int) -> DataFrame:
@@ -212,13 +162,13 @@ def search_shards(rows: DataFrame, width: int) -> DataFrame:
     return rows.mapInArrow(run, "key long, content long, starts array<int>")
 
 
-def without_edges(hot: DataFrame, width: int) -> DataFrame:
-    """key, content, offset, windows, piece, words: what is left of hot stretches (key, content, doc, words) without windows that only one document has.
+def shared_pieces(bodies: DataFrame, width: int) -> DataFrame:
+    """key, content, doc, offset, windows, piece, words: what is left of stretches (key, content, doc, words) without windows that only one document has.
 
     Around a passage that many documents share, each has other words, so its stretches all differ though what they share
     doesn't. Cut down to windows that two documents have, by a hash of each window, they become few.
     """
-    spark = hot.sparkSession
+    spark = bodies.sparkSession
 
     def make_windows():
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -231,43 +181,62 @@ def without_edges(hot: DataFrame, width: int) -> DataFrame:
         return work
 
     path = f"{shared_folder(spark)}/windows-{uuid.uuid4().hex}"
-    map_batches(hot.select("key", "content", "doc", "words"), make_windows, "key long, content long, doc long, at int, hash long").write.parquet(path)
+    map_batches(bodies.select("key", "content", "doc", "words"), make_windows, "key long, content long, doc long, at int, hash long").write.parquet(path)
     windows = spark.read.parquet(path)
-    shared = windows.groupBy("key", "hash").agg(F.min("doc").alias("a"), F.max("doc").alias("b")).where("a <> b").select("key", "hash")
-    kept = windows.join(shared, ["key", "hash"], "left_semi").groupBy("key", "content").agg(F.sort_array(F.collect_list("at")).alias("at"))
+    shared = windows.groupBy("hash").agg(F.min("doc").alias("a"), F.max("doc").alias("b")).where("a <> b").select("hash")
+    kept = windows.join(shared, "hash", "left_semi").groupBy("key", "content").agg(F.sort_array(F.collect_set("at")).alias("at"))
 
     def make_pieces():
-        def work(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-            rows, offsets, counts, pieces, bodies = [], [], [], [], []
-            for i, (body, at) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
+        def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+            rows, offsets, counts, pieces, texts = [], [], [], [], []
+            for i, (body, at) in enumerate(zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True)):
                 words, own = body.split(b" "), np.array(at)
-                breaks = np.flatnonzero(np.diff(own) != 1) + 1
-                for a, b in zip([0, *breaks.tolist()], [*breaks.tolist(), len(own)], strict=True):
+                breaks = (np.flatnonzero(np.diff(own) != 1) + 1).tolist()
+                for a, b in zip([0, *breaks], [*breaks, len(own)], strict=True):
                     start, n = int(own[a]), b - a
                     piece = b" ".join(words[start : start + n + width - 1])
                     rows.append(i)
                     offsets.append(start)
                     counts.append(n)
                     pieces.append(xxhash.xxh3_64_intdigest(piece) - (1 << 63))
-                    bodies.append(piece)
+                    texts.append(piece)
             at = pa.array(rows, pa.int64())
-            return pa.RecordBatch.from_pydict({"key": batch.column(0).take(at), "content": batch.column(1).take(at), "offset": pa.array(offsets, pa.int32()), "windows": pa.array(counts, pa.int32()), "piece": pa.array(pieces, pa.int64()), "words": pa.array(bodies, pa.binary())})
+            own = {n: batch.column(i).take(at) for i, n in enumerate(("key", "content", "doc"))}
+            return pa.RecordBatch.from_pydict(own | {"offset": pa.array(offsets, pa.int32()), "windows": pa.array(counts, pa.int32()), "piece": pa.array(pieces, pa.int64()), "words": pa.array(texts, pa.binary())})
 
         return work
 
-    cut_down = map_batches(hot.join(kept, ["key", "content"]).select("key", "content", "words", "at"), make_pieces, "key long, content long, offset int, windows int, piece long, words binary")
+    cut_down = map_batches(bodies.join(kept, ["key", "content"]).select("key", "content", "doc", "words", "at"), make_pieces, "key long, content long, doc long, offset int, windows int, piece long, words binary")
     path = f"{shared_folder(spark)}/pieces-{uuid.uuid4().hex}"
     cut_down.write.parquet(path)
     return spark.read.parquet(path)
 
 
-def repeated_spans(docs: DataFrame, width: int = 50, k: int = 25, block: int = 2048, max_bits: int = 1 << 29, hot_size: int = 256) -> DataFrame:
+def repeated_windows(pieces: DataFrame, width: int, block: int) -> DataFrame:
+    """key, content, starts: where windows begin in different pieces (key, content, doc, windows, words) that a smaller document has too.
+
+    An anchor with more than `block` different pieces is dealt in blocks, and each block is searched in the index of each,
+    a pair of blocks at a time, so that a shard stays small whatever the anchor has.
+    """
+    many = pieces.groupBy("key").agg(F.count("*").alias("size"), F.sum(F.col("windows") + width - 1).alias("words_of_key")).where("size > 1")
+    many = cut(many)
+    shards = (many.agg(F.sum("words_of_key")).first()[0] or 0) // SHARD_WORDS + 1
+    blocks = F.ceil(F.col("size") / block).cast("int")
+    own_block = F.pmod(F.xxhash64("content"), blocks).cast("int")
+    every = F.sequence(F.lit(0), blocks - 1)
+    cells = F.array_distinct(F.concat(F.transform(every, lambda j: F.struct(own_block.alias("i"), j.alias("j"))), F.transform(every, lambda i: F.struct(i.alias("i"), own_block.alias("j")))))
+    dealt = pieces.join(many.select("key", "size"), "key").select("key", "content", "doc", "words", own_block.alias("own"), F.inline(cells))
+    role = F.when(F.col("i") == F.col("j"), 0).when(F.col("i") == F.col("own"), 1).otherwise(2)
+    dealt = dealt.select(F.pmod(F.xxhash64("key", "i", "j"), F.lit(shards)).cast("int").alias("shard"), role.alias("role"), "key", "content", "doc", "words")
+    return search_shards(dealt.repartition(shards, "shard").sortWithinPartitions("shard"), width)
+
+
+def repeated_spans(docs: DataFrame, width: int = 50, k: int = 25, block: int = 2048, max_bits: int = 1 << 29) -> DataFrame:
     """doc_id, mark, spans: for each document (doc_id, mark, text) with repeated passages, the starts and ends of its words in them.
 
-    Equal stretches are searched once, for the document with the smallest id; in all others each of their windows is
-    repeated. Stretches of an anchor that has more than `hot_size` different ones are first cut down to windows that two
-    documents have. An anchor that still has more than `block` is dealt in blocks, and each block is searched in the index
-    of each, a pair of blocks at a time, so that a shard stays small whatever the anchor has.
+    Of equal stretches, all but that of the smallest document are repeated whole. Where an anchor has different ones, that
+    one is cut down to windows that two documents have; of equal pieces again all but the first are repeated whole, and
+    the first of each is searched in the indexes of the others.
     """
     spark = docs.sparkSession
     own = docs.where("doc_id is not null")
@@ -277,42 +246,32 @@ def repeated_spans(docs: DataFrame, width: int = 50, k: int = 25, block: int = 2
     stretches(own.select("doc_id", "mark", "text"), bloom, width, k).write.parquet(path)
     found = spark.read.parquet(path)
 
-    def distinct(rows: DataFrame) -> DataFrame:
-        return rows.groupBy("key", "content").agg(F.min("doc_id").alias("doc"), F.first("windows").alias("windows"))
-
-    def bodies_of(rows: DataFrame, wanted: DataFrame) -> DataFrame:
-        bodies = rows.where("words is not null").select("key", "content", "words").join(wanted, ["key", "content"])
-        return bodies.groupBy("key", "content").agg(*[F.first(c).alias(c) for c in bodies.columns if c not in ("key", "content")])
-
-    different, places, bodies = distinct(found), found.drop("words"), found
-    hot = cut(different.groupBy("key").agg(F.count("*").alias("size")).where(F.col("size") > hot_size).select("key"))
-    if not hot.isEmpty():
-        pieces = without_edges(bodies_of(semi_by_key(found, hot, ["key"]), different), width)
-        moved = semi_by_key(places, hot, ["key"]).drop("windows").join(pieces.drop("words"), ["key", "content"])
-        moved = moved.select("key", F.col("piece").alias("content"), "doc_id", "mark", (F.col("start") + F.col("offset")).alias("start"), "windows")
-        places = anti_by_key(places, hot, ["key"]).select(*moved.columns).unionByName(moved)
-        different = distinct(places)
-        bodies = anti_by_key(found, hot, ["key"]).select("key", "content", "words").unionByName(pieces.select("key", F.col("piece").alias("content"), "words"))
-
+    different = found.groupBy("key", "content").agg(F.min("doc_id").alias("doc"), F.first("windows").alias("windows"))
     many = different.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
-    several = cut(different.join(many, "key").select("key", "content", "doc", "windows", "size"))
-    shards = (several.agg(F.sum(F.col("windows") + width - 1)).first()[0] or 0) // SHARD_WORDS + 1
-    texts = bodies_of(bodies, several)
-    blocks = F.ceil(F.col("size") / block).cast("int")
-    own_block = F.pmod(F.xxhash64("content"), blocks).cast("int")
-    every = F.sequence(F.lit(0), blocks - 1)
-    cells = F.array_distinct(F.concat(F.transform(every, lambda j: F.struct(own_block.alias("i"), j.alias("j"))), F.transform(every, lambda i: F.struct(i.alias("i"), own_block.alias("j")))))
-    dealt = texts.withColumn("own", own_block).select("key", "content", "doc", "words", "own", F.inline(cells))
-    role = F.when(F.col("i") == F.col("j"), 0).when(F.col("i") == F.col("own"), 1).otherwise(2)
-    dealt = dealt.select(F.pmod(F.xxhash64("key", "i", "j"), F.lit(shards)).cast("int").alias("shard"), role.alias("role"), "key", "content", "doc", "words")
-    hits = search_shards(dealt.repartition(shards, "shard").sortWithinPartitions("shard"), width)
+    several = different.join(many, "key").select("key", "content", "doc")
+    bodies = found.where("words is not null").select("key", "content", "words").join(several, ["key", "content"])
+    bodies = bodies.groupBy("key", "content").agg(F.first("words").alias("words"), F.first("doc").alias("doc"))
+    pieces = shared_pieces(bodies, width)
+    release(spark)
+
+    firsts = cut(pieces.groupBy("key", "piece").agg(F.min("doc").alias("first"), F.first("windows").alias("windows"), F.first("words").alias("words")))
+    hits = repeated_windows(firsts.select("key", F.col("piece").alias("content"), F.col("first").alias("doc"), "windows", "words"), width, block)
+    hits = hits.groupBy("key", "content").agg(F.array_distinct(F.flatten(F.collect_list("starts"))).alias("starts"))
+    whole = F.sequence(F.lit(0), F.col("windows") - 1)
+    cut_down = pieces.select("key", "content", "doc", "offset", "piece").join(firsts.drop("words"), ["key", "piece"]).join(hits.withColumnRenamed("content", "piece"), ["key", "piece"], "left")
+    told = cut_down.select("key", "content", "offset", F.when(F.col("doc") > F.col("first"), whole).otherwise(F.col("starts")).alias("starts"))
+    told = told.where("starts is not null").select("key", "content", F.transform("starts", lambda x: x + F.col("offset")).alias("starts"))
+    told = told.groupBy("key", "content").agg(F.flatten(F.collect_list("starts")).alias("starts"))
 
     # windows is one key more than the groups have: the join deals its sides anew, and adaptive execution can split a hot stretch
-    places = places.join(different, ["key", "content", "windows"])
-    later = places.where("doc_id > doc").select("doc_id", "mark", F.struct(F.col("start").alias("from"), (F.col("start") + F.col("windows") - 1 + width).alias("to")).alias("span"))
-    first = places.where("doc_id = doc").join(hits, ["key", "content"]).select("doc_id", "mark", "start", F.explode("starts").alias("s"))
-    first = first.select("doc_id", "mark", F.struct((F.col("start") + F.col("s")).alias("from"), (F.col("start") + F.col("s") + width).alias("to")).alias("span"))
-    return later.unionByName(first).groupBy("doc_id", "mark").agg(F.collect_set("span").alias("spans"))
+    fate = different.join(told, ["key", "content"], "left")
+    places = found.select("key", "content", "doc_id", "mark", "start", "windows").join(fate, ["key", "content", "windows"])
+    span = lambda a, b: F.struct(a.alias("from"), b.alias("to"))
+    start = F.col("start")
+    later = F.when(F.col("doc_id") > F.col("doc"), F.array(span(start, start + F.col("windows") - 1 + width)))
+    first = F.transform("starts", lambda x: span(start + x, start + x + width))
+    spans = places.select("doc_id", "mark", F.explode(later.otherwise(first)).alias("span"))
+    return spans.groupBy("doc_id", "mark").agg(F.collect_set("span").alias("spans"))
 
 
 def drop_repeated_passages(docs: DataFrame, width: int = 50, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False) -> DataFrame:
@@ -330,7 +289,7 @@ def drop_repeated_passages(docs: DataFrame, width: int = 50, id_col: str = "doc_
     release(spark)
     # only texts that a bitmap of the documents with spans lets through are shuffled to them
     key = F.xxhash64("doc_id", "mark")
-    told = passes(own, key, *key_filter(spans.select("doc_id", "mark"), key, 1 << 28))
+    told = passes(own, key, *key_filter(spans.select("doc_id", "mark"), key))
     touched = told.where("__pass").join(spans, ["doc_id", "mark"], "left").select("doc_id", "text", "spans")
     marked = told.where("not __pass").select("doc_id", "text", F.lit(None).cast(spans.schema["spans"].dataType).alias("spans")).unionByName(touched)
 

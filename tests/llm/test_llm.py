@@ -72,8 +72,9 @@ def test_jaccard(docs, empty):
             for j, b in enumerate(sets):
                 if a and b and 100 * len(a & b) >= 80 * len(a | b):
                     own[i] = own[j] = min(own[i], own[j])
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.op4_ngram_jaccard(docs).collect()}
-    assert got == {i: (len(s), own[i]) for i, s in enumerate(sets)}
+    links = [sum(i != j and bool(a) and bool(b) and 100 * len(a & b) >= 80 * len(a | b) for j, b in enumerate(sets)) for i, a in enumerate(sets)]
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.n_links) for r in jaccard.op4_ngram_jaccard(docs).collect()}
+    assert got == {i: (len(s), own[i], links[i]) for i, s in enumerate(sets)}
     assert len(set(own)) < len(own) - 5
     assert jaccard.op4_ngram_jaccard(empty).count() == 0
 
@@ -86,6 +87,37 @@ def test_trie():
         assert sorted(jaccard.Trie(sets).similar(one, 80, step=3)) == want
 
 
+def test_trie_skips_subtrees():
+    """Of a thousand sets that share a start which the one lacks, only the first is read."""
+    start = np.arange(1000, 1060, dtype=np.uint64)
+    trie = jaccard.Trie([np.concatenate((start, np.sort(np.random.choice(np.arange(2000, 9000, dtype=np.uint64), 40, replace=False)))) for _ in range(1000)])
+
+    class Counted(list):
+        reads = 0
+
+        def __getitem__(self, i):
+            Counted.reads += 1
+            return list.__getitem__(self, i)
+
+    trie.sets = Counted(trie.sets)
+    assert trie.similar(np.arange(1, 101, dtype=np.uint64), 80, step=16) == [] and Counted.reads == 1
+
+
+@pytest.mark.parametrize("block", [3, 256])
+def test_pairs_between_parts(spark, block):
+    """Blocks of any size propose each pair of different components that share enough n-grams, and no other."""
+    rows = [(k, i) for k in range(6) for i in range(40) if (i * 7 + k * 3) % 5 < 3]
+    lists = spark.createDataFrame([(k, i, 6, 5, 0) for k, i in rows], "key long, id long, n long, last long, size long")
+    joined = spark.createDataFrame([(i, 0) for i in range(0, 30, 2)] + [(31, 31), (33, 31)], "node long, component long")
+    part = {i: i for i in range(40)} | {i: 0 for i in range(0, 30, 2)} | {33: 31}
+    rule = jaccard.Jaccard()
+    need = lambda shared: shared + -(-6 * 80 // 100) - 1 >= -(-12 * 80 // 180)
+    shared = {(a, b): len({k for k, i in rows if i == a} & {k for k, i in rows if i == b}) for a in range(40) for b in range(a + 1, 40)}
+    want = {p for p, n in shared.items() if n and part[p[0]] != part[p[1]] and need(n)}
+    got = jaccard.across_parts(lists, joined, rule, block).collect()
+    assert sorted((r.a, r.b) for r in got) == sorted(want)
+
+
 def test_components(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, 103), (103, 101), (7, 7)]
     got = {r.node: r.component for r in components.components(spark.createDataFrame(links, "a long, b long")).collect()}
@@ -111,10 +143,10 @@ def test_lowest_owner():
         assert fmindex.LowestOwner(owner).query(lo, hi).tolist() == [owner[a:b].min() for a, b in zip(lo, hi)]
 
 
-@pytest.mark.parametrize(("width", "k", "block", "hot"), [(50, 25, 2048, 256), (12, 6, 2, 256), (12, 6, 2, 3)])
-def test_substring(spark, docs, empty, width, k, block, hot, monkeypatch):
+@pytest.mark.parametrize(("width", "k", "block"), [(50, 25, 2048), (12, 6, 2)])
+def test_substring(spark, docs, empty, width, k, block, monkeypatch):
     whole = substring.repeated_spans
-    monkeypatch.setattr(substring, "repeated_spans", lambda d, w: whole(d, w, k, block, hot_size=hot))
+    monkeypatch.setattr(substring, "repeated_spans", lambda d, w: whole(d, w, k, block))
     first, all_words = {}, [words(t) for t in TEXTS]
     for d, w in enumerate(all_words):
         for i in range(len(w) - width + 1):
