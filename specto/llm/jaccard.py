@@ -14,10 +14,11 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import anti_by_key, cut, importable, join_by_key, map_batches, narrow, release
+from .bloom import Bloom, gather, rows_of, rows_without
+from .common import cut, importable, map_batches, narrow, release
 from .components import components
 
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -91,16 +92,21 @@ def sketch(docs: DataFrame, words: int, cells: int) -> np.ndarray:
     return np.minimum(np.ceil(level), 62).astype(np.uint8)
 
 
+def in_order(s: np.ndarray, level: np.ndarray) -> np.ndarray:
+    """A set of n-grams as numbers that sort in the global order: by level of frequency, rare ones first, then by hash."""
+    at = (s & np.uint64(len(level) - 1)).view(np.int64)
+    return (level[at].astype(np.uint64) << np.uint64(57)) | (s >> np.uint64(7))
+
+
 def ordered_sets(docs: DataFrame, rule: Jaccard, levels: np.ndarray) -> DataFrame:
     """doc_id, n, two longs that identify the set, the keys of its prefix in the global order, and the last of them.
 
-    The order is by level of frequency, then by hash; any order would give the right pairs, this one keeps n-grams that
-    are everywhere out of the prefixes.
+    Any order would give the right pairs; this one keeps n-grams that are everywhere out of the prefixes.
     """
     shared = docs.sparkSession.sparkContext.broadcast(levels)
 
     def make():
-        level, mask = shared.value, np.uint64(len(shared.value) - 1)
+        level = shared.value
 
         def one(text: str) -> tuple[int, int, int, np.ndarray, int]:
             s = shingles(text, rule.words)
@@ -108,8 +114,7 @@ def ordered_sets(docs: DataFrame, rule: Jaccard, levels: np.ndarray) -> DataFram
             if not n:
                 return 0, 0, 0, np.zeros(0, np.int64), 0
             digest = xxhash.xxh3_128_digest(s.tobytes())
-            keys = (level[(s & mask).view(np.int64)].astype(np.uint64) << np.uint64(57)) | (s >> np.uint64(7))
-            p = rule.prefix(n)
+            keys, p = in_order(s, level), rule.prefix(n)
             first = np.sort(np.partition(keys, p - 1)[:p] if p < n else keys).view(np.int64)
             return n, int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True), first, int(first[-1])
 
@@ -131,60 +136,85 @@ class Trie:
         names = [s.astype(">u8").tobytes() for s in sets]
         self.order = sorted(range(len(sets)), key=names.__getitem__)
         self.sets = sets
-        self.depth = [0] * len(sets)
-        for at in range(1, len(sets)):
+        n = len(sets)
+        self.depth = [0] * n
+        for at in range(1, n):
             a, b = sets[self.order[at - 1]], sets[self.order[at]]
             m = min(len(a), len(b))
             differ = a[:m] != b[:m]
             self.depth[at] = int(differ.argmax()) if differ.any() else m
+        self.jump = [n] * n  # the next set that leaves the path higher up
+        waiting: list[int] = []
+        for at in range(n):
+            while waiting and self.depth[waiting[-1]] > self.depth[at]:
+                self.jump[waiting.pop()] = at
+            waiting.append(at)
+        sizes = [len(s) for s in sets]
+        self.least, self.most = min(sizes, default=0), max(sizes, default=0)
 
     def similar(self, one: np.ndarray, percent: int, step: int = 128) -> list[int]:
-        """Which sets are as similar to `one` as asked. `seen[d]` is the overlap of the path's first d n-grams."""
-        out = []
-        seen, left_at = np.zeros(1, np.int64), 0  # of the path so far: overlaps, and where it was left
-        for at, i in enumerate(self.order):
-            own, depth = self.sets[i], min(self.depth[at], left_at)
+        """Which sets are as similar to `one` as asked.
+
+        `seen[d]` is the overlap of the path's first d n-grams, which the sets below it share. Where even the largest set of
+        the trie could not gain what the smallest one needs, all sets below that point of the path are left out unread.
+        """
+        out, n, at = [], len(self.order), 0
+        seen, reached = np.zeros(self.most + 1, np.int64), 0  # how far the path has been read
+        least = -(-(len(one) + self.least) * percent // (100 + percent))
+        while at < n:
+            own, d = self.sets[self.order[at]], min(self.depth[at], reached)
             need = -(-(len(one) + len(own)) * percent // (100 + percent))
-            path, d, kept = [seen[: depth + 1]], depth, True
-            count = int(seen[depth])
+            count, kept, after = int(seen[d]), True, at + 1
             while d < len(own):
                 rest = len(one) - (int(np.searchsorted(one, own[d - 1], "right")) if d else 0)
+                if count + min(self.most - d, rest) < least:
+                    kept = False
+                    while after < n and self.depth[after] >= d:
+                        after = self.jump[after] if self.depth[after] > d else after + 1
+                    break
                 if count + min(len(own) - d, rest) < need:
                     kept = False
                     break
                 part = own[d : d + step]
                 where = np.minimum(np.searchsorted(one, part), len(one) - 1)
-                sums = count + np.cumsum(one[where] == part)
-                path.append(sums)
-                count, d = int(sums[-1]), d + len(part)
-            seen, left_at = np.concatenate(path), d
+                seen[d + 1 : d + 1 + len(part)] = count + np.cumsum(one[where] == part)
+                d += len(part)
+                count = int(seen[d])
+            reached = d
             if kept and 100 * count >= percent * (len(one) + len(own) - count):
-                out.append(i)
+                out.append(self.order[at])
+            at = after
         return out
 
 
-def verified(pairs: DataFrame, docs: DataFrame, rule: Jaccard, block: int = 512) -> DataFrame:
-    """The pairs (a, b) of ids whose whole sets are similar. The sets proposed for one `a` meet in blocks of about `block`, each a trie.
-
-    Where an id stands at several texts, each of them counts.
-    """
-    pairs = cut(pairs.select("a", "b"))
-    release(docs.sparkSession)
-    ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
+def whole_sets(docs: DataFrame, ids: DataFrame, rule: Jaccard, levels: np.ndarray) -> DataFrame:
+    """id, own (a hash of the set), grams in the global order, of the documents with these ids (distinct doc_id)."""
+    shared = docs.sparkSession.sparkContext.broadcast(levels)
 
     def make():
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-            sets = [shingles(t, rule.words).view(np.int64) for t in batch.column(1).to_pylist()]
+            sets = [np.sort(in_order(shingles(t, rule.words), shared.value)).view(np.int64) for t in batch.column(1).to_pylist()]
             ends = np.cumsum([0, *map(len, sets)])
             grams = pa.LargeListArray.from_arrays(ends, np.concatenate(sets)).cast(pa.list_(pa.int64()))
             return pa.RecordBatch.from_pydict({"id": batch.column(0).cast(pa.int64()), "own": pa.array([xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63) for s in sets], pa.int64()), "grams": grams})
 
         return work
 
-    sets = map_batches(join_by_key(docs, ids, ["doc_id"]).select("doc_id", "text"), make, "id long, own long, grams array<long>")
-    sets = cut(sets)
+    sets = cut(map_batches(rows_of(docs, ids, ["doc_id"]).select("doc_id", "text"), make, "id long, own long, grams array<long>"))
     if sets.groupBy("id", "own").count().where("count > 1").limit(1).count():  # rows that repeat an id and text
         sets = cut(sets.dropDuplicates(["id", "own"]))
+    return sets
+
+
+def verified(pairs: DataFrame, docs: DataFrame, rule: Jaccard, levels: np.ndarray, block: int = 512) -> DataFrame:
+    """The pairs (a, b) of ids whose whole sets are similar. The sets proposed for one `a` meet in blocks of about `block`, each a trie.
+
+    Where an id stands at several texts, each of them counts.
+    """
+    pairs = cut(pairs.select("a", "b"))
+    release(docs.sparkSession)
+    ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
+    sets = whole_sets(docs, ids, rule, levels)
     sizes = pairs.groupBy("a").agg(F.count("*").alias("size"))
     pairs = pairs.join(sizes, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.ceil(F.col("size") / block)).alias("block"))
     pairs = pairs.join(sets.select(F.col("id").alias("a"), "own"), "a")
@@ -223,12 +253,31 @@ def enough(rule: Jaccard) -> Column:
     return F.col("shared") + F.ceil(rest * rule.percent / 100) - 1 >= rule.needed(F.col("na"), F.col("nb"))
 
 
-def shared_lists(classes: DataFrame, sizes: DataFrame) -> DataFrame:
-    """key, id, n, last, size: which sets have a key in their prefix, and how many, for keys that two sets have."""
-    postings = classes.select("id", F.explode("prefix").alias("key"))
-    size = F.count("*").over(Window.partitionBy("key"))
-    lists = postings.withColumn("size", size).where("size > 1")
-    return cut(lists.join(sizes, "id").select("key", "id", "n", "last", "size"))
+def shared_lists(classes: DataFrame, sizes: DataFrame, max_bits: int = 1 << 29) -> DataFrame:
+    """key, id, n, last, size: which sets have a key in their prefix, and how many, for keys that two sets have.
+
+    Only keys are counted; a filter of those that occur twice lets few others through, and what it lets through is joined
+    with the counts, where adaptive execution can split a key that very many sets have.
+    """
+    counts = cut(classes.select(F.explode("prefix").alias("key")).groupBy("key").agg(F.count("*").alias("size")).where("size > 1"))
+    bloom = gather(counts.select("key"), max_bits)
+    shared = classes.sparkSession.sparkContext.broadcast((bloom.bits, bloom.data))
+
+    def make():
+        own = Bloom(*shared.value)
+
+        def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+            prefix = batch.column(1)
+            ends, keys = prefix.offsets.to_numpy(), prefix.values.to_numpy()
+            keys, lengths = keys[ends[0] : ends[-1]], np.diff(ends)
+            at = np.flatnonzero(own.has(keys))
+            rows = pa.array(np.repeat(np.arange(len(lengths)), lengths)[at])
+            return pa.RecordBatch.from_pydict({"id": batch.column(0).take(rows), "key": pa.array(keys[at]), "n": batch.column(2).take(rows), "last": batch.column(3).take(rows)})
+
+        return work
+
+    postings = map_batches(classes.join(sizes, "id").select("id", "prefix", "n", "last"), make, "id long, key long, n long, last long")
+    return cut(postings.join(counts, "key").select("key", "id", "n", "last", "size"))
 
 
 def proposed(pairs: DataFrame, rule: Jaccard) -> DataFrame:
@@ -240,69 +289,150 @@ def proposed(pairs: DataFrame, rule: Jaccard) -> DataFrame:
 def against_hub(lists: DataFrame, rule: Jaccard) -> DataFrame:
     """Each set of a list with the one of the list that meets most others over all lists, as the origin of near copies does."""
     met = lists.groupBy("id").agg(F.sum("size").alias("met"))
-    hub = F.max(F.struct("met", (-F.col("id")).alias("first"), "id", "n", "last")).over(Window.partitionBy("key"))
-    stars = lists.join(met, "id").withColumn("hub", hub).where("id <> hub.id")
+    lists = lists.join(met, "id")
+    hubs = lists.groupBy("key").agg(F.max(F.struct("met", (-F.col("id")).alias("first"), "id", "n", "last")).alias("hub"))
+    stars = lists.join(hubs, "key").where("id <> hub.id")
     return proposed(stars.select(F.col("hub.id").alias("a"), F.col("id").alias("b"), F.col("hub.n").alias("na"), F.col("n").alias("nb"), F.col("hub.last").alias("la"), F.col("last").alias("lb")), rule)
 
 
-def across_parts(lists: DataFrame, joined: DataFrame, rule: Jaccard) -> DataFrame:
-    """The sets of a list that are in different components so far."""
+def across_parts(lists: DataFrame, joined: DataFrame, rule: Jaccard, block: int = 256) -> DataFrame:
+    """The sets of a list that are in different components so far, as pairs that can be similar.
+
+    The sets of a key are dealt in blocks: those of a component with many in blocks of its own, the others together.
+    Blocks of a key meet in pairs, but never two of one component, so sets that are linked already aren't tried with
+    each other; within a pair of blocks only sets of different components and fitting sizes come out.
+    """
     part = F.coalesce("component", "id").alias("part")
     parts = lists.join(joined, lists.id == joined.node, "left").select("key", "id", "n", "last", part)
-    mixed = parts.groupBy("key").agg(F.min("part").alias("x"), F.max("part").alias("y")).where("x <> y").select("key")
-    parts = cut(parts.join(mixed, "key", "left_semi"))
-    del mixed
+    per_part = parts.groupBy("key", "part").agg(F.count("*").alias("many"))
+    mixed = per_part.groupBy("key").agg(F.count("*").alias("parts"), F.sum(F.when(F.col("many") <= block, F.col("many"))).alias("few")).where("parts > 1")
+    per_part = cut(per_part.join(mixed.select("key", "few"), "key"))
     release(lists.sparkSession)
-    left = parts.select("key", F.col("id").alias("a"), F.col("n").alias("na"), F.col("last").alias("la"), F.col("part").alias("pa"))
-    right = parts.select("key", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("last").alias("lb"), F.col("part").alias("pb"))
-    return proposed(left.join(right, "key").where((F.col("a") < F.col("b")) & (F.col("pa") != F.col("pb")) & rule.sizes_fit(F.col("na"), F.col("nb"))), rule)
+    own = parts.join(per_part, ["key", "part"])
+    large = F.col("many") > block
+    name = F.struct(F.when(large, F.col("part")).alias("p"), F.when(large, F.pmod(F.xxhash64("id"), F.ceil(F.col("many") / block))).otherwise(F.pmod(F.xxhash64("part"), F.ceil(F.col("few") / block))).alias("i"))
+    blocks = own.groupBy("key", name.alias("name")).agg(F.collect_list(F.struct("part", "id", "n", "last")).alias("sets"), F.min("part").alias("low"), F.max("part").alias("high"))
+    blocks = cut(blocks)
+    left, right = blocks.select("key", F.col("name").alias("x"), F.col("sets").alias("xs"), F.col("low").alias("xl"), F.col("high").alias("xh")), blocks.select("key", F.col("name").alias("y"), F.col("sets").alias("ys"), F.col("low").alias("yl"), F.col("high").alias("yh"))
+    one_part = (F.col("xl") == F.col("xh")) & (F.col("yl") == F.col("yh")) & (F.col("xl") == F.col("yl"))
+    met = left.join(right, "key").where((F.col("x") <= F.col("y")) & ~one_part).select("key", (F.col("x") == F.col("y")).alias("same"), "ys", F.explode("xs").alias("s"))
+    # the filter runs inside the array, so only pairs that can be similar become rows
+    fits = lambda t: (t["part"] != F.col("s.part")) & (~F.col("same") | (F.col("s.id") < t["id"])) & rule.sizes_fit(F.col("s.n"), t["n"])
+    met = met.select("s", F.explode(F.filter("ys", fits)).alias("t"))
+    first = F.col("s.id") < F.col("t.id")
+    pick = lambda f, swap: F.when(first != swap, F.col(f"s.{f}")).otherwise(F.col(f"t.{f}"))
+    no, yes = F.lit(False), F.lit(True)
+    return proposed(met.select(pick("id", no).alias("a"), pick("id", yes).alias("b"), pick("n", no).alias("na"), pick("n", yes).alias("nb"), pick("last", no).alias("la"), pick("last", yes).alias("lb")), rule)
+
+
+def count_links(classes: DataFrame, docs: DataFrame, rule: Jaccard, levels: np.ndarray, block: int = 512) -> DataFrame:
+    """id, links: how many documents are linked with each set (id, component, weight, its number of documents), those of other sets.
+
+    The sets of a component are dealt in blocks; each block is a trie that the sets of it and of later blocks are sent
+    down, a pair of blocks at a time, and only sums leave a pair. Exact at any size, but with the square of the number of
+    different sets in a component.
+    """
+    several = classes.groupBy("component").agg(F.count("*").alias("size")).where("size > 1")
+    own = cut(classes.join(several, "component"))
+    sets = whole_sets(docs, own.select(F.col("id").alias("doc_id")), rule, levels)
+    blocks = F.ceil(F.col("size") / block).cast("int")
+    own = own.join(sets, "id").withColumn("block", F.pmod(F.xxhash64("id"), blocks).cast("int"))
+    every = F.sequence(F.lit(0), blocks - 1)
+    cells = F.transform(every, lambda j: F.struct(F.least(F.col("block"), j).alias("i"), F.greatest(F.col("block"), j).alias("j")))
+    laid = own.select("component", "id", "weight", "grams", "block", F.inline(cells)).select("component", "i", "j", "block", "id", "weight", "grams")
+    laid = laid.repartition("component", "i", "j").sortWithinPartitions("component", "i", "j", "block")
+
+    def cell(part: pa.Table) -> pa.RecordBatch:
+        first = part["block"].to_numpy() == part["i"][0].as_py()
+        weight, grams = part["weight"].to_numpy(), part["grams"].combine_chunks()
+        ends, values = grams.offsets.to_numpy(), grams.values.to_numpy().view(np.uint64)
+        sets = [values[ends[x] : ends[x + 1]] for x in range(len(weight))]
+        inside = np.flatnonzero(first)
+        trie, links = Trie([sets[x] for x in inside]), np.zeros(len(weight), np.int64)
+        alone = part["i"][0].as_py() == part["j"][0].as_py()
+        for x in inside.tolist() if alone else np.flatnonzero(~first).tolist():
+            met = inside[trie.similar(sets[x], rule.percent)]
+            met = met[met != x]
+            links[x] += weight[met].sum()
+            if not alone:
+                links[met] += weight[x]
+        return pa.RecordBatch.from_pydict({"id": part["id"].combine_chunks(), "links": pa.array(links)})
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            keys = np.stack([batch.column(c).to_numpy() for c in range(3)])
+            cuts = [0, *(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(0)) + 1).tolist(), batch.num_rows]
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                if held and [held[-1].column(c)[0].as_py() for c in range(3)] != keys[:, a].tolist():
+                    yield cell(pa.Table.from_batches(held))
+                    held = []
+                held.append(batch.slice(a, b - a))
+        if held:
+            yield cell(pa.Table.from_batches(held))
 
-def near_duplicates(docs: DataFrame, rule: Jaccard = Jaccard(), id_col: str = "doc_id", text_col: str = "text", max_cells: int = 1 << 24) -> DataFrame:
-    """doc_id, n_shingles, component_id of every row.
+    return laid.mapInArrow(run, "id long, links long").groupBy("id").agg(F.sum("links").alias("links"))
+
+
+def near_duplicates(docs: DataFrame, rule: Jaccard = Jaccard(), id_col: str = "doc_id", text_col: str = "text", max_cells: int = 1 << 24, links: bool = False) -> DataFrame:
+    """doc_id, n_shingles, component_id of every row, and with `links` also n_links: how many other documents it is linked with.
 
     Copies of a set become one set. Links are proposed in two turns, so that a group of near copies makes no pairs
     among all its members: first each set of a list of sets that share an n-gram is held against the best-connected one,
     and what is verified is joined to components; then pairs are proposed from lists only between components. In both,
     the shared n-grams of a pair are counted and must leave the needed overlap in reach. No list, set or link is cut
-    short, and no link that would join two components is left out.
+    short, and no link that would join two components is left out. With `links`, the sets of each component are then
+    counted out by count_links().
 
     A null text counts as empty: n_shingles 0, linked with nothing, component_id its own id. A row with a null id takes
-    part in no link and has a null component_id. Rows that repeat an id with different texts are linked by that id. An
-    empty table gives no rows.
+    part in no link and has a null component_id. Rows that repeat an id with different texts are linked by that id, and
+    each counts the links of the row that its own set is known by. A text of any length is one set. Other columns are
+    passed over. An empty table gives no rows.
     """
     own = narrow(docs, id_col, text_col)
     rows = own.count()
     cells = min(max_cells, max(1 << 14, 1 << (4 * max(1, rows)).bit_length() - 1))
-    sets = cut(ordered_sets(own, rule, sketch(own, rule.words, cells)))
+    levels = sketch(own, rule.words, cells)
+    sets = cut(ordered_sets(own, rule, levels))
     some = sets.where("n > 0 and doc_id is not null")
     classes = some.groupBy("d1", "d2").agg(F.min("doc_id").alias("id"), F.first("prefix").alias("prefix"))
     sizes = some.groupBy("d1", "d2").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("last").alias("last")).select("id", "n", "last")
     lists = shared_lists(classes, sizes)
     del classes, sizes
     release(docs.sparkSession)
-    links = cut(verified(against_hub(lists, rule), own, rule))
+    found = cut(verified(against_hub(lists, rule), own, rule, levels))
     release(docs.sparkSession)
-    more = cut(verified(across_parts(lists, components(links), rule), own, rule))
+    more = cut(verified(across_parts(lists, components(found), rule), own, rule, levels))
     del lists
     release(docs.sparkSession)
 
     # documents of one set are linked to its first; a document of an id that stands at several sets links those
     # (n is one key more than the groups have, so that the joins deal them anew and can split a hot one)
-    first = some.groupBy("d1", "d2").agg(F.first("n").alias("n"), F.min("doc_id").alias("id"))
+    first = some.groupBy("d1", "d2").agg(F.first("n").alias("n"), F.min("doc_id").alias("id"), F.count("*").alias("weight"))
     member = some.select("doc_id", "d1", "d2", "n").join(first, ["d1", "d2", "n"]).select("doc_id", "id")
     several = member.groupBy("doc_id").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a <> b").select("a", "b")
-    whole = components(links.unionByName(more).unionByName(several))
+    whole = components(found.unionByName(more).unionByName(several))
     out = sets.join(first, ["d1", "d2", "n"], "left").join(whole, F.col("id") == F.col("node"), "left")
     linked = F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.coalesce("component", "id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce(linked, F.col("doc_id")).alias("component_id"))
+    columns = [F.col("doc_id"), F.col("n").alias("n_shingles"), F.coalesce(linked, F.col("doc_id")).alias("component_id")]
+    if links:
+        alike = count_links(cut(first.select("id", "weight").join(whole, F.col("id") == F.col("node")).select("id", "component", "weight")), own, rule, levels)
+        out = out.join(cut(alike), "id", "left")
+        copies = F.when(linked.isNotNull(), F.col("weight") - 1)
+        columns.append(F.coalesce(F.coalesce("links", F.lit(0)) + copies, F.lit(0)).cast("long").alias("n_links"))
+    return out.select(*columns)
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
-    """One document of each group stays, the one with the smallest id, and every document that is in no group."""
-    gone = cut(near_duplicates(docs).where("doc_id <> component_id").select("doc_id").distinct())
-    return anti_by_key(docs, gone, ["doc_id"]).select(*docs.columns)
+    """One document of each group stays, the one with the smallest id, and every document that is in no group.
+
+    Nulls, ties, repeated rows and empty tables are as in near_duplicates(); all columns stay, whatever their names. A row
+    goes by its id, so rows that repeat an id share one fate.
+    """
+    gone = cut(near_duplicates(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("id")).distinct())
+    packed = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("id"))
+    return rows_without(packed, gone, ["id"]).select("row.*")
 
 
 def op4_ngram_jaccard(docs: DataFrame) -> DataFrame:
-    return near_duplicates(docs)
+    return near_duplicates(docs, links=True)
