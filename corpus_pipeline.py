@@ -1,4 +1,8 @@
-"""A corpus pipeline of five stages over `documents`; each stage takes what the one before kept."""
+"""A corpus pipeline of five stages over `documents`; each stage takes what the one before kept.
+
+Null ids and texts, repeated rows, ties and texts of any length are handled as the stages' operators say; an empty table
+gives empty stages. Further columns of documents, whatever their names, come along to the last stage but one.
+"""
 
 from __future__ import annotations
 
@@ -11,10 +15,15 @@ from specto.llm.common import shared_folder, table
 
 #: The token budget of the mixture, as a share of the tokens that reach it.
 TOKEN_SHARE = 0.75
+#: Weights by source, lang or topic, as {"lang": {"en": 2, "fr": 1}}; None evens out the shares that the documents have.
+TARGETS: mixing.Targets | None = None
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without any letter, which are in no language, go. The classifier learns from a bounded sample of the labelled ones."""
+    """Documents that are in none of the learned languages go; the others get the predicted one as their `lang`, which the mixture goes by.
+
+    The classifier learns from a bounded sample of the labelled documents.
+    """
     return langid.keep_identified(docs, langid.train(docs))
 
 
@@ -29,13 +38,16 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A sample of TOKEN_SHARE of all tokens, with shares of sources, languages and topics as near the target as what there is allows."""
-    return mixing.sample_mixture(docs, TOKEN_SHARE)
+    """A sample of TOKEN_SHARE of all tokens, with shares of sources, languages and topics as near the target as what there is allows.
+
+    TARGETS, where given, are the weights; else the shares are evened out.
+    """
+    return mixing.sample_mixture(docs, TOKEN_SHARE, TARGETS)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Ids of each text (as a digest) and the proof that they decode."""
-    return bpe.bpe_roundtrip(docs)
+    """The token ids of each text, their digest, and the proof that they decode."""
+    return bpe.bpe_roundtrip(docs, keep_ids=True)
 
 
 STAGES = [("language", language), ("exact", exact), ("near", near), ("mixture", mixture), ("tokens", tokens)]

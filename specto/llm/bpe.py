@@ -175,8 +175,9 @@ def bpe_roundtrip(docs: DataFrame, path: str | None = None, id_col: str = "doc_i
 
     No shuffle; one text at a time, so memory is bounded by the longest text and the word cache. A null text counts as
     empty: no tokens, digests of nothing. Repeated rows give repeated rows; a null id stays null; an empty table gives none.
+    Other columns are passed over. Letters, lower case and combining marks are those of the library's Unicode versions.
     """
-    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<long>" * keep_ids
+    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids
 
     def make():
         bpe = WordBpe(path or default_path())
@@ -189,9 +190,11 @@ def bpe_roundtrip(docs: DataFrame, path: str | None = None, id_col: str = "doc_i
                 a.append(hashlib.sha256(ids).hexdigest())
                 b.append(hashlib.sha256(bpe.decode(ids).encode("utf-8")).hexdigest())
                 if keep_ids:
-                    kept.append(np.frombuffer(ids, "<u4").tolist())
+                    kept.append(ids)
             columns = {"doc_id": batch.column(0).cast(pa.int64()), "n_tokens": pa.array(n, pa.int64()), "ids_sha256": pa.array(a, pa.string()), "decoded_sha256": pa.array(b, pa.string())}
-            return pa.RecordBatch.from_pydict(columns | ({"ids": pa.array(kept, pa.list_(pa.int64()))} if keep_ids else {}))
+            if keep_ids:
+                columns["ids"] = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *n]), pa.int32()), pa.array(np.frombuffer(b"".join(kept), "<u4").astype(np.int32)))
+            return pa.RecordBatch.from_pydict(columns)
 
         return work
 

@@ -26,6 +26,7 @@ CODES = SYMBOLS + SYMBOLS**2 + SYMBOLS**3
 @cache
 def symbol_table() -> np.ndarray:
     """Symbol of each code point: 0 if no letter, a-z 1 to 26, other letters 27 to 63 by their number."""
+    # letters beyond a-z of different scripts share symbols; runs of them still differ
     out = np.zeros(sys.maxunicode + 1, np.uint8)
     for c in range(len(out)):
         ch = chr(c)
@@ -170,18 +171,29 @@ def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_
     return map_batches(narrow(docs, id_col, text_col).select("doc_id", held.alias("held_out"), "text"), make, "doc_id long, held_out boolean, lang_pred string, score double")
 
 
-def keep_identified(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
-    """The rows, with all their columns, whose text is in some language: all but `und`, and all with a letter if nothing is labelled."""
+def keep_identified(docs: DataFrame, model: Model | None, text_col: str = "text", lang_col: str = "lang", min_score: float = 0.2) -> DataFrame:
+    """The rows whose text is in some language, with all their columns; `lang_col` becomes the predicted language.
+
+    Rejected are texts without a letter, null ones too, and those that no learned language claims with `min_score`. If
+    nothing is labelled, all texts with a letter stay as they are. Repeated rows share a fate, a text of any length is
+    read whole, an empty table gives no rows, and other columns may have any names.
+    """
     shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_col)
+    lang_at = docs.columns.index(lang_col) if lang_col in docs.columns else None
 
     def make():
         score = Scorer(shared.value)
 
-        def identified(texts: list[str | None]) -> list[bool]:
+        def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+            texts = batch.column(at).to_pylist()
             if score.model is None:
-                return [bool(t) and score.grams.presence(t) is not None for t in texts]
-            return [x != "und" for x in score(texts)[0]]
+                return batch.filter(pa.array([bool(t) and score.grams.presence(t) is not None for t in texts], pa.bool_()))
+            langs, scores = score(texts)
+            if lang_at is not None:
+                field = batch.schema.field(lang_at)
+                batch = batch.set_column(lang_at, field, pa.array(langs, field.type))
+            return batch.filter(pa.array([lang != "und" and s >= min_score for lang, s in zip(langs, scores, strict=True)], pa.bool_()))
 
-        return lambda batch: batch.filter(pa.array(identified(batch.column(at).to_pylist()), pa.bool_()))
+        return work
 
     return map_batches(docs, make, docs.schema)

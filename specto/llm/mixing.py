@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .common import cut
 
 DIMENSIONS = ("source", "lang", "topic")
+NULL = "\u0000null"
 #: How far the share of each value is evened out (1 keeps the shares, 0 makes all equal).
 EVENNESS = {"source": 0.8, "lang": 0.9, "topic": 0.9}
 CYCLES = 12
@@ -33,31 +34,70 @@ def topic_of(text: Column) -> Column:
 
 def cell(name: str) -> Column:
     """A null value is a value of its own."""
-    return F.coalesce(F.col(name).cast("string"), F.lit("\u0000null")).alias(f"__{name}")
+    return F.coalesce(F.col(name).cast("string"), F.lit(NULL)).alias(f"__{name}")
 
 
-def marginals(cells: DataFrame) -> DataFrame:
-    """Adds the target share of each cell's source, lang and topic: its share of all tokens to a power, scaled to sum to 1."""
-    total = Window.partitionBy()
+Targets = dict[str, dict[str | None, float]]
+
+
+def marginals(cells: DataFrame, targets: Targets | None = None) -> DataFrame:
+    """Adds the target share of each cell's source, lang and topic.
+
+    A dimension that `targets` gives weights for has those, scaled to sum to 1 over the values that have tokens; a value
+    that they don't name gets none. Else the target is the value's share of all tokens to a power, scaled to sum to 1.
+    """
+    total = cells.agg(F.sum("tokens")).first()[0] or 0
     for d in DIMENSIONS:
-        own = cells.groupBy(f"__{d}").agg(F.sum("tokens").alias("t")).withColumn("p", F.pow(F.col("t") / F.sum("t").over(total), F.lit(EVENNESS[d])))
-        own = own.select(f"__{d}", (F.col("p") / F.sum("p").over(total)).alias(f"target_{d}"))
-        cells = cells.join(own, f"__{d}")
+        own = cells.groupBy(f"__{d}").agg(F.sum("tokens").alias("t"))
+        if given := (targets or {}).get(d):
+            rows = [(NULL if k is None else k, float(v)) for k, v in given.items()]
+            own = own.join(F.broadcast(cells.sparkSession.createDataFrame(rows, f"__{d} string, p double")), f"__{d}", "left")
+            own = own.withColumn("p", F.when(F.col("t") > 0, F.coalesce("p", F.lit(0.0))).otherwise(F.lit(0.0)))
+        else:
+            own = own.withColumn("p", F.pow(F.col("t") / F.lit(float(total)), F.lit(EVENNESS[d])))
+        sum_p = own.agg(F.sum("p")).first()[0] or 1.0
+        cells = cells.join(own.select(f"__{d}", (F.col("p") / F.lit(sum_p)).alias(f"target_{d}")), f"__{d}")
     return cells
 
 
-def rake(cells: DataFrame, cycles: int = CYCLES) -> DataFrame:
-    """Scales the weights to each marginal in turn, `cycles` times over. Only cells move: one row for each source, lang and topic that occur together."""
-    cells = cut(marginals(cells).withColumn("w", F.col("tokens").cast("double")))
+def deviation(cells: DataFrame) -> float:
+    """How far the weights of any source, lang or topic are from its target at most."""
+    parts = [cells.groupBy(f"__{d}").agg(F.abs(F.sum("w") - F.first(f"target_{d}")).alias("off")).select("off") for d in DIMENSIONS]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).agg(F.max("off")).first()[0] or 0.0
+
+
+def rake(cells: DataFrame, cycles: int = CYCLES, targets: Targets | None = None, tolerance: float = 1e-12) -> DataFrame:
+    """Scales the weights to each marginal in turn, `cycles` times over, or until no marginal is off by more than `tolerance`.
+
+    Only cells move: one row for each source, lang and topic that occur together.
+    """
+    cells = cut(marginals(cut(cells), targets).withColumn("w", F.col("tokens").cast("double")))
     for done in range(1, cycles + 1):
         for d in DIMENSIONS:
             share = F.sum("w").over(Window.partitionBy(f"__{d}"))
             cells = cells.withColumn("w", F.when(share > 0, F.col("w") * F.col(f"target_{d}") / share).otherwise(F.lit(0.0)))
         if done % CYCLES_AT_ONCE == 0 or done == cycles:
             cells = cut(cells)
+            if deviation(cells) <= tolerance:
+                break
     return cells
 
 
+def level(rows: DataFrame, x: str, cap: str, total: float) -> float:
+    """The factor for which `x` times it, at most `cap`, sums to `total` over all rows (or to all caps, if those are less).
+
+    From the factor that would do without caps, rows over their cap are set to it and the rest is given to the others,
+    until no more are; only sums come to the driver.
+    """
+    factor, fixed = 0.0, -1
+    while True:
+        free = F.col(cap) > F.col(x) * factor if factor else F.lit(True)
+        row = rows.where(F.col(x) > 0).agg(F.sum(F.when(free, F.col(x))), F.sum(F.when(~free, F.col(cap))), F.count_if(~free)).first()
+        if row[2] == fixed or not row[0]:
+            return factor if row[0] or row[2] else 0.0
+        fixed, factor = row[2], (total - (row[1] or 0.0)) / row[0]
+
+
 def capped(df: DataFrame, by: list[str], x: str, cap: str, total: Column) -> DataFrame:
     """Replaces `x` of each row by `x` times one factor a group, at most `cap`, so that a group sums to `total` (or all its caps, if those are less).
 
@@ -80,11 +120,12 @@ def fit_budget(cells: DataFrame, share: float, cycles: int = CYCLES) -> DataFram
     the rest in proportion to their targets. Cells are raked to that from their weights; within a value, what a whole
     cell lacks is asked of the others.
     """
-    everything = Window.partitionBy()
+    total = (cells.agg(F.sum("tokens")).first()[0] or 0) * share
     for d in DIMENSIONS:
-        own = cells.groupBy(f"__{d}").agg(F.sum("tokens").alias("t"), F.first(f"target_{d}").alias(f"asked_{d}"))
-        own = capped(own, [], f"asked_{d}", "t", F.sum("t").over(everything) * share).drop("t")
-        cells = cells.join(own, f"__{d}")
+        own = cells.groupBy(f"__{d}").agg(F.sum("tokens").alias("t"), F.first(f"target_{d}").alias("x"))
+        factor = level(own, "x", "t", total)
+        asked = F.when(F.col("x") > 0, F.least(F.col("t").cast("double"), F.col("x") * factor)).otherwise(F.lit(0.0))
+        cells = cells.join(own.select(f"__{d}", asked.alias(f"asked_{d}")), f"__{d}")
     cells = cut(cells.withColumn("x", F.col("w")))
     for _ in range(cycles):
         for d in DIMENSIONS:
@@ -93,24 +134,28 @@ def fit_budget(cells: DataFrame, share: float, cycles: int = CYCLES) -> DataFram
     return cells
 
 
-def shares_reached(docs: DataFrame, share: float) -> DataFrame:
+def shares_reached(docs: DataFrame, share: float, targets: Targets | None = None, topic: Column | None = None) -> DataFrame:
     """dimension, value (null for null), target, reached: the shares of tokens asked for and those that the probabilities give."""
     text = F.col("text")
-    cells = docs.select(*map(cell, ("source", "lang")), topic_of(text).alias("__topic"), tokens_of(text).cast("long").alias("tokens")).groupBy(*[f"__{d}" for d in DIMENSIONS]).agg(F.sum("tokens").alias("tokens"))
-    cells = fit_budget(rake(cells), share)
+    kind = topic_of(text) if topic is None else topic
+    cells = docs.select(*map(cell, ("source", "lang")), F.coalesce(kind, F.lit(NULL)).alias("__topic"), tokens_of(text).cast("long").alias("tokens")).groupBy(*[f"__{d}" for d in DIMENSIONS]).agg(F.sum("tokens").alias("tokens"))
+    cells = fit_budget(rake(cells, targets=targets), share)
     parts = [cells.groupBy(F.lit(d).alias("dimension"), F.col(f"__{d}").alias("value")).agg(F.first(f"target_{d}").alias("target"), F.sum("x").alias("x")) for d in DIMENSIONS]
     out = parts[0].unionByName(parts[1]).unionByName(parts[2])
-    value = F.when(F.col("value") != "\u0000null", F.col("value"))
+    value = F.when(F.col("value") != NULL, F.col("value"))
     return out.select("dimension", value.alias("value"), "target", (F.col("x") / F.sum("x").over(Window.partitionBy("dimension"))).alias("reached"))
 
 
-def mix(docs: DataFrame, cycles: int = CYCLES, seed: str = "mix", id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (), share: float | None = None) -> DataFrame:
+def mix(docs: DataFrame, cycles: int = CYCLES, seed: str = "mix", id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (), share: float | None = None, targets: Targets | None = None, topic: Column | None = None) -> DataFrame:
     """Every row with its cell's calibrated probability and whether it is in the sample.
 
     doc_id, the columns of `carry`, tokens, source, lang, topic, weight (the share of all tokens that the cell should
     have), probability and sampled. Weights are raked to token-weighted marginals over source, lang and topic. A row is
     in the sample if the hash of its id lies below the probability. Equal ids share a fate.
 
+    `targets` gives the weights of values by dimension, as {"source": {"web": 3, "books": 1}}; see marginals(). `topic` is
+    an expression over docs for the topic of a row; the default is a coarse one by the kind of text.
+
     With a `share`, the sample is calibrated to that share of all tokens: cells that have too few are kept whole, and the
     others make up for them, so that a tiny cell doesn't set the size (shares_reached tells the shares that result).
     Without one, the probability is proportional to weight over tokens, and 1 in the cell that is furthest below its
@@ -121,12 +166,12 @@ def mix(docs: DataFrame, cycles: int = CYCLES, seed: str = "mix", id_col: str =
     The rows aren't shuffled: cells are broadcast while few when counted, else joined, and adaptive execution splits hot ones.
     """
     text = F.col(text_col)
-    rows = docs.select(F.col(id_col).alias("doc_id"), *carry, tokens_of(text).cast("long").alias("tokens"), F.col("source"), F.col("lang"), topic_of(text).alias("topic"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), *carry, tokens_of(text).cast("long").alias("tokens"), F.col("source"), F.col("lang"), (topic_of(text) if topic is None else topic).alias("topic"))
     keys = [cell(d) for d in DIMENSIONS]
-    cells = rake(rows.groupBy(*keys).agg(F.sum("tokens").alias("tokens")), cycles)
+    cells = rake(rows.groupBy(*keys).agg(F.sum("tokens").alias("tokens")), cycles, targets)
     if share is None:
         ratio = F.when(F.col("tokens") > 0, F.col("w") / F.col("tokens"))
-        ratio = ratio / F.max(ratio).over(Window.partitionBy())
+        ratio = ratio / F.lit(cells.agg(F.max(ratio)).first()[0] or 1.0)
     else:
         cells = fit_budget(cells, share, cycles)
         ratio = F.when(F.col("tokens") > 0, F.col("x") / F.col("tokens"))
@@ -138,10 +183,10 @@ def mix(docs: DataFrame, cycles: int = CYCLES, seed: str = "mix", id_col: str =
     return out.drop(*names).withColumn("sampled", draw < F.col("probability"))
 
 
-def sample_mixture(docs: DataFrame, share: float | None = None) -> DataFrame:
-    """The documents of the sample, with all their columns; with a `share` of all tokens, as in mix()."""
+def sample_mixture(docs: DataFrame, share: float | None = None, targets: Targets | None = None) -> DataFrame:
+    """The documents of the sample, with all their columns, whatever their names; with a `share` of all tokens and `targets` as in mix()."""
     packed = docs.select(F.col("doc_id"), F.col("text"), F.col("source"), F.col("lang"), F.struct(*docs.columns).alias("__row"))
-    return mix(packed, carry=("__row",), share=share).where("sampled").select("__row.*")
+    return mix(packed, carry=("__row",), share=share, targets=targets).where("sampled").select("__row.*")
 
 
 def op10_source_mixing(docs: DataFrame) -> DataFrame:
