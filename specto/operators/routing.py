@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from specto.sources.python_path import importable
+
 
 def dot(a: Column, b: Column) -> Column:
     """Dot product in double precision; the cosine, for unit vectors."""
@@ -29,15 +35,47 @@ def facing(tools: DataFrame, queries: DataFrame, few: int = 2_000, slices: int =
     return t.join(q, ["__block", "__slice"]).drop("__block", "__slice")
 
 
-def top_k(queries: DataFrame, tools: DataFrame, k: int, itself: bool = True) -> DataFrame:
+def near_ones(tools: DataFrame, queries: DataFrame, n: int) -> DataFrame:
+    """query_id, tool_id, score of few queries: each Arrow batch of tools is one matrix product, of which a task keeps the n best a query and what ties with them.
+
+    The queries go to all tasks; their number has been counted. Null vectors are passed over.
+    """
+    named = queries.where("vector is not null").select("id", F.col("vector").cast("array<double>").alias("vector"))
+    given = named.toArrow().combine_chunks()
+    ids, q = given["id"].combine_chunks() if given.num_rows else None, np.array(given["vector"].to_pylist(), np.float64)
+    shared = tools.sparkSession.sparkContext.broadcast((ids, q))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, q = shared.value
+        for batch in batches:
+            if ids is None or not batch.num_rows:
+                continue
+            vectors = batch.column(1)
+            scores = vectors.flatten().to_numpy().reshape(len(vectors), -1) @ q.T
+            if len(scores) > n:
+                least = np.partition(scores, len(scores) - n, axis=0)[len(scores) - n]
+                at, query = np.nonzero(scores >= least - 1e-6)  # scores are rounded later
+            else:
+                at, query = (x.ravel() for x in np.indices(scores.shape))
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(query)), batch.column(0).take(pa.array(at)), pa.array(scores[at, query])], ["query_id", "tool_id", "score"])
+
+    importable(tools.sparkSession)
+    schema = f"query_id {dict(queries.dtypes)['id']}, tool_id {dict(tools.dtypes)['id']}, score double"
+    return tools.where("vector is not null").select("id", F.col("vector").cast("array<double>").alias("vector")).mapInArrow(run, schema)
+
+
+def top_k(queries: DataFrame, tools: DataFrame, k: int, itself: bool = True, few: int = 2_000) -> DataFrame:
     """The k tools nearest to each query (id, vector), without the one of its own id if not `itself`; ties go to the smaller id.
 
-    Each task ranks its own before they are shuffled.
+    Each task ranks its own before they are shuffled. More than `few` queries meet the tools in blocks, as facing() deals them.
     """
-    q = queries.select(F.col("id").alias("query_id"), F.col("vector").alias("__q"))
-    pairs = facing(tools.select(F.col("id").alias("tool_id"), F.col("vector").alias("__t")), q)
-    pairs = pairs if itself else pairs.where("query_id <> tool_id")
-    scored = pairs.select("query_id", "tool_id", F.round(dot(F.col("__q"), F.col("__t")), 6).alias("score"))
+    if queries.limit(few + 1).count() <= few:
+        scored = near_ones(tools, queries, k + (not itself)).withColumn("score", F.round("score", 6))
+    else:
+        q = queries.select(F.col("id").alias("query_id"), F.col("vector").alias("__q"))
+        pairs = facing(tools.select(F.col("id").alias("tool_id"), F.col("vector").alias("__t")), q, few)
+        scored = pairs.select("query_id", "tool_id", F.round(dot(F.col("__q"), F.col("__t")), 6).alias("score"))
+    scored = scored if itself else scored.where("query_id <> tool_id")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "tool_id"))
     return scored.withColumn("rank", rank).where(F.col("rank") <= k)
 

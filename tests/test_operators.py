@@ -132,6 +132,23 @@ def test_routing(spark):
     assert got == {0: (0, False), 1: (1, True)}
 
 
+def test_nearest_tools_by_matrix_and_by_blocks(spark):
+    rng = random.Random(4)
+    rows = [(f"t{i:03d}", [float(rng.randint(-2, 2)) for _ in range(5)]) for i in range(90)] + [("null", None)]
+    df = spark.createDataFrame(rows, "id string, vector array<float>").repartition(3)
+    q = df.where("id < 't007'")
+    score = {(a, b): sum(x * y for x, y in zip(u, v)) for a, u in rows if a < "t007" and u for b, v in rows if v}
+    for itself in (True, False):
+        want = set()
+        for a in sorted({a for a, _ in score}):
+            best = sorted((-s, b) for (x, b), s in score.items() if x == a and (itself or a != b))[:4]
+            want |= {(a, b, -s, i + 1) for i, (s, b) in enumerate(best)}
+        for few in (2000, 2):
+            got = routing.top_k(q, df.where("vector is not null"), 4, itself, few).select("query_id", "tool_id", "score", "rank").collect()
+            assert {tuple(r) for r in got if r.query_id != "null"} == want
+    assert routing.top_k(q.limit(0), df, 2).count() == 0 and routing.top_k(q, df.limit(0), 2).count() == 0
+
+
 def test_routing_in_blocks_meets_every_pair_once(spark):
     tools = spark.range(50).select(F.col("id").alias("tool_id"))
     for n in (0, 3, 4, 23):
@@ -160,6 +177,9 @@ def test_stream_equals_batch(spark, tmp_path):
     batch = stats.session_stats(log, "server", F.col("raw"), F.col("short"))
     assert sorted(map(tuple, spark.table("totals").collect())) == sorted(map(tuple, batch.collect()))
     assert {r.server: r.saved for r in batch.collect()} == {"a": 1350, "b": 1800, "c": 0}
+    again = streaming.read_log(spark, str(tmp_path / "log"), log.schema, files_a_turn=1)
+    streaming.stream_stats_to(again, "server", F.col("raw"), F.col("short"), str(tmp_path / "totals"), str(tmp_path / "ck2")).awaitTermination()
+    assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "totals")).collect())) == sorted(map(tuple, batch.collect()))
 
 
 def parsed_one(spark, source, name="m.py"):
