@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from specto.functions import costs
 from specto.functions.text import extension, root_segment
+from specto.operators import scripts
 from specto.operators.stats import first_row
 from specto.sources.python_path import importable
 
@@ -219,17 +220,17 @@ def outline(text: str) -> dict:
     }
 
 
-def each_file(files: DataFrame, one: Callable[[str], dict], schema: str) -> DataFrame:
-    """file, error and what `one` makes of the text of each file; a file that it can't take has an error and nulls, the job goes on."""
+def each_file(files: DataFrame, one: dict[str, Callable[[str], dict]], schema: str) -> DataFrame:
+    """file, error and what the function for its language in `one` makes of each file; a file that it can't take has an error and nulls, the job goes on."""
     kinds = files.sparkSession.createDataFrame([], schema).schema
     arrow = pa.schema([pa.field(f.name, t) for f, t in zip(kinds.fields, map(_arrow, (f.dataType for f in kinds.fields)), strict=True)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for text, error in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            for text, error, lang in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
                 try:
-                    rows.append({"error": error} | (one(text or "") if error is None else {}))
+                    rows.append({"error": error} | (one[lang](text or "") if error is None else {}))
                 except TROUBLE as e:
                     rows.append({"error": f"{type(e).__name__}: {e}"[:200]})
             columns = [pa.array([r.get(f.name) for r in rows], f.type) for f in arrow if f.name != "file"]
@@ -237,9 +238,13 @@ def each_file(files: DataFrame, one: Callable[[str], dict], schema: str) -> Data
 
     importable(files.sparkSession)
     lang = language(F.col("file"))
-    error = F.when(lang != "python", F.concat(F.lit("no parser for "), lang))
+    error = F.when(~lang.isin(*one), F.concat(F.lit("not done for "), lang))
     error = F.coalesce("error", error) if "error" in files.columns else error
-    return files.select("file", "text", error.alias("error")).mapInArrow(run, schema)
+    return files.select("file", "text", error.alias("error"), lang.alias("lang")).mapInArrow(run, schema)
+
+
+def for_all(python: Callable[[str], dict], script: Callable[[str], dict]) -> dict[str, Callable[[str], dict]]:
+    return {lang: python if lang == "python" else script for lang in languages().values()}
 
 
 def _arrow(kind) -> pa.DataType:
@@ -254,20 +259,20 @@ def _arrow(kind) -> pa.DataType:
 
 def modules(files: DataFrame) -> DataFrame:
     """What parse() finds in each file (file, text and, if there is one, the error of reading it), one row a file."""
-    return each_file(files, parse, MODULE)
+    return each_file(files, for_all(parse, scripts.parse), MODULE)
 
 
 def compressed(files: DataFrame, tags: bool = False, resolve_self: bool = False) -> DataFrame:
     """file, error, compressed of each file."""
-    return each_file(files, lambda text: {"compressed": compress(text, tags, resolve_self)}, "file string, error string, compressed string")
+    return each_file(files, for_all(lambda text: {"compressed": compress(text, tags, resolve_self)}, lambda text: {"compressed": scripts.compress(text)}), "file string, error string, compressed string")
 
 
 OUTLINE_FUNCTION = f"struct<name:string,params:{WORDS},calls:{WORDS},raises:{WORDS}>"
 
 
 def outlines(files: DataFrame) -> DataFrame:
-    """file, error, imports, classes (with their methods), functions: the tree of each module."""
-    return each_file(files, outline, f"file string, error string, imports {WORDS}, classes array<struct<name:string,methods:array<{OUTLINE_FUNCTION}>>>, functions array<{OUTLINE_FUNCTION}>")
+    """file, error, imports, classes (with their methods), functions: the tree of each Python module."""
+    return each_file(files, {"python": outline}, f"file string, error string, imports {WORDS}, classes array<struct<name:string,methods:array<{OUTLINE_FUNCTION}>>>, functions array<{OUTLINE_FUNCTION}>")
 
 
 def with_sizes(files: DataFrame, short: DataFrame, count: Callable[[Column], Column]) -> DataFrame:
@@ -359,10 +364,14 @@ def risk_histogram(parsed: DataFrame) -> DataFrame:
 
 
 def repo_totals(parsed: DataFrame) -> DataFrame:
-    """Files that parse, their different top-level functions and classes, different names that they import, and files with errors."""
+    """Files that parse, their different top-level functions and classes, different names (of scripts: modules) that they import, and files with errors.
+
+    Methods of scripts count as functions.
+    """
     good = parsed.where("error is null")
     totals = parsed.agg(F.count_if(F.col("error").isNull()).alias("files"), F.coalesce(F.sum(F.size("top_functions")), F.lit(0)).alias("functions"), F.coalesce(F.sum(F.size("top_classes")), F.lit(0)).alias("classes"), F.count_if(F.col("error").isNotNull()).alias("errors"))
-    imports = good.select(F.explode("aliases").alias("module")).agg(F.count_distinct("module").alias("imports"))
+    names = F.when(language(F.col("file")) == "python", F.col("aliases")).otherwise(F.col("imports"))
+    imports = good.select(F.explode(names).alias("module")).agg(F.count_distinct("module").alias("imports"))
     return totals.crossJoin(F.broadcast(imports))  # one row each
 
 

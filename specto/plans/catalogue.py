@@ -11,7 +11,7 @@ from specto.functions import costs, text
 from specto.functions.tokens import pieces
 from specto.operators import code, graphs, reports, routing, schemas, stats
 from specto.plans.fixtures import BODY as TASK
-from specto.plans.fixtures import CODE, FILE, LIMIT, MADE, PARSES, SCHEMA, THING, by_case, lines, part_code, part_tools
+from specto.plans.fixtures import CODE, FILE, IS_SCRIPT, LIMIT, MADE, PARSES, SCHEMA, SCRIPT_LINES, THING, by_case, lines, part_code, part_tools
 from specto.sources import catalogs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -399,14 +399,14 @@ COMPRESSED_CODE = f"""CASE WHEN {PARSES} THEN """ + lines(
     "'    def _check(self, x):'", "'        if not x:'", "concat('            raise ValueError(', chr(39), 'no', chr(39), ')')", "'        return self.rate'",
     "'def helper(x, y=1, *rest, flag=False, **more):'", "'    return x + y'", f"concat('def ', {MADE}, '(x):')", HARMLESS,
     "'def orch(x):'", f"concat('    # needs: {{\"type\": [\"Worker\"], \"interne\": [\"helper\", \"', {MADE}, '\"]}}')", "'async def fetch(url):'", "'    yield helper(url)'",
-) + " END"
+) + f" WHEN {IS_SCRIPT} THEN " + lines(*SCRIPT_LINES, "'export function load(url, n = 1) { ... }'", "'class Box {'", "'  open(x) { ... }'", "'}'") + " END"
 
 
 def parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return code.modules(part_code(spark, sf_dir))
 
 
-@query("internal_calls", f"SELECT {FILE} AS file, unnest(['run', 'orch', 'orch', 'fetch']) AS caller, unnest(['helper', 'helper', {MADE}, 'helper']) AS callee FROM part WHERE {PARSES}")
+@query("internal_calls", f"SELECT {FILE} AS file, unnest(['run', 'orch', 'orch', 'fetch']) AS caller, unnest(['helper', 'helper', {MADE}, 'helper']) AS callee FROM part WHERE {PARSES} UNION ALL SELECT {FILE}, 'open', 'load' FROM part WHERE {IS_SCRIPT}")
 def internal_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return code.call_edges(parsed(spark, sf_dir))
 
@@ -416,7 +416,7 @@ def internal_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"""
     SELECT {FILE} AS file, {FUNCTIONS} AS name, unnest(['', '', '', '', '', {DATA}, '']) AS data, unnest(['', '', 'Worker', '', '', '', '']) AS type,
       unnest(['', '', 'helper,' || {MADE}, 'helper', '', 'helper', '']) AS interne, unnest(['', {OS}, '', '', '', 'os', '']) AS externe, unnest(['PURE', CASE WHEN {OS} = '' THEN 'PURE' ELSE 'TOOL' END, 'ORCH', 'PURE', 'PURE', 'TOOL', 'PURE']) AS role
-    FROM part WHERE {PARSES}
+    FROM part WHERE {PARSES} UNION ALL SELECT {FILE}, unnest(['load', 'open']), '', '', unnest(['', 'load']), unnest(['http', '']), unnest(['TOOL', 'PURE']) FROM part WHERE {IS_SCRIPT}
     """,
 )
 def dep_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -424,7 +424,7 @@ def dep_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("file", "name", *[F.array_join(k, ",").alias(k) for k in ("data", "type", "interne", "externe")], "role")
 
 
-@query("code_self_roles", f"SELECT {FILE} AS file, {FUNCTIONS} AS name, unnest(['PURE', CASE WHEN {OS} = '' THEN 'PURE' ELSE 'TOOL' END, 'ORCH', 'PURE', 'PURE', 'ORCH', 'TOOL']) AS role, unnest(['', '', '', '', '', 'self._check', 'self.rate']) AS selfs FROM part WHERE {PARSES}")
+@query("code_self_roles", f"SELECT {FILE} AS file, {FUNCTIONS} AS name, unnest(['PURE', CASE WHEN {OS} = '' THEN 'PURE' ELSE 'TOOL' END, 'ORCH', 'PURE', 'PURE', 'ORCH', 'TOOL']) AS role, unnest(['', '', '', '', '', 'self._check', 'self.rate']) AS selfs FROM part WHERE {PARSES} UNION ALL SELECT {FILE}, unnest(['load', 'open']), unnest(['TOOL', 'PURE']), '' FROM part WHERE {IS_SCRIPT}")
 def code_self_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = code.dependencies(parsed(spark, sf_dir), resolve_self=True)
     return found.select("file", "name", "role", F.array_join(F.filter(F.concat("interne", "data"), lambda x: x.startswith("self.")), ",").alias("selfs"))
@@ -453,7 +453,7 @@ def risk_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return code.risk_histogram(parsed(spark, sf_dir))
 
 
-@query("repo_totals", f"SELECT count_if({PARSES})::BIGINT AS files, count_if({PARSES})::BIGINT * 4 AS functions, count_if({PARSES})::BIGINT * 2 AS classes, count_if(NOT {PARSES})::BIGINT AS errors, 2 + max(CASE WHEN {PARSES} AND p_partkey % 2 = 0 THEN 1 ELSE 0 END)::BIGINT AS imports FROM part")
+@query("repo_totals", f"SELECT count_if({PARSES} OR {IS_SCRIPT})::BIGINT AS files, (count_if({PARSES}) * 4 + count_if({IS_SCRIPT}) * 2)::BIGINT AS functions, (count_if({PARSES}) * 2 + count_if({IS_SCRIPT}))::BIGINT AS classes, count_if(NOT {PARSES} AND NOT {IS_SCRIPT})::BIGINT AS errors, 2 + max(CASE WHEN {PARSES} AND p_partkey % 2 = 0 THEN 1 ELSE 0 END)::BIGINT + max(CASE WHEN {IS_SCRIPT} THEN 1 ELSE 0 END)::BIGINT AS imports FROM part")
 def repo_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return code.repo_totals(parsed(spark, sf_dir))
 
@@ -462,19 +462,19 @@ CALLS = f"unnest(['', '', 'helper,' || {MADE}, 'helper', '', 'helper', ''])"
 TAKES = "unnest(['x,y', 'x', 'x', 'url', 'self,n', 'self,x', 'self,x'])"
 
 
-@query("code_contract", f"SELECT {FILE} AS file, unnest(range(7))::INTEGER AS ord, {FUNCTIONS} AS name, {TAKES} AS params, {CALLS} AS calls FROM part WHERE {PARSES}")
+@query("code_contract", f"SELECT {FILE} AS file, unnest(range(7))::INTEGER AS ord, {FUNCTIONS} AS name, {TAKES} AS params, {CALLS} AS calls FROM part WHERE {PARSES} UNION ALL SELECT {FILE}, unnest([0, 1])::INTEGER, unnest(['load', 'open']), unnest(['url,n', 'x']), unnest(['', 'load']) FROM part WHERE {IS_SCRIPT}")
 def code_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return code.flat_contract(parsed(spark, sf_dir)).select("file", "ord", "name", F.array_join("params", ",").alias("params"), F.array_join("calls", ",").alias("calls"))
 
 
-@query("code_compress", f"SELECT {FILE} AS file, {PARSES} AS ok, {COMPRESSED_CODE} AS compressed FROM part")
+@query("code_compress", f"SELECT {FILE} AS file, {PARSES} OR {IS_SCRIPT} AS ok, {COMPRESSED_CODE} AS compressed FROM part")
 def code_compress(spark: SparkSession, sf_dir: str) -> DataFrame:
     return code.compressed(part_code(spark, sf_dir)).select("file", F.col("error").isNull().alias("ok"), "compressed")
 
 
 @query(
     "code_sizes",
-    f"SELECT file, tokens_before, tokens_after, round((1 - tokens_after::DOUBLE / tokens_before) * 100, 1) AS reduction_pct FROM (SELECT {FILE} AS file, {PIECES.format(CODE)} AS tokens_before, {PIECES.format(COMPRESSED_CODE)} AS tokens_after FROM part WHERE {PARSES})",
+    f"SELECT file, tokens_before, tokens_after, round((1 - tokens_after::DOUBLE / tokens_before) * 100, 1) AS reduction_pct FROM (SELECT {FILE} AS file, {PIECES.format(CODE)} AS tokens_before, {PIECES.format(COMPRESSED_CODE)} AS tokens_after FROM part WHERE {PARSES} OR {IS_SCRIPT})",
 )
 def code_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = part_code(spark, sf_dir)
@@ -511,9 +511,10 @@ def code_outline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 HEALTH = f"SELECT 'python' AS lang, count(*) AS files, count(*) * 4 AS functions, count(*) * 2 AS classes, sum({PIECES.format(CODE)})::BIGINT AS raw, sum({PIECES.format(COMPRESSED_CODE)})::BIGINT AS compressed FROM part WHERE {PARSES}"
+HEALTH += f" UNION ALL SELECT 'javascript', count(*), count(*) * 2, count(*), sum({PIECES.format(CODE)})::BIGINT, sum({PIECES.format(COMPRESSED_CODE)})::BIGINT FROM part WHERE {IS_SCRIPT}"
 
 
-@query("code_health", f"SELECT unnest([lang, NULL]) AS lang, files, functions, classes, raw, compressed, round((1 - compressed::DOUBLE / raw) * 100, 1) AS gain_pct FROM ({HEALTH})")
+@query("code_health", f"SELECT lang, files, functions, classes, raw, compressed, round((1 - compressed::DOUBLE / raw) * 100, 1) AS gain_pct FROM (SELECT lang, sum(files)::BIGINT AS files, sum(functions)::BIGINT AS functions, sum(classes)::BIGINT AS classes, sum(raw)::BIGINT AS raw, sum(compressed)::BIGINT AS compressed FROM ({HEALTH}) GROUP BY ROLLUP (lang))")
 def code_health(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = part_code(spark, sf_dir)
     return code.health_totals(code.health(files, code.modules(files), code.compressed(files), pieces))
@@ -522,8 +523,8 @@ def code_health(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "status_lines",
     f"""
-    WITH h AS ({HEALTH}), n AS ({HISTOGRAM}), e AS (SELECT {FILE} AS file, CASE WHEN p_partkey % 10 = 8 THEN 'no parser for javascript' ELSE 'SyntaxError: invalid syntax (<unknown>, line 1)' END AS error FROM part WHERE NOT {PARSES})
-    SELECT 'language' AS section, unnest([1, 2]) AS ord, unnest([lang, 'Total']) AS label, concat_ws(' ', format('{{:,}}', files), format('{{:,}}', functions), format('{{:,}}', classes), format('{{:,}}', raw), format('{{:,}}', compressed), round((1 - compressed::DOUBLE / raw) * 100, 1)::VARCHAR || '%') AS value FROM h
+    WITH h AS (SELECT lang, sum(files)::BIGINT AS files, sum(functions)::BIGINT AS functions, sum(classes)::BIGINT AS classes, sum(raw)::BIGINT AS raw, sum(compressed)::BIGINT AS compressed FROM ({HEALTH}) GROUP BY ROLLUP (lang)), n AS ({HISTOGRAM}), e AS (SELECT {FILE} AS file, 'SyntaxError: invalid syntax (<unknown>, line 1)' AS error FROM part WHERE p_partkey % 10 = 9)
+    SELECT 'language' AS section, row_number() OVER (ORDER BY lang NULLS LAST)::INTEGER AS ord, coalesce(lang, 'Total') AS label, concat_ws(' ', format('{{:,}}', files), format('{{:,}}', functions), format('{{:,}}', classes), format('{{:,}}', raw), format('{{:,}}', compressed), round((1 - compressed::DOUBLE / raw) * 100, 1)::VARCHAR || '%') AS value FROM h
     UNION ALL SELECT 'security', row_number() OVER (ORDER BY n DESC, module)::INTEGER, module, format('{{:,}}', n) FROM n
     UNION ALL (SELECT 'errors', row_number() OVER (ORDER BY file)::INTEGER, file, error FROM e ORDER BY file LIMIT 5)
     UNION ALL SELECT 'errors', 6, 'more', format('{{:,}}', count(*) - 5) FROM e

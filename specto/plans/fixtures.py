@@ -46,7 +46,9 @@ LIMIT = "CASE WHEN p_partkey % 3 = 0 THEN concat('LIMIT = ', p_size) END"
 BODY = by_case("p_size % 7", BODIES)
 MADE = "concat('make_', lower(p_type))"
 
-CODE = "CASE WHEN p_partkey % 10 = 9 THEN 'def broken(:' ELSE " + lines(
+SCRIPT_LINES = ("""'import http from "http";'""", "concat('const SIZE = ', p_size, ';')")
+SCRIPT = lines(*SCRIPT_LINES, "'export function load(url, n = 1) {'", "'  return http.get(url); // load('", "'}'", "'class Box {'", "'  open(x) {'", "'    return load(x);'", "'  }'", "'}'")
+CODE = f"CASE WHEN p_partkey % 10 = 9 THEN 'def broken(:' WHEN p_partkey % 10 = 8 THEN {SCRIPT} ELSE " + lines(
     "concat('\"\"\"Module ', p_partkey, '\"\"\"')", "'import os, json as js'", THING, LIMIT, "'A, B = 1, 2'",
     "'class Base_:'", "'    pass'",
     "'class Worker(Base_):'", "concat('    \"\"\"Works on ', p_brand, '.')", "''", "'    More.\"\"\"'", "concat('    rate = ', p_size)",
@@ -60,6 +62,7 @@ CODE = "CASE WHEN p_partkey % 10 = 9 THEN 'def broken(:' ELSE " + lines(
 ) + " END"
 FILE = "concat('p', p_partkey, CASE WHEN p_partkey % 10 = 8 THEN '.js' ELSE '.py' END)"
 PARSES = "p_partkey % 10 < 8"
+IS_SCRIPT = "p_partkey % 10 = 8"
 
 
 def part_code(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -209,13 +209,14 @@ def test_risk_sets(spark, line, level, calls):
 
 
 def test_risks_of_a_repository(spark):
-    texts = [("a.py", "def f(x):\n    eval(x)\n    socket.socket()\ndef g(x):\n    return x"), ("b.py", "def h():\n    return 1"), ("c.py", "x = 1"), ("d.py", "def ("), ("e.js", "eval(x)")]
+    texts = [("a.py", "def f(x):\n    eval(x)\n    socket.socket()\ndef g(x):\n    return x"), ("b.py", "def h():\n    return 1"), ("c.py", "x = 1"), ("d.py", "def ("), ("e.js", "eval(x")]
     parsed = code.modules(spark.createDataFrame(texts, "file string, text string"))
     one = code.security_summary(parsed).first()
     assert tuple(one) == (1, 0, 3, 3, 2) and {r.file for r in code.clean_files(parsed).collect()} == {"b.py", "c.py"}
     assert {r.module: r.n for r in code.risk_histogram(parsed).collect()} == {"eval": 1, "socket": 1}
     errors = {r.file: r.error for r in parsed.where("error is not null").collect()}
-    assert set(errors) == {"d.py", "e.js"} and errors["e.js"] == "no parser for javascript"
+    assert set(errors) == {"d.py", "e.js"} and errors["e.js"].startswith("SyntaxError")
+    assert [r.error for r in code.outlines(spark.createDataFrame([("e.js", "f()")], "file string, text string")).collect()] == ["not done for javascript"]
 
 
 def test_vocabulary_is_that_of_the_top_level(spark):
@@ -348,3 +349,88 @@ def test_deep_closures(spark):
     assert hit == {i: 60 - i for i in range(60)}
     rings = [(i, (i + 1) % 9) for i in range(9)] + [(8, 20), (20, 21), (21, 20), (21, 30), (40, 40), (30, 31)]
     assert {r.node for r in graphs.on_cycles(spark.createDataFrame(rings, "src long, dst long")).collect()} == {*range(9), 20, 21, 40}
+
+
+SCRIPT = '''// import gone from "gone";
+import http from "http";
+import { readFile as rf, join } from './fs';
+import * as ns from "ns";
+const ev = require("events");
+export const CONFIG = {
+  retries: 3,
+  url: "a { b",
+};
+export async function fetchIt(url, opts = {}, { a, b } = {}, ...rest) {
+  const text = `x ${url} {`;
+  for (let i = 0; i < 3; i++) { await ask(url); rf(i); }
+  return ns.go(/[{]/.test(url));
+}
+function ask(url) {
+  return 1;
+}
+const ok = (e) => e.code === 1 || ask(e);
+const single = x => {
+  return x;
+};
+class Task extends ev {
+  static count = 0;
+  constructor() {
+    this.id = join(1);
+  }
+  async run(n) {
+    if (this.id) { return ask(n); }
+  }
+}
+export default class Queue { add(t) { this.l.push(t); } }
+'''
+
+TYPED = '''import type { Logger } from "./logger";
+export interface Job<T> {
+  id: string;
+}
+export type Handler<T, R> = (payload: T) => Promise<R>;
+function nextId(prefix: string, n?: Map<string, number>): string {
+  return `${prefix}`;
+}
+export async function runHandler<T, R>(
+  handler: Handler<T, R>,
+  payload: T,
+): Promise<Result<R>> {
+  return { ok: nextId("x") };
+}
+const wrap = <T>(value: T): Job<T> => ({
+  id: nextId("job"),
+});
+export abstract class Worker<T, R> extends Base {
+  protected logger?: Logger;
+  constructor(private logger?: Logger) {
+    super();
+  }
+  abstract handle(job: Job<T>): Promise<R>;
+  async process(payload: T): Promise<{ a: R }> {
+    return runHandler((p) => this.handle(wrap(p)), payload);
+  }
+}
+enum Color { Red, Green }
+'''
+
+
+def test_scripts(spark):
+    files = spark.createDataFrame([("a.js", SCRIPT), ("b.ts", TYPED), ("c.cjs", "let x = {"), ("d.py", "import os\ndef f(): pass")], "file string, text string")
+    parsed = code.modules(files)
+    rows = {r.file: r for r in parsed.collect()}
+    assert rows["a.js"].imports == ["http", "./fs", "ns", "events"] and rows["a.js"].top_classes == ["Task", "Queue"] and rows["b.ts"].imports == ["./logger"] and rows["c.cjs"].error
+    params = {(r.file, f.name): f.params for r in rows.values() for f in r.functions or []}
+    assert params["a.js", "fetchIt"] == ["url", "opts", "{ a, b }", "...rest"] and params["a.js", "single"] == ["x"] and params["a.js", "constructor"] == []
+    assert params["b.ts", "nextId"] == ["prefix", "n"] and params["b.ts", "runHandler"] == ["handler", "payload"] and params["b.ts", "constructor"] == ["logger"] and params["b.ts", "handle"] == ["job"]
+    edges = {(r.file, r.caller, r.callee) for r in code.call_edges(parsed).collect()}
+    assert edges == {("a.js", "fetchIt", "ask"), ("a.js", "ok", "ask"), ("a.js", "run", "ask"), ("b.ts", "runHandler", "nextId"), ("b.ts", "wrap", "nextId"), ("b.ts", "process", "runHandler"), ("b.ts", "process", "wrap")}
+    wanted = spark.createDataFrame([("a.js", "fetchIt"), ("a.js", "Task"), ("a.js", "ghost")], "file string, name string")
+    found = {r.name: r for r in code.expand(parsed, wanted).collect()}
+    assert (found["fetchIt"].kind, found["fetchIt"].interne, found["fetchIt"].externe, found["ghost"].missing) == ("function", ["ask"], ["ns", "rf"], True)
+    assert found["Task"].kind == "class" and "async run(n)" in found["Task"].source and "for (let i" in found["fetchIt"].source
+    short = {r.file: r.compressed for r in code.compressed(files).collect()}
+    assert "export async function fetchIt(url, opts = {}, { a, b } = {}, ...rest) { ... }" in short["a.js"] and "retries: 3" in short["a.js"] and "const ok = (e) => { ... }" in short["a.js"] and "  async run(n) { ... }" in short["a.js"] and "join(1)" not in short["a.js"]
+    assert "interface Job<T> {" in short["b.ts"] and "): Promise<Result<R>> { ... }" in short["b.ts"] and "  abstract handle(job: Job<T>): Promise<R>;" in short["b.ts"] and "  protected logger?: Logger;" in short["b.ts"] and "enum Color { Red, Green }" in short["b.ts"]
+    total = code.repo_totals(parsed).first()
+    assert (total.files, total.classes, total.errors, total.imports) == (3, 3, 1, 6)
