@@ -281,6 +281,12 @@ def with_sizes(files: DataFrame, short: DataFrame, count: Callable[[Column], Col
     return both.withColumn("reduction_pct", costs.reduction_pct(F.col("tokens_before"), F.col("tokens_after")))
 
 
+def file_costs(sized: DataFrame) -> DataFrame:
+    """file and what a request costs with the file as it is and compressed, from the tokens that with_sizes() gives."""
+    found = costs.request_cost(F.col("tokens_before"), F.col("tokens_after"))
+    return sized.select("file", *[c.alias(k) for k, c in found.items()])
+
+
 def functions(parsed: DataFrame) -> DataFrame:
     """One row a function, in the order of the walk."""
     return parsed.select("file", F.posexplode("functions").alias("ord", "f")).select("file", "ord", "f.*")

@@ -250,6 +250,22 @@ def contract_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
     return schemas.overall(part_tools(spark, sf_dir))
 
 
+REPORT = {k: f"concat_ws('/', {kept}, {all_})" for k, (kept, all_) in {
+    "params": ("4 + more", "4 + more"), "types": ("4 + more - CASE WHEN p_partkey % 10 = 6 THEN 1 ELSE 0 END", "4 + more"), "required": ("1", "1"), "enums": ("2", "2"),
+    "refs": ("1 + CASE WHEN p_partkey % 10 = 1 THEN 1 ELSE 0 END",) * 2, "patterns": ("1", "1 + CASE WHEN p_partkey % 10 = 3 THEN 1 ELSE 0 END"), "bounds": ("2", "2"), "discriminators": ("CASE WHEN p_partkey % 10 = 4 THEN 1 ELSE 0 END",) * 2,
+}.items()}
+
+
+@query("contract_report", "SELECT 'part_' || p_partkey AS name, " + ", ".join(f"CASE WHEN {READABLE} THEN {v} ELSE '0/0' END AS {k}" for k, v in REPORT.items()) + ", CASE WHEN p_partkey % 10 IN (0, 1, 2, 3, 6) THEN 'FLAG' ELSE 'OK' END AS verdict FROM (SELECT *, CASE WHEN p_partkey % 10 IN (1, 3, 4, 5, 6) THEN 1 ELSE 0 END AS more FROM part)")
+def contract_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return schemas.contract_report(part_tools(spark, sf_dir)).drop("lost", "unresolved")
+
+
+@query("tool_texts", "SELECT p_partkey AS ord, 'part_' || p_partkey || ': Orders ' || p_name || '. By part.' AS text, 'part ' || p_partkey AS plain FROM part")
+def tool_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return part_tools(spark, sf_dir).select("ord", text.tool_text(F.col("name"), F.col("description")).alias("text"), text.plain_name(F.col("name")).alias("plain"))
+
+
 @query("lost_atoms", "SELECT 'part_' || p_partkey AS name, unnest(['unhandled']) AS kind, 'minLength' AS value FROM part WHERE p_partkey % 10 = 0 UNION ALL SELECT 'part_' || p_partkey, 'pattern', '^x' FROM part WHERE p_partkey % 10 = 3 UNION ALL SELECT 'part_' || p_partkey, 'typed', 'bare' FROM part WHERE p_partkey % 10 = 6")
 def lost_atoms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return schemas.lost_atoms(part_tools(spark, sf_dir))
@@ -481,6 +497,15 @@ def code_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return code.with_sizes(files, code.compressed(files), pieces).where("error is null").select("file", "tokens_before", "tokens_after", "reduction_pct")
 
 
+@query(
+    "code_costs",
+    f"SELECT file, (b * 100 + 250000)::DOUBLE / 1e8 AS cost_before, (a * 100 + 250000)::DOUBLE / 1e8 AS cost_after, round((b - a) * 100.0 / b, 6) AS pct, ((b - a) * 100)::DOUBLE / 1e8 AS savings FROM (SELECT {FILE} AS file, {PIECES.format(CODE)} AS b, {PIECES.format(COMPRESSED_CODE)} AS a FROM part WHERE {PARSES} OR {IS_SCRIPT})",
+)
+def code_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = part_code(spark, sf_dir)
+    return code.file_costs(code.with_sizes(files, code.compressed(files), pieces).where("error is null"))
+
+
 @query(
     "code_expand",
     f"""

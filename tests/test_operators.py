@@ -324,6 +324,7 @@ def test_words_route_text_ids(spark):
     assert {(r.query_id, r.tool_id) for r in routing.keyword_route(q, t.limit(0)).collect()} == {("q", None), ("r", None)}
     spaced = spark.createDataFrame([("Find\u00a0The\u2003the",)], "t string").select(text.distinct_words(F.col("t")).alias("w")).first().w
     assert spaced == ["find", "the"]
+    assert spark.createDataFrame([("'`a\"b`'",)], "t string").select(text.unquoted(F.col("t")).alias("w")).first().w == 'a"b'
 
 
 def test_catalog_order_is_that_of_files(spark, tmp_path):
