@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from dataclasses import dataclass, field
+from functools import cached_property
 
 import regex
 
@@ -40,7 +42,6 @@ class Script:
         quiet = QUIET.sub(lambda m: regex.sub(r"[^\n]", " ", m[0]), text)
         self.quiet = quiet
         self.close: dict[int, int] = {}
-        self.depth = [0] * (len(quiet) + 1)
         stack: list[int] = []
         for m in regex.finditer(r"[()\[\]{}]", quiet):
             if m[0] in "([{":
@@ -50,6 +51,11 @@ class Script:
         if stack:
             raise SyntaxError(f"a bracket at {stack[0]} is never closed")
         self.parts = sorted(self.find(), key=lambda p: p.start)
+        self.starts = [p.start for p in self.parts]
+
+    def inside(self, p: Part) -> list[Part]:
+        """The parts that begin within a part."""
+        return self.parts[bisect_right(self.starts, p.start) : bisect_left(self.starts, p.end)]
 
     def after(self, i: int) -> int:
         while i < len(self.quiet) and self.quiet[i].isspace():
@@ -62,7 +68,7 @@ class Script:
         if i < len(self.quiet) and self.quiet[i] == ":":  # a return type: up to the brace or arrow that no type takes in
             i += 1
             while i < len(self.quiet) and not self.quiet.startswith("=>", i) and self.quiet[i] not in ";\n":
-                if self.quiet[i] == "{" and not arrow and regex.search(r"[\w$>\])}]\s*$", self.quiet[:i][-80:]):
+                if self.quiet[i] == "{" and not arrow and regex.search(r"[\w$>\])}]\s*$", self.quiet[max(0, i - 80) : i]):
                     break
                 i = self.close.get(i, i) + 1
             i = self.after(i)
@@ -82,7 +88,7 @@ class Script:
                 return i
             if c == ";":
                 return i + 1
-            if c == "\n" and not regex.search(r"[=+\-*/%&|?:,<.(]\s*$", self.quiet[:i][-40:]) and not regex.match(r"\s*(?:[.?:=+*/%&|,)\]}]|=>)", self.quiet, pos=i):
+            if c == "\n" and not regex.search(r"[=+\-*/%&|?:,<.(]\s*$", self.quiet[max(0, i - 40) : i]) and not regex.match(r"\s*(?:[.?:=+*/%&|,)\]}]|=>)", self.quiet, pos=i):
                 return i
             i = self.close.get(i, i) + 1
         return i
@@ -110,12 +116,12 @@ class Script:
     def find(self) -> list[Part]:
         out = []
         for m in CLASS.finditer(self.quiet):
-            if not regex.search(r"[\w$.]$", self.quiet[: m.start()][-1:]):
+            if not regex.search(r"[\w$.]$", self.quiet[max(0, m.start() - 1) : m.start()]):
                 body = (m.end(), self.close[m.end()] + 1)
                 out.append(Part("class", m[1], m.start(), body[1], body))
                 out += self.methods(body)
         for m in FUNCTION.finditer(self.quiet):
-            if not regex.search(r"[\w$.]$", self.quiet[: m.start()][-1:]):
+            if not regex.search(r"[\w$.]$", self.quiet[max(0, m.start() - 1) : m.start()]):
                 body = self.body_of(self.close[m.end()] + 1, False)
                 end = body[1] if body else self.statement_end(m.start())
                 out.append(Part("function", m[1], m.start(), end, body, self.names(m.end())))
@@ -123,7 +129,7 @@ class Script:
             single = m[2] is not None
             at = m.end() + len(m[2]) if single else self.close[m.end()] + 1
             arrow = "function" not in m[0]
-            if (body := self.body_of(at, arrow)) and not regex.search(r"[\w$.]$", self.quiet[: m.start()][-1:]):
+            if (body := self.body_of(at, arrow)) and not regex.search(r"[\w$.]$", self.quiet[max(0, m.start() - 1) : m.start()]):
                 out.append(Part("value", m[1], m.start(), max(body[1], self.statement_end(body[1])), body, [m[2]] if single else self.names(m.end())))
         return out
 
@@ -143,21 +149,21 @@ class Script:
                 i = stop
         return out
 
-    @property
+    @cached_property
     def functions(self) -> list[Part]:
         return [p for p in self.parts if p.kind in ("function", "value", "method")]
 
-    @property
+    @cached_property
     def callable_names(self) -> set[str]:
         return {p.name for p in self.parts if p.kind in ("function", "value")}
 
-    @property
+    @cached_property
     def imports(self) -> list[str]:
         """Module names of import and require, in order; only those that aren't in comments or strings."""
         own = [m for m in IMPORT.finditer(self.text) if self.quiet[m.start() : m.start() + 6].strip() in ("import", "export", "requir")]
         return list(dict.fromkeys(m[2] for m in own if not m[0].startswith("export")))
 
-    @property
+    @cached_property
     def bindings(self) -> set[str]:
         clauses = " ".join(m[1] for m in BINDINGS.finditer(self.quiet))
         return set(WORD.findall(regex.sub(rf"(?:{NAME}|\*)\s+as\s+", "", clauses))) - {"type"}
@@ -176,7 +182,8 @@ class Script:
 def parse(text: str) -> dict:
     """What code.parse() tells of Python, for a script: imports, classes, functions and methods with their calls."""
     s = Script(text)
-    line = lambda i: text.count("\n", 0, i) + 1
+    breaks = [m.start() for m in regex.finditer("\n", text)]
+    line = lambda i: bisect_left(breaks, i) + 1
     functions = [
         {"name": p.name, "line": line(p.start), "owner": None, "params": p.params, "calls": s.calls(p), "bare": s.calls(p), "names": s.calls(p) + s.foreign(p), "roots": [], "selfs": [], "raises": [], "warns": [], "yields": False, "doc": None, "signature": text[p.start : p.body[0] if p.body else p.end].rstrip(), "open_write": False, "source": text[p.start : p.end].rstrip()}
         for p in s.functions
@@ -188,7 +195,7 @@ def parse(text: str) -> dict:
         "data": [],
         "top_classes": [p.name for p in classes],
         "top_functions": list(dict.fromkeys(p.name for p in s.functions)),
-        "classes": [{"name": p.name, "line": line(p.start), "methods": [q.name for q in s.parts if q.kind == "method" and p.start < q.start < p.end], "attrs": [], "doc": None, "source": text[p.start : p.end]} for p in classes],
+        "classes": [{"name": p.name, "line": line(p.start), "methods": [q.name for q in s.inside(p) if q.kind == "method"], "attrs": [], "doc": None, "source": text[p.start : p.end]} for p in classes],
         "functions": functions,
     }
 
@@ -213,7 +220,8 @@ def compress(text: str) -> str:
         p = by_start.get(head.end())
         if p and p.kind == "class":
             out.append(text[i : p.body[0]].rstrip() + " {")
-            out += [f"  {short(q)}" for q in s.parts if q.kind in ("method", "field") and p.body[0] < q.start < p.end and not any(c.kind == "class" and p.start < c.start < q.start < c.end for c in s.parts)]
+            nested = [c for c in s.inside(p) if c.kind == "class"]
+            out += [f"  {short(q)}" for q in s.inside(p) if q.kind in ("method", "field") and not any(c.start < q.start < c.end for c in nested)]
             out.append("}")
             i = p.end
         elif p:
