@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import audio, bpe, dedup, edits, html, jaccard, langid, license, mixing, substring
+from . import audio, bpe, dedup, edits, html, jaccard, langid, license, mixing, packing, repair, substring, trie
 from .common import table
 
 
@@ -14,6 +14,10 @@ def documents(f: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, st
     return lambda spark, sf_dir: f(table(spark, sf_dir, "documents"))
 
 
+def conversations(f: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: f(table(spark, sf_dir, "conversations"))
+
+
 def pages(f: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, sf_dir: f(table(spark, sf_dir, "pages"))
 
@@ -29,6 +33,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_bpe": documents(bpe.bpe_roundtrip),
     "op9_html_text": pages(html.op9_html_text),
     "op10_source_mixing": documents(mixing.op10_source_mixing),
+    "op11_packing": documents(packing.op11_packing),
+    "op12_conversation_trie": conversations(trie.op12_conversation_trie),
+    "op13_conversation_repair": conversations(repair.op13_conversation_repair),
 }
 
 SQL: dict[str, str] = {"op2_exact_dedup": dedup.OP2_SQL, "op10_source_mixing": mixing.op10_sql()}
