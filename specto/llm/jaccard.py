@@ -113,10 +113,9 @@ def ordered_sets(docs: DataFrame, rule: Jaccard, levels: np.ndarray) -> DataFram
             n = len(s)
             if not n:
                 return 0, 0, 0, np.zeros(0, np.int64), 0
-            digest = xxhash.xxh3_128_digest(s.tobytes())
             keys, p = in_order(s, level), rule.prefix(n)
             first = np.sort(np.partition(keys, p - 1)[:p] if p < n else keys).view(np.int64)
-            return n, int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True), first, int(first[-1])
+            return n, *set_key(s), first, int(first[-1])
 
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
             rows = [one(t) for t in batch.column(1).to_pylist()]
@@ -187,20 +186,30 @@ class Trie:
         return out
 
 
-def whole_sets(docs: DataFrame, ids: DataFrame, rule: Jaccard, levels: np.ndarray) -> DataFrame:
-    """id, own (a hash of the set), grams in the global order, of the documents with these ids (distinct doc_id)."""
+def set_key(s: np.ndarray) -> tuple[int, int]:
+    """Two longs (d1, d2) that identify a set of n-grams."""
+    digest = xxhash.xxh3_128_digest(s.tobytes())
+    return int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True)
+
+
+def whole_sets(docs: DataFrame, ids: DataFrame, rule: Jaccard, levels: np.ndarray, keyed: bool = False) -> DataFrame:
+    """id, own (a hash of the set), grams in the global order, of the documents with these ids (distinct doc_id); with `keyed` also d1, d2."""
     shared = docs.sparkSession.sparkContext.broadcast(levels)
 
     def make():
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-            sets = [np.sort(in_order(shingles(t, rule.words), shared.value)).view(np.int64) for t in batch.column(1).to_pylist()]
+            plain = [shingles(t, rule.words) for t in batch.column(1).to_pylist()]
+            sets = [np.sort(in_order(s, shared.value)).view(np.int64) for s in plain]
             ends = np.cumsum([0, *map(len, sets)])
             grams = pa.LargeListArray.from_arrays(ends, np.concatenate(sets)).cast(pa.list_(pa.int64()))
-            return pa.RecordBatch.from_pydict({"id": batch.column(0).cast(pa.int64()), "own": pa.array([xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63) for s in sets], pa.int64()), "grams": grams})
+            columns = {"id": batch.column(0).cast(pa.int64()), "own": pa.array([xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63) for s in sets], pa.int64()), "grams": grams}
+            if keyed:
+                columns |= {c: pa.array(v, pa.int64()) for c, v in zip(("d1", "d2"), zip(*map(set_key, plain), strict=True), strict=True)}
+            return pa.RecordBatch.from_pydict(columns)
 
         return work
 
-    sets = cut(map_batches(rows_of(docs, ids, ["doc_id"]).select("doc_id", "text"), make, "id long, own long, grams array<long>"))
+    sets = cut(map_batches(rows_of(docs, ids, ["doc_id"]).select("doc_id", "text"), make, "id long, own long, grams array<long>" + ", d1 long, d2 long" * keyed))
     if sets.groupBy("id", "own").count().where("count > 1").limit(1).count():  # rows that repeat an id and text
         sets = cut(sets.dropDuplicates(["id", "own"]))
     return sets
@@ -326,7 +335,7 @@ def across_parts(lists: DataFrame, joined: DataFrame, rule: Jaccard, block: int
 
 
 def count_links(classes: DataFrame, docs: DataFrame, rule: Jaccard, levels: np.ndarray, block: int = 512) -> DataFrame:
-    """id, links: how many documents are linked with each set (id, component, weight, its number of documents), those of other sets.
+    """d1, d2, links: how many documents are linked with each set (d1, d2, the id of one that has it, component, weight, its number of documents), those of other sets.
 
     The sets of a component are dealt in blocks; each block is a trie that the sets of it and of later blocks are sent
     down, a pair of blocks at a time, and only sums leave a pair. Exact at any size, but with the square of the number of
@@ -334,12 +343,12 @@ def count_links(classes: DataFrame, docs: DataFrame, rule: Jaccard, levels: np.n
     """
     several = classes.groupBy("component").agg(F.count("*").alias("size")).where("size > 1")
     own = cut(classes.join(several, "component"))
-    sets = whole_sets(docs, own.select(F.col("id").alias("doc_id")), rule, levels)
+    sets = whole_sets(docs, own.select(F.col("id").alias("doc_id")).distinct(), rule, levels, keyed=True)
     blocks = F.ceil(F.col("size") / block).cast("int")
-    own = own.join(sets, "id").withColumn("block", F.pmod(F.xxhash64("id"), blocks).cast("int"))
+    own = own.join(sets, ["id", "d1", "d2"]).withColumn("block", F.pmod(F.xxhash64("d1"), blocks).cast("int"))
     every = F.sequence(F.lit(0), blocks - 1)
     cells = F.transform(every, lambda j: F.struct(F.least(F.col("block"), j).alias("i"), F.greatest(F.col("block"), j).alias("j")))
-    laid = own.select("component", "id", "weight", "grams", "block", F.inline(cells)).select("component", "i", "j", "block", "id", "weight", "grams")
+    laid = own.select("component", "d1", "d2", "weight", "grams", "block", F.inline(cells)).select("component", "i", "j", "block", "d1", "d2", "weight", "grams")
     laid = laid.repartition("component", "i", "j").sortWithinPartitions("component", "i", "j", "block")
 
     def cell(part: pa.Table) -> pa.RecordBatch:
@@ -356,7 +365,7 @@ def count_links(classes: DataFrame, docs: DataFrame, rule: Jaccard, levels: np.n
             links[x] += weight[met].sum()
             if not alone:
                 links[met] += weight[x]
-        return pa.RecordBatch.from_pydict({"id": part["id"].combine_chunks(), "links": pa.array(links)})
+        return pa.RecordBatch.from_pydict({"d1": part["d1"].combine_chunks(), "d2": part["d2"].combine_chunks(), "links": pa.array(links)})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -371,7 +380,7 @@ def count_links(classes: DataFrame, docs: DataFrame, rule: Jaccard, levels: np.n
         if held:
             yield cell(pa.Table.from_batches(held))
 
-    return laid.mapInArrow(run, "id long, links long").groupBy("id").agg(F.sum("links").alias("links"))
+    return laid.mapInArrow(run, "d1 long, d2 long, links long").groupBy("d1", "d2").agg(F.sum("links").alias("links"))
 
 
 def near_duplicates(docs: DataFrame, rule: Jaccard = Jaccard(), id_col: str = "doc_id", text_col: str = "text", max_cells: int = 1 << 24, links: bool = False) -> DataFrame:
@@ -385,9 +394,10 @@ def near_duplicates(docs: DataFrame, rule: Jaccard = Jaccard(), id_col: str = "d
     counted out by count_links().
 
     A null text counts as empty: n_shingles 0, linked with nothing, component_id its own id. A row with a null id takes
-    part in no link and has a null component_id. Rows that repeat an id with different texts are linked by that id, and
-    each counts the links of the row that its own set is known by. A text of any length is one set. Other columns are
-    passed over. An empty table gives no rows.
+    part in no link and has a null component_id. A document is an id with one set: rows that repeat both count once among
+    links, and none is its own link. Rows that repeat an id with different sets are documents of one id: they share a
+    component, and each counts the documents that its own set is linked with. A text of any length is one set. Other
+    columns are passed over. An empty table gives no rows.
     """
     own = narrow(docs, id_col, text_col)
     rows = own.count()
@@ -408,16 +418,17 @@ def near_duplicates(docs: DataFrame, rule: Jaccard = Jaccard(), id_col: str = "d
 
     # documents of one set are linked to its first; a document of an id that stands at several sets links those
     # (n is one key more than the groups have, so that the joins deal them anew and can split a hot one)
-    first = some.groupBy("d1", "d2").agg(F.first("n").alias("n"), F.min("doc_id").alias("id"), F.count("*").alias("weight"))
+    first = some.groupBy("d1", "d2").agg(F.first("n").alias("n"), F.min("doc_id").alias("id"), F.count_distinct("doc_id").alias("weight"))
     member = some.select("doc_id", "d1", "d2", "n").join(first, ["d1", "d2", "n"]).select("doc_id", "id")
     several = member.groupBy("doc_id").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a <> b").select("a", "b")
     whole = components(found.unionByName(more).unionByName(several))
+    if links:
+        alike = count_links(cut(first.select("d1", "d2", "id", "weight").join(whole, F.col("id") == F.col("node")).select("d1", "d2", "id", "component", "weight")), own, rule, levels)
+        first = first.join(cut(alike), ["d1", "d2"], "left")
     out = sets.join(first, ["d1", "d2", "n"], "left").join(whole, F.col("id") == F.col("node"), "left")
     linked = F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.coalesce("component", "id"))
     columns = [F.col("doc_id"), F.col("n").alias("n_shingles"), F.coalesce(linked, F.col("doc_id")).alias("component_id")]
     if links:
-        alike = count_links(cut(first.select("id", "weight").join(whole, F.col("id") == F.col("node")).select("id", "component", "weight")), own, rule, levels)
-        out = out.join(cut(alike), "id", "left")
         copies = F.when(linked.isNotNull(), F.col("weight") - 1)
         columns.append(F.coalesce(F.coalesce("links", F.lit(0)) + copies, F.lit(0)).cast("long").alias("n_links"))
     return out.select(*columns)

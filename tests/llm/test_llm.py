@@ -40,6 +40,11 @@ def words(text, lower=False):
     return re.findall(rb"[^\x20\x09-\x0D]+", raw.lower() if lower else raw)
 
 
+def shingles(text):
+    w = words(text, True)
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
 def test_dedup(docs, empty):
     got = {r.doc_id: r for r in dedup.op2_exact_dedup(docs).collect()}
     norm = [re.sub("[A-Z]+", lambda m: m[0].lower(), t or "") for t in TEXTS]
@@ -57,6 +62,13 @@ def test_repeated_rows(docs):
     one = {tuple(r) for r in jaccard.op4_ngram_jaccard(docs).collect()}
     two = jaccard.op4_ngram_jaccard(twice).collect()
     assert len(two) == 2 * len(TEXTS) and {tuple(r) for r in two} == one
+    # ids that stand at several texts: each of them is a document of its own
+    more = docs.unionByName(docs.withColumn("doc_id", F.lit(30) - F.col("doc_id") % 4)).unionByName(docs)
+    rows = [(i, t) for i, t in enumerate(TEXTS)] + [(30 - i % 4, t) for i, t in enumerate(TEXTS)]
+    known = {(i, frozenset(s)) for i, t in rows if (s := shingles(t))}
+    links = {(i, s): sum((j, r) != (i, s) and 100 * len(r & s) >= 80 * len(r | s) for j, r in known) for i, s in known}
+    got = {(r.doc_id, r.n_shingles, r.n_links) for r in jaccard.op4_ngram_jaccard(more).collect()}
+    assert got == {(i, len(s), n) for (i, s), n in links.items()} | {(i, 0, 0) for i, t in rows if not shingles(t)}
     assert substring.op7_substring_dedup(twice).distinct().count() == len(TEXTS)
     assert license.op6_license_scan(twice).count() == 2 * len(TEXTS)
 
