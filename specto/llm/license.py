@@ -80,11 +80,11 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, phra
 
     A null text counts as empty: no words, no labels, null first_word. Rows are told apart by id and text, so repeated
     rows and null ids each get their result; a text of any length is scanned whole; other columns are passed over; an
-    empty table gives none.
+    empty table gives none. Only two texts of one id could share the hash that tells them apart.
     """
     templates, phrases = TEMPLATES if templates is None else templates, PHRASES if phrases is None else phrases
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("text")).withColumn("key", F.xxhash64("doc_id", "text"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("text")).withColumn("key", F.struct(F.col("doc_id").alias("id"), F.xxhash64("text").alias("h")))
     known = template_grams(templates, phrases)
     wanted = np.unique([r[0] for r in known])
 
@@ -107,7 +107,7 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, phra
         return work
 
     table = docs.sparkSession.createDataFrame(known, "gram long, words binary, label string, at int, size int, base boolean")
-    hits = map_batches(rows.select("key", "text"), make, "key long, pos int, gram long, words binary")
+    hits = map_batches(rows.select("key", "text"), make, f"key struct<id:{dict(rows.dtypes)['doc_id']},h:bigint>, pos int, gram long, words binary")
     hits = hits.join(F.broadcast(table), ["gram", "words"])
     diagonals = hits.groupBy("key", "base", "label", "size", (F.col("pos") - F.col("at")).alias("diagonal")).agg(F.collect_set("at").alias("ats"))
     diagonals = diagonals.withColumn("first", F.col("diagonal") + F.array_min("ats")).withColumn("end", F.col("diagonal") + F.array_max("ats") + K)
