@@ -27,6 +27,9 @@ CONTENT = set("html body main article".split())
 #: Whole words of class, id or role that mark what is no main text by themselves, and those that need a second sign.
 STRONG = set("ad ads adv advert adverts advertisement advertisements advertising sponsor sponsored sidebar sidebars aside nav navbar navigation menu menus breadcrumb breadcrumbs footer masthead comments commentlist disqus cookie cookies consent gdpr notice notices newsletter contentinfo".split())
 WEAK = set("banner banners promo promotion comment reply replies respond notification alert subscribe subscription signup share sharing social related popup modal overlay toolbar widget search login form complementary teaser card".split())
+#: Strong words that name a part of the page's frame, which an article may stand in, and weak ones of readers' comments.
+FRAME = set("sidebar sidebars aside nav navbar navigation menu menus masthead footer".split())
+READERS = set("comment reply replies respond".split())
 #: Words that say nothing beside a mark in one hyphenated class, as in ad-box.
 NEUTRAL = set("area bar block bottom box container content inner left list outer page post posts reader right section site slot top user wrap wrapper".split())
 
@@ -37,12 +40,13 @@ SIGNED = 1 << 63
 
 
 class Node:
-    __slots__ = ("tag", "names", "level", "children", "closed", "chars", "links", "hash", "slot")
+    __slots__ = ("tag", "names", "level", "children", "closed", "chars", "links", "hash", "slot", "plain", "core")
 
     def __init__(self, tag: str, names: str = "") -> None:
         self.tag, self.names, self.children, self.closed = tag, names, [], False  # children: nodes, and strings for runs of text
         self.level = level_of(names) if names else 0
         self.chars = self.links = self.hash = self.slot = 0
+        self.plain, self.core = 0, False  # see measure()
 
 
 @lru_cache(4096)
@@ -176,7 +180,11 @@ def names_of(attributes: str) -> str:
 
 def measure(root: Node) -> list[Node]:
     """Gives each element the hash of its name and content, the hash of its place (names and marks from the root on, without
-    text), and the characters and linked characters in it; lists the elements below the root. Iterative, for deep pages."""
+    text), and the characters and linked characters in it; lists the elements below the root. Iterative, for deep pages.
+
+    `plain` are its characters outside navigation, footers and asides; `core` tells that an unmarked article (or main) with
+    most of the page's plain characters is in it.
+    """
     order, todo = [], [root]
     root.slot = 0
     while todo:
@@ -188,6 +196,7 @@ def measure(root: Node) -> list[Node]:
                 todo.append(c)
     for x in reversed(order):
         h = xxhash.xxh3_64(x.tag.encode())
+        x.plain = x.chars
         for c in x.children:
             if isinstance(c, str):
                 h.update(c.encode("utf-8", "surrogatepass") + b"\0")
@@ -195,7 +204,10 @@ def measure(root: Node) -> list[Node]:
                 h.update(c.hash.to_bytes(8, "little"))
                 x.chars += c.chars
                 x.links += c.links
+                x.plain += c.plain if c.tag == "form" or c.tag not in OUTSIDE else 0
         x.hash = h.intdigest()
+    for x in reversed(order):
+        x.core = x.tag in ("article", "main") and not x.level and 2 * x.plain > root.plain or any(c.core for c in x.children if isinstance(c, Node))
     return [x for x in order if x.tag not in ("", "html", "body") and x.children]
 
 
@@ -216,18 +228,25 @@ def main_text(root: Node, template: Iterable[int] = ()) -> str:
     """Blocks of the page without marked and recurring subtrees; only those of the article (or main) elements if these hold most of that text.
 
     Recurring are subtrees whose content or whose place is in the template. Inside an article, such a subtree goes only if
-    it is a container; its paragraphs, headings, lists and tables stay however often other pages repeat them.
+    it is a container; its paragraphs, headings, lists and tables stay however often other pages repeat them. An article
+    that recurs is a syndicated one and no template, nor is an element that holds most of the page's plain text; what is in
+    them recurs with them, so there a content that recurs says nothing.
 
     A weak mark needs a second sign: a place that recurs on the host's pages, links for half of its text, or standing
-    outside the article with less than a fifth of the page's text. A form that holds most of the page's text, or that
-    never ends, is only a wrapper, and an article stays in whatever element that is left open. An article with a mark
-    goes only beside a longer one without.
+    outside the article with less than a fifth of the page's text. It never takes what holds most of the page's plain text,
+    comments of readers only where there is no other. A word of the page's frame, such as sidebar, on an element around the
+    article takes the rest of that element. A form that holds most of the page's text, or that never ends, is only a
+    wrapper, and an article stays in whatever element that is left open. An article with a mark goes only beside a longer
+    one without.
     """
     nodes = measure(root)
     gone = set(template)
     total = max(1, root.chars)
     longest = max((x.chars for x in nodes if x.tag == "article" and not x.level), default=0)
 
+    def most(x: Node) -> bool:
+        return 2 * x.plain > root.plain and (x.plain == root.plain or READERS.isdisjoint(w for name in x.names.split() for w in regex.split("[-_]+", name)))
+
     def outside(x: Node, inside: bool) -> bool:
         if x.tag in CONTENT:
             return x.tag == "article" and x.level > 0 and x.chars < longest
@@ -235,28 +254,30 @@ def main_text(root: Node, template: Iterable[int] = ()) -> str:
             return False
         if x.tag in OUTSIDE or x.level == 2 or x.tag == "header" and not inside:
             return True
-        return x.level == 1 and (2 * x.links >= x.chars or x.slot - SIGNED in gone or not inside and 5 * x.chars < total)
+        return x.level == 1 and not most(x) and (2 * x.links >= x.chars or x.slot - SIGNED in gone or not inside and 5 * x.chars < total)
 
     blocks: list[tuple[str, bool]] = []
-    todo: list[tuple[Node | str, bool, bool]] = [(root, False, True)]
+    todo: list[tuple[Node | str, bool, bool, bool]] = [(root, False, True, False)]
     while todo:
-        x, inside, shown = todo.pop()
+        x, inside, shown, explained = todo.pop()
         if isinstance(x, str):
             if shown:
                 blocks.append((x, inside))
             continue
         enters = x.tag in ("article", "main") or x.tag in ("div", "section") and "main" in x.names.split()
         if outside(x, inside):
-            if x.closed or x.tag not in BLOCKS:
+            framed = x.core and x.tag not in OUTSIDE and not STRONG.intersection(x.names.split()) - FRAME
+            if (x.closed or x.tag not in BLOCKS) and not framed:
                 continue
             shown = False
         elif x.tag in ("article", "main"):
             shown = True
-        if not enters and (x.hash - SIGNED in gone or x.slot - SIGNED in gone) and not (inside and x.tag in TEXT_BLOCKS):
+        again = x.hash - SIGNED in gone
+        if not enters and (again and not explained or x.slot - SIGNED in gone) and not (inside and x.tag in TEXT_BLOCKS) and not most(x):
             continue
-        todo += [(c, inside or enters, shown) for c in reversed(x.children)]
-    most = 2 * sum(len(text) for text, inside in blocks if inside) > sum(len(text) for text, _ in blocks)
-    return "\n\n".join(text for text, inside in blocks if inside or not most)
+        todo += [(c, inside or enters, shown, explained or again) for c in reversed(x.children)]
+    in_article = 2 * sum(len(text) for text, inside in blocks if inside) > sum(len(text) for text, _ in blocks)
+    return "\n\n".join(text for text, inside in blocks if inside or not in_article)
 
 
 def host_of(url: Column) -> Column:

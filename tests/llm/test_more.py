@@ -324,3 +324,32 @@ def test_sql_of_mixing(spark):
     want = con.sql(mixing.op10_sql()).df().sort_values("doc_id").reset_index(drop=True)
     got = mixing.op10_source_mixing(spark.read.parquet(f"{SF}/documents.parquet")).toPandas().sort_values("doc_id").reset_index(drop=True)
     assert (got.sampled == want.sampled).all() and np.allclose(got.weight, want.weight) and np.allclose(got.probability, want.probability)
+
+
+def test_html_keeps_main_texts(spark):
+    """Marks, links and recurrence never take what holds most of a page, nor an article."""
+    rng = random.Random(8)
+
+    def text(words=60):
+        return " ".join("".join(rng.choices("abcdefgh", k=5)) for _ in range(words))
+
+    same = text()
+    sites = [
+        lambda i, t: f'<div class="card"><p>{t}</p></div>',
+        lambda i, t: f'<div class="widget"><article>{t}</article></div>',
+        lambda i, t: f'<main><section class="social">{t}</section></main>',
+        lambda i, t: f'<article><h1>Head</h1><div class="card">{t}</div></article>',
+        lambda i, t: f'<div class="content sidebar"><article>{t}</article></div>',
+        lambda i, t: f"<nav>menu {i} {i}</nav><article><div><p>{same}</p></div></article>",
+        lambda i, t: f"<nav>menu {i} {i}</nav><div><p>{same}</p><p>{same[::-1]}</p></div>",
+        lambda i, t: f'<div class="content"><p><a href="/">{t[:240]}</a>{t[240:]}</p></div>',
+    ]
+    want = [lambda i, t: t] * 3 + [lambda i, t: f"Head\n\n{t}", lambda i, t: t, lambda i, t: same, lambda i, t: f"{same}\n\n{same[::-1]}", lambda i, t: t]
+    rows, texts = [], {}
+    for s, site in enumerate(sites):
+        for i in range(3 if s == 4 else 10):
+            t = text()
+            texts[100 * s + i] = want[s](i, t)
+            rows.append((100 * s + i, f"http://s{s}.org/{i}", f"<html><body>{site(i, t)}</body></html>"))
+    got = html.op9_html_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r.page_id: r.text for r in got} == texts
