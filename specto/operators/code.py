@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ast
 import json
+import re
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -13,7 +14,6 @@ from pyspark.sql import functions as F
 from specto.functions import costs
 from specto.functions.text import extension, root_segment
 from specto.operators import scripts
-from specto.operators.stats import first_row
 from specto.sources.python_path import importable
 
 #: Calls by risk (a name without a dot stands for all calls on it), and type variables that say nothing about a function.
@@ -26,6 +26,7 @@ FUNCTION_SQL = f"struct<name:string,line:int,owner:string,params:{WORDS},calls:{
 CLASS_SQL = f"struct<name:string,line:int,methods:{WORDS},attrs:{WORDS},doc:string,source:string>"
 MODULE = f"file string, error string, imports {WORDS}, aliases {WORDS}, data {WORDS}, top_classes {WORDS}, top_functions {WORDS}, classes array<{CLASS_SQL}>, functions array<{FUNCTION_SQL}>"
 
+LINE_END = re.compile(rb"\r\n|\n|\r")
 Def = (ast.FunctionDef, ast.AsyncFunctionDef)
 #: What a file may do to the parser; anything of it makes an error row.
 TROUBLE = (SyntaxError, ValueError, RecursionError, MemoryError, AttributeError, TypeError)
@@ -69,30 +70,70 @@ def first_line(node: ast.AST) -> str | None:
     return doc.splitlines()[0] if doc else None
 
 
-def describe(function: ast.FunctionDef | ast.AsyncFunctionDef, owner: str | None, text: str) -> dict:
-    every, own, args = list(ast.walk(function)), list(own_nodes(function)), function.args
-    calls = [n for n in every if isinstance(n, ast.Call)]
+class Source:
+    """The text of a file, from which definitions are cut by line and byte."""
+
+    def __init__(self, text: str) -> None:
+        self.data = text.encode("utf-8", "surrogatepass")
+        self.starts = [0, *(m.end() for m in LINE_END.finditer(self.data))]
+
+    def of(self, node: ast.AST) -> str:
+        a, b = self.starts[node.lineno - 1] + node.col_offset, self.starts[node.end_lineno - 1] + node.end_col_offset
+        return self.data[a:b].decode("utf-8", "surrogatepass")
+
+
+def dotted(node: ast.AST) -> str:
+    """An expression as text; names with attributes, as most calls are, without the general printer."""
+    parts, at = [], node
+    while type(at) is ast.Attribute:
+        parts.append(at.attr)
+        at = at.value
+    return ".".join([at.id, *reversed(parts)]) if type(at) is ast.Name else ast.unparse(node)
+
+
+def describe(function: ast.FunctionDef | ast.AsyncFunctionDef, owner: str | None, source: Source) -> dict:
+    args = function.args
     bound = {a.arg for a in (*args.args, *args.kwonlyargs, *filter(None, (args.vararg, args.kwarg)))}
-    bound |= {n.id for n in every if isinstance(n, ast.Name) and isinstance(n.ctx, ast.Store)}
-    bound |= {n.name for n in every if isinstance(n, Def) and n is not function}
-    on_names = [n for n in every if isinstance(n, ast.Attribute) and isinstance(n.value, ast.Name)]
+    calls, loads, on_names = [], [], []
+    for n in ast.walk(function):
+        kind = type(n)
+        if kind is ast.Name:
+            if type(n.ctx) is ast.Load:
+                loads.append(n.id)
+            elif type(n.ctx) is ast.Store:
+                bound.add(n.id)
+        elif kind is ast.Call:
+            calls.append(n)
+        elif kind is ast.Attribute:
+            if type(n.value) is ast.Name:
+                on_names.append(n)
+        elif kind in Def and n is not function:
+            bound.add(n.name)
+    raises, warns, yields = [], [], False
+    for n in own_nodes(function):
+        if isinstance(n, ast.Call):
+            warns.append(dotted(n.func))
+        elif isinstance(n, ast.Raise):
+            raises += [dotted(n.exc.func if isinstance(n.exc, ast.Call) else n.exc)] if n.exc else []
+        elif isinstance(n, (ast.Yield, ast.YieldFrom)):
+            yields = True
     return {
         "name": function.name,
         "line": function.lineno,
         "owner": owner,
         "params": [a.arg for a in args.args],
-        "calls": unique(ast.unparse(n.func) for n in calls),
-        "bare": unique(n.func.id for n in calls if isinstance(n.func, ast.Name)),
-        "names": unique(n.id for n in every if isinstance(n, ast.Name) and isinstance(n.ctx, ast.Load) and n.id not in bound and n.id not in NOISE),
+        "calls": unique(dotted(n.func) for n in calls),
+        "bare": unique(n.func.id for n in calls if type(n.func) is ast.Name),
+        "names": unique(x for x in loads if x not in bound and x not in NOISE),
         "roots": unique(n.value.id for n in on_names if n.value.id not in bound),
-        "selfs": unique(n.attr for n in on_names if n.value.id == "self" and isinstance(n.ctx, ast.Load)),
-        "raises": unique(ast.unparse(n.exc.func if isinstance(n.exc, ast.Call) else n.exc) for n in own if isinstance(n, ast.Raise) and n.exc),
-        "warns": unique(c for n in own if isinstance(n, ast.Call) and "warn" in (c := ast.unparse(n.func)).lower()),
-        "yields": any(isinstance(n, (ast.Yield, ast.YieldFrom)) for n in own),
+        "selfs": unique(n.attr for n in on_names if n.value.id == "self" and type(n.ctx) is ast.Load),
+        "raises": unique(raises),
+        "warns": unique(c for c in warns if "warn" in c.lower()),
+        "yields": yields,
         "doc": first_line(function),
         "signature": signature(function),
-        "open_write": any(isinstance(n.func, ast.Name) and n.func.id == "open" and writes(n) for n in calls),
-        "source": ast.get_source_segment(text, function) or ast.unparse(function),
+        "open_write": any(type(n.func) is ast.Name and n.func.id == "open" and writes(n) for n in calls),
+        "source": source.of(function),
     }
 
 
@@ -102,33 +143,102 @@ def assigned(body: list[ast.stmt]) -> list[str]:
     return unique(t.id for t in targets if isinstance(t, ast.Name))
 
 
-def describe_class(node: ast.ClassDef, text: str) -> dict:
+def set_on_self(method: ast.AST) -> list[str]:
+    return [n.attr for n in ast.walk(method) if type(n) is ast.Attribute and type(n.ctx) is ast.Store and type(n.value) is ast.Name and n.value.id == "self"]
+
+
+def describe_class(node: ast.ClassDef, source: Source) -> dict:
     """A class's methods, and its attributes: those of its body and those that methods store on self."""
     methods = [m for m in node.body if isinstance(m, Def)]
-    stored = [n.attr for m in methods for n in ast.walk(m) if isinstance(n, ast.Attribute) and isinstance(n.ctx, ast.Store) and isinstance(n.value, ast.Name) and n.value.id == "self"]
-    return {"name": node.name, "line": node.lineno, "methods": [m.name for m in methods], "attrs": unique(assigned(node.body) + stored), "doc": first_line(node), "source": ast.get_source_segment(text, node) or ast.unparse(node)}
+    stored = [x for m in methods for x in set_on_self(m)]
+    return {"name": node.name, "line": node.lineno, "methods": [m.name for m in methods], "attrs": unique(assigned(node.body) + stored), "doc": first_line(node), "source": source.of(node)}
+
+
+class Module:
+    """A Python file, parsed once and described once, for all that is asked of it."""
+
+    def __init__(self, text: str) -> None:
+        self.tree = ast.parse(text)
+        self.every = list(ast.walk(self.tree))
+        source = Source(text)
+        owners = {id(m): c.name for c in self.every if isinstance(c, ast.ClassDef) for m in c.body if isinstance(m, Def)}
+        self.classes = {id(n): describe_class(n, source) for n in self.every if isinstance(n, ast.ClassDef)}
+        self.functions = {id(n): describe(n, owners.get(id(n)), source) for n in self.every if isinstance(n, Def)}
+
+    def found(self) -> dict:
+        """What the file defines and uses.
+
+        imports: modules by their first segment, from anywhere; aliases, data, top_classes, top_functions: the vocabulary of
+        the top-level statements, where a plain import binds its first segment; classes and functions: all of them, methods
+        and nested ones too, breadth first.
+        """
+        top = self.tree.body
+        return {
+            "imports": unique(m.split(".")[0] for n in self.every for m in ([a.name for a in n.names] if isinstance(n, ast.Import) else [n.module] if isinstance(n, ast.ImportFrom) and n.module else [])),
+            "aliases": unique((a.asname or a.name).split(".")[0] if isinstance(n, ast.Import) else a.asname or a.name for n in top if isinstance(n, (ast.Import, ast.ImportFrom)) for a in n.names),
+            "data": assigned(top),
+            "top_classes": unique(n.name for n in top if isinstance(n, ast.ClassDef)),
+            "top_functions": unique(n.name for n in top if isinstance(n, Def)),
+            "classes": list(self.classes.values()),
+            "functions": list(self.functions.values()),
+        }
+
+    def compress(self, tags: bool = False, resolve_self: bool = False) -> str:
+        """The module in short: imports, assignments and pure functions stay; of other functions the signature, first doc line and needs.
+
+        With `tags`, the needs tell raised exceptions, generators and warnings. With `resolve_self`, methods are judged by what
+        they take from self, and the class keeps its assignments, its constructor and a list of attributes set elsewhere.
+        Other statements are left out.
+        """
+        module, out = self.found(), []
+
+        def whole(node: ast.AST, indent: str) -> None:
+            out.extend(indent + line for line in ast.unparse(node).splitlines())
+
+        def put(node: ast.AST, indent: str, known: dict | None = None) -> None:
+            f = self.functions[id(node)]
+            found = needs(f, module, known)
+            if len(found["interne"]) < 2 and not (found["data"] or found["type"] or found["externe"]):
+                whole(node, indent)
+                return
+            shown = {k: v for k, v in found.items() if v} | ({k: f[k] for k in ("raises", "yields", "warns") if f[k]} if tags else {})
+            doc = [f'    """{f["doc"]}"""'] if f["doc"] else []
+            out.extend(indent + line for line in [f["signature"], *doc, f"    # needs: {json.dumps(shown)}"])
+
+        def put_class(node: ast.ClassDef) -> None:
+            own = self.classes[id(node)]
+            makers = [m for m in node.body if isinstance(m, Def) and m.name in ("__init__", "__new__")] if resolve_self else []
+            out.append(f"class {node.name}({', '.join(map(ast.unparse, node.bases))}):")
+            if own["doc"]:
+                out.append(f'    """{own["doc"]}"""')
+            if resolve_self:
+                for inner in node.body:
+                    if isinstance(inner, (ast.Assign, ast.AnnAssign)):
+                        whole(inner, "    ")
+                if rest := sorted(set(own["attrs"]).difference(*map(set_on_self, makers))):
+                    out.append(f"    # attrs: {', '.join(rest)}")
+            for inner in node.body:
+                if inner in makers:
+                    whole(inner, "    ")
+                elif isinstance(inner, Def):
+                    put(inner, "    ", own if resolve_self else None)
+
+        for node in self.tree.body:
+            if isinstance(node, Def):
+                put(node, "")
+            elif isinstance(node, ast.ClassDef):
+                put_class(node)
+            elif isinstance(node, (ast.Import, ast.ImportFrom, ast.Assign, ast.AnnAssign)):
+                out.append(ast.unparse(node))
+        return "\n".join(out)
 
 
 def parse(text: str) -> dict:
-    """What a Python file defines and uses.
+    return Module(text).found()
 
-    imports: modules by their first segment, from anywhere; aliases, data, top_classes, top_functions: the vocabulary of
-    the top-level statements, where a plain import binds its first segment; classes and functions: all of them, methods
-    and nested ones too, breadth first.
-    """
-    tree = ast.parse(text)
-    every = list(ast.walk(tree))
-    owners = {id(m): c.name for c in every if isinstance(c, ast.ClassDef) for m in c.body if isinstance(m, Def)}
-    top = tree.body
-    return {
-        "imports": unique(m.split(".")[0] for n in every for m in ([a.name for a in n.names] if isinstance(n, ast.Import) else [n.module] if isinstance(n, ast.ImportFrom) and n.module else [])),
-        "aliases": unique((a.asname or a.name).split(".")[0] if isinstance(n, ast.Import) else a.asname or a.name for n in top if isinstance(n, (ast.Import, ast.ImportFrom)) for a in n.names),
-        "data": assigned(top),
-        "top_classes": unique(n.name for n in top if isinstance(n, ast.ClassDef)),
-        "top_functions": unique(n.name for n in top if isinstance(n, Def)),
-        "classes": [describe_class(n, text) for n in every if isinstance(n, ast.ClassDef)],
-        "functions": [describe(n, owners.get(id(n)), text) for n in every if isinstance(n, Def)],
-    }
+
+def compress(text: str, tags: bool = False, resolve_self: bool = False) -> str:
+    return Module(text).compress(tags, resolve_self)
 
 
 def needs(f: dict, module: dict, known: dict | None = None) -> dict[str, list[str]]:
@@ -147,62 +257,15 @@ def needs(f: dict, module: dict, known: dict | None = None) -> dict[str, list[st
     return {k: sorted(v) for k, v in found.items()}
 
 
-def compress(text: str, tags: bool = False, resolve_self: bool = False) -> str:
-    """A module in short: imports, assignments and pure functions stay; of other functions the signature, first doc line and needs.
-
-    With `tags`, the needs tell raised exceptions, generators and warnings. With `resolve_self`, methods are judged by what
-    they take from self, and the class keeps its assignments, its constructor and a list of attributes set elsewhere.
-    Other statements are left out.
-    """
-    tree, module = ast.parse(text), parse(text)
-    out: list[str] = []
-
-    def whole(node: ast.AST, indent: str) -> None:
-        out.extend(indent + line for line in ast.unparse(node).splitlines())
-
-    def put(node: ast.AST, indent: str, known: dict | None = None) -> None:
-        f = describe(node, None, text)
-        found = needs(f, module, known)
-        if len(found["interne"]) < 2 and not (found["data"] or found["type"] or found["externe"]):
-            whole(node, indent)
-            return
-        shown = {k: v for k, v in found.items() if v} | ({k: f[k] for k in ("raises", "yields", "warns") if f[k]} if tags else {})
-        doc = [f'    """{f["doc"]}"""'] if f["doc"] else []
-        out.extend(indent + line for line in [f["signature"], *doc, f"    # needs: {json.dumps(shown)}"])
-
-    for node in tree.body:
-        if isinstance(node, Def):
-            put(node, "")
-        elif isinstance(node, ast.ClassDef):
-            own = describe_class(node, text)
-            out.append(f"class {node.name}({', '.join(map(ast.unparse, node.bases))}):")
-            if own["doc"]:
-                out.append(f'    """{own["doc"]}"""')
-            makers = [m for m in node.body if isinstance(m, Def) and m.name in ("__init__", "__new__")]
-            if resolve_self:
-                for inner in node.body:
-                    if isinstance(inner, (ast.Assign, ast.AnnAssign)):
-                        whole(inner, "    ")
-                made = {n.attr for m in makers for n in ast.walk(m) if isinstance(n, ast.Attribute) and isinstance(n.ctx, ast.Store) and isinstance(n.value, ast.Name) and n.value.id == "self"}
-                if rest := sorted(set(own["attrs"]) - made):
-                    out.append(f"    # attrs: {', '.join(rest)}")
-            for inner in node.body:
-                if isinstance(inner, Def):
-                    if resolve_self and inner in makers:
-                        whole(inner, "    ")
-                    else:
-                        put(inner, "    ", own if resolve_self else None)
-        elif isinstance(node, (ast.Import, ast.ImportFrom, ast.Assign, ast.AnnAssign)):
-            out.append(ast.unparse(node))
-    return "\n".join(out)
+def outline(text: str) -> dict:
+    return outlined(list(ast.walk(ast.parse(text))))
 
 
-def outline(text: str) -> dict:
-    """The tree of a module: full imports, classes with their functions, free functions, their calls and what they raise by name.
+def outlined(every: list[ast.AST]) -> dict:
+    """The tree of a module, given all its nodes: full imports, classes with their functions, free functions, their calls and what they raise by name.
 
     Only plain functions count, not async ones. A call on something that is no name has `?` for it.
     """
-    every = list(ast.walk(ast.parse(text)))
 
     def function(node: ast.FunctionDef) -> dict:
         inside = list(ast.walk(node))
@@ -220,10 +283,14 @@ def outline(text: str) -> dict:
     }
 
 
+def message(e: Exception) -> str:
+    return f"{type(e).__name__}: {e}"[:200]
+
+
 def each_file(files: DataFrame, one: dict[str, Callable[[str], dict]], schema: str) -> DataFrame:
     """file, error and what the function for its language in `one` makes of each file; a file that it can't take has an error and nulls, the job goes on."""
     kinds = files.sparkSession.createDataFrame([], schema).schema
-    arrow = pa.schema([pa.field(f.name, t) for f, t in zip(kinds.fields, map(_arrow, (f.dataType for f in kinds.fields)), strict=True)])
+    arrow = pa.schema([pa.field(f.name, t) for f, t in zip(kinds.fields, map(arrow_type, (f.dataType for f in kinds.fields)), strict=True)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -232,7 +299,7 @@ def each_file(files: DataFrame, one: dict[str, Callable[[str], dict]], schema: s
                 try:
                     rows.append({"error": error} | (one[lang](text or "") if error is None else {}))
                 except TROUBLE as e:
-                    rows.append({"error": f"{type(e).__name__}: {e}"[:200]})
+                    rows.append({"error": message(e)})
             columns = [pa.array([r.get(f.name) for r in rows], f.type) for f in arrow if f.name != "file"]
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.string()), *columns], schema=arrow)
 
@@ -247,13 +314,13 @@ def for_all(python: Callable[[str], dict], script: Callable[[str], dict]) -> dic
     return {lang: python if lang == "python" else script for lang in languages().values()}
 
 
-def _arrow(kind) -> pa.DataType:
+def arrow_type(kind) -> pa.DataType:
     from pyspark.sql import types as T
 
     if isinstance(kind, T.ArrayType):
-        return pa.list_(_arrow(kind.elementType))
+        return pa.list_(arrow_type(kind.elementType))
     if isinstance(kind, T.StructType):
-        return pa.struct([(f.name, _arrow(f.dataType)) for f in kind.fields])
+        return pa.struct([(f.name, arrow_type(f.dataType)) for f in kind.fields])
     return {"string": pa.string(), "int": pa.int32(), "boolean": pa.bool_()}[kind.simpleString()]
 
 
@@ -268,6 +335,7 @@ def compressed(files: DataFrame, tags: bool = False, resolve_self: bool = False)
 
 
 OUTLINE_FUNCTION = f"struct<name:string,params:{WORDS},calls:{WORDS},raises:{WORDS}>"
+OUTLINE = f"struct<imports:{WORDS},classes:array<struct<name:string,methods:array<{OUTLINE_FUNCTION}>>>,functions:array<{OUTLINE_FUNCTION}>>"
 
 
 def outlines(files: DataFrame) -> DataFrame:
@@ -276,9 +344,14 @@ def outlines(files: DataFrame) -> DataFrame:
 
 
 def with_sizes(files: DataFrame, short: DataFrame, count: Callable[[Column], Column]) -> DataFrame:
-    """file, compressed, tokens_before, tokens_after and the percentage saved, by any counter of tokens."""
-    both = files.select("file", count(F.col("text")).alias("tokens_before")).join(short.select("file", "compressed", "error", count(F.col("compressed")).alias("tokens_after")), "file")
-    return both.withColumn("reduction_pct", costs.reduction_pct(F.col("tokens_before"), F.col("tokens_after")))
+    """sizes() of files and their compressed forms (file, compressed, error), joined by file."""
+    return sizes(files.select("file", "text").join(short.select("file", "compressed", "error"), "file"), count)
+
+
+def sizes(both: DataFrame, count: Callable[[Column], Column]) -> DataFrame:
+    """file, error, compressed, tokens_before, tokens_after and the percentage saved, by any counter of tokens, of rows that hold text and compressed."""
+    out = both.select("file", count(F.col("text")).alias("tokens_before"), "compressed", "error", count(F.col("compressed")).alias("tokens_after"))
+    return out.withColumn("reduction_pct", costs.reduction_pct(F.col("tokens_before"), F.col("tokens_after")))
 
 
 def file_costs(sized: DataFrame) -> DataFrame:
@@ -292,11 +365,41 @@ def functions(parsed: DataFrame) -> DataFrame:
     return parsed.select("file", F.posexplode("functions").alias("ord", "f")).select("file", "ord", "f.*")
 
 
+def names_in(functions: Column | str) -> Column:
+    return F.transform(functions, lambda f: f["name"])
+
+
 def call_edges(parsed: DataFrame) -> DataFrame:
-    """file, caller, callee of calls by bare name to functions of the same file (a semi join); definitions of one name are taken together."""
-    own = functions(parsed)
-    calls = own.select("file", F.col("name").alias("caller"), F.explode("bare").alias("callee"))
-    return calls.join(own.select("file", F.col("name").alias("callee")).distinct(), ["file", "callee"], "left_semi").select("file", "caller", "callee").distinct()
+    """file, caller, callee of calls by bare name to functions of the same file; definitions of one name are taken together.
+
+    A file is one row, so its calls meet its functions there (a semi join) and nothing is shuffled.
+    """
+    own = lambda f: F.transform(F.filter(f["bare"], lambda c: F.array_contains(F.col("known"), c)), lambda c: F.struct(f["name"].alias("caller"), c.alias("callee")))
+    return parsed.select("file", "functions", names_in("functions").alias("known")).select("file", F.inline(F.array_distinct(F.flatten(F.transform("functions", own)))))
+
+
+KINDS = ("data", "type", "interne", "externe")
+
+
+def needs_of(f: Column, resolve_self: bool = False) -> list[Column]:
+    """data, type, interne, externe of a function, beside the columns of its module: its names that are no locals, by the first kind that knows them."""
+    data, functions, classes, aliases = (F.col(c) for c in ("data", "top_functions", "top_classes", "aliases"))
+    unknown = F.array_except(f["names"], data)
+    outer = F.array_except(unknown, functions)
+    found = {
+        "data": F.array_intersect(f["names"], data),
+        "type": F.array_intersect(outer, classes),
+        "interne": F.array_intersect(unknown, functions),
+        "externe": F.array_union(F.array_intersect(F.array_except(outer, classes), aliases), F.array_intersect(f["roots"], aliases)),
+    }
+    if resolve_self:
+        own = F.try_element_at(F.filter("classes", lambda c: c["name"] == f["owner"]), F.lit(1))
+        none = F.array().cast(WORDS)
+        methods, attrs = F.coalesce(own["methods"], none), F.coalesce(own["attrs"], none)
+        named = lambda names: F.transform(names, lambda x: F.concat(F.lit("self."), x))
+        found["interne"] = F.array_union(found["interne"], named(F.array_intersect(f["selfs"], methods)))
+        found["data"] = F.array_union(found["data"], named(F.array_intersect(F.array_except(f["selfs"], methods), attrs)))
+    return [F.sort_array(found[k]).alias(k) for k in KINDS]
 
 
 def dependencies(parsed: DataFrame, resolve_self: bool = False) -> DataFrame:
@@ -304,23 +407,9 @@ def dependencies(parsed: DataFrame, resolve_self: bool = False) -> DataFrame:
 
     Known are the names of top-level statements. With `resolve_self`, methods also depend on what they take from self.
     """
-    own = functions(parsed)
-    vocabulary = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(kind).alias("kind"), F.col(c).alias("names")) for i, (kind, c) in enumerate((("data", "data"), ("interne", "top_functions"), ("type", "top_classes"), ("externe", "aliases")))])
-    known = parsed.select("file", F.inline(vocabulary)).select("file", "i", "kind", F.explode("names").alias("used"))
-    first = known.groupBy("file", "used").agg(F.min_by("kind", "i").alias("kind"))
-    by_name = own.select("file", "ord", F.explode("names").alias("used")).join(first, ["file", "used"]).select("file", "ord", "kind", "used")
-    roots = own.select("file", "ord", F.explode("roots").alias("used")).join(known.where("kind = 'externe'").drop("i"), ["file", "used"]).select("file", "ord", "kind", "used")
-    found = by_name.unionByName(roots)
-    if resolve_self:
-        classes = parsed.select("file", F.inline("classes")).groupBy("file", "name").agg(F.first("methods").alias("methods"), F.first("attrs").alias("attrs")).withColumnRenamed("name", "owner")
-        selfs = own.where("owner is not null").select("file", "ord", "owner", F.explode("selfs").alias("x")).join(classes, ["file", "owner"])
-        kind = F.when(F.array_contains("methods", F.col("x")), "interne").when(F.array_contains("attrs", F.col("x")), "data")
-        found = found.unionByName(selfs.select("file", "ord", kind.alias("kind"), F.concat(F.lit("self."), "x").alias("used")).where("kind is not null"))
-    kinds = ("data", "type", "interne", "externe")
-    sets = found.groupBy("file", "ord").agg(*[F.sort_array(F.collect_set(F.when(F.col("kind") == k, F.col("used")))).alias(k) for k in kinds])
-    empty = F.array().cast(WORDS)
-    out = own.select("file", "ord", "name").join(sets, ["file", "ord"], "left").select("file", "ord", "name", *[F.coalesce(k, empty).alias(k) for k in kinds])
-    return out.withColumn("role", costs.role(F.size("interne"), F.size("data") + F.size("type") + F.size("externe")))
+    own = F.transform("functions", lambda f, i: F.struct(i.alias("ord"), f["name"].alias("name"), *needs_of(f, resolve_self)))
+    role = costs.role(F.size("interne"), F.size("data") + F.size("type") + F.size("externe"))
+    return parsed.select("file", F.inline(own)).withColumn("role", role)
 
 
 def matches(call: Column, names: list[str]) -> Column:
@@ -328,45 +417,55 @@ def matches(call: Column, names: list[str]) -> Column:
 
 
 def scanned(parsed: DataFrame) -> DataFrame:
-    """file, ord, name, line, high, medium: risky calls of each function of the Python files.
+    """file, risks: name, line, high, medium of each function of the Python files that parse, one row a file.
 
     A call of high risk is no medium one, and an open() counts where it may write. Line and mode are those of the first
     function of the name in the file.
     """
-    own = functions(parsed.where(F.col("error").isNull() & F.col("file").endswith(".py")))
-    firsts = first_row(own.select("file", "name", "ord", "line", "open_write"), ["file", "name"], "ord").drop("ord")
-    own = own.select("file", "ord", "name", "calls").join(firsts, ["file", "name"])
-    risky = F.filter("calls", lambda c: c != "open")
-    medium = F.filter(risky, lambda c: ~matches(c, HIGH) & matches(c, MEDIUM))
-    opens = F.array_contains("calls", "open") & F.col("open_write")
-    return own.select("file", "ord", "name", "line", F.filter(risky, lambda c: matches(c, HIGH)).alias("high"), F.when(opens, F.array_append(medium, F.lit("open"))).otherwise(medium).alias("medium"))
+
+    def one(f: Column) -> Column:
+        first = F.try_element_at("functions", F.array_position("known", f["name"]).cast("int"))
+        risky = F.filter(f["calls"], lambda c: c != "open")
+        medium = F.filter(risky, lambda c: ~matches(c, HIGH) & matches(c, MEDIUM))
+        opens = F.array_contains(f["calls"], "open") & first["open_write"]
+        return F.struct(f["name"].alias("name"), first["line"].alias("line"), F.filter(risky, lambda c: matches(c, HIGH)).alias("high"), F.when(opens, F.array_append(medium, F.lit("open"))).otherwise(medium).alias("medium"))
+
+    own = parsed.where(F.col("error").isNull() & F.col("file").endswith(".py")).select("file", "functions", names_in("functions").alias("known"))
+    return own.select("file", F.transform("functions", one).alias("risks"))
 
 
 def security_surface(parsed: DataFrame) -> DataFrame:
     """file, name, line, level (high, medium, clean), calls: the risky calls of each function; high ones hide medium ones."""
     level = F.when(F.size("high") > 0, "high").when(F.size("medium") > 0, "medium").otherwise("clean")
     hit = F.when(F.size("high") > 0, F.col("high")).otherwise(F.col("medium"))
-    return scanned(parsed).select("file", "name", "line", level.alias("level"), hit.alias("calls"))
+    return scanned(parsed).select("file", F.inline("risks")).select("file", "name", "line", level.alias("level"), hit.alias("calls"))
+
+
+def is_high(r: Column) -> Column:
+    return F.size(r["high"]) > 0
+
+
+def is_medium(r: Column) -> Column:
+    return ~is_high(r) & (F.size(r["medium"]) > 0)
 
 
 def security_summary(parsed: DataFrame) -> DataFrame:
     """One row: functions of high and of medium risk, functions and files scanned, and files without a risky function."""
-    per_file = security_surface(parsed).groupBy("file").agg(F.count("*").alias("n"), F.count_if(F.col("level") == "high").alias("high"), F.count_if(F.col("level") == "medium").alias("medium"))
-    files = parsed.where(F.col("error").isNull() & F.col("file").endswith(".py")).select("file").join(per_file, "file", "left")
+    counts = scanned(parsed).select(F.size(F.filter("risks", is_high)).alias("high"), F.size(F.filter("risks", is_medium)).alias("medium"), F.size("risks").alias("n"))
     total = lambda c: F.coalesce(F.sum(c), F.lit(0))
-    clean = F.count_if(F.coalesce(F.col("high") + F.col("medium"), F.lit(0)) == 0)
-    return files.agg(total("high").alias("high_risk_count"), total("medium").alias("medium_risk_count"), total("n").alias("total_functions_scanned"), F.count("*").alias("total_files_scanned"), clean.alias("clean_files"))
+    clean = F.count_if(F.col("high") + F.col("medium") == 0)
+    return counts.agg(total("high").alias("high_risk_count"), total("medium").alias("medium_risk_count"), total("n").alias("total_functions_scanned"), F.count("*").alias("total_files_scanned"), clean.alias("clean_files"))
 
 
 def clean_files(parsed: DataFrame) -> DataFrame:
     """The Python files without a risky function."""
-    risky = security_surface(parsed).where("level <> 'clean'").select("file").distinct()
-    return parsed.where(F.col("error").isNull() & F.col("file").endswith(".py")).select("file").join(risky, "file", "left_anti")
+    return scanned(parsed).where(~F.exists("risks", lambda r: is_high(r) | is_medium(r))).select("file")
 
 
 def risk_histogram(parsed: DataFrame) -> DataFrame:
     """Risky calls, high and medium ones, by their root module."""
-    return scanned(parsed).select(F.explode(F.concat("high", "medium")).alias("call")).groupBy(root_segment(F.col("call")).alias("module")).agg(F.count("*").alias("n"))
+    calls = F.flatten(F.transform("risks", lambda r: F.concat(r["high"], r["medium"])))
+    return scanned(parsed).select(F.explode(calls).alias("call")).groupBy(root_segment(F.col("call")).alias("module")).agg(F.count("*").alias("n"))
 
 
 def repo_totals(parsed: DataFrame) -> DataFrame:
@@ -386,19 +485,20 @@ def expand(parsed: DataFrame, wanted: DataFrame) -> DataFrame:
 
     A class has no dependencies. Where a class and a function share a name, the one that stands first in the file is meant.
     """
-    places = functions(parsed).select("file", "name", "line", F.lit("function").alias("kind"), "source", "ord")
-    places = places.unionByName(parsed.select("file", F.inline("classes")).select("file", "name", "line", F.lit("class").alias("kind"), "source", F.lit(None).cast("int").alias("ord")))
-    first = first_row(places, ["file", "name"], "line")
-    deps = dependencies(parsed).select("file", "ord", "data", "type", "interne", "externe")
-    out = wanted.join(first, ["file", "name"], "left").join(deps, ["file", "ord"], "left")
-    return out.select("file", "name", "kind", "source", "data", "type", "interne", "externe", F.col("source").isNull().alias("missing"))
+    function = F.transform("functions", lambda f, i: F.struct(f["line"].alias("line"), F.lit("function").alias("kind"), f["name"].alias("name"), f["source"].alias("source"), i.alias("ord")))
+    class_ = F.transform("classes", lambda c: F.struct(c["line"].alias("line"), F.lit("class").alias("kind"), c["name"].alias("name"), c["source"].alias("source"), F.lit(None).cast("int").alias("ord")))
+    vocabulary = ("data", "top_functions", "top_classes", "aliases")
+    own = wanted.withColumnRenamed("name", "wanted").join(parsed.select("file", "functions", F.concat(function, class_).alias("places"), *vocabulary), "file", "left")
+    own = own.withColumn("place", F.array_min(F.filter("places", lambda p: p["name"] == F.col("wanted"))))  # the first by line
+    own = own.withColumn("f", F.try_element_at("functions", F.col("place.ord") + 1))
+    out = own.select("file", F.col("wanted").alias("name"), "place.kind", "place.source", *needs_of(F.col("f")))
+    return out.withColumn("missing", F.col("source").isNull())
 
 
 def flat_contract(parsed: DataFrame) -> DataFrame:
     """file, ord, name, params, calls: the calls of each function to functions of its file, in order of first use."""
-    names = parsed.select("file", F.transform("functions", lambda f: f["name"]).alias("all"))
-    own = functions(parsed).join(names, "file")
-    return own.select("file", "ord", "name", "params", F.filter("bare", lambda c: F.array_contains(F.col("all"), c)).alias("calls"))
+    one = lambda f, i: F.struct(i.alias("ord"), f["name"].alias("name"), f["params"].alias("params"), F.filter(f["bare"], lambda c: F.array_contains(F.col("known"), c)).alias("calls"))
+    return parsed.select("file", "functions", names_in("functions").alias("known")).select("file", F.inline(F.transform("functions", one)))
 
 
 def contract_json(parsed: DataFrame) -> DataFrame:
@@ -418,9 +518,14 @@ def language(file: Column) -> Column:
 
 
 def health(files: DataFrame, parsed: DataFrame, short: DataFrame, count: Callable[[Column], Column]) -> DataFrame:
+    """language_sums() of files, modules() and compressed() of them, joined by file."""
+    own = files.select("file", "text").join(parsed.select("file", "error", "top_functions", "top_classes"), "file").join(short.select("file", "compressed"), "file", "left")
+    return language_sums(own, count)
+
+
+def language_sums(rows: DataFrame, count: Callable[[Column], Column]) -> DataFrame:
     """Per language: files, functions, classes, raw and compressed tokens; a file that couldn't be compressed counts as it is. Files with errors are left out."""
-    counts = parsed.where("error is null").select("file", F.size("top_functions").alias("f"), F.size("top_classes").alias("c"))
-    own = files.select("file", language(F.col("file")).alias("lang"), count(F.col("text")).alias("raw")).join(counts, "file").join(short.select("file", count(F.col("compressed")).alias("short")), "file", "left")
+    own = rows.where("error is null").select(language(F.col("file")).alias("lang"), F.size("top_functions").alias("f"), F.size("top_classes").alias("c"), count(F.col("text")).alias("raw"), F.when(F.col("compressed").isNotNull(), count(F.col("compressed"))).alias("short"))
     return own.groupBy("lang").agg(F.count("*").alias("files"), F.sum("f").alias("functions"), F.sum("c").alias("classes"), F.sum("raw").alias("raw"), F.sum(F.coalesce("short", "raw")).alias("compressed"))
 
 

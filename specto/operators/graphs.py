@@ -5,27 +5,15 @@ Several steps make one job, whose result is written to the checkpoint folder; no
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from specto.functions.costs import risk_level
+from specto.operators.storage import cut
 
 STEPS = 4  # in one job
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Writes df to the session's checkpoint folder and goes on from there; a folder of this machine will do only where the master is local."""
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not folder and not sc.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="specto-checkpoint-"))
-    return df.checkpoint()
-
-
 def reach_back(edges: DataFrame, target) -> DataFrame:
     """node, depth of all that lead to the target by edges (src, dst); the target itself is left out, even on a cycle."""
     edges = cut(edges.select("src", "dst").where("src <> dst").distinct())

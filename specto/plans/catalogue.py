@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from specto.functions import costs, text
 from specto.functions.tokens import pieces
-from specto.operators import code, graphs, reports, routing, schemas, stats
+from specto.operators import code, graphs, parses, reports, routing, schemas, stats
 from specto.plans.fixtures import BODY as TASK
 from specto.plans.fixtures import CODE, FILE, IS_SCRIPT, LIMIT, MADE, PARSES, SCHEMA, SCRIPT_LINES, THING, by_case, lines, part_code, part_tools
 from specto.sources import catalogs
@@ -419,7 +419,8 @@ COMPRESSED_CODE = f"""CASE WHEN {PARSES} THEN """ + lines(
 
 
 def parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return code.modules(part_code(spark, sf_dir))
+    """The source files with what the index of parses holds of them."""
+    return parses.indexed(part_code(spark, sf_dir))
 
 
 @query("internal_calls", f"SELECT {FILE} AS file, unnest(['run', 'orch', 'orch', 'fetch']) AS caller, unnest(['helper', 'helper', {MADE}, 'helper']) AS callee FROM part WHERE {PARSES} UNION ALL SELECT {FILE}, 'open', 'load' FROM part WHERE {IS_SCRIPT}")
@@ -485,7 +486,7 @@ def code_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("code_compress", f"SELECT {FILE} AS file, {PARSES} OR {IS_SCRIPT} AS ok, {COMPRESSED_CODE} AS compressed FROM part")
 def code_compress(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return code.compressed(part_code(spark, sf_dir)).select("file", F.col("error").isNull().alias("ok"), "compressed")
+    return parsed(spark, sf_dir).select("file", F.coalesce("error", "compress_error").isNull().alias("ok"), "compressed")
 
 
 @query(
@@ -493,8 +494,7 @@ def code_compress(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"SELECT file, tokens_before, tokens_after, round((1 - tokens_after::DOUBLE / tokens_before) * 100, 1) AS reduction_pct FROM (SELECT {FILE} AS file, {PIECES.format(CODE)} AS tokens_before, {PIECES.format(COMPRESSED_CODE)} AS tokens_after FROM part WHERE {PARSES} OR {IS_SCRIPT})",
 )
 def code_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = part_code(spark, sf_dir)
-    return code.with_sizes(files, code.compressed(files), pieces).where("error is null").select("file", "tokens_before", "tokens_after", "reduction_pct")
+    return code.sizes(parsed(spark, sf_dir), pieces).where("error is null").select("file", "tokens_before", "tokens_after", "reduction_pct")
 
 
 @query(
@@ -502,8 +502,7 @@ def code_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"SELECT file, (b * 100 + 250000)::DOUBLE / 1e8 AS cost_before, (a * 100 + 250000)::DOUBLE / 1e8 AS cost_after, round((b - a) * 100.0 / b, 6) AS pct, ((b - a) * 100)::DOUBLE / 1e8 AS savings FROM (SELECT {FILE} AS file, {PIECES.format(CODE)} AS b, {PIECES.format(COMPRESSED_CODE)} AS a FROM part WHERE {PARSES} OR {IS_SCRIPT})",
 )
 def code_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = part_code(spark, sf_dir)
-    return code.file_costs(code.with_sizes(files, code.compressed(files), pieces).where("error is null"))
+    return code.file_costs(code.sizes(parsed(spark, sf_dir), pieces).where("error is null"))
 
 
 @query(
@@ -517,7 +516,7 @@ def code_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def code_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = part_code(spark, sf_dir)
     wanted = files.select("file", F.explode(F.array(*map(F.lit, ("orch", "Base_", "absent")))).alias("name"))
-    return code.expand(code.modules(files), wanted).select("file", "name", "kind", "source", F.array_join("interne", ",").alias("interne"), "missing")
+    return code.expand(parses.indexed(files), wanted).select("file", "name", "kind", "source", F.array_join("interne", ",").alias("interne"), "missing")
 
 
 @query(
@@ -528,7 +527,7 @@ def code_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
     """.replace("os.path.join", "?.join"),
 )
 def code_outline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = code.outlines(part_code(spark, sf_dir))
+    found = parsed(spark, sf_dir).select("file", "outline.*")
     names = lambda c: F.array_join(F.transform(c, lambda f: f["name"]), ",")
     methods = F.col("classes")[1]["methods"]
     classes = F.array_join(F.transform("classes", lambda c: F.concat(c["name"], F.lit(":"), names(c["methods"]))), ";")
@@ -541,8 +540,7 @@ HEALTH += f" UNION ALL SELECT 'javascript', count(*), count(*) * 2, count(*), su
 
 @query("code_health", f"SELECT lang, files, functions, classes, raw, compressed, round((1 - compressed::DOUBLE / raw) * 100, 1) AS gain_pct FROM (SELECT lang, sum(files)::BIGINT AS files, sum(functions)::BIGINT AS functions, sum(classes)::BIGINT AS classes, sum(raw)::BIGINT AS raw, sum(compressed)::BIGINT AS compressed FROM ({HEALTH}) GROUP BY ROLLUP (lang))")
 def code_health(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = part_code(spark, sf_dir)
-    return code.health_totals(code.health(files, code.modules(files), code.compressed(files), pieces))
+    return code.health_totals(code.language_sums(parsed(spark, sf_dir), pieces))
 
 
 @query(
@@ -556,16 +554,14 @@ def code_health(spark: SparkSession, sf_dir: str) -> DataFrame:
     """,
 )
 def status_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = part_code(spark, sf_dir)
-    found = code.modules(files)
-    return code.status_lines(code.health(files, found, code.compressed(files), pieces), code.risk_histogram(found), found)
+    found = parsed(spark, sf_dir)
+    return code.status_lines(code.language_sums(found, pieces), code.risk_histogram(found), found)
 
 
 @query("status_json")
 def status_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = part_code(spark, sf_dir)
-    found = code.modules(files)
-    return code.status_json(code.health(files, found, code.compressed(files), pieces), code.risk_histogram(found), found)
+    found = parsed(spark, sf_dir)
+    return code.status_json(code.language_sums(found, pieces), code.risk_histogram(found), found)
 
 
 @query("contract_json")
@@ -586,19 +582,19 @@ def conversation_code(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("code_calls", "SELECT 'c' || conv_id || '.py' AS file, 'f' || turn AS caller, 'f' || (turn - 1) AS callee FROM conversations a WHERE turn > 0 AND EXISTS (SELECT 1 FROM conversations b WHERE b.conv_id = a.conv_id AND b.turn = a.turn - 1)")
 def code_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return code.call_edges(code.modules(conversation_code(spark, sf_dir)))
+    return code.call_edges(parses.indexed(conversation_code(spark, sf_dir)))
 
 
 @query("code_risks", "SELECT 'c' || conv_id || '.py' AS file, 'f' || turn AS name, CASE turn % 7 WHEN 3 THEN 'high' WHEN 5 THEN 'medium' ELSE 'clean' END AS level, CASE turn % 7 WHEN 3 THEN 'os.system' WHEN 5 THEN 'open' ELSE '' END AS calls FROM conversations")
 def code_risks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return code.security_surface(code.modules(conversation_code(spark, sf_dir))).select("file", "name", "level", F.array_join("calls", ",").alias("calls"))
+    return code.security_surface(parses.indexed(conversation_code(spark, sf_dir))).select("file", "name", "level", F.array_join("calls", ",").alias("calls"))
 
 
 @query("code_roles", "SELECT 'c' || conv_id || '.py' AS file, 'f' || turn AS name, CASE WHEN turn % 7 = 3 THEN 'TOOL' ELSE 'PURE' END AS role FROM conversations")
 def code_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return code.dependencies(code.modules(conversation_code(spark, sf_dir))).select("file", "name", "role")
+    return code.dependencies(parses.indexed(conversation_code(spark, sf_dir))).select("file", "name", "role")
 
 
 @query("code_totals", "SELECT count(DISTINCT conv_id) AS files, count(*) AS functions, 0::BIGINT AS classes, 0::BIGINT AS errors, 1::BIGINT AS imports FROM conversations")
 def code_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return code.repo_totals(code.modules(conversation_code(spark, sf_dir)))
+    return code.repo_totals(parses.indexed(conversation_code(spark, sf_dir)))
