@@ -17,6 +17,7 @@ from specto.operators import code, scripts
 from specto.operators.storage import shared_folder
 from specto.sources.python_path import importable
 
+FILES = 500  # in a task, while that makes no more than 10,000 tasks
 VERSION = 1  # of what a row holds; an index of another version is another folder
 FOUND = code.MODULE.removeprefix("file string, ")
 ROW = f"hash string, {FOUND}, compressed string, compress_error string, outline {code.OUTLINE}"
@@ -80,10 +81,13 @@ def refresh(files: DataFrame, folder: str) -> None:
     known = stored(spark, folder)
     if known is not None:
         wanted = wanted.join(known.select("hash"), "hash", "left_anti")
-        if wanted.select("hash").isEmpty():
-            return
+    new = wanted.select("hash").distinct().count()
+    if known is not None and not new:
+        return
     importable(spark)
-    wanted.dropDuplicates(["hash"]).select("hash", "lang", "text").mapInArrow(run, ROW).write.mode("append").parquet(folder)
+    # a stated number of tasks: by the size of short texts, adaptive execution would give them all to one
+    tasks = max(1, min(-(-new // FILES), 10_000))
+    wanted.dropDuplicates(["hash"]).select("hash", "lang", "text").repartition(tasks, "hash").mapInArrow(run, ROW).write.mode("append").parquet(folder)
 
 
 def indexed(files: DataFrame, folder: str | None = None) -> DataFrame:
