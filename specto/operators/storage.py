@@ -22,3 +22,9 @@ def cut(df: DataFrame) -> DataFrame:
     """Writes df to the shared folder and goes on from there."""
     shared_folder(df.sparkSession)
     return df.checkpoint()
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df in as many partitions as there are cores at least, for work that costs far more than the shuffle of its rows."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)

@@ -7,13 +7,14 @@ starts; trees that go deeper send the nodes of their last level through the same
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from specto.operators.storage import cut
+from specto.operators.storage import cut, spread
 
-LEVELS = 6
+LEVELS = 4
 MAP, LIST = "map<string,variant>", "array<variant>"
 
 
@@ -37,7 +38,7 @@ def kind(node: Column) -> Column:
 
 
 def is_object(node: Column) -> Column:
-    return F.coalesce(kind(node) == "OBJECT", F.lit(False))
+    return F.try_variant_get(node, "$", MAP).isNotNull()
 
 
 def text(node: Column) -> Column:
@@ -76,26 +77,38 @@ def alone(parent: Column, role: str) -> Column:
     return F.array(child(parent, role, F.lit(None).cast("string"), F.lit(""), member(parent["node"], role)))
 
 
-def expanded(trees: DataFrame, root: Column, below: Callable[[Column], Column]) -> DataFrame:
-    """The other columns of trees with path, parent, depth, role, key, node of each object that `below` finds, from the root on.
+def levels(trees: DataFrame, root: Column, below: Callable[[Column], Column]) -> list[DataFrame]:
+    """The other columns of trees with `nodes`, an array of NODE: each object that `below` finds, from the root on.
 
-    `below` gives the array of a node's children; those that are no objects are passed over. A null root has no nodes.
+    `below` gives the array of a node's children; those that are no objects are passed over. A null root has no nodes. The
+    first table has a row for each tree; trees that go deeper have rows in further ones, for each node of a last level.
     """
     keys = trees.columns
     nodes = lambda level: F.filter(F.flatten(F.transform(level, below)), lambda n: is_object(n["node"]))
     start = F.struct(F.lit("$").alias("path"), F.lit("").alias("parent"), F.lit(0).alias("depth"), F.lit("root").alias("role"), F.lit(None).cast("string").alias("key"), root.alias("node"))
     first = F.when(is_object(root), F.array(start)).otherwise(F.array()).cast(NODE)
-    rows = trees.withColumn("__level0", first)
+    rows = spread(trees).withColumn("__level0", first)
     found = []
     while True:
         for i in range(1, LEVELS + 1):
             rows = rows.withColumn(f"__level{i}", nodes(F.col(f"__level{i - 1}")))
-        found.append(rows.select(*keys, F.inline(F.concat(*[f"__level{i}" for i in range(LEVELS)]))))
-        deeper = rows.where(F.size(f"__level{LEVELS}") > 0).select(*keys, F.explode(f"__level{LEVELS}").alias("__node"))
-        if deeper.isEmpty():
-            break
+        found.append(rows.select(*keys, F.concat(*[f"__level{i}" for i in range(LEVELS)]).alias("nodes")))
+        if not rows.agg(F.bool_or(F.size(f"__level{LEVELS}") > 0)).first()[0]:
+            return found
+        deeper = rows.select(*keys, F.explode(f"__level{LEVELS}").alias("__node"))
         rows = cut(deeper).select(*keys, F.array("__node").alias("__level0"))
-    out = found[0]
-    for more in found[1:]:
-        out = out.unionByName(more)
-    return out
+
+
+def expanded(trees: DataFrame, root: Column, below: Callable[[Column], Column]) -> DataFrame:
+    """levels() as one table with a row for each node: the other columns of trees with path, parent, depth, role, key, node."""
+    return reduce(DataFrame.unionByName, [laid_out(part, trees.columns, F.col("nodes")) for part in levels(trees, root, below)])
+
+
+def laid_out(rows: DataFrame, keys: list, structs: Column) -> DataFrame:
+    """The keys with the fields of each struct in an array.
+
+    The outer form, whose rows for empty arrays go again: for the inner one, Spark would put a filter of the array's size
+    before all that makes it, and so make it twice for each level.
+    """
+    out = rows.select(*keys, F.inline_outer(structs))
+    return out.where(reduce(Column.__or__, [F.col(c).isNotNull() for c in out.columns[len(keys) :]]))
