@@ -435,3 +435,59 @@ def test_scripts(spark):
     assert "interface Job<T> {" in short["b.ts"] and "): Promise<Result<R>> { ... }" in short["b.ts"] and "  abstract handle(job: Job<T>): Promise<R>;" in short["b.ts"] and "  protected logger?: Logger;" in short["b.ts"] and "enum Color { Red, Green }" in short["b.ts"]
     total = code.repo_totals(parsed).first()
     assert (total.files, total.classes, total.errors, total.imports) == (3, 3, 1, 6)
+
+
+def counted_cuts(monkeypatch):
+    """How many tables the closures write."""
+    made, real = [], graphs.cut
+    monkeypatch.setattr(graphs, "cut", lambda df: (made.append(1), real(df))[1])
+    return made
+
+
+def test_long_chains_and_rings_take_few_jobs(spark, monkeypatch):
+    n = 100_000
+    made = counted_cuts(monkeypatch)
+    chain = spark.range(n).selectExpr("id AS src", "id + 1 AS dst")
+    far = graphs.reach_back(chain, n)
+    assert far.count() == n and far.agg(F.max("depth")).first()[0] == n and far.where(F.col("depth") != n - F.col("node")).isEmpty()
+    assert len(made) < 40
+    made.clear()
+    assert graphs.on_cycles(chain).isEmpty() and len(made) < 40
+    made.clear()
+    ring = spark.range(n).selectExpr("id AS src", f"(id + 1) % {n} AS dst")
+    leaves = spark.range(n).selectExpr("id AS src", f"id + {n} AS dst")
+    assert graphs.on_cycles(ring).count() == n and len(made) < 40
+    made.clear()
+    assert graphs.on_cycles(ring.unionByName(leaves)).count() == n and len(made) < 40
+
+
+def test_closures_on_random_graphs_with_chains(spark):
+    rng = random.Random(9)
+    for size, extra in ((14, 9), (30, 20), (40, 44)):
+        edges = [(rng.randrange(size), rng.randrange(size)) for _ in range(extra)]
+        for _ in range(4):  # chains between random nodes, some from a node to itself
+            a, b, new = rng.randrange(size), rng.randrange(size), size + 100 * rng.randrange(1, 50)
+            path = [a, *range(new, new + rng.randrange(1, 6)), b]
+            edges += list(zip(path, path[1:], strict=False))
+        df = spark.createDataFrame(edges, "src long, dst long")
+        after = {}
+        for a, b in edges:
+            after.setdefault(a, set()).add(b)
+        nodes = {x for e in edges for x in e}
+
+        def depths(start, step):
+            seen, front, d = {}, {start}, 0
+            while front:
+                d += 1
+                front = {y for x in front for y in step.get(x, ())} - set(seen)
+                seen |= dict.fromkeys(front, d)
+            return seen
+
+        loops = {x for x in nodes if x in depths(x, after)}
+        assert {r.node for r in graphs.on_cycles(df).collect()} == loops
+        back = {}
+        for a, b in edges:
+            back.setdefault(b, set()).add(a)
+        target = edges[0][1]
+        want = {x: d for x, d in depths(target, back).items() if x != target}
+        assert {r.node: r.depth for r in graphs.reach_back(df, target).collect()} == want
