@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from specto.operators.storage import cut
 from specto.sources.python_path import importable
 
 
@@ -89,17 +91,69 @@ def above(best: DataFrame, min_score: float) -> DataFrame:
     return best.select("query_id", F.when(F.col("score") >= min_score, F.col("tool_id")).alias("tool_id"), "score")
 
 
-def keyword_route(queries: DataFrame, tools: DataFrame) -> DataFrame:
+GRAM = 3  # characters of the longest grams
+
+
+def grams_of(text: Column, sizes: tuple[int, ...] = tuple(range(1, GRAM + 1))) -> Column:
+    """The different runs of so many characters in a text."""
+    runs = [F.when(F.char_length(text) >= n, F.transform(F.sequence(F.lit(1), F.char_length(text) - n + 1), lambda i: F.substring(text, i, F.lit(n)))).otherwise(F.array().cast("array<string>")) for n in sizes]
+    return F.array_distinct(F.concat(*runs))
+
+
+def gram_index(tools: DataFrame) -> DataFrame:
+    """gram, tool_id: the runs of one to GRAM characters of each tool's name and description."""
+    blank = F.lit("")
+    grams = F.array_union(grams_of(F.coalesce("name", blank)), grams_of(F.coalesce("description", blank)))
+    return tools.select(F.explode(grams).alias("gram"), F.col("id").alias("tool_id"))
+
+
+def rarest_grams(queries: DataFrame, index: DataFrame) -> DataFrame:
+    """query_id, words, needles: of each query the words that may be in a tool, each as (n, gram), the rarest first.
+
+    A word that is no longer than a gram is one itself; of a longer one, the gram that the fewest tools have stands for it.
+    A word with a gram that no tool has is in none and is left out.
+    """
+    counts = index.groupBy("gram").agg(F.count("*").alias("n"))
+    words = queries.select(F.explode("words").alias("word")).distinct()
+    own = words.select("word", F.explode(F.when(F.char_length("word") <= GRAM, F.array("word")).otherwise(grams_of(F.col("word"), (GRAM,)))).alias("gram"))
+    best = own.join(counts, "gram", "left").groupBy("word").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("needle")).where("needle.n > 0")
+    found = queries.select("query_id", F.explode("words").alias("word")).join(best, "word").groupBy("query_id").agg(F.sort_array(F.collect_list("needle")).alias("needles"))
+    empty = F.array().cast("array<struct<n:bigint,gram:string>>")
+    return queries.join(found, "query_id", "left").select("query_id", "words", F.coalesce("needles", empty).alias("needles"))
+
+
+def keyword_route(queries: DataFrame, tools: DataFrame, first: int = 16) -> DataFrame:
     """For each query (id, words) the tool (id, name, description) whose name or description holds most of its words; the smaller id on ties, null without tools.
 
-    Ids may be of any type that sorts.
+    Candidates come from an inverted index of short runs of characters: the tools that have the rarest run of one of a
+    query's `first` rarest words are scored whole. A tool that isn't among them lacks all those words, so a query is done
+    when its best candidate has more words than are left; else four times as many words are looked up, in the end all. What
+    equals the best of a query is always among its candidates. Ids may be of any type that sorts.
     """
     q = queries.select(F.col("id").alias("query_id"), "words")
-    hit = F.size(F.filter("words", lambda w: F.contains(F.col("name"), w) | F.contains(F.coalesce("description", F.lit("")), w)))
-    scored = facing(tools.select(F.col("id").alias("tool_id"), "name", "description"), q).select("query_id", "tool_id", hit.alias("score"))
-    # the best score of each query first, then the smallest id among those that have it: both are combined before the shuffle
-    best = scored.groupBy("query_id", "score").agg(F.min("tool_id").alias("tool_id")).groupBy("query_id").agg(F.max_by("tool_id", "score").alias("tool_id"), F.max("score").alias("score"))
-    return q.select("query_id").join(best, "query_id", "left")
+    index = cut(gram_index(tools))
+    open_ones = cut(rarest_grams(q, index))
+    texts = tools.select(F.col("id").alias("tool_id"), "name", "description")
+    hit = F.size(F.filter("words", lambda w: F.contains(F.coalesce("name", F.lit("")), w) | F.contains(F.coalesce("description", F.lit("")), w)))
+    done, k = [], first
+    while True:
+        asked = open_ones.select("query_id", F.explode(F.array_distinct(F.transform(F.slice("needles", 1, k), lambda x: x["gram"]))).alias("gram"))
+        met = asked.join(index, "gram").select("query_id", "tool_id").distinct()
+        scored = met.join(texts, "tool_id").join(open_ones.select("query_id", "words"), "query_id").select("query_id", "tool_id", hit.alias("score"))
+        # the best score of each query first, then the smallest id among those that have it: both are combined before the shuffle
+        best = scored.groupBy("query_id", "score").agg(F.min("tool_id").alias("tool_id")).groupBy("query_id").agg(F.max_by("tool_id", "score").alias("tool_id"), F.max("score").alias("score"))
+        left = F.size("needles") - k
+        now = cut(open_ones.join(best, "query_id", "left").withColumn("sure", F.coalesce(F.col("score") > left, F.lit(False)) | (left <= 0)))
+        done.append(now.where("sure").select("query_id", "tool_id", "score"))
+        open_ones = now.where("not sure").select("query_id", "words", "needles")
+        if open_ones.isEmpty():
+            break
+        k *= 4
+    found = reduce(DataFrame.unionByName, done)
+    # no word of the query is in any tool: all tools are equal then
+    none = tools.agg(F.min("id").alias("__first")).withColumn("__zero", F.when(F.col("__first").isNotNull(), 0))
+    some = F.col("score") > 0
+    return found.join(F.broadcast(none)).select("query_id", F.when(some, F.col("tool_id")).otherwise(F.col("__first")).alias("tool_id"), F.when(some, F.col("score")).otherwise(F.col("__zero")).alias("score"))  # one row beside each
 
 
 def route_with_fallback(queries: DataFrame, tools: DataFrame, min_score: float) -> DataFrame:
