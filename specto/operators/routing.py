@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from specto.functions.text import distinct_words, plain_name, tool_text
+from specto.operators import vectors
 from specto.operators.storage import cut
 from specto.sources.python_path import importable
 
@@ -157,7 +159,22 @@ def keyword_route(queries: DataFrame, tools: DataFrame, first: int = 16) -> Data
 
 
 def route_with_fallback(queries: DataFrame, tools: DataFrame, min_score: float) -> DataFrame:
-    """By vectors (queries: id, vector, words; tools: id, vector, name, description), and by keywords where those stay below the threshold."""
+    """By vectors (queries: id, vector, words; tools: id, vector, name, description), and by keywords where those stay below the threshold or a query has no vector."""
     near = route(queries, tools, min_score)
     word = keyword_route(queries, tools).select("query_id", F.col("tool_id").alias("by_words"))
-    return near.join(word, "query_id", "left").select("query_id", F.coalesce("tool_id", "by_words").alias("tool_id"), F.col("tool_id").isNull().alias("fallback"))
+    return word.join(near, "query_id", "left").select("query_id", F.coalesce("tool_id", "by_words").alias("tool_id"), F.col("tool_id").isNull().alias("fallback"))
+
+
+def route_texts(queries: DataFrame, tools: DataFrame, min_score: float, width: int = vectors.WIDTH) -> DataFrame:
+    """query_id, tool_id, fallback for queries (id, text) and tools (id, name, description), all from their texts.
+
+    Vectors are made of the texts, weighted by the tools' own; where the nearest one stays below the threshold, or a query
+    shares no feature with any tool, keywords decide.
+    """
+    own = tools.select("id", "name", "description", tool_text(F.col("name"), F.col("description")).alias("text"))
+    known = cut(vectors.weights(own.select("id", "text")))
+    of = lambda df: cut(vectors.vectors(df.select("id", "text"), known, width))
+    q = queries.select("id", "text", distinct_words(F.col("text")).alias("words"))
+    asked = of(q).join(q.select("id", "words"), "id")
+    plain = own.select("id", plain_name(F.col("name")).alias("name"), F.lower("description").alias("description"))
+    return route_with_fallback(asked, of(own).join(plain, "id"), min_score)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from specto.functions import costs, text
 from specto.functions.tokens import pieces
-from specto.operators import code, graphs, parses, reports, routing, schemas, stats
+from specto.operators import code, graphs, parses, reports, routing, schemas, stats, vectors
 from specto.plans.fixtures import BODY as TASK
 from specto.plans.fixtures import CODE, FILE, IS_SCRIPT, LIMIT, MADE, PARSES, SCHEMA, SCRIPT_LINES, THING, by_case, lines, part_code, part_tools
 from specto.sources import catalogs
@@ -164,6 +164,27 @@ def keyword_route(spark: SparkSession, sf_dir: str) -> DataFrame:
     return routing.keyword_route(q, table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), name.alias("name"), F.lower("text").alias("description")))
 
 
+@query(
+    "text_weights",
+    """
+    WITH w AS (SELECT item_id, unnest(list_distinct(list_filter(regexp_split_to_array(lower('item_' || item_id || ': ' || text), '[ \\t\\r\\n]+'), lambda x: x <> ''))) AS word FROM benchmark),
+    f AS (SELECT item_id, 'w:' || word AS feature FROM w UNION SELECT item_id, 'g:' || substr('<' || word || '>', i, 3) FROM (SELECT item_id, word, unnest(range(1, length(word) + 1)) AS i FROM w))
+    SELECT feature, df, round(ln((1.0 + (SELECT count(*) FROM benchmark)) / (1.0 + df)) + 1, 6) AS idf FROM (SELECT feature, count(*) AS df FROM f GROUP BY 1)
+    """,
+)
+def text_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), text.tool_text(F.concat(F.lit("item_"), F.col("item_id")), F.col("text")).alias("text"))
+    return vectors.weights(items).withColumn("idf", F.round("idf", 6))
+
+
+@query("text_route")
+def text_route(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The items nearest to conversations, both from their texts, by keywords where no vector is near enough."""
+    q = table(spark, sf_dir, "conversations").where("conv_id % 20 = 0").select(F.concat_ws("-", "conv_id", "turn").alias("id"), "text")
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), F.concat(F.lit("item_"), F.col("item_id")).alias("name"), F.col("text").alias("description"))
+    return routing.route_texts(q, items, 0.3)
+
+
 @query(
     "blast_radius",
     """

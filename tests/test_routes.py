@@ -1,10 +1,11 @@
 """Routing by the inverted index and by vectors of texts against plain scoring of every pair."""
 
+import math
 import random
 
 from pyspark.sql import functions as F
 
-from specto.operators import routing
+from specto.operators import routing, vectors
 
 WORDS = ["list", "files", "send", "mail", "the", "a", "of", "é", "😀x", "calendar", "events", "ev", "x_y", "100%", "Zz"]
 
@@ -40,3 +41,28 @@ def test_keyword_route_has_no_nested_loop_over_pairs(spark):
     assert plan.count("BroadcastNestedLoopJoin") <= 2 and "contains" not in plan  # one row beside each result, no pairs
     grams = spark.createDataFrame([("abca",), ("é",), ("",)], "t string").select(F.sort_array(routing.grams_of(F.col("t"), (1, 3))).alias("g"))
     assert [r.g for r in grams.collect()] == [["a", "abc", "b", "bca", "c"], ["é"], []]
+
+
+def test_texts_find_their_tools(spark):
+    tools = [(0, "list_files", "Lists the files of a folder."), (1, "send_mail", "Sends a message to somebody."), (2, "add_event", "Adds an event to the calendar."), (3, "bare", None)]
+    asked = [("exact", "Sends a message to somebody"), ("spelt", "calendars eventful"), ("words", "zzz file"), ("none", "qqqq"), ("null", None)]
+    t = spark.createDataFrame(tools, "id int, name string, description string")
+    q = spark.createDataFrame(asked, "id string, text string")
+    got = {r.query_id: (r.tool_id, r.fallback) for r in routing.route_texts(q, t, 0.2).collect()}
+    assert set(got) == {i for i, _ in asked}
+    assert got["exact"] == (1, False) and got["spelt"] == (2, False) and got["none"] == (0, True) and got["null"][1]
+    assert routing.route_texts(q, t, 0.99).where("not fallback").isEmpty()
+
+
+def test_vectors_are_sums_of_signs(spark):
+    texts = [(0, "a bee"), (1, "bee"), (2, "bee  a"), (3, None), (4, "")]
+    df = spark.createDataFrame(texts, "id long, text string")
+    known = vectors.weights(df)
+    idf = {r.feature: (r.df, r.idf) for r in known.collect()}
+    assert set(idf) == {"w:a", "w:bee", "g:<a>", "g:<be", "g:bee", "g:ee>"} and idf["w:bee"][0] == 3
+    assert abs(idf["w:a"][1] - (math.log(6 / 3) + 1)) < 1e-12
+    rows = {r.id: r.vector for r in vectors.vectors(df, known, 100).collect()}
+    assert rows[0] == rows[2] and rows[3] is None and rows[4] is None and len(rows[1]) == 100
+    assert all(abs(sum(x * x for x in v) - 1) < 1e-6 for v in rows.values() if v)
+    near = sum(x * y for x, y in zip(rows[0], rows[1], strict=True))
+    assert 0.5 < near < 0.95
