@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ast
+import hashlib
 import json
 import re
 from collections.abc import Callable, Iterator
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 from specto.functions import costs
 from specto.functions.text import extension, root_segment
 from specto.operators import scripts
+from specto.operators.storage import cut
 from specto.sources.python_path import importable
 
 #: Calls by risk (a name without a dot stands for all calls on it), and type variables that say nothing about a function.
@@ -22,7 +24,7 @@ MEDIUM = ["socket", "requests.get", "requests.post", "requests.put", "requests.d
 NOISE = ["T", "R", "V", "K", "S", "U", "_", "P"]
 
 WORDS = "array<string>"
-FUNCTION_SQL = f"struct<name:string,line:int,owner:string,params:{WORDS},calls:{WORDS},bare:{WORDS},names:{WORDS},roots:{WORDS},selfs:{WORDS},raises:{WORDS},warns:{WORDS},yields:boolean,doc:string,signature:string,open_write:boolean,source:string>"
+FUNCTION_SQL = f"struct<name:string,line:int,owner:string,params:{WORDS},calls:{WORDS},bare:{WORDS},names:{WORDS},roots:{WORDS},selfs:{WORDS},raises:{WORDS},warns:{WORDS},yields:boolean,doc:string,signature:string,open_write:boolean,source:string,shape:string>"
 CLASS_SQL = f"struct<name:string,line:int,methods:{WORDS},attrs:{WORDS},doc:string,source:string>"
 MODULE = f"file string, error string, imports {WORDS}, aliases {WORDS}, data {WORDS}, top_classes {WORDS}, top_functions {WORDS}, classes array<{CLASS_SQL}>, functions array<{FUNCTION_SQL}>"
 
@@ -91,6 +93,12 @@ def dotted(node: ast.AST) -> str:
     return ".".join([at.id, *reversed(parts)]) if type(at) is ast.Name else ast.unparse(node)
 
 
+def shape(function: ast.FunctionDef | ast.AsyncFunctionDef) -> str:
+    """A hash of what a function does: its syntax below the head, without places, comments, format and docstring."""
+    body = function.body[1:] if ast.get_docstring(function, clean=False) is not None else function.body
+    return hashlib.md5("\n".join(map(ast.dump, body)).encode("utf-8", "surrogatepass"), usedforsecurity=False).hexdigest()
+
+
 def describe(function: ast.FunctionDef | ast.AsyncFunctionDef, owner: str | None, source: Source) -> dict:
     args = function.args
     bound = {a.arg for a in (*args.args, *args.kwonlyargs, *filter(None, (args.vararg, args.kwarg)))}
@@ -134,6 +142,7 @@ def describe(function: ast.FunctionDef | ast.AsyncFunctionDef, owner: str | None
         "signature": signature(function),
         "open_write": any(type(n.func) is ast.Name and n.func.id == "open" and writes(n) for n in calls),
         "source": source.of(function),
+        "shape": shape(function),
     }
 
 
@@ -561,3 +570,36 @@ def _by(*order):
     from pyspark.sql import Window
 
     return Window.partitionBy(F.lit(0)).orderBy(*order)  # over a few rows: languages, modules of risk, or the errors shown
+
+
+def tree_diff(old: DataFrame, new: DataFrame) -> DataFrame:
+    """file, name, change, was: what became of each function between two versions of a source tree, both as modules() or parses.indexed() give them.
+
+    Functions are the same by file, class, name and, where that repeats, order. Change is unchanged, body_only (another
+    shape under the same signature), breaking (another signature), added or removed. A function that is gone and one that
+    is new are one if they have the same shape and no other gone or new one has: in the same file it is renamed, under the
+    same name in another file it is moved, and `was` tells its old name or file. Format, comments and docstrings are no
+    change. Files that don't parse have no functions.
+    """
+
+    def listed(tree: DataFrame, side: str) -> DataFrame:
+        one = lambda f, i: F.struct(F.coalesce(f["owner"], F.lit("")).alias("owner"), f["name"].alias("name"), F.size(F.filter(F.slice("functions", 1, i), lambda g: (g["name"] == f["name"]) & g["owner"].eqNullSafe(f["owner"]))).alias("nth"), F.struct(f["signature"].alias("head"), f["shape"].alias("shape")).alias(side))
+        return tree.where("error is null").select("file", F.inline(F.transform("functions", one)))
+
+    key = ["file", "owner", "name", "nth"]
+    both = cut(listed(old, "a").join(listed(new, "b"), key, "full_outer"))
+    plain = F.when(F.col("a").isNull(), "added").when(F.col("b").isNull(), "removed").when(F.col("a.head") != F.col("b.head"), "breaking").when(F.col("a.shape") != F.col("b.shape"), "body_only").otherwise("unchanged")
+    kept = both.where("a is not null and b is not null").select("file", "name", plain.alias("change"), F.lit(None).cast("string").alias("was"))
+    apart = both.where("a is null or b is null").select(*key, plain.alias("change"), F.coalesce("a.shape", "b.shape").alias("shape"))
+
+    def paired(by: list[str], rest: DataFrame, change: str, was: str) -> tuple[DataFrame, DataFrame]:
+        """Those that are the only gone and the only new one by some columns, and the rest."""
+        one = lambda side: F.count_if(F.col("change") == side) == 1
+        of = lambda side: F.max(F.when(F.col("change") == side, F.struct(*key))).alias(side)
+        pairs = cut(rest.groupBy(*by).agg(one("removed").alias("x"), one("added").alias("y"), of("removed"), of("added")).where("x and y"))
+        taken = pairs.select("removed.*").unionByName(pairs.select("added.*"))
+        return pairs.select("added.file", "added.name", F.lit(change).alias("change"), F.col(f"removed.{was}").alias("was")), rest.join(taken, key, "left_anti")
+
+    renamed, apart = paired(["file", "owner", "shape"], apart, "renamed", "name")
+    moved, apart = paired(["name", "shape"], apart, "moved", "file")
+    return kept.unionByName(renamed).unionByName(moved).unionByName(apart.select("file", "name", "change", F.lit(None).cast("string").alias("was")))

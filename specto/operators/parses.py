@@ -18,7 +18,7 @@ from specto.operators.storage import shared_folder
 from specto.sources.python_path import importable
 
 FILES = 500  # in a task, while that makes no more than 10,000 tasks
-VERSION = 1  # of what a row holds; an index of another version is another folder
+VERSION = 2  # of what a row holds; an index of another version is another folder
 FOUND = code.MODULE.removeprefix("file string, ")
 ROW = f"hash string, {FOUND}, compressed string, compress_error string, outline {code.OUTLINE}"
 
@@ -96,8 +96,22 @@ def indexed(files: DataFrame, folder: str | None = None) -> DataFrame:
     file, text, error, lang, the columns of code.modules(), compressed, compress_error, outline. A very common content is
     one row of the index; adaptive execution splits the files that have it.
     """
-    folder = folder or default_folder(files.sparkSession)
-    refresh(files, folder)
+    return versions(files, folder=folder)[0]
+
+
+def versions(*trees: DataFrame, folder: str | None = None) -> list[DataFrame]:
+    """indexed() of several tables of files for use in one query: all are refreshed before any is read.
+
+    Spark takes two readings of one folder for the same even if files came between them.
+    """
+    spark = trees[0].sparkSession
+    folder = folder or default_folder(spark)
+    for files in trees:
+        refresh(files, folder)
+    return [read(files, folder) for files in trees]
+
+
+def read(files: DataFrame, folder: str) -> DataFrame:
     known = files.sparkSession.read.schema(ROW).parquet(folder).withColumnRenamed("error", "parse_error")
     rows = keyed(files).join(known, "hash", "left")
     names = [f.split(" ")[0] for f in ("imports", "aliases", "data", "top_classes", "top_functions", "classes", "functions", "compressed", "compress_error", "outline")]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from bisect import bisect_left, bisect_right
 from dataclasses import dataclass, field
 from functools import cached_property
@@ -185,7 +186,7 @@ def parse(text: str) -> dict:
     breaks = [m.start() for m in regex.finditer("\n", text)]
     line = lambda i: bisect_left(breaks, i) + 1
     functions = [
-        {"name": p.name, "line": line(p.start), "owner": None, "params": p.params, "calls": s.calls(p), "bare": s.calls(p), "names": s.calls(p) + s.foreign(p), "roots": [], "selfs": [], "raises": [], "warns": [], "yields": False, "doc": None, "signature": text[p.start : p.body[0] if p.body else p.end].rstrip(), "open_write": False, "source": text[p.start : p.end].rstrip()}
+        {"name": p.name, "line": line(p.start), "owner": None, "params": p.params, "calls": s.calls(p), "bare": s.calls(p), "names": s.calls(p) + s.foreign(p), "roots": [], "selfs": [], "raises": [], "warns": [], "yields": False, "doc": None, "signature": text[p.start : p.body[0] if p.body else p.end].rstrip(), "open_write": False, "source": text[p.start : p.end].rstrip(), "shape": hashlib.md5(" ".join(text[p.body[0] if p.body else p.end : p.end].split()).encode("utf-8", "surrogatepass"), usedforsecurity=False).hexdigest()}
         for p in s.functions
     ]
     classes = [p for p in s.parts if p.kind == "class"]

@@ -619,3 +619,34 @@ def code_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("code_totals", "SELECT count(DISTINCT conv_id) AS files, count(*) AS functions, 0::BIGINT AS classes, 0::BIGINT AS errors, 1::BIGINT AS imports FROM conversations")
 def code_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return code.repo_totals(parses.indexed(conversation_code(spark, sf_dir)))
+
+
+# Two versions of a source tree: the new one lacks the smallest parts, has larger ones, and differs in format, bodies, heads and a name.
+NEW_CODE = f"""CASE WHEN {PARSES} THEN replace(replace(replace({CODE}, 'return x + y', CASE WHEN p_partkey % 5 = 0 THEN 'return x - y' ELSE concat('return (x  +  y)  # sum', chr(10)) END), 'y=1', CASE WHEN p_partkey % 7 = 0 THEN 'y=2' ELSE 'y = 1' END), 'async def fetch(', CASE WHEN p_partkey % 11 = 0 THEN 'async def fetched(' ELSE 'async def fetch(' END) ELSE {CODE} END"""
+LISTED = f"""
+  SELECT {FILE} AS file, unnest(['', '', '', '', 'Worker', 'Worker', 'Worker']) AS owner, unnest(['helper', {MADE}, 'orch', {{fetch}}, '__init__', 'run', '_check']) AS name, unnest([{{head}}, '', '', '', '', '', '']) AS head,
+    unnest([{{body}}, 'm' || p_size % 7, 'o' || {MADE}, 'f', 'i', 'r', 'c']) AS shape FROM part WHERE {PARSES} AND {{kept}}
+  UNION ALL SELECT {FILE}, '', unnest(['load', 'open']), '', unnest(['load', 'open']) FROM part WHERE {IS_SCRIPT} AND {{kept}}"""
+ONE_EACH = "count_if(change = 'removed') = 1 AND count_if(change = 'added') = 1"
+
+
+@query(
+    "code_diff",
+    f"""
+    WITH o AS ({LISTED.format(fetch="'fetch'", head="'1'", body="'h'", kept="p_size <= 40")}),
+    n AS ({LISTED.format(fetch="CASE WHEN p_partkey % 11 = 0 THEN 'fetched' ELSE 'fetch' END", head="CASE WHEN p_partkey % 7 = 0 THEN '2' ELSE '1' END", body="CASE WHEN p_partkey % 5 = 0 THEN 'h-' ELSE 'h' END", kept="p_size >= 5")}),
+    b AS (SELECT file, owner, name, o.head AS oh, n.head AS nh, o.shape AS os, n.shape AS ns FROM o FULL JOIN n USING (file, owner, name)),
+    a AS (SELECT file, owner, name, CASE WHEN oh IS NULL THEN 'added' ELSE 'removed' END AS change, coalesce(os, ns) AS shape FROM b WHERE oh IS NULL OR nh IS NULL),
+    r AS (SELECT file, owner, shape, max(name) FILTER (change = 'added') AS name, max(name) FILTER (change = 'removed') AS was FROM a GROUP BY 1, 2, 3 HAVING {ONE_EACH}),
+    c AS (SELECT * FROM a WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.file = a.file AND r.owner = a.owner AND r.shape = a.shape)),
+    m AS (SELECT name, shape, max(file) FILTER (change = 'added') AS file, max(file) FILTER (change = 'removed') AS was FROM c GROUP BY 1, 2 HAVING {ONE_EACH})
+    SELECT file, name, CASE WHEN oh <> nh THEN 'breaking' WHEN os <> ns THEN 'body_only' ELSE 'unchanged' END AS change, NULL::VARCHAR AS was FROM b WHERE oh IS NOT NULL AND nh IS NOT NULL
+    UNION ALL SELECT file, name, 'renamed', was FROM r UNION ALL SELECT file, name, 'moved', was FROM m
+    UNION ALL SELECT file, name, change, NULL FROM c WHERE NOT EXISTS (SELECT 1 FROM m WHERE m.name = c.name AND m.shape = c.shape)
+    """,
+)
+def code_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = table(spark, sf_dir, "part")
+    old = part.where("p_size <= 40").select(F.expr(FILE).alias("file"), F.expr(CODE).alias("text"))
+    new = part.where("p_size >= 5").select(F.expr(FILE).alias("file"), F.expr(NEW_CODE).alias("text"))
+    return code.tree_diff(*parses.versions(old, new))

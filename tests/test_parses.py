@@ -73,3 +73,17 @@ def test_sources_are_cut_by_bytes():
     for n in module.every:
         if isinstance(n, (*code.Def, ast.ClassDef)):
             assert code.Source(text).of(n) == ast.get_source_segment(text, n)
+
+
+def test_versions_of_a_tree(spark, tmp_path):
+    old = [("a.py", "def same(x):\n    return x\ndef body(x):\n    return 1\ndef head(x):\n    return 2\ndef gone(x):\n    return 3\ndef old_name(x):\n    return x * 7\nclass K:\n    def m(self): return 1\n    def m(self): return 2\n"), ("b.py", "def walks(x):\n    return x ** 9\n"), ("bad.py", "def f(:")]
+    new = [("a.py", "# a comment\ndef same( x ):\n    'Says so.'\n    return (x)\ndef body(x):\n    return 10\ndef head(x, y):\n    return 2\ndef new_name(x):\n    return x * 7\ndef fresh(): pass\nclass K:\n    def m(self): return 1\n    def m(self): return 4\n"), ("c.py", "def walks(x):\n    return x ** 9\n"), ("bad.py", "def f(): pass")]
+    got = sorted(((r.file, r.name, r.change, r.was) for r in code.tree_diff(code.modules(files(spark, old)), code.modules(files(spark, new))).collect()), key=str)
+    want = [("a.py", "same", "unchanged", None), ("a.py", "body", "body_only", None), ("a.py", "head", "breaking", None), ("a.py", "gone", "removed", None), ("a.py", "new_name", "renamed", "old_name"), ("a.py", "fresh", "added", None), ("a.py", "m", "unchanged", None), ("a.py", "m", "body_only", None), ("c.py", "walks", "moved", "b.py"), ("bad.py", "f", "added", None)]
+    assert got == sorted(want, key=str)
+    index = str(tmp_path / "index")
+    parses.indexed(files(spark, old), index)
+    again = code.tree_diff(*parses.versions(files(spark, old), files(spark, new), folder=index))
+    assert sorted(((r.file, r.name, r.change, r.was) for r in again.collect()), key=str) == got
+    none = files(spark, old).limit(0)
+    assert {r.change for r in code.tree_diff(code.modules(none), code.modules(files(spark, new))).collect()} == {"added"}
