@@ -39,9 +39,17 @@ def first_row(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
 
 
 def mark_last(rows: DataFrame, keys: list[str], order: str, name: str = "cache_control") -> DataFrame:
-    """Marks the last row of each ordered list as the end of what may be cached."""
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(order)))
-    return rows.withColumn(name, F.when(rank == 1, F.lit("ephemeral")))
+    """Marks the last row of each ordered list as the end of what may be cached.
+
+    Without keys all rows are one list, whose last row is found by an aggregate, not by sorting them in one task; of rows
+    with the same order the one with the largest hash is the last, and rows that are equal in all are marked alike.
+    """
+    if keys:
+        rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(order)))
+        return rows.withColumn(name, F.when(rank == 1, F.lit("ephemeral")))
+    place = F.struct(F.col(order).alias("at"), F.xxhash64(*rows.columns).alias("h"))
+    last = rows.agg(F.max(place).alias("__last"))
+    return rows.join(F.broadcast(last)).withColumn(name, F.when(place == F.col("__last"), F.lit("ephemeral"))).drop("__last")  # one row beside each
 
 
 def prefix_costs(rows: DataFrame, key: str, cost: str, tie: str, ks: tuple[int, ...] = (1, 3, 5)) -> DataFrame:

@@ -11,7 +11,7 @@ from specto.functions import costs, text
 from specto.functions.tokens import pieces
 from specto.operators import code, graphs, parses, reports, routing, schemas, stats, vectors
 from specto.plans.fixtures import BODY as TASK
-from specto.plans.fixtures import CODE, FILE, IS_SCRIPT, LIMIT, MADE, PARSES, SCHEMA, SCRIPT_LINES, THING, by_case, lines, part_code, part_tools
+from specto.plans.fixtures import CODE, FILE, IS_SCRIPT, LIMIT, MADE, PARSES, SCHEMA, SCRIPT_LINES, THING, by_case, lines, part_code, part_tools, supplier_tools
 from specto.sources import catalogs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -271,6 +271,17 @@ def contract_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
     return schemas.overall(part_tools(spark, sf_dir))
 
 
+@query(
+    "server_verdicts",
+    """
+    SELECT 'nation_' || s_nationkey AS server, count(*) AS tools, count_if(s_suppkey % 5 <> 0)::BIGINT AS callable, CASE WHEN s_nationkey % 2 = 1 THEN 2 ELSE 0 END::BIGINT AS cyclic_defs,
+      s_nationkey % 2 = 0 AND count_if(s_suppkey % 5 = 0) = 0 AS ok FROM supplier GROUP BY s_nationkey
+    """,
+)
+def server_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return schemas.overall_by_server(supplier_tools(spark, sf_dir))
+
+
 REPORT = {k: f"concat_ws('/', {kept}, {all_})" for k, (kept, all_) in {
     "params": ("4 + more", "4 + more"), "types": ("4 + more - CASE WHEN p_partkey % 10 = 6 THEN 1 ELSE 0 END", "4 + more"), "required": ("1", "1"), "enums": ("2", "2"),
     "refs": ("1 + CASE WHEN p_partkey % 10 = 1 THEN 1 ELSE 0 END",) * 2, "patterns": ("1", "1 + CASE WHEN p_partkey % 10 = 3 THEN 1 ELSE 0 END"), "bounds": ("2", "2"), "discriminators": ("CASE WHEN p_partkey % 10 = 4 THEN 1 ELSE 0 END",) * 2,

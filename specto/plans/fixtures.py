@@ -68,3 +68,13 @@ IS_SCRIPT = "p_partkey % 10 = 8"
 def part_code(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A source file for each part: of ten, one is JavaScript and one is broken."""
     return spark.read.parquet(f"{sf_dir}/part.parquet").select(F.expr(FILE).alias("file"), F.expr(CODE).alias("text"))
+
+
+#: A tool for each supplier: definitions of odd nations refer to each other, and tools of every fifth one lose a constraint.
+SUPPLIER_SCHEMA = """concat('{"properties": {"a": {"$ref": "#/$defs/N1"}, "b": {"type": "string"', CASE WHEN s_suppkey % 5 = 0 THEN ', "maxLength": 9' ELSE '' END, '}}, "$defs": {"N1": {"properties": {"x": {"$ref": "#/$defs/N2"}}}, "N2": {"properties": {"y": ', CASE WHEN s_nationkey % 2 = 1 THEN '{"$ref": "#/$defs/N1"}' ELSE '{"type": "integer"}' END, '}}}}')"""
+
+
+def supplier_tools(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tool for each supplier; the servers are the nations."""
+    supplier = spark.read.parquet(f"{sf_dir}/supplier.parquet")
+    return supplier.select(F.expr("concat('nation_', s_nationkey)").alias("server"), F.col("s_suppkey").alias("ord"), F.expr("concat('supplier_', s_suppkey)").alias("name"), F.lit("Orders from a supplier.").alias("description"), F.expr(SUPPLIER_SCHEMA).alias("input_schema"))

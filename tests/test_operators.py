@@ -491,3 +491,14 @@ def test_closures_on_random_graphs_with_chains(spark):
         target = edges[0][1]
         want = {x: d for x, d in depths(target, back).items() if x != target}
         assert {r.node: r.depth for r in graphs.reach_back(df, target).collect()} == want
+
+
+def test_last_of_one_list_takes_no_single_task(spark):
+    rows = spark.range(50).selectExpr("id % 40 AS ord", "id")
+    got = stats.mark_last(rows, [], "ord")
+    assert [r.ord for r in got.where("cache_control is not null").collect()] == [39]
+    plan = got._jdf.queryExecution().toString()
+    assert "Window" not in plan
+    tied = spark.createDataFrame([(1, "a"), (1, "b"), (0, "c")], "ord int, x string")
+    assert stats.mark_last(tied, [], "ord").where("cache_control is not null").count() == 1
+    assert stats.mark_last(tied.limit(0), [], "ord").count() == 0
