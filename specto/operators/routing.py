@@ -160,9 +160,9 @@ def keyword_route(queries: DataFrame, tools: DataFrame, first: int = 16) -> Data
 
 def route_with_fallback(queries: DataFrame, tools: DataFrame, min_score: float) -> DataFrame:
     """By vectors (queries: id, vector, words; tools: id, vector, name, description), and by keywords where those stay below the threshold or a query has no vector."""
-    near = route(queries, tools, min_score)
-    word = keyword_route(queries, tools).select("query_id", F.col("tool_id").alias("by_words"))
-    return word.join(near, "query_id", "left").select("query_id", F.coalesce("tool_id", "by_words").alias("tool_id"), F.col("tool_id").isNull().alias("fallback"))
+    near = cut(route(queries, tools, min_score).where("tool_id is not null").select("query_id", "tool_id", F.lit(False).alias("fallback")))
+    left = queries.join(near.select(F.col("query_id").alias("id")), "id", "left_anti")
+    return near.unionByName(keyword_route(left, tools).select("query_id", "tool_id", F.lit(True).alias("fallback")))
 
 
 def route_texts(queries: DataFrame, tools: DataFrame, min_score: float, width: int = vectors.WIDTH) -> DataFrame:
