@@ -9,12 +9,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from specto.operators import code, scripts
-from specto.operators.storage import shared_folder
+from specto.operators.storage import shared_folder, stored
 from specto.sources.python_path import importable
 
 FILES = 500  # in a task, while that makes no more than 10,000 tasks
@@ -51,15 +50,6 @@ def default_folder(spark: SparkSession) -> str:
     return f"{shared_folder(spark)}/parses-{VERSION}"
 
 
-def stored(spark: SparkSession, folder: str) -> DataFrame | None:
-    try:
-        return spark.read.parquet(folder)
-    except AnalysisException as e:
-        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
-            raise
-        return None
-
-
 def refresh(files: DataFrame, folder: str) -> None:
     """Parses the contents that the index in the folder lacks and appends them.
 

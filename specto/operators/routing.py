@@ -71,13 +71,15 @@ def near_ones(tools: DataFrame, queries: DataFrame, n: int) -> DataFrame:
 def top_k(queries: DataFrame, tools: DataFrame, k: int, itself: bool = True, few: int = 2_000) -> DataFrame:
     """The k tools nearest to each query (id, vector), without the one of its own id if not `itself`; ties go to the smaller id.
 
+    A null vector, of a query or a tool, has no rows.
+
     Each task ranks its own before they are shuffled. More than `few` queries meet the tools in blocks, as facing() deals them.
     """
     if queries.limit(few + 1).count() <= few:
         scored = near_ones(tools, queries, k + (not itself)).withColumn("score", F.round("score", 6))
     else:
-        q = queries.select(F.col("id").alias("query_id"), F.col("vector").alias("__q"))
-        pairs = facing(tools.select(F.col("id").alias("tool_id"), F.col("vector").alias("__t")), q, few)
+        q = queries.where("vector is not null").select(F.col("id").alias("query_id"), F.col("vector").alias("__q"))
+        pairs = facing(tools.where("vector is not null").select(F.col("id").alias("tool_id"), F.col("vector").alias("__t")), q, few)
         scored = pairs.select("query_id", "tool_id", F.round(dot(F.col("__q"), F.col("__t")), 6).alias("score"))
     scored = scored if itself else scored.where("query_id <> tool_id")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "tool_id"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -24,6 +25,16 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def stored(spark: SparkSession, folder: str, schema: str | None = None) -> DataFrame | None:
+    """The Parquet files of a folder; None if there are none yet."""
+    try:
+        return (spark.read.schema(schema) if schema else spark.read).parquet(folder)
+    except AnalysisException as e:
+        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        return None
+
+
 def spread(df: DataFrame) -> DataFrame:
     """df in as many partitions as there are cores at least, for work that costs far more than the shuffle of its rows."""
     cores = df.sparkSession.sparkContext.defaultParallelism

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,10 +10,12 @@ from pyspark.sql import functions as F
 
 from specto.functions import costs, text
 from specto.functions.tokens import pieces
-from specto.operators import code, graphs, parses, reports, routing, schemas, stats, vectors
+from specto.operators import code, counts, graphs, nearest, parses, reports, routing, schemas, stats, vectors
 from specto.plans.fixtures import BODY as TASK
 from specto.plans.fixtures import CODE, FILE, IS_SCRIPT, LIMIT, MADE, PARSES, SCHEMA, SCRIPT_LINES, THING, by_case, lines, part_code, part_tools, supplier_tools
+from specto.operators.storage import shared_folder
 from specto.sources import catalogs
+from specto.streaming import totals as kept
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -62,6 +65,30 @@ def session_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.session_stats(log, "event_type", F.col("v"), F.lit(100))
 
 
+@query("vector_topk_bounds", SQL["vector_topk"])
+def vector_topk_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    return nearest.bounded_top_k(vectors.where("id % 20 = 0"), vectors, 3)[0]
+
+
+@query("session_turns", SQL["session_stats"])
+def session_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{sf_dir}/events.parquet"
+    log = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path.replace(".parquet", ".parque[t]")).select("event_type", F.floor("value").alias("v"))
+    folder = f"{shared_folder(spark)}/turns-{uuid.uuid4().hex}"
+    kept.keep_stats(log, "event_type", F.col("v"), F.lit(100), f"{folder}/totals", f"{folder}/stream").awaitTermination()
+    return kept.kept_stats(spark, "event_type", f"{folder}/totals")
+
+
+@query("token_counts")
+def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    ranks = counts.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    texts = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    return counts.count_tokens(texts, ranks, public_tokenizers.PATTERN).select(F.col("id").alias("doc_id"), "tokens")
+
+
 @query(
     "session_totals",
     """
