@@ -71,8 +71,8 @@ def count_tokens(texts: DataFrame, ranks: dict[bytes, int], pattern: str, common
     importable(texts.sparkSession)
     # a null stands for the row itself, so that rows can be told apart from words when both are summed
     cut_up = F.concat(F.array(F.lit(None).cast("string")), F.regexp_extract_all("text", F.lit(f"(?U){pattern}"), F.lit(0)))
-    own = texts.select("id", F.coalesce("text", F.lit("")).alias("text"))
-    words = own.select("id", F.md5("text").alias("digest"), F.explode(cut_up).alias("word"))
+    own = texts.select("id", F.coalesce("text", F.lit("")).alias("text")).withColumn("digest", F.md5("text"))  # before the words, or each would have it made anew
+    words = own.select("id", "digest", F.explode(cut_up).alias("word"))
     known = cut(words.where("word is not null").groupBy("word").agg(F.count("*").alias("n")).mapInArrow(encode, "word string, n long, parts long"))
     frequent = known.where(F.octet_length("word") <= SHORT).orderBy(F.desc("n"), "word").limit(common).select("word", "parts")
     told = words.join(F.broadcast(frequent), "word", "left")
