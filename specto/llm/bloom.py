@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import importable
+from .common import importable, tidy
 
 CHUNK = 4096  # bytes of a filter in a row
 PART_BITS = 32768  # of one part of a bitmap: what bitmap_construct_agg makes
@@ -64,8 +64,9 @@ def gather(keys: DataFrame, max_bits: int) -> Bloom:
     importable(keys.sparkSession)
     schema = "chunk int, bits binary"
     data = np.zeros((bits // 8 // CHUNK, CHUNK), np.uint8)
-    for chunk, part in keys.mapInArrow(fill, schema).repartition(F.col("chunk")).mapInArrow(join, schema).collect():
-        data[chunk] = np.frombuffer(bytes(part), np.uint8)
+    with tidy(keys.sparkSession):
+        for chunk, part in keys.mapInArrow(fill, schema).repartition(F.col("chunk")).mapInArrow(join, schema).collect():
+            data[chunk] = np.frombuffer(bytes(part), np.uint8)
     return Bloom(bits, data.ravel())
 
 

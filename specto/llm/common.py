@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import gc
 import os
 import tempfile
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 import pyarrow as pa
@@ -79,16 +79,27 @@ def shared_folder(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Writes df to the shared checkpoint folder and reads it from there, so that a lost executor costs no recomputing."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
+@contextmanager
+def tidy(spark: SparkSession) -> Iterator[None]:
+    """Has Spark delete the shuffle files of a query as soon as it ends, instead of when the driver's garbage is collected.
+
+    For queries whose result is in a table or on the driver by then. Where a plan is run again all the same, Spark makes its
+    shuffles anew. The session's own setting is put back.
+    """
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, "false")
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
 
 
-def release(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of plans that nothing refers to any more; it does so when the driver collects its garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+def cut(df: DataFrame) -> DataFrame:
+    """Writes df to the shared checkpoint folder and reads it from there, so that a lost executor costs no recomputing; no shuffle files stay."""
+    shared_folder(df.sparkSession)
+    with tidy(df.sparkSession):
+        return df.select("*").checkpoint()  # a plan keeps the setting that it was made under
 
 
 def anti_by_key(df: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bloom import Bloom, gather, rows_of, rows_without
-from .common import cut, importable, map_batches, narrow, release
+from .common import cut, importable, map_batches, narrow, tidy
 from .components import components
 
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -86,10 +86,11 @@ def sketch(docs: DataFrame, words: int, cells: int) -> np.ndarray:
     importable(docs.sparkSession)
     schema = "chunk int, counts binary"
     out = np.zeros((cells // CHUNK, CHUNK), np.uint64)
-    for chunk, counts in docs.mapInArrow(count, schema).repartition(F.col("chunk")).mapInArrow(add, schema).collect():
-        out[chunk] = np.frombuffer(bytes(counts), np.uint64)
-    level = np.log2(np.maximum(1, out.ravel() / max(1.0, 4 * out.mean())))
-    return np.minimum(np.ceil(level), 62).astype(np.uint8)
+    with tidy(docs.sparkSession):
+        for chunk, counts in docs.mapInArrow(count, schema).repartition(F.col("chunk")).mapInArrow(add, schema).collect():
+            out[chunk] = np.frombuffer(bytes(counts), np.uint64)
+    mean = max(1.0, 4 * out.mean())
+    return np.concatenate([np.minimum(np.ceil(np.log2(np.maximum(1, some / mean))), 62).astype(np.uint8) for some in out])
 
 
 def in_order(s: np.ndarray, level: np.ndarray) -> np.ndarray:
@@ -221,7 +222,6 @@ def verified(pairs: DataFrame, docs: DataFrame, rule: Jaccard, levels: np.ndarra
     Where an id stands at several texts, each of them counts.
     """
     pairs = cut(pairs.select("a", "b"))
-    release(docs.sparkSession)
     ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
     sets = whole_sets(docs, ids, rule, levels)
     sizes = pairs.groupBy("a").agg(F.count("*").alias("size"))
@@ -316,7 +316,6 @@ def across_parts(lists: DataFrame, joined: DataFrame, rule: Jaccard, block: int
     per_part = parts.groupBy("key", "part").agg(F.count("*").alias("many"))
     mixed = per_part.groupBy("key").agg(F.count("*").alias("parts"), F.sum(F.when(F.col("many") <= block, F.col("many"))).alias("few")).where("parts > 1")
     per_part = cut(per_part.join(mixed.select("key", "few"), "key"))
-    release(lists.sparkSession)
     own = parts.join(per_part, ["key", "part"])
     large = F.col("many") > block
     name = F.struct(F.when(large, F.col("part")).alias("p"), F.when(large, F.pmod(F.xxhash64("id"), F.ceil(F.col("many") / block))).otherwise(F.pmod(F.xxhash64("part"), F.ceil(F.col("few") / block))).alias("i"))
@@ -408,13 +407,8 @@ def near_duplicates(docs: DataFrame, rule: Jaccard = Jaccard(), id_col: str = "d
     classes = some.groupBy("d1", "d2").agg(F.min("doc_id").alias("id"), F.first("prefix").alias("prefix"))
     sizes = some.groupBy("d1", "d2").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("last").alias("last")).select("id", "n", "last")
     lists = shared_lists(classes, sizes)
-    del classes, sizes
-    release(docs.sparkSession)
     found = cut(verified(against_hub(lists, rule), own, rule, levels))
-    release(docs.sparkSession)
     more = cut(verified(across_parts(lists, components(found), rule), own, rule, levels))
-    del lists
-    release(docs.sparkSession)
 
     # documents of one set are linked to its first; a document of an id that stands at several sets links those
     # (n is one key more than the groups have, so that the joins deal them anew and can split a hot one)

@@ -82,13 +82,13 @@ def sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, rows: int
         grams = Grams()
 
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-            codes = [np.flatnonzero(seen) if (seen := grams.presence(t)) is not None else [] for t in batch.column(1).to_pylist()]
-            return pa.RecordBatch.from_pydict({"lang": batch.column(0).cast(pa.string()), "codes": pa.array(codes, pa.list_(pa.int32()))})
+            codes = [np.flatnonzero(seen).astype("<i4").tobytes() if (seen := grams.presence(t)) is not None else b"" for t in batch.column(1).to_pylist()]
+            return pa.RecordBatch.from_pydict({"lang": batch.column(0).cast(pa.string()), "codes": pa.array(codes, pa.binary())})
 
         return work
 
-    found = map_batches(texts.orderBy("lang", "h").select("lang", "text"), make, "lang string, codes array<int>").collect()
-    return [(r["lang"], np.array(r["codes"], np.int64)) for r in found if r["codes"]]
+    found = map_batches(texts.orderBy("lang", "h").select("lang", "text"), make, "lang string, codes binary").collect()
+    return [(r["lang"], np.frombuffer(bytes(r["codes"]), "<i4").astype(np.int64)) for r in found if r["codes"]]
 
 
 def fit(rows: list[tuple[str, np.ndarray]], landmarks: int = 128, ridge: float = 1e-3) -> Model | None:

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bloom import Bloom, gather, key_filter, passes
-from .common import cut, importable, map_batches, narrow, release, shared_folder
+from .common import cut, importable, map_batches, narrow, shared_folder, tidy
 from .fmindex import FmIndex, matched_windows
 
 SHARD_WORDS = 250_000
@@ -241,9 +241,9 @@ def repeated_spans(docs: DataFrame, width: int = 50, k: int = 25, block: int = 2
     spark = docs.sparkSession
     own = docs.where("doc_id is not null")
     bloom = shared_anchors(own, width, k, max_bits)
-    release(spark)
     path = f"{shared_folder(spark)}/stretches-{uuid.uuid4().hex}"
-    stretches(own.select("doc_id", "mark", "text"), bloom, width, k).write.parquet(path)
+    with tidy(spark):
+        stretches(own.select("doc_id", "mark", "text"), bloom, width, k).write.parquet(path)
     found = spark.read.parquet(path)
 
     different = found.groupBy("key", "content").agg(F.min("doc_id").alias("doc"), F.first("windows").alias("windows"))
@@ -252,7 +252,6 @@ def repeated_spans(docs: DataFrame, width: int = 50, k: int = 25, block: int = 2
     bodies = found.where("words is not null").select("key", "content", "words").join(several, ["key", "content"])
     bodies = bodies.groupBy("key", "content").agg(F.first("words").alias("words"), F.first("doc").alias("doc"))
     pieces = shared_pieces(bodies, width)
-    release(spark)
 
     firsts = cut(pieces.groupBy("key", "piece").agg(F.min("doc").alias("first"), F.first("windows").alias("windows"), F.first("words").alias("words")))
     hits = repeated_windows(firsts.select("key", F.col("piece").alias("content"), F.col("first").alias("doc"), "windows", "words"), width, block)
@@ -284,9 +283,9 @@ def drop_repeated_passages(docs: DataFrame, width: int = 50, id_col: str = "doc_
     """
     own = narrow(docs, id_col, text_col).withColumn("mark", F.xxhash64("text"))
     spark, path = docs.sparkSession, f"{shared_folder(docs.sparkSession)}/spans-{uuid.uuid4().hex}"
-    repeated_spans(own.select("doc_id", "mark", "text"), width).write.parquet(path)
+    with tidy(spark):
+        repeated_spans(own.select("doc_id", "mark", "text"), width).write.parquet(path)
     spans = spark.read.parquet(path)
-    release(spark)
     # only texts that a bitmap of the documents with spans lets through are shuffled to them
     key = F.xxhash64("doc_id", "mark")
     told = passes(own, key, *key_filter(spans.select("doc_id", "mark"), key))

@@ -4,6 +4,7 @@ import hashlib
 import io
 import random
 import sys
+import time
 import unicodedata
 import wave
 import zlib
@@ -353,3 +354,28 @@ def test_html_keeps_main_texts(spark):
             rows.append((100 * s + i, f"http://s{s}.org/{i}", f"<html><body>{site(i, t)}</body></html>"))
     got = html.op9_html_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
     assert {r.page_id: r.text for r in got} == texts
+
+
+def test_no_shuffle_files_stay(spark):
+    import glob
+
+    from specto.llm.common import cut, tidy
+
+    def files():
+        return set(glob.glob(f"{spark.conf.get('spark.local.dir')}/**/shuffle_*", recursive=True))
+
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    setting, before = spark.conf.get(key), files()
+    kept = cut(spark.range(1000).selectExpr("id % 7 AS k").groupBy("k").count())
+    for _ in range(50):
+        if not files() - before:
+            break
+        time.sleep(0.1)
+    left = files() - before
+    assert not left, sorted(left)
+    assert spark.conf.get(key) == setting
+    assert sorted(r["count"] for r in kept.collect()) == [142, 143, 143, 143, 143, 143, 143]
+    plan = spark.range(1000).selectExpr("id % 7 AS k")
+    with tidy(spark):
+        again = plan.distinct()
+        assert len(again.collect()) == len(again.collect()) == 7  # a plan that runs again makes its shuffles anew
