@@ -11,7 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from specto.llm import bpe, dedup, jaccard, langid, mixing
-from specto.llm.common import shared_folder, table
+from specto.llm.common import shared_folder, table, tidy
 
 #: The token budget of the mixture, as a share of the tokens that reach it.
 TOKEN_SHARE = 0.75
@@ -61,6 +61,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     for i, (name, stage) in enumerate(STAGES):
         path = f"{folder}/{i}-{name}"
-        stage(spark, docs, sf_dir).write.parquet(path)
+        with tidy(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return docs
