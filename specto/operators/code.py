@@ -7,6 +7,7 @@ import hashlib
 import json
 import re
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -163,13 +164,40 @@ def describe_class(node: ast.ClassDef, source: Source) -> dict:
     return {"name": node.name, "line": node.lineno, "methods": [m.name for m in methods], "attrs": unique(assigned(node.body) + stored), "doc": first_line(node), "source": source.of(node)}
 
 
+def found_imports(node: ast.Import | ast.ImportFrom) -> list[str]:
+    """Modules by their first segment."""
+    named = [a.name for a in node.names] if isinstance(node, ast.Import) else [node.module] if node.module else []
+    return [m.split(".")[0] for m in named]
+
+
+def full_imports(node: ast.Import | ast.ImportFrom) -> list[str]:
+    return [a.name if isinstance(node, ast.Import) else f"{node.module or ''}.{a.name}" for a in node.names]
+
+
+@lru_cache(4_096)
+def statement(text: str) -> str:
+    """A statement of the top level as it is printed; the same imports and values stand in many files."""
+    return ast.unparse(ast.parse(text))
+
+
+def by_depth(tree: ast.AST) -> tuple[list[ast.AST], list[int]]:
+    """The nodes of a tree in the order of ast.walk(), and how deep each is."""
+    every, depths, level, depth = [], [], [tree], 0
+    while level:
+        every += level
+        depths += [depth] * len(level)
+        level, depth = [child for n in level for child in ast.iter_child_nodes(n)], depth + 1
+    return every, depths
+
+
 class Module:
     """A Python file, parsed once and described once, for all that is asked of it."""
 
     def __init__(self, text: str) -> None:
         self.tree = ast.parse(text)
-        self.every = list(ast.walk(self.tree))
-        source = Source(text)
+        self.every, self.depths = by_depth(self.tree)
+        source = self.source = Source(text)
+        self.lines = len(source.starts) - 1
         owners = {id(m): c.name for c in self.every if isinstance(c, ast.ClassDef) for m in c.body if isinstance(m, Def)}
         self.classes = {id(n): describe_class(n, source) for n in self.every if isinstance(n, ast.ClassDef)}
         self.functions = {id(n): describe(n, owners.get(id(n)), source) for n in self.every if isinstance(n, Def)}
@@ -183,7 +211,7 @@ class Module:
         """
         top = self.tree.body
         return {
-            "imports": unique(m.split(".")[0] for n in self.every for m in ([a.name for a in n.names] if isinstance(n, ast.Import) else [n.module] if isinstance(n, ast.ImportFrom) and n.module else [])),
+            "imports": unique(x for n in self.every if isinstance(n, (ast.Import, ast.ImportFrom)) for x in found_imports(n)),
             "aliases": unique((a.asname or a.name).split(".")[0] if isinstance(n, ast.Import) else a.asname or a.name for n in top if isinstance(n, (ast.Import, ast.ImportFrom)) for a in n.names),
             "data": assigned(top),
             "top_classes": unique(n.name for n in top if isinstance(n, ast.ClassDef)),
@@ -199,33 +227,45 @@ class Module:
         they take from self, and the class keeps its assignments, its constructor and a list of attributes set elsewhere.
         Other statements are left out.
         """
-        module, out = self.found(), []
+        found = self.found()
+        return "\n".join(line for part in self.short(tags, resolve_self) for line in part(found))
+
+    def short(self, tags: bool = False, resolve_self: bool = False) -> list[Callable[[dict], list[str]]]:
+        """The parts of compress(): each gives its lines by what the whole module has, as found() tells it."""
+        out: list[Callable[[dict], list[str]]] = []
 
         def whole(node: ast.AST, indent: str) -> None:
-            out.extend(indent + line for line in ast.unparse(node).splitlines())
+            lines = [indent + line for line in ast.unparse(node).splitlines()]
+            out.append(lambda _: lines)
 
         def put(node: ast.AST, indent: str, known: dict | None = None) -> None:
-            f = self.functions[id(node)]
-            found = needs(f, module, known)
-            if len(found["interne"]) < 2 and not (found["data"] or found["type"] or found["externe"]):
-                whole(node, indent)
-                return
-            shown = {k: v for k, v in found.items() if v} | ({k: f[k] for k in ("raises", "yields", "warns") if f[k]} if tags else {})
-            doc = [f'    """{f["doc"]}"""'] if f["doc"] else []
-            out.extend(indent + line for line in [f["signature"], *doc, f"    # needs: {json.dumps(shown)}"])
+            f, kept = self.functions[id(node)], []
+
+            def lines(module: dict) -> list[str]:
+                found = needs(f, module, known)
+                if len(found["interne"]) < 2 and not (found["data"] or found["type"] or found["externe"]):
+                    if not kept:
+                        kept.append([indent + line for line in ast.unparse(node).splitlines()])
+                    return kept[0]
+                shown = {k: v for k, v in found.items() if v} | ({k: f[k] for k in ("raises", "yields", "warns") if f[k]} if tags else {})
+                doc = [f'    """{f["doc"]}"""'] if f["doc"] else []
+                return [indent + line for line in [f["signature"], *doc, f"    # needs: {json.dumps(shown)}"]]
+
+            out.append(lines)
 
         def put_class(node: ast.ClassDef) -> None:
             own = self.classes[id(node)]
             makers = [m for m in node.body if isinstance(m, Def) and m.name in ("__init__", "__new__")] if resolve_self else []
-            out.append(f"class {node.name}({', '.join(map(ast.unparse, node.bases))}):")
+            head = [f"class {node.name}({', '.join(map(ast.unparse, node.bases))}):"]
             if own["doc"]:
-                out.append(f'    """{own["doc"]}"""')
+                head.append(f'    """{own["doc"]}"""')
+            out.append(lambda _: head)
             if resolve_self:
                 for inner in node.body:
                     if isinstance(inner, (ast.Assign, ast.AnnAssign)):
                         whole(inner, "    ")
                 if rest := sorted(set(own["attrs"]).difference(*map(set_on_self, makers))):
-                    out.append(f"    # attrs: {', '.join(rest)}")
+                    out.append(lambda _: [f"    # attrs: {', '.join(rest)}"])
             for inner in node.body:
                 if inner in makers:
                     whole(inner, "    ")
@@ -238,8 +278,81 @@ class Module:
             elif isinstance(node, ast.ClassDef):
                 put_class(node)
             elif isinstance(node, (ast.Import, ast.ImportFrom, ast.Assign, ast.AnnAssign)):
-                out.append(ast.unparse(node))
-        return "\n".join(out)
+                own = self.source.of(node)
+                text = statement(own) if len(own) <= LENGTH else ast.unparse(node)
+                out.append(lambda _, text=text: [text])
+        return out
+
+
+#: Where a definition of the top level may begin; what is before it is a piece of the module if it parses by itself.
+START = re.compile(r"^(?:@|(?:async[ \t]+def|def|class)[ \t])", re.MULTILINE)
+PIECES = 4_096  # definitions that a Python worker remembers, of at most
+LENGTH = 8_192  # characters
+
+
+def pieces(text: str) -> list[str]:
+    """A text cut before its definitions of the top level, with their decorators; a cut may be wrong, within a string or a statement."""
+    cuts, decorated = [0], False
+    for m in START.finditer(text):
+        if not decorated:
+            cuts.append(m.start())
+        decorated = m[0] == "@"
+    return [text[a:b] for a, b in zip(cuts, [*cuts[1:], len(text)], strict=True)]
+
+
+class Piece:
+    """Statements of the top level, read by themselves, for any module that has them; what they hold is told with its depth in the tree."""
+
+    def __init__(self, text: str) -> None:
+        module = Module(text)
+        self.lines, self.found, self.short = module.lines, module.found(), module.short()
+        some = [(d, n) for d, n in zip(module.depths, module.every, strict=True) if isinstance(n, (ast.Import, ast.ImportFrom, ast.ClassDef, *Def))]
+        at = lambda kinds: [(d, n) for d, n in some if isinstance(n, kinds)]
+        out = outlined([n for _, n in some])
+        methods = {id(m) for _, c in at(ast.ClassDef) for m in ast.walk(c)}
+        free = [d for d, n in at(ast.FunctionDef) if id(n) not in methods]
+        self.imports = [(d, found_imports(n)) for d, n in at((ast.Import, ast.ImportFrom))]
+        self.full_imports = [(d, full_imports(n)) for d, n in at((ast.Import, ast.ImportFrom))]
+        self.classes = [(d, module.classes[id(n)]) for d, n in at(ast.ClassDef)]
+        self.functions = [(d, module.functions[id(n)]) for d, n in at(Def)]
+        self.outlined_classes = [(d, c) for (d, _), c in zip(self.classes, out["classes"], strict=True)]
+        self.outlined_functions = list(zip(free, out["functions"], strict=True))
+
+    @classmethod
+    @lru_cache(PIECES)
+    def known(cls, text: str) -> Piece:
+        return cls(text)
+
+
+class Pieces:
+    """A Python file of pieces that parse by themselves, each of which is read once for all files that have it; says what Module says of the whole."""
+
+    def __init__(self, text: str) -> None:
+        if "barry_as_FLUFL" in text:
+            raise SyntaxError("an import that changes the grammar of what follows")
+        first, *rest = pieces(text)  # what is before the first definition is rarely the same in two files
+        self.pieces = [Piece(first), *(Piece.known(x) if len(x) <= LENGTH else Piece(x) for x in rest)]
+
+    def placed(self, name: str) -> list:
+        """A list of all pieces in the order of a walk over the whole tree: by depth, then by place."""
+        return [x for _, x in sorted((x for p in self.pieces for x in getattr(p, name)), key=lambda x: x[0])]
+
+    def found(self) -> dict:
+        after, out = 0, {"imports": unique(x for names in self.placed("imports") for x in names)}
+        for k in ("aliases", "data", "top_classes", "top_functions"):
+            out[k] = unique(x for p in self.pieces for x in p.found[k])
+        places: dict[str, list] = {"classes": [], "functions": []}
+        for p in self.pieces:
+            for k, own in places.items():
+                own += [(d, x | {"line": x["line"] + after}) for d, x in getattr(p, k)]
+            after += p.lines
+        return out | {k: [x for _, x in sorted(own, key=lambda x: x[0])] for k, own in places.items()}
+
+    def outline(self) -> dict:
+        return {"imports": [x for names in self.placed("full_imports") for x in names], "classes": self.placed("outlined_classes"), "functions": self.placed("outlined_functions")}
+
+    def compress(self, found: dict) -> str:
+        return "\n".join(line for p in self.pieces for part in p.short for line in part(found))
 
 
 def parse(text: str) -> dict:
@@ -286,7 +399,7 @@ def outlined(every: list[ast.AST]) -> dict:
     classes = [(c, [n for n in ast.walk(c) if isinstance(n, ast.FunctionDef)]) for c in every if isinstance(c, ast.ClassDef)]
     inside = {id(n) for _, methods in classes for n in methods}
     return {
-        "imports": [x for n in every for x in ([a.name for a in n.names] if isinstance(n, ast.Import) else [f"{n.module or ''}.{a.name}" for a in n.names] if isinstance(n, ast.ImportFrom) else [])],
+        "imports": [x for n in every if isinstance(n, (ast.Import, ast.ImportFrom)) for x in full_imports(n)],
         "classes": [{"name": c.name, "methods": [function(m) for m in methods]} for c, methods in classes],
         "functions": [function(n) for n in every if isinstance(n, ast.FunctionDef) and id(n) not in inside],
     }

@@ -23,7 +23,16 @@ ROW = f"hash string, {FOUND}, compressed string, compress_error string, outline
 
 
 def analyse(text: str, lang: str) -> dict:
-    """All that is known of one content: what code.parse(), compress() and outline() give, by a single parse."""
+    """All that is known of one content: what code.parse(), compress() and outline() give, by a single parse.
+
+    A definition of the top level that other files have too is parsed once by a worker; a file that doesn't fall into
+    definitions is parsed whole.
+    """
+    if lang == "python":
+        try:
+            return in_pieces(text)
+        except code.TROUBLE:
+            pass  # the whole tells what is wrong, if anything is
     try:
         module = code.Module(text) if lang == "python" else None
         out = module.found() if module else scripts.parse(text)
@@ -39,6 +48,12 @@ def analyse(text: str, lang: str) -> dict:
     return out
 
 
+def in_pieces(text: str) -> dict:
+    module = code.Pieces(text)
+    found = module.found()
+    return found | {"error": None, "outline": module.outline(), "compressed": module.compress(found)}
+
+
 def keyed(files: DataFrame) -> DataFrame:
     """file, text, error (of reading it), lang, hash of language and content."""
     lang = code.language(F.col("file"))
@@ -84,7 +99,7 @@ def indexed(files: DataFrame, folder: str | None = None) -> DataFrame:
     """The files (file, text and, if there is one, the error of reading it) with what is known of each, after a refresh of the index.
 
     file, text, error, lang, the columns of code.modules(), compressed, compress_error, outline. A very common content is
-    one row of the index; adaptive execution splits the files that have it.
+    one row of the index; adaptive execution splits the files that have it. The index is never sent through the driver.
     """
     return versions(files, folder=folder)[0]
 
@@ -103,6 +118,6 @@ def versions(*trees: DataFrame, folder: str | None = None) -> list[DataFrame]:
 
 def read(files: DataFrame, folder: str) -> DataFrame:
     known = files.sparkSession.read.schema(ROW).parquet(folder).withColumnRenamed("error", "parse_error")
-    rows = keyed(files).join(known, "hash", "left")
+    rows = keyed(files).join(known.hint("shuffle_merge"), "hash", "left")  # by the size of its files, Spark would take the index for small and broadcast it
     names = [f.split(" ")[0] for f in ("imports", "aliases", "data", "top_classes", "top_functions", "classes", "functions", "compressed", "compress_error", "outline")]
     return rows.select("file", "text", F.coalesce("error", "parse_error").alias("error"), "lang", *names)

@@ -87,3 +87,36 @@ def test_versions_of_a_tree(spark, tmp_path):
     assert sorted(((r.file, r.name, r.change, r.was) for r in again.collect()), key=str) == got
     none = files(spark, old).limit(0)
     assert {r.change for r in code.tree_diff(code.modules(none), code.modules(files(spark, new))).collect()} == {"added"}
+
+
+HARD = [
+    "x = 1\\\ndef f(): pass\n", 'x = """\ndef f(): pass\n"""\ndef g(): pass\n', "'''\ndef f():\n'''\n", "f'''{\ndef f(): pass\n}'''", "x = (\ndef f(): pass\n", "def f(): '''\ndef g(): '''\n",
+    "if x:\n  1\ndef f(): pass\nelse:\n 2\n", "try:\n pass\ndef f(): pass\n", "from __future__ import barry_as_FLUFL\ndef f(): return 1 <> 2\n", "def f(): pass\ndef f(x): pass\ndef f(): pass\n", "", "def f(): pass\n\x00",
+    "@a\n@b(\n1)\nasync def f(x):\n  yield 1\n@c\nclass K: pass\nX = f(3); Y: int = 4\n", "class A:\n def f(self): return self.x\n class B:\n  def g(self): pass\nimport a.b, c\ndef h():\n import d\n def k(): raise E(1)\n",
+    "'''Doc\n'''\r\ndef f(x): return g(x)\r\n# a\rdef g(x): return X\r\nclass K(f):\r\n  y = 1\r\n  def g(self): open(x)\r\nX = 1\r\n",
+]
+
+
+def test_pieces_say_what_the_whole_says():
+    for text in HARD:
+        try:
+            module = code.Module(text)
+            want = module.found() | {"error": None, "outline": code.outlined(module.every), "compressed": module.compress()}
+        except code.TROUBLE as e:
+            want = {"error": code.message(e)}
+        assert parses.analyse(text, "python") == want, text
+
+
+def test_a_definition_of_many_files_is_read_once():
+    code.Piece.known.cache_clear()
+    shared = "class Shared:\n    def m(self, x):\n        return other(x)\n"
+    for i in range(50):
+        found = parses.analyse(f"N = {i}\n" + "\n" * i + shared + f"def own_{i}(x): return N\n", "python")
+        assert [(f["name"], f["line"]) for f in found["functions"]] == [(f"own_{i}", i + 5), ("m", i + 3)]
+    assert code.Piece.known.cache_info().misses == 51
+
+
+def test_the_index_is_not_broadcast(spark, tmp_path):
+    """However small its files are: what they hold grows with the tree, and would go through the driver."""
+    own = parses.indexed(files(spark, TEXTS), str(tmp_path / "index"))
+    assert "BroadcastHashJoin" not in code.clean_files(own)._jdf.queryExecution().toString()
