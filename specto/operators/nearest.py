@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from specto.operators.routing import top_k
+from specto.operators.routing import matrix, top_k
 from specto.operators.storage import cut
 from specto.sources.python_path import importable
 
@@ -46,10 +46,6 @@ def nearest_centre(vectors: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray
     return own, np.linalg.norm(vectors - centres[own], axis=1)
 
 
-def matrix(column: pa.Array) -> np.ndarray:
-    return column.flatten().to_numpy().reshape(len(column), -1)
-
-
 def clustered(tools: DataFrame, clusters: int = 128, sample: int = 8_192) -> Clusters:
     """Deals every tool (id, vector) that has a vector to its nearest centre; the centres are fitted on at most `sample` tools, those with the smallest hash of their ids.
 

@@ -9,6 +9,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from specto.functions.text import distinct_words, plain_name, tool_text
 from specto.operators import vectors
@@ -39,6 +41,56 @@ def facing(tools: DataFrame, queries: DataFrame, few: int = 2_000, slices: int =
     return t.join(q, ["__block", "__slice"]).drop("__block", "__slice")
 
 
+BLOCK, SLICE = 8_192, 8_192  # queries and tools that one task holds beside each other
+TILE = 4_000_000  # scores that it makes at once
+
+
+def best_of(scores: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Query and tool (places of rows and columns) of the n best scores of each query, and of what ties with them; scores are rounded later."""
+    tools = scores.shape[1]
+    if tools <= n:
+        return tuple(x.ravel() for x in np.indices(scores.shape))
+    least = scores.max(1) if n == 1 else np.partition(scores, tools - n, axis=1)[:, tools - n]
+    return np.nonzero(scores >= least[:, None] - 1e-6)
+
+
+def near_blocks(tools: DataFrame, queries: DataFrame, n: int, block: int = BLOCK, width: int = SLICE) -> DataFrame:
+    """query_id, tool_id, score of any number of queries: each block of them meets each slice of the tools in one task, as a matrix product.
+
+    Blocks and slices are so many that they hold `block` queries and `width` tools on average, so a task holds no more as
+    tables grow. A query has its n best of each slice, and what ties with them. Nothing passes through the driver.
+    """
+
+    def dealt(df: DataFrame, parts: int, own: str, other: str, others: int) -> DataFrame:
+        """Each row in a part by its hash, once for each of the other side's parts; under names of its own, as Spark mixes up the columns of one table that meets itself."""
+        kept = df.where("vector is not null").select("id", F.col("vector").cast("array<double>").alias("vector"))
+        part = F.pmod(F.xxhash64("id", "vector", F.lit(own)), F.lit(parts)).cast("int")
+        return kept.select(part.alias(own), F.explode(F.sequence(F.lit(0), F.lit(others - 1))).alias(other), F.col("id").alias(f"{own}_id"), F.col("vector").alias(f"{own}_vector"))
+
+    def meet(tools: pa.Table, queries: pa.Table) -> pa.Table:
+        found = [kinds.empty_table()]
+        if tools.num_rows and queries.num_rows:
+            (tool_ids, t), (query_ids, q) = ((x[f"{own}_id"].combine_chunks(), matrix(x[f"{own}_vector"].combine_chunks())) for x, own in ((tools, "slice"), (queries, "block")))
+            step = max(1, TILE // len(t))
+            for at in range(0, len(q), step):
+                scores = q[at : at + step] @ t.T
+                query, tool = best_of(scores, n)
+                found.append(pa.table([query_ids.take(pa.array(query + at)), tool_ids.take(pa.array(tool)), pa.array(scores[query, tool])], schema=kinds))
+        return pa.concat_tables(found)
+
+    blocks, slices = (max(1, -(-df.count() // size)) for df, size in ((queries, block), (tools, width)))
+    t = dealt(tools, slices, "slice", "block", blocks)
+    q = dealt(queries, blocks, "block", "slice", slices)
+    names = {"query_id": queries.schema["id"].dataType, "tool_id": tools.schema["id"].dataType, "score": DoubleType()}
+    kinds = to_arrow_schema(StructType([StructField(k, v) for k, v in names.items()]))
+    importable(tools.sparkSession)
+    return t.groupBy("block", "slice").cogroup(q.groupBy("block", "slice")).applyInArrow(meet, ", ".join(f"{k} {v.simpleString()}" for k, v in names.items()))
+
+
+def matrix(column: pa.Array) -> np.ndarray:
+    return column.flatten().to_numpy().reshape(len(column), -1)
+
+
 def near_ones(tools: DataFrame, queries: DataFrame, n: int) -> DataFrame:
     """query_id, tool_id, score of few queries: each Arrow batch of tools is one matrix product, of which a task keeps the n best a query and what ties with them.
 
@@ -54,14 +106,9 @@ def near_ones(tools: DataFrame, queries: DataFrame, n: int) -> DataFrame:
         for batch in batches:
             if ids is None or not batch.num_rows:
                 continue
-            vectors = batch.column(1)
-            scores = vectors.flatten().to_numpy().reshape(len(vectors), -1) @ q.T
-            if len(scores) > n:
-                least = np.partition(scores, len(scores) - n, axis=0)[len(scores) - n]
-                at, query = np.nonzero(scores >= least - 1e-6)  # scores are rounded later
-            else:
-                at, query = (x.ravel() for x in np.indices(scores.shape))
-            yield pa.RecordBatch.from_arrays([ids.take(pa.array(query)), batch.column(0).take(pa.array(at)), pa.array(scores[at, query])], ["query_id", "tool_id", "score"])
+            scores = q @ matrix(batch.column(1)).T
+            query, at = best_of(scores, n)
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(query)), batch.column(0).take(pa.array(at)), pa.array(scores[query, at])], ["query_id", "tool_id", "score"])
 
     importable(tools.sparkSession)
     schema = f"query_id {dict(queries.dtypes)['id']}, tool_id {dict(tools.dtypes)['id']}, score double"
@@ -73,14 +120,12 @@ def top_k(queries: DataFrame, tools: DataFrame, k: int, itself: bool = True, few
 
     A null vector, of a query or a tool, has no rows.
 
-    Each task ranks its own before they are shuffled. More than `few` queries meet the tools in blocks, as facing() deals them.
+    Each task ranks its own before they are shuffled. More than `few` queries meet the tools in blocks, as near_blocks() deals them.
     """
     if queries.limit(few + 1).count() <= few:
         scored = near_ones(tools, queries, k + (not itself)).withColumn("score", F.round("score", 6))
     else:
-        q = queries.where("vector is not null").select(F.col("id").alias("query_id"), F.col("vector").alias("__q"))
-        pairs = facing(tools.where("vector is not null").select(F.col("id").alias("tool_id"), F.col("vector").alias("__t")), q, few)
-        scored = pairs.select("query_id", "tool_id", F.round(dot(F.col("__q"), F.col("__t")), 6).alias("score"))
+        scored = near_blocks(tools, queries, k + (not itself)).withColumn("score", F.round("score", 6))
     scored = scored if itself else scored.where("query_id <> tool_id")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "tool_id"))
     return scored.withColumn("rank", rank).where(F.col("rank") <= k)

@@ -3,6 +3,7 @@
 import math
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from specto.operators import routing, vectors
@@ -66,3 +67,24 @@ def test_vectors_are_sums_of_signs(spark):
     assert all(abs(sum(x * x for x in v) - 1) < 1e-6 for v in rows.values() if v)
     near = sum(x * y for x, y in zip(rows[0], rows[1], strict=True))
     assert 0.5 < near < 0.95
+
+
+def test_many_queries_meet_tools_in_blocks(spark):
+    """More queries than go to all tasks: products of blocks, with the rows of the plain way, ties and nulls too."""
+    rng = np.random.default_rng(3)
+    rows = [(i, None if i % 41 == 0 else [float(x) for x in rng.integers(-2, 3, 6)]) for i in range(400)]
+    tools = spark.createDataFrame(rows, "id long, vector array<float>")
+    queries = tools.where("id % 3 = 0")
+    for k, itself in ((1, False), (3, True)):
+        want = {tuple(r) for r in routing.top_k(queries, tools, k, itself).collect()}
+        assert {tuple(r) for r in routing.top_k(queries, tools, k, itself, few=10).collect()} == want
+        blocks = routing.near_blocks(tools, queries, k + (not itself), block=30, width=50)
+        assert "MapInArrow" not in blocks._jdf.queryExecution().toString() and "CoGroup" in blocks._jdf.queryExecution().toString()
+        best: dict = {}
+        for q, t, score in blocks.collect():
+            if itself or q != t:
+                best.setdefault(q, set()).add((-round(score, 6), t))
+        assert {(q, t, -s, i + 1) for q, found in best.items() for i, (s, t) in enumerate(sorted(found)[:k])} == want
+    assert routing.top_k(queries, tools.limit(0), 3, few=10).count() == 0
+    plan = routing.top_k(queries, tools, 3, few=10)._jdf.queryExecution().toString()
+    assert "zip_with" not in plan and "CoGroup" in plan
