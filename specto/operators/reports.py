@@ -8,15 +8,17 @@ from pyspark.sql import functions as F
 from specto.functions import costs
 from specto.functions.tokens import Counter, pieces
 from specto.operators import schemas
+from specto.operators.storage import cut, dealt
 
 
 def tool_costs(tools: DataFrame, count: Counter = pieces) -> DataFrame:
     """server, ord, name, raw, short, index: the tokens of each tool as it is listed, compressed, and in the index."""
     key = schemas.tool_key().alias("tool")
     # tools that are equal in name, description and schema have equal texts, so one of them is rendered
-    texts = schemas.rendered(tools.select("name", "description", "input_schema").distinct())
-    counted = texts.select("tool", *[count(F.col(c)).alias(c) for c in ("raw", "short", "index")])
-    return tools.select("server", "ord", "name", key).join(counted, "tool").drop("tool")
+    texts = schemas.rendered(dealt(tools.select("name", "description", "input_schema").distinct()))
+    # written once, as a report sums and ranks them; neither side is sent through the driver, whatever the size of its files
+    counted = cut(texts.select("tool", *[count(F.col(c)).alias(c) for c in ("raw", "short", "index")]))
+    return tools.select("server", "ord", "name", key).join(counted.hint("shuffle_merge"), "tool").drop("tool")
 
 
 def token_totals(costed: DataFrame) -> DataFrame:
