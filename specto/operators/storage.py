@@ -44,3 +44,11 @@ def spread(df: DataFrame) -> DataFrame:
 def dealt(df: DataFrame) -> DataFrame:
     """df dealt to four tasks a core; by the bytes of short rows, adaptive execution would give all that comes from a shuffle to one task."""
     return df.repartition(4 * df.sparkSession.sparkContext.defaultParallelism, *df.columns)
+
+
+def evenly(df: DataFrame) -> DataFrame:
+    """df dealt row by row to four tasks a core, for work that costs far more than the shuffle of its rows.
+
+    A file of short rows comes in few tasks whatever its rows cost, and its row groups fill only some of many; equal rows are dealt apart.
+    """
+    return df.repartition(4 * df.sparkSession.sparkContext.defaultParallelism)
