@@ -77,11 +77,13 @@ def alone(parent: Column, role: str) -> Column:
     return F.array(child(parent, role, F.lit(None).cast("string"), F.lit(""), member(parent["node"], role)))
 
 
-def levels(trees: DataFrame, root: Column, below: Callable[[Column], Column]) -> list[DataFrame]:
+def levels(trees: DataFrame, root: Column, below: Callable[[Column], Column], deepest: int | None = None) -> list[DataFrame]:
     """The other columns of trees with `nodes`, an array of NODE: each object that `below` finds, from the root on.
 
     `below` gives the array of a node's children; those that are no objects are passed over. A null root has no nodes. The
     first table has a row for each tree; trees that go deeper have rows in further ones, for each node of a last level.
+    `deepest` is how many levels the deepest tree has, the root's among them; where it isn't known, each table is walked
+    once more to see whether its trees go on.
     """
     keys = trees.columns
     nodes = lambda level: F.filter(F.flatten(F.transform(level, below)), lambda n: is_object(n["node"]))
@@ -90,10 +92,13 @@ def levels(trees: DataFrame, root: Column, below: Callable[[Column], Column]) ->
     rows = spread(trees).withColumn("__level0", first)
     found = []
     while True:
-        for i in range(1, LEVELS + 1):
+        own = LEVELS if deepest is None else max(1, min(LEVELS, deepest))
+        for i in range(1, own + (deepest is None or deepest > LEVELS)):
             rows = rows.withColumn(f"__level{i}", nodes(F.col(f"__level{i - 1}")))
-        found.append(rows.select(*keys, F.concat(*[f"__level{i}" for i in range(LEVELS)]).alias("nodes")))
-        if not rows.agg(F.bool_or(F.size(f"__level{LEVELS}") > 0)).first()[0]:
+        found.append(rows.select(*keys, F.concat(*[f"__level{i}" for i in range(own)]).alias("nodes")))
+        if deepest is not None:
+            deepest -= LEVELS
+        if (deepest <= 0) if deepest is not None else not rows.agg(F.bool_or(F.size(f"__level{LEVELS}") > 0)).first()[0]:
             return found
         deeper = rows.select(*keys, F.explode(f"__level{LEVELS}").alias("__node"))
         rows = cut(deeper).select(*keys, F.array("__node").alias("__level0"))

@@ -125,3 +125,18 @@ def test_compression_keeps_to_its_rules():
     assert schemas.compress({"oneOf": [{"type": "string"}, {"type": "number"}], "discriminator": {"mapping": {}}}) == {"any": [{"t": "string"}, {"t": "number"}]}
     tagged = {"oneOf": [{"type": "string"}, {"type": "number"}], "discriminator": {"propertyName": "k"}}
     assert schemas.compress(tagged)["disc"] == {"prop": "k"} and schemas.expand(schemas.compress(tagged))["discriminator"] == {"propertyName": "k"}
+
+
+def test_contract_check_compresses_once_and_deals_no_atoms(spark, cases, monkeypatch):
+    calls, rows = [], schemas._rows
+    monkeypatch.setattr(schemas, "_rows", lambda *a: calls.append(1) or rows(*a))
+    flat = [c for c in cases if schemas.layers([c], schemas.IN_SCHEMA) < trees.LEVELS][:20]
+    some = tools(spark, flat)
+    assert schemas.contract_report(some).count() == len(flat) > 5 and len(calls) == 1
+    assert "Exchange" not in schemas.schema_atoms(some)._jdf.queryExecution().toString()
+
+
+def test_layers():
+    assert schemas.layers([{}], schemas.IN_SCHEMA) == 1 and schemas.layers([3, None], schemas.IN_SHORT) == 0
+    assert schemas.layers([deep(5)], schemas.IN_SCHEMA) == 7
+    assert schemas.layers([{"properties": [{}], "items": [{}], "anyOf": {"a": {}}, "oneOf": [1, {}]}], schemas.IN_SCHEMA) == 2
