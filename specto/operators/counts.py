@@ -6,7 +6,9 @@ import base64
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -53,8 +55,8 @@ def count_tokens(texts: DataFrame, ranks: dict[bytes, int], pattern: str, common
     """id, tokens of every row of texts (id, text), by ranks and a pre-token pattern that every character of a text falls under.
 
     The JVM cuts texts and counts the different pre-tokens; each of those is encoded once. The most frequent ones are sent
-    to all tasks, by number and length, so what they are worth is added up before anything is shuffled, and no word that
-    is in every text becomes a hot key. Of a text only the rarer pre-tokens are shuffled to meet their counts.
+    to all tasks, by number and length, so what they are worth is added up within the row of a text, and no word that is in
+    every text becomes a hot key. Of a text only the rarer pre-tokens are shuffled to meet their counts.
 
     A null text counts as empty: 0 tokens. Rows that repeat an id, with the same text or another, are counted each by
     themselves; a null id is one like others. Texts may have any length, an empty table gives no rows. White space and
@@ -69,17 +71,28 @@ def count_tokens(texts: DataFrame, ranks: dict[bytes, int], pattern: str, common
             yield pa.RecordBatch.from_arrays([*batch.columns, n], ["word", "n", "parts"])
 
     importable(texts.sparkSession)
-    # a null stands for the row itself, so that rows can be told apart from words when both are summed
-    cut_up = F.concat(F.array(F.lit(None).cast("string")), F.regexp_extract_all("text", F.lit(f"(?U){pattern}"), F.lit(0)))
-    own = texts.select("id", F.coalesce("text", F.lit("")).alias("text")).withColumn("digest", F.md5("text"))  # before the words, or each would have it made anew
-    words = own.select("id", "digest", F.explode(cut_up).alias("word"))
-    known = cut(words.where("word is not null").groupBy("word").agg(F.count("*").alias("n")).mapInArrow(encode, "word string, n long, parts long"))
+    found_words = F.regexp_extract_all("text", F.lit(f"(?U){pattern}"), F.lit(0))
+    own = texts.select("id", F.coalesce("text", F.lit("")).alias("text"))
+    known = cut(own.select(F.explode(found_words).alias("word")).groupBy("word").agg(F.count("*").alias("n")).mapInArrow(encode, "word string, n long, parts long"))
     frequent = known.where(F.octet_length("word") <= SHORT).orderBy(F.desc("n"), "word").limit(common).select("word", "parts")
-    told = words.join(F.broadcast(frequent), "word", "left")
-    rare = F.when(F.col("word").isNotNull() & F.col("parts").isNull(), F.col("word"))
-    sums = cut(told.groupBy("id", "digest").agg(F.count_if(F.col("word").isNull()).alias("rows"), F.sum(F.coalesce("parts", F.lit(0))).alias("parts"), F.collect_list(rare).alias("rare")))
-    rest = sums.select("id", "digest", F.explode("rare").alias("word")).join(known.select("word", "parts"), "word")
-    whole = sums.select("id", "digest", "rows", "parts").unionByName(rest.select("id", "digest", F.lit(0).cast("long").alias("rows"), "parts"))
-    whole = whole.groupBy("id", "digest").agg(F.sum("rows").alias("rows"), F.sum("parts").alias("parts"))
-    tokens = F.expr("parts div rows").alias("tokens")
-    return whole.select("id", tokens, F.explode(F.sequence(F.lit(1), F.col("rows").cast("int"))).alias("copy")).drop("copy")
+    common_words = [(r.word, r.parts) for r in frequent.collect()]  # at most `common` of SHORT bytes
+    told = texts.sparkSession.sparkContext.broadcast((pa.array([w for w, _ in common_words], pa.string()), np.array([n for _, n in common_words] + [0], np.int64)))
+
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        dictionary, worth = told.value
+        for batch in (b.slice(at, 500) for b in batches for at in range(0, b.num_rows, 500)):  # a few texts at a time, as each word takes some numbers
+            lists = batch.column(1)
+            ends, found = lists.offsets.to_numpy(), lists.values
+            ends, found = ends - ends[0], found.slice(ends[0], ends[-1] - ends[0])
+            at = pc.index_in(found, value_set=dictionary.cast(found.type)).fill_null(-1).to_numpy(zero_copy_only=False)
+            sums = np.concatenate([[0], np.cumsum(worth[at])])[ends]
+            other = np.concatenate([[0], np.cumsum(at < 0)])[ends]
+            rare = pa.ListArray.from_arrays(pa.array(other, pa.int32()), found.filter(pa.array(at < 0)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(sums)), rare], ["id", "parts", "rare"])
+
+    kind = texts.schema["id"].dataType.simpleString()
+    per_row = own.select("id", found_words.alias("words")).mapInArrow(add_up, f"id {kind}, parts long, rare array<string>")
+    sums = cut(per_row.withColumn("row", F.monotonically_increasing_id()))  # written with the number that its rarer words carry
+    rest = sums.select("row", F.explode("rare").alias("word")).join(known.select("word", F.col("parts").alias("more")), "word")
+    rest = rest.groupBy("row").agg(F.sum("more").alias("more"))
+    return sums.select("row", "id", "parts").join(rest, "row", "left").select("id", (F.col("parts") + F.coalesce("more", F.lit(0))).alias("tokens"))

@@ -87,3 +87,13 @@ def test_token_counts_equal_those_of_the_library(spark):
     for common in (counts.COMMON, 5):
         assert rows_of(counts.count_tokens(df, ranks, public.PATTERN, common)) == want
     assert counts.count_tokens(df.where("false"), ranks, public.PATTERN).count() == 0
+
+
+def test_texts_are_counted_within_their_rows(spark, monkeypatch):
+    public, plans, cut = pytest.importorskip("public_tokenizers"), [], counts.cut
+    monkeypatch.setattr(counts, "cut", lambda df: plans.append(df._jdf.queryExecution().toString()) or cut(df))
+    df = spark.createDataFrame([(i, f"a a b w{i}") for i in range(2400)], "id long, text string")
+    ranks = {bytes([b]): b for b in range(256)}
+    for common in (0, 2):
+        assert rows_of(counts.count_tokens(df, ranks, public.PATTERN, common)) == sorted(((i, 7 + len(str(i))) for i in range(2400)), key=str)
+    assert "Exchange" in plans[0] and "Exchange" not in plans[1]  # words are dealt by word, texts aren't dealt
