@@ -12,7 +12,7 @@ import heapq
 import json
 import sys
 import unicodedata
-from functools import cache
+from functools import cache, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +23,7 @@ from .common import map_batches, narrow
 
 NEVER = 1 << 30
 LONG_WORD = 96
-CACHE_WORDS = 300_000
+CACHE_WORDS = 200_000
 HIGH = regex.compile("[\u0530-\U0010ffff]").search
 #: The letters and numbers that Unicode 16.0 added to 15.1 (code points in base 16).
 UNICODE_16 = "1c89-1c8a a7cb-a7cd a7da-a7dc 105c0-105f3 10d40-10d65 10d6f-10d85 10ec2-10ec4 11380-11389 1138b 1138e 11390-113b5 113b7 113d1 113d3 116d0-116e3 11bc0-11be0 11bf0-11bf9 13460-143fa 16100-1611d 16130-16139 16d40-16d6c 16d70-16d79 18cff 1ccf0-1ccf9 1e5d0-1e5ed 1e5f0-1e5fa"
@@ -56,7 +56,7 @@ def newer_letters() -> str:
 
 
 class WordBpe(dict):
-    """The encoder of one tokenizer file; as a mapping it gives the ids of a word as little-endian bytes, kept for later."""
+    """The encoder of one tokenizer file; as a mapping it gives the ids of a word as little-endian bytes, kept for later if the word is short."""
 
     def __init__(self, path: str) -> None:
         super().__init__()
@@ -89,10 +89,11 @@ class WordBpe(dict):
         self.last = [self.vocab[c + self.suffix] for c in alphabet]
 
     def __missing__(self, word: str) -> bytes:
-        if len(self) >= CACHE_WORDS:
-            self.clear()
         ids = np.array(self.merge(word.encode("utf-8")), "<u4").tobytes()
-        self[word] = ids
+        if len(word) <= LONG_WORD:
+            if len(self) >= CACHE_WORDS:
+                self.clear()
+            self[word] = ids
         return ids
 
     def merge(self, word: bytes) -> list[int]:
@@ -170,6 +171,12 @@ def default_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+@lru_cache(maxsize=1)
+def encoder(path: str) -> WordBpe:
+    """One for all tasks of a worker, one after the other: a worker that makes its own in each task holds two at times."""
+    return WordBpe(path)
+
+
 def bpe_roundtrip(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False) -> DataFrame:
     """Ids of every whole text and the text they decode to, as counts and digests (with keep_ids also the ids themselves).
 
@@ -180,12 +187,12 @@ def bpe_roundtrip(docs: DataFrame, path: str | None = None, id_col: str = "doc_i
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids
 
     def make():
-        bpe = WordBpe(path or default_path())
+        bpe = encoder(path or default_path())
 
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
             n, a, b, kept = [], [], [], []
-            for text in batch.column(1).to_pylist():
-                ids = bpe.encode(text)
+            for value in batch.column(1):
+                ids = bpe.encode(value.as_py())
                 n.append(len(ids) // 4)
                 a.append(hashlib.sha256(ids).hexdigest())
                 b.append(hashlib.sha256(bpe.decode(ids).encode("utf-8")).hexdigest())

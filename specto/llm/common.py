@@ -17,6 +17,8 @@ LOWER = UPPER.lower()
 
 #: Rows that a side may have to be broadcast; each row is a few dozen bytes, so a relation stays under about 30 MB.
 BROADCAST_ROWS = 200_000
+BATCH_KEY = "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH_BYTES = 1 << 21
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -79,6 +81,17 @@ def shared_folder(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+def small_batches(spark: SparkSession, most: int = BATCH_BYTES) -> None:
+    """Rows go to Python in batches of about `most` bytes, whatever their number.
+
+    An executor holds each batch several times over, as buffers beside the JVM's heap and in its Python workers, which
+    keep the memory that they had at their peak. Spark's own bounds are 10,000 rows and 64 MB. A plan is made when it is
+    run, so the setting has to stay until a result is written. A smaller own setting stays as it is.
+    """
+    if spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(BATCH_KEY)) > most:
+        spark.conf.set(BATCH_KEY, str(most))
+
+
 @contextmanager
 def tidy(spark: SparkSession) -> Iterator[None]:
     """Has Spark delete the shuffle files of a query as soon as it ends, instead of when the driver's garbage is collected.

@@ -70,10 +70,11 @@ def sketch(docs: DataFrame, words: int, cells: int) -> np.ndarray:
         for batch in batches:
             for some in range(0, batch.num_rows, 500):
                 found = np.concatenate([shingles(t, words) for t in batch.column(1)[some : some + 500].to_pylist()])
-                own += np.bincount((found & np.uint64(cells - 1)).view(np.int64), minlength=cells).astype(np.uint32)
+                np.add.at(own, (found & np.uint64(cells - 1)).view(np.int64), np.uint32(1))
         rows = own.reshape(-1, CHUNK)
-        used = np.flatnonzero(rows.any(1))
-        yield pa.RecordBatch.from_pydict({"chunk": pa.array(used, pa.int32()), "counts": pa.array([rows[i].tobytes() for i in used], pa.binary())})
+        for some in range(0, len(rows), 512):
+            used = some + np.flatnonzero(rows[some : some + 512].any(1))
+            yield pa.RecordBatch.from_pydict({"chunk": pa.array(used, pa.int32()), "counts": pa.array([rows[i].tobytes() for i in used], pa.binary())})
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
